@@ -90,7 +90,7 @@ def default_rules() -> list[Rule]:
         Rule("repeats", 100 * n_repeat_words() > 50 * n_words()),
         Rule("word_length", (word_chars() < 2 * n_words()) | (word_chars() > 14 * n_words())),
         Rule("symbols", 10 * n_symbols() > n_words()),
-        Rule("dup_lines", 10 * n_dup_lines() > 3 * F.size(lines_with_words())),
+        Rule("dup_lines", 2 * n_dup_lines() > F.size(lines_with_words())),
         Rule("capitals", 2 * n_upper() > n_letters()),
     ]
 

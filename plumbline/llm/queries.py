@@ -62,7 +62,7 @@ f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
       FROM d LEFT JOIN hit USING (r) LEFT JOIN lin USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR 2 * n_upper > n_letters) AS kept
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 2 * n_upper > n_letters) AS kept
 FROM b
 """
 
