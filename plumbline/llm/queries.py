@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, mixing, packing, quality_rules
+from plumbline.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules
 from plumbline.llm.common import documents, materialize
 
 #: Place of the vocabulary used by op1; None: the installed public tokenizers.
@@ -37,6 +37,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +70,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY key) AS rep FROM (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(1) ORDER BY g)) AS key FROM sh GROUP BY doc_id)),
+s AS (SELECT sh.doc_id, g, n FROM sh JOIN cls USING (doc_id) WHERE doc_id = rep),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, least(x, min(y)) AS component FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(cls.n, 0) AS n_shingles, coalesce(c.component, cls.rep, d.doc_id) AS component_id
+FROM d LEFT JOIN cls USING (doc_id) LEFT JOIN c ON c.x = cls.rep
+"""
+
 OP5_SQL = rf"""
 WITH base AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM base GROUP BY source),
@@ -90,9 +110,9 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_quality_rules, op5_source_mixing, op7_exact_dedup)
+    found = (op1_best_fit_packing, op2_quality_rules, op4_ngram_jaccard_join, op5_source_mixing, op7_exact_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op5_source_mixing": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_source_mixing": OP5_SQL, "op7_exact_dedup": OP7_SQL}
