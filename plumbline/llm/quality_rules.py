@@ -96,7 +96,9 @@ def default_rules() -> list[Rule]:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(T, F.coalesce(F.col("text"), F.lit(""))).withColumn(W, words(F.col("text")))
+    # exploding the one-element array keeps Catalyst from pushing a filter on a verdict below the words, where every
+    # lambda would split the text anew
+    return docs.withColumn(T, F.coalesce(F.col("text"), F.lit(""))).withColumn(W, F.explode(F.array(words(F.col("text")))))
 
 
 def measure(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
