@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality_rules
+from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality_rules
 from plumbline.llm.common import documents, materialize
 
 #: Place of the vocabulary used by op1; None: the installed public tokenizers.
@@ -67,6 +67,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.coalesce(_remainder("doc_id", 10) != 0, F.lit(True))
+    out = brown_lm.score_texts(documents(spark, sf_dir), train)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2_SQL = rf"""
@@ -126,7 +132,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_source_mixing, op7_exact_dedup, op9_html_extraction)
+    found = (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_source_mixing, op7_exact_dedup, op9_html_extraction, op10_lm_scoring)
     return {f.__name__: f for f in found}
 
 
