@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality_rules
+from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality_lm, quality_rules
 from plumbline.llm.common import documents, materialize
 
 #: Place of the vocabulary used by op1; None: the installed public tokenizers.
@@ -57,6 +57,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return quality_lm.classify(documents(spark, sf_dir), trusted)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(documents(spark, sf_dir), exact_dedup.arrival_batch(F.col("doc_id")))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -132,7 +137,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_source_mixing, op7_exact_dedup, op9_html_extraction, op10_lm_scoring)
+    found = (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_source_mixing, op6_quality_classifier, op7_exact_dedup, op9_html_extraction, op10_lm_scoring)
     return {f.__name__: f for f in found}
 
 
