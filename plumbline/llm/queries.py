@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality_lm, quality_rules
+from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality_lm, quality_rules, secret_scan
 from plumbline.llm.common import documents, materialize
 
 #: Place of the vocabulary used by op1; None: the installed public tokenizers.
@@ -67,6 +67,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(documents(spark, sf_dir))
+    return out.select("doc_id", "start", "candidate", "times", "probability", "is_secret")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -137,7 +142,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_source_mixing, op6_quality_classifier, op7_exact_dedup, op9_html_extraction, op10_lm_scoring)
+    found = (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_source_mixing, op6_quality_classifier, op7_exact_dedup, op8_secret_scan, op9_html_extraction, op10_lm_scoring)
     return {f.__name__: f for f in found}
 
 
