@@ -6,11 +6,11 @@
    two linked sets must share (exact for every order; rarity is read from a table of 2**20 slots counted over all
    documents, which moves the work away from common passages and never alters a result).
 3. A region recurses by pivots. Distances to its pivots are computed exactly; documents within the radius fall into the
-   pivot's Voronoi cell and need no test against each other, since they are connected through it. Documents of other
-   cells meet only inside the triangle-inequality window |d(x,p) - d(y,p)| <= radius: those at a cell's boundary stay in
-   the region for the next round, which draws more pivots, the others leave. A region ends when one cell is left; regions
-   of at most LEAF documents compare what is left directly.
-4. Links between classes are joined to components; a component's id is its smallest doc_id.
+   pivot's Voronoi cell and need no test against each other, since they are connected through it. Cells that links connect,
+   in whatever region, are one cell. Documents of different cells meet only inside the triangle-inequality window
+   |d(x,p) - d(y,p)| <= radius: those near a boundary stay in the region for the next round, which draws more pivots. A
+   region ends when one cell is left; regions of at most LEAF documents compare what is left directly.
+4. The cells in the end are the components; a component's id is its smallest doc_id.
 
 The frequent shingles' rows are spread by a salt before they are sorted; all else is partial aggregation and plain joins.
 
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import shingles
 from plumbline.llm.common import bounded_broadcast, materialize
-from plumbline.llm.components import components
+from plumbline.llm.components import extended
 
 SIMILARITY = 75  # percent
 RADIUS = 1 - SIMILARITY / 100
 SLOT_BITS, BLOCKS, FAN_IN = 20, 32, 32
 LEAF = 16
+#: A region's pivots grow by this factor from round to round.
+GROWTH = 16
 #: A slot with this many times the mean count is frequent.
 FREQUENT = 8
 VERIFY_ROWS = 64
@@ -109,29 +111,33 @@ def _prefixes(levels: np.ndarray, frequent: int):
                 place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
                 size = np.repeat(n, n)
                 keep = place <= size - -(-SIMILARITY * size // 100)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[keep].view(np.int64)), pa.array(ids[first + owner[keep]]), pa.array(size[keep].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(level[keep] >= frequent)],
-                    ["s", "doc", "n", "pos", "often"],
-                )
+                about = size[keep] << 32 | place[keep] << 1 | (level[keep] >= frequent)
+                yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(ids[first + owner[keep]]), pa.array(about)], ["s", "doc", "about"])
 
     return emit
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by s, those whose s occurs twice or more, and all frequent ones (they are not kept together)."""
+    """Of rows sorted by s, those whose s occurs twice or more, and all frequent ones (they are not kept together). Two
+    documents alone with an s stay only if they can be linked through it."""
     held: pa.RecordBatch | None = None  # the last row so far, if it has not been passed on
     last: int | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        s = batch.column(0).to_numpy()
-        as_before = np.zeros(len(s), bool)
-        as_before[1:] = s[1:] == s[:-1]
-        as_before[0] = last is not None and s[0] == last
-        if held is not None and as_before[0]:
+        s, about = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        same = np.zeros(len(s) + 1, bool)  # as the row before
+        same[1:-1] = s[1:] == s[:-1]
+        same[0] = last is not None and s[0] == last
+        if held is not None and same[0]:
             yield held
-        keep = as_before | np.append(as_before[1:], False) | batch.column(4).to_numpy(zero_copy_only=False)
-        held = None if keep[-1] else batch.slice(len(s) - 1, 1)
+        keep = same[:-1] | same[1:] | (about & 1 == 1)
+        alone = np.flatnonzero(~same[:-3] & same[1:-2] & ~same[2:-1]) if len(s) > 2 else np.zeros(0, np.int64)
+        alone = alone[about[alone] & 1 == 0]
+        n, m, i, j = about[alone] >> 32, about[alone + 1] >> 32, (about[alone] & 0xFFFFFFFF) >> 1, (about[alone + 1] & 0xFFFFFFFF) >> 1
+        far = (100 * np.minimum(n, m) < SIMILARITY * np.maximum(n, m)) | ((100 + SIMILARITY) * (1 + np.minimum(n - 1 - i, m - 1 - j)) < SIMILARITY * (n + m))
+        keep[alone[far]] = keep[alone[far] + 1] = False
+        held = None if keep[-1] or same[-2] else batch.slice(len(s) - 1, 1)
         last = int(s[-1])
         yield batch.filter(pa.array(keep))
 
@@ -172,10 +178,12 @@ class _Distances:
     """Exact overlaps of pairs of documents, each pair verified once."""
 
     def __init__(self, docs: DataFrame) -> None:
-        self.docs, self.known = docs, None
+        self.docs = docs
+        self.known: DataFrame | None = None
+        self.cells: DataFrame | None = None
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """All known (a, b, both, either), after adding those of pairs (a, b)."""
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds the overlaps (a, b, both, either) of pairs (a, b) to `known`, and those that are links to `cells`."""
         pairs = pairs.distinct()
         if self.known is not None:
             pairs = pairs.join(self.known, ["a", "b"], "left_anti")
@@ -186,48 +194,49 @@ class _Distances:
         rows = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
         fresh = materialize(rows.select("a", "b", "ta", "tb").mapInArrow(_overlap, "a long, b long, both long, either long"), "jaccard-overlaps")
         self.known = fresh if self.known is None else self.known.unionByName(fresh)
-        return self.known
+        links = fresh.where(100 * F.col("both") >= SIMILARITY * F.col("either")).select("a", "b")
+        self.cells = materialize(extended(self.cells, links), "jaccard-cells")
 
 
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _links_in_regions(active: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Exact overlaps of enough pairs of `active` (s, doc, n, pos) that the linked ones connect every component."""
+def _join_regions(active: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of all documents that have links, from the regions' rows (s, doc, n, pos)."""
     distances = _Distances(docs)
-    active = materialize(active.select("s", "doc", "n", "pos", F.lit(None).cast("long").alias("cell"), F.array().cast("array<double>").alias("ds")), "jaccard-active")
+    active = active.select("s", "doc", "n", "pos", F.col("doc").alias("cell"), F.array().cast("array<double>").alias("ds"))
+    active = materialize(active, "jaccard-active")
     pivots_each = 1
     while True:
         largest = active.groupBy("s").count().agg(F.max("count")).first()[0] or 0
         if largest <= LEAF:
             break
-        first = F.struct(F.col("cell").isNotNull().alias("held"), F.xxhash64("doc").alias("h"))
+        first = F.xxhash64("doc")
         slot = F.pmod(F.xxhash64(F.col("doc"), F.lit(pivots_each)), F.lit(pivots_each)).alias("slot")
         pivots = active.groupBy("s", slot).agg(F.min_by(F.struct("doc", "n", "pos", "cell", "ds"), first).alias("p"), F.min(first).alias("first"))
-        lead = pivots.groupBy("s").agg(F.min_by(F.col("p")["doc"], "first").alias("lead"))
-        pivots = materialize(pivots.join(lead, "s").select("s", *(F.col("p")[c].alias(f"p_{c}") for c in ("doc", "n", "pos", "cell", "ds")), (F.col("p")["doc"] == F.col("lead")).alias("leads")), "jaccard-pivots")
-        met = active.join(pivots, "s").where((F.col("doc") != F.col("p_doc")) & _worth("doc", "n", "pos", "cell", "ds", "p_doc", "p_n", "p_pos", "p_cell", "p_ds"))
-        met = materialize(met.select("s", "doc", "p_doc", "leads", *_pair("doc", "p_doc")), "jaccard-met")
-        known = distances.verify(met.select("a", "b"))
-        d = 1 - F.col("both") / F.col("either")
-        near = met.join(known, ["a", "b"]).select("s", "doc", "p_doc", "leads", d.alias("d"))
-        near = near.groupBy("s", "doc").agg(F.min(F.when(F.col("d") <= RADIUS + 1e-9, F.col("p_doc"))).alias("new_cell"), F.min(F.when(F.col("leads"), F.col("d"))).alias("lead_d"))
-        left = active.join(pivots.select("s", F.col("p_doc").alias("doc")), ["s", "doc"], "left_anti").join(near, ["s", "doc"], "left")
-        left = left.select("s", "doc", "n", "pos", F.coalesce("cell", "new_cell").alias("cell"), F.concat("ds", F.array("lead_d")).alias("ds"))
+        lead = pivots.groupBy("s").agg(F.min("first").alias("lead"))
+        pivots = materialize(pivots.join(lead, "s").select("s", *(F.col("p")[c].alias(f"p_{c}") for c in ("doc", "n", "pos", "cell", "ds")), (F.col("first") == F.col("lead")).alias("leads")), "jaccard-pivots")
+        met = active.join(pivots, "s").where((F.col("doc") != F.col("p_doc")) & _worth("n", "pos", "cell", "ds", "p_n", "p_pos", "p_cell", "p_ds"))
+        met = materialize(met.select("s", "doc", "leads", *_pair("doc", "p_doc")), "jaccard-met")
+        distances.verify(met.select("a", "b"))
+        lead_d = met.where("leads").join(distances.known, ["a", "b"]).groupBy("s", "doc").agg(F.min(1 - F.col("both") / F.col("either")).alias("lead_d"))
+        left = active.join(pivots.select("s", F.col("p_doc").alias("doc")), ["s", "doc"], "left_anti")
+        left = left.join(lead_d, ["s", "doc"], "left").join(distances.cells.withColumnRenamed("node", "doc"), "doc", "left")
+        left = left.select("s", "doc", "n", "pos", F.coalesce("component", "doc").alias("cell"), F.concat("ds", F.array("lead_d")).alias("ds"))
         left = materialize(left, "jaccard-left")
-        own = F.coalesce("cell", "doc")
-        open_ = left.groupBy("s").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo != hi").select("s")
+        open_ = left.groupBy("s").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo != hi").select("s")
         active = materialize(left.join(open_, "s", "left_semi"), "jaccard-active")
-        pivots_each *= 4
+        pivots_each *= GROWTH
     other = active.select("s", *(F.col(c).alias(f"p_{c}") for c in ("doc", "n", "pos", "cell", "ds")))
-    rest = active.join(other, "s").where((F.col("doc") < F.col("p_doc")) & _worth("doc", "n", "pos", "cell", "ds", "p_doc", "p_n", "p_pos", "p_cell", "p_ds"))
-    return distances.verify(rest.select(*_pair("doc", "p_doc")))
+    rest = active.join(other, "s").where((F.col("doc") < F.col("p_doc")) & _worth("n", "pos", "cell", "ds", "p_n", "p_pos", "p_cell", "p_ds"))
+    distances.verify(rest.select(*_pair("doc", "p_doc")))
+    return distances.cells
 
 
-def _worth(doc: str, n: str, pos: str, cell: str, ds: str, p_doc: str, p_n: str, p_pos: str, p_cell: str, p_ds: str) -> Column:
+def _worth(n: str, pos: str, cell: str, ds: str, p_n: str, p_pos: str, p_cell: str, p_ds: str) -> Column:
     """Whether a pair can be a link that is not implied: other cells, fitting sizes and places, inside every window."""
-    apart = F.coalesce(F.coalesce(cell, doc) != F.coalesce(p_cell, p_doc), F.lit(True))
+    apart = F.col(cell) != F.col(p_cell)
     outside = F.exists(F.zip_with(ds, p_ds, lambda x, y: F.abs(x - y) > RADIUS + 1e-9), lambda x: F.coalesce(x, F.lit(False)))
     return apart & _near_sizes(n, p_n) & _reachable(n, pos, p_n, p_pos) & ~outside
 
@@ -243,11 +252,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     copies = materialize(copies, "jaccard-copies")
     unique = docs.join(bounded_broadcast(copies, copies.count()), "doc_id", "left_anti")
 
-    rows = unique.mapInArrow(_prefixes(levels, frequent), "s long, doc long, n int, pos int, often boolean")
-    salt = F.when(F.col("often"), F.xxhash64("doc")).otherwise(F.lit(0))
-    rows = rows.repartition("s", salt).sortWithinPartitions("s").mapInArrow(_shared, "s long, doc long, n int, pos int, often boolean")
-    overlaps = _links_in_regions(rows, unique)
-    links = overlaps.where(100 * F.col("both") >= SIMILARITY * F.col("either")).select("a", "b")
-    joined = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("n", "sig", F.coalesce("component", "rep").alias("component"))
+    # about: set size << 32 | place in the prefix << 1 | frequent
+    rows = unique.mapInArrow(_prefixes(levels, frequent), "s long, doc long, about long")
+    salt = F.when(F.col("about").bitwiseAND(F.lit(1)) == 1, F.xxhash64("doc")).otherwise(F.lit(0))
+    rows = rows.repartition("s", salt).sortWithinPartitions("s").mapInArrow(_shared, "s long, doc long, about long")
+    place = F.shiftright(F.col("about").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    rows = rows.select("s", "doc", F.shiftright("about", 32).cast("int").alias("n"), place.cast("int").alias("pos"))
+    cells = _join_regions(rows, unique)
+    joined = classes.join(cells.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sig", F.coalesce("component", "rep").alias("component"))
     out = sets.join(joined, ["n", "sig"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
