@@ -35,7 +35,7 @@ from plumbline.llm import shingles
 from plumbline.llm.common import materialize
 
 CLASSES = 64
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
 ROUNDS = 1
 #: States: classes, then the end, then unknown words.
 END, UNKNOWN = CLASSES, CLASSES + 1
@@ -53,8 +53,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block() -> pa.RecordBatch:
         words, tokens = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
+        # frequent words first, and the tokens' four bytes apart: most of them compress to little
+        order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        words, tokens = words[order], place[tokens]
+        planes = np.ascontiguousarray(tokens.astype("<i4").view(np.uint8).reshape(-1, 4).T)
         number = (TaskContext.get().partitionId() << 32) + made
-        values = (np.concatenate(ids).astype("<i8"), np.concatenate(lengths).astype("<i4"), np.concatenate(train).astype(np.uint8), tokens.astype("<i4"), words.astype("<u8"))
+        values = (np.concatenate(ids).astype("<i8"), np.concatenate(lengths).astype("<i4"), np.concatenate(train).astype(np.uint8), planes, words.astype("<u8"))
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], schema=_BLOCK)
 
     for batch in batches:
@@ -73,9 +79,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    kinds = {"doc_id": "<i8", "lengths": "<i4", "train": np.uint8, "tokens": "<i4", "words": "<u8"}
+    kinds = {"doc_id": "<i8", "lengths": "<i4", "train": np.uint8, "tokens": np.uint8, "words": "<u8"}
     ids, lengths, train, tokens, words = (np.frombuffer(row[c], k) for c, k in kinds.items())
-    return ids, lengths, train.astype(bool), tokens, words
+    return ids, lengths, train.astype(bool), np.ascontiguousarray(tokens.reshape(4, -1).T).view("<i4").ravel(), words
 
 
 def _with_ends(values: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
@@ -94,8 +100,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["block"])), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words.view(np.int64)), pa.array(n)], ["block", "place", "word", "n"])
 
 
-def _sides(row: dict, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The words of a block with the classes beside them in training texts, and the block's class bigrams."""
+def _sides(row: dict, classes: np.ndarray, limit: int = SIDE) -> Iterator[pa.RecordBatch]:
+    """The words of a block with the classes beside them in training texts, those below limit, and its class bigrams."""
     _, lengths, train, tokens, words = _open(row)
     keep = np.repeat(train, lengths)
     lengths, tokens = lengths[train], tokens[keep]
@@ -106,6 +112,9 @@ def _sides(row: dict, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
     real = who >= 0
     left, right = line[:-1][real], np.append(line[2:], END)[real] + SIDE
     where, sides = np.concatenate([who[real]] * 2), np.concatenate([left, right])
+    if limit < SIDE:
+        useful = sides % SIDE < limit
+        where, sides = where[useful], sides[useful]
     keys, n = np.unique(where * (2 * SIDE) + sides, return_counts=True)
     owner, packed = keys // (2 * SIDE), ((keys % (2 * SIDE)) << 24 | np.minimum(n, (1 << 24) - 1)).astype("<u4")
     used, start = np.unique(owner, return_index=True)
@@ -126,7 +135,7 @@ def _seed_sides(seeds: np.ndarray):
                 words = np.frombuffer(row["words"], "<u8")
                 at = np.searchsorted(seeds, words)
                 hit = seeds[np.minimum(at, len(seeds) - 1)] == words if len(seeds) else np.zeros(len(words), bool)
-                yield from _sides(row, np.where(hit, at, CLASSES - 1))
+                yield from _sides(row, np.where(hit, at, CLASSES - 1), CLASSES - 1)
 
     return run
 
@@ -285,6 +294,12 @@ def _log_steps(bigrams: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> np
     return np.log10(np.hstack([step, unknown[:, None]]))
 
 
+def _classed(counts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(word, c, class): words beside no class so far are in the last."""
+    joined = counts.join(classes, "word", "left")
+    return materialize(joined.select("word", "c", F.coalesce("class", F.lit(CLASSES - 1)).alias("class")), "brown-classes")
+
+
 def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
@@ -305,11 +320,11 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     neighbours = blocks.mapInArrow(_seed_sides(seeds), "word long, sides binary, a int, b int, n long")
     classes = _moved(neighbours, _seed_weights(np.array([r["c"] for r in top], float)))
     for _ in range(ROUNDS):
-        table = materialize(counts.join(classes, "word").select("word", "c", "class"), "brown-classes")
+        table = _classed(counts, classes)
         joined = blocks.groupBy("block").cogroup(_lexicon(lists, table).groupBy("block"))
         neighbours = materialize(joined.applyInArrow(_class_sides, "word long, sides binary, a int, b int, n long"), "brown-neighbours")
         classes = _moved(neighbours, _exchange_weights(_bigrams(neighbours)))
-    table = materialize(counts.join(classes, "word").select("word", "c", "class"), "brown-classes")
+    table = _classed(counts, classes)
 
     totals, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in table.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).collect():  # CLASSES rows
