@@ -28,7 +28,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: lineage ends there and a lost executor
     costs a re-read only."""
     path = f"{shared_dir(df.sparkSession)}/plumbline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

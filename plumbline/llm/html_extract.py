@@ -147,22 +147,22 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _keys(df: DataFrame, column: str) -> DataFrame:
-    """One row per (page, distinct suffix head) with the places where it starts."""
-    tokens = df.select("uid", "host", F.split(F.array_join(column, " "), " ").alias("t"))
-    heads = tokens.where(F.size("t") >= SPAN).select("uid", "host", "t", F.explode(F.sequence(F.lit(0), F.size("t") - SPAN)).alias("at"))
-    return heads.select("uid", "host", "at", F.xxhash64(F.slice("t", F.col("at") + 1, F.lit(SPAN))).alias("head"))
+    """One row per suffix start: uid, host, at (block << 32 | place in the block), head. Heads end with their block; a block
+    shorter than SPAN is one head."""
+    each = df.select("uid", "host", F.posexplode(column).alias("block", "text")).withColumn("t", F.split("text", " "))
+    heads = each.select("uid", "host", "t", "block", F.explode(F.sequence(F.lit(0), F.greatest(F.size("t") - SPAN, F.lit(0)))).alias("place"))
+    at = F.shiftleft(F.col("block").cast("long"), 32) + F.col("place")
+    return heads.select("uid", "host", at.alias("at"), F.xxhash64(F.slice("t", F.col("place") + 1, F.lit(SPAN))).alias("head"))
 
 
 def _assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         texts = []
         for opens, starts in zip(pdf["opens"], pdf["starts"], strict=True):
-            covered = {s + k for s in (starts if starts is not None else ()) for k in range(SPAN)}
-            kept, at = [], 0
-            for block in opens:
-                words = block.split(" ")
-                left = [w for k, w in enumerate(words, at) if k not in covered]
-                at += len(words)
+            covered = {(s >> 32, (s & 0xFFFFFFFF) + k) for s in (starts if starts is not None else ()) for k in range(SPAN)}
+            kept = []
+            for b, block in enumerate(opens):
+                left = [w for k, w in enumerate(block.split(" ")) if (b, k) not in covered]
                 if left:
                     kept.append(" ".join(left))
             texts.append("\n".join(kept))
