@@ -1,0 +1,259 @@
+"""Corpus operators against brute force, on small tables with the awkward cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import brown_lm, exact_dedup, fuse_filter, html_extract, jaccard_join, language_id, mixing, packing, quality_lm, quality_rules, secret_scan, shingles
+from plumbline.llm.components import extended
+from plumbline.llm.queries import ranks_file
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _texts(n=60, seed=4):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    out = [" ".join(rng.choices(vocab, k=rng.randint(3, 120))) for _ in range(n)]
+    for i in range(0, n, 3):  # near copies
+        w = out[i].split()
+        w[rng.randrange(len(w))] = "edited"
+        out.append(" ".join(w))
+    return [*out, out[0], out[0].upper(), None, "", "  \n\t", "a b", "A  B", "one", "É é", "x " * 3000]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, f"s{i % 4}" if i % 9 else None, "en", 1) for i, t in enumerate(_texts())]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, kept string, rank int")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return {r.doc_id: r for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def empty(spark, docs):
+    return spark.createDataFrame([], docs.schema)
+
+
+def _sets(rows):
+    out = {}
+    for i, r in rows.items():
+        w = [x.translate(LOWER) for x in WORD.findall(r.text or "")]
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def test_fuse_filter():
+    keys = np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64)
+    for n in (0, 1, 2, 7, 500, 20_000):
+        f = fuse_filter.build(keys[:n])
+        assert fuse_filter.contains(keys[:n], *f).all()
+    others = np.random.default_rng(2).integers(0, 2**63, 50_000).astype(np.uint64)
+    assert fuse_filter.contains(others, *f).mean() < 0.001
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(docs, rows, empty, weak):
+    digest = (lambda t: F.unhex(F.concat(F.lit("0"), F.substring(F.sha2(t, 256), 1, 1)))) if weak else exact_dedup.sha256
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs, exact_dedup.arrival_batch(F.col("doc_id")), digest).collect()}
+    norm = {i: (r.text or "").translate(LOWER) for i, r in rows.items()}
+    assert got.keys() == rows.keys()
+    for i, t in norm.items():
+        same = [k for k, u in norm.items() if u == t]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(same), len(same), i == max(same))
+        if not weak:
+            assert bytes(got[i].digest).hex() == hashlib.sha256(t.encode()).hexdigest()
+    assert exact_dedup.exact_dedup(empty, F.lit(True)).count() == 0
+
+
+def test_shingle_sets(rows):
+    column = pa.array([r.text for r in rows.values()])
+    sizes = np.concatenate([n for _, n, _ in shingles.shingle_sets(column)])
+    assert sizes.tolist() == [len(s) for s in _sets(rows).values()]
+
+
+def test_jaccard_components(docs, rows, empty):
+    s = _sets(rows)
+    parent = {i: i for i in s}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in s:
+        for b in s:
+            if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {i: (len(s[i]), find(i)) for i in s}
+    assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(50, i) for i in range(51, 70)]
+    df = lambda e: spark.createDataFrame(e, "a long, b long")
+    got = {r.node: r.component for r in extended(extended(None, df(edges[:20])), df(edges[20:])).collect()}
+    assert got == {i: 0 for i in range(31)} | {i: 50 for i in range(50, 70)}
+
+
+def test_quality_features(docs, rows, empty):
+    q = quality_rules
+    got = {r.doc_id: r for r in q.with_words(docs).select("doc_id", q.n_words().alias("n"), q.word_chars().alias("c"), q.n_repeat_words().alias("rep")).collect()}
+    for i, r in rows.items():
+        w = WORD.findall(r.text or "")
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        assert (got[i].n, got[i].c, got[i].rep) == (len(w), sum(map(len, w)), len(hit)), i
+    orders = (["short", "repeats", "word_length", "symbols", "dup_lines", "capitals"], ["capitals", "dup_lines", "symbols", "word_length", "repeats", "short"])
+    a, b = ({r.doc_id for r in q.quality_filter(docs, order=o).where("kept").select("doc_id").collect()} for o in orders)
+    assert a == b
+    assert q.cascade_order([("x", 1.0, 0.1), ("y", 0.1, 0.1), ("z", 0.1, 0.5)]) == ["z", "y", "x"]
+    assert q.quality_filter(empty).count() == 0
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix(docs).collect()
+    again = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert again == {r.doc_id: r.taken for r in got}
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+        assert r.taken <= 3 * r.size
+    for rs in by.values():
+        assert sum(r.size for r in rs) == rs[0].source_size
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r.size for r in rs)
+    assert sum(rs[0].target for rs in by.values()) == pytest.approx(sum(r.size for r in got))
+    assert mixing.mix(empty).count() == 0
+
+
+def test_best_fit_rounds():
+    rng = random.Random(8)
+    for _ in range(60):
+        cap = rng.choice([5, 37, 1024])
+        sizes = Counter(rng.randint(1, cap) for _ in range(rng.randint(0, 200)))
+        seen, bins = set(), {}
+        for length, lo, hi, per, base, used in packing.best_fit_rounds(sizes, cap):
+            for r in range(lo, hi):
+                seen.add((length, r))
+                bins.setdefault(base + (r - lo) // per, []).append((used + (r - lo) % per * length, length))
+        assert len(seen) == sum(sizes.values())
+        for b in bins.values():
+            end = 0
+            for at, length in sorted(b):
+                assert at == end
+                end += length
+            assert end <= cap
+        gaps = []
+        for length in sorted(sizes.elements(), reverse=True):
+            fits = [i for i, g in enumerate(gaps) if g >= length]
+            if fits:
+                gaps[min(fits, key=gaps.__getitem__)] -= length
+            else:
+                gaps.append(cap - length)
+        assert len(gaps) == len(bins)
+
+
+def test_packing(docs, rows, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    out = packing.pack(packing.tokenize(docs, ranks_file()).withColumn("crc", F.crc32("ids")), ["doc_id", "piece", "crc"]).collect()
+    found, bins = {}, {}
+    for r in out:
+        found.setdefault(r.doc_id, []).append(r)
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, r in rows.items():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 2]
+        pieces = sorted(found[i], key=lambda p: p.piece)
+        assert [p.start for p in pieces] == list(np.cumsum([0, *[p.length for p in pieces]])[:-1])
+        assert b"".join(bytes(p.ids) for p in pieces) == np.array(ids, "<u4").tobytes()
+        assert all(p.length == 1024 for p in pieces[1:]) and all(p.crc == zlib.crc32(bytes(p.ids)) for p in pieces)
+    for b in bins.values():
+        assert sum(n for _, n in b) <= 1024 and [a for a, _ in sorted(b)] == list(np.cumsum([0, *[n for _, n in sorted(b)]])[:-1])
+    assert packing.pack(packing.tokenize(empty, ranks_file()).drop("ids"), ["doc_id", "piece"]).count() == 0
+
+
+def test_language(spark, empty):
+    rng = random.Random(1)
+    kinds = {"aa": ["the", "ing", "with", "that"], "bb": ["der", "schaft", "und", "über"], "cc": ["que", "ción", "los", "para"]}
+    data = [(i, " ".join("".join(rng.choices(kinds[k], k=2)) for _ in range(40)), k) for i, k in enumerate(rng.choices(list(kinds), k=240))]
+    docs = spark.createDataFrame([*data, (900, None, "aa"), (901, "12 34", "aa"), (902, "the " * 50_000, None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs.where("doc_id < 180"))
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    assert np.mean([got[i].lang_pred == k for i, _, k in data[180:]]) > 0.95
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred == "aa" and all(0 <= r.score <= 1 for r in got.values())
+    assert language_id.predict(docs, language_id.fit(docs.where("false"))).where("lang_pred != 'und'").count() == 0
+    assert language_id.predict(empty, model).count() == 0
+
+
+def test_brown_scores(docs, rows, empty):
+    train = F.col("doc_id") % 5 != 0
+    got = {r.doc_id: r for r in brown_lm.score_texts(docs, train).collect()}
+    tokens = {i: [*(x.translate(LOWER) for x in WORD.findall(r.text or "")), None] for i, r in rows.items()}
+    c = Counter(w for i, t in tokens.items() if i % 5 for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in tokens.items():
+        base = sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
+        assert got[i].base_score == pytest.approx(base) and (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+        assert got[i].score < 0
+    assert brown_lm.score_texts(empty, train).count() == 0
+
+
+def test_brown_steps_are_a_distribution():
+    rng = np.random.default_rng(5)
+    bigrams = rng.integers(0, 50, (brown_lm.SIDE, brown_lm.SIDE)).astype(float)
+    totals, kinds = rng.integers(1, 90, brown_lm.CLASSES).astype(float), rng.integers(1, 9, brown_lm.CLASSES).astype(float)
+    steps = 10 ** brown_lm._log_steps(bigrams, totals, kinds)
+    known = (totals + 0.1 * kinds) / brown_lm._emissions(totals, kinds)
+    assert np.allclose(steps[:, : brown_lm.CLASSES] @ known + steps[:, brown_lm.END] + steps[:, brown_lm.UNKNOWN], 1)
+
+
+def test_kneser_ney(spark, empty):
+    rng = random.Random(6)
+    good = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=40)), "en") for i in range(60)]
+    bad = [(100 + i, "".join(rng.choices("#%&XQZ!", k=200)), "en") for i in range(5)]
+    docs = spark.createDataFrame([*good, *bad, (200, None, None), (201, "", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_lm.classify(docs, docs.where("doc_id < 60").select("doc_id")).collect()}
+    assert all(got[i].kept for i, *_ in good) and not any(got[i].kept for i, *_ in bad) and not got[200].kept and not got[201].kept
+    counts = docs.where("doc_id < 60").select("text").mapInArrow(quality_lm._count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    grams, contexts = quality_lm.kneser_ney(counts)
+    (shard, _), *more = quality_lm._shards(grams, contexts)
+    tables = {k: quality_lm._Table(*v) for k, v in shard.items()}
+    context = int.from_bytes(b"alph", "big") << 8
+    p = 10 ** quality_lm._log_probability(np.array([context + b for b in range(256)], np.uint64), tables)
+    assert p.sum() == pytest.approx(1, abs=1e-4) and p.argmax() == ord("a")
+
+
+def test_html(spark):
+    nav = "<nav><a href=x>Home</a></nav>"
+    repeated = "<p>This very long notice is found on each page of the host again and again.</p>"
+    pages = [(i, "http://h/x", f"<html><head><title>t</title></head><body>{nav}{repeated}<p>Unique text number {i} stays &amp; is whole.</p><script>var a='</p>'</script></body></html>") for i in range(5)]
+    pages += [(10, None, f"<body>{nav}<div class='ad'>buy</div><article><h1>Head</h1><p>One<br>two &eacute;<p>three <b>bold</b></article><footer>f</footer>"), (11, "u", None), (12, "u", "<p>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Unique text number {i} stays & is whole." for i in range(5)} | {10: "Head\nOne\ntwo é\nthree bold", 11: "", 12: ""}
+
+
+def test_secrets(spark, empty):
+    rng = random.Random(2)
+    secret = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(30)]
+    docs = [(i, f'some words here token = "{s}" and more') for i, s in enumerate(secret)] + [(100 + i, f"plain averyveryverylongword{chr(97 + i)} in text") for i in range(20)] + [(200, None), (201, "")]
+    out = secret_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.candidate for r in out if r.is_secret} == set(secret)
+    assert all(docs[r.doc_id][1][r.start - 1 :].startswith(r.candidate) for r in out if r.doc_id < 30)
+    assert secret_scan.scan(empty).count() == 0
