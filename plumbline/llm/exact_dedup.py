@@ -92,7 +92,8 @@ def exact_dedup(docs: DataFrame, incoming: Column, digest: Callable[[Column], Co
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("body"))
     members = rows.join(bounded_broadcast(twins, twins.count()), "digest")
     stay = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("stays"))
-    unlike = materialize(members.join(stay, "digest").where("body != stays").select("digest").distinct(), "dedup-unlike")
+    stay = materialize(stay, "dedup-stays")  # a table of its own, so that the join below may split a large group
+    unlike = materialize(members.join(stay, "digest").where("body != stays").select("digest"), "dedup-unlike").distinct()
     n_unlike = unlike.count()
 
     out = meta.join(groups, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
