@@ -39,10 +39,12 @@ def run(targets: DataFrame, panel: DataFrame, rf: DataFrame, first_idx: int, las
     total = F.sum("value").over(Window.partitionBy("strategy_id", "idx"))
     held = held.select("strategy_id", "exec_idx", "next_idx", "idx", "ticker", "value", total.alias("total"), (F.col("value") / total).alias("drifted"))
 
+    held = held.persist()  # read by trades, NAV and weights
     before = held.where("idx = next_idx").select("strategy_id", F.col("next_idx").alias("exec_idx"), "ticker", "drifted")
     trades = before.join(targets.where(F.col("exec_idx") >= first_idx), ["strategy_id", "exec_idx", "ticker"], "full_outer")
     trades = trades.select("strategy_id", "exec_idx", "ticker", F.coalesce("drifted", F.lit(0.0)).alias("drifted_weight"), F.coalesce("weight", F.lit(0.0)).alias("target_weight"))
     trades = trades.withColumn("delta_weight", F.col("target_weight") - F.col("drifted_weight"))
+    trades = trades.persist()
     turnover = trades.where(F.col("ticker") != CASH).groupBy("strategy_id", "exec_idx").agg(F.sum(F.abs("delta_weight")).alias("turnover"))
 
     daily = held.select("strategy_id", "exec_idx", "next_idx", "idx", "total").distinct()

@@ -18,11 +18,11 @@ class Study:
 
     def __init__(self, spark: SparkSession, d: str, cfg: Config | None = None) -> None:
         self.spark, self.cfg = spark, cfg or Config()
-        self.panel = market.panel(spark, d)
-        self.rf = market.cash_rate(self.panel, market.rates(spark, d))
+        self.panel = market.panel(spark, d).persist()
+        self.rf = market.cash_rate(self.panel, market.rates(spark, d)).persist()
         self.warmup = max(self.cfg.lookback + 1, self.cfg.min_history)
         self.last_idx = self.panel.agg(F.max("idx")).first()[0]
-        self.clock = signals.clock(self.panel, self.cfg, self.warmup)
+        self.clock = signals.clock(self.panel, self.cfg, self.warmup).persist()
         self._made: dict[str, DataFrame] = {}
 
     def once(self, name: str, make) -> DataFrame:
