@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is a run of at least MIN_LENGTH characters of a credential's alphabet, taken with the two words before it.
+A candidate is a run of at least MIN_LENGTH characters of a credential's alphabet, taken with the two words before it, which
+may be a candidate themselves.
 The forest (Spark ML, trained on labelled findings) looks at the candidate's length, its character transitions, the part of
 it that the corpus' own words cover, whether it stands in a path or address, and the words beside it. Without labels at
 hand, weak_label gives them to the clear cases: an assignment to a credential's name is true, plain words and paths are
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize
@@ -30,22 +31,37 @@ TRAIN_ROWS, TREES, DEPTH = 20_000, 20, 6
 CREDENTIAL = r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|credential|auth(?:orization)?|bearer|private[_-]?key)\b"
 IDENTIFIER = r"(?i)\b(?:commit|sha(?:1|256)?|md5|checksum|digest|hash|revision|uuid|guid|id|version|build|example|sample|placeholder)\b"
 ALPHABET = r"[A-Za-z0-9+/_=\-]"
-#: Up to two words, marks between, the candidate.
-FINDING = rf"(?:[^\s]{{1,40}}\s+){{0,2}}[^\sA-Za-z0-9+/_=\-]{{0,8}}{ALPHABET}{{{MIN_LENGTH},}}"
+#: A candidate: a whole run of the alphabet. The look-behind and the possessive count make a scan linear.
+CANDIDATE = rf"(?<!{ALPHABET}){ALPHABET}{{{MIN_LENGTH},}}+"
+#: The end of the text before a candidate: up to two words, and up to eight marks that touch the candidate.
+CONTEXT = r"((?:[^\s]{1,40}\s+){0,2}[^\sA-Za-z0-9+/_=\-]{0,8})$"
+#: Characters before a candidate that can hold its context.
+CONTEXT_LENGTH = 120
 
 FEATURES = ["length", "digits", "uppers", "switches", "case_switches", "hex", "distinct", "covered", "in_path", "names_credential", "names_other", "assigned", "quoted"]
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, context, candidate, times, start), one row per document and distinct candidate with its context."""
-    found = docs.where("text is not null").select("doc_id", "text", F.explode(F.regexp_extract_all("text", F.lit(f"({FINDING})"), F.lit(1))).alias("match"))
-    candidate = F.regexp_extract("match", rf"({ALPHABET}{{{MIN_LENGTH},}})$", 1)
-    found = found.select("doc_id", candidate.alias("candidate"), "match", F.expr("locate(match, text)").alias("at")).where("candidate != ''")
-    context = F.expr("left(match, length(match) - length(candidate))")
-    found = found.withColumn("context", context).withColumn("start", F.col("at") + F.length("context"))
+    """(doc_id, context, candidate, times, start), one row per document and distinct candidate with its context.
+
+    The candidates are the separators of a split, so piece i is the text between candidates i - 1 and i.
+    """
+    found = docs.where(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
+    parts = F.arrays_zip(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("candidate"), F.transform(F.split("text", CANDIDATE), _tail).alias("before"))
+    found = found.select("doc_id", "row", F.posexplode(parts).alias("at", "part")).where("part.candidate is not null")
+    found = found.select("doc_id", "row", "at", "part.candidate", "part.before.tail", "part.before.n")
+    w = Window.partitionBy("row").orderBy("at")
+    start = F.sum(F.col("n") + F.length("candidate")).over(w) - F.length("candidate") + 1
+    near = F.concat(F.when(F.col("n") < CONTEXT_LENGTH, F.lag("candidate", 1, "").over(w)).otherwise(F.lit("")), "tail")
+    found = found.select("doc_id", "candidate", near.alias("near"), start.alias("start"))
+    found = found.withColumn("context", F.regexp_extract(F.expr(f"right(near, {CONTEXT_LENGTH})"), CONTEXT, 1))
     return found.groupBy("doc_id", "context", "candidate").agg(F.count(F.lit(1)).alias("times"), F.min("start").alias("start"))
 
 
+def _tail(piece: Column) -> Column:
+    return F.struct(F.right(piece, F.lit(CONTEXT_LENGTH)).alias("tail"), F.length(piece).cast("long").alias("n"))
+
+
 def dictionary(docs: DataFrame) -> DataFrame:
     """Words of three letters or more that the corpus has at least MIN_COUNT times, in lower case."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("word"))
