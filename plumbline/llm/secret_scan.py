@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
 A candidate is a run of at least MIN_LENGTH characters of a credential's alphabet, taken with the two words before it, which
-may be a candidate themselves.
+may be a candidate themselves, and the name that touches it (name="value"). A run name=value gives the value, its name goes
+to the context. What is assigned to a credential's name is a candidate from NAMED_LENGTH characters on.
 The forest (Spark ML, trained on labelled findings) looks at the candidate's length, its character transitions, the part of
 it that the corpus' own words cover, whether it stands in a path or address, and the words beside it. Without labels at
 hand, weak_label gives them to the clear cases: an assignment to a credential's name is true, plain words and paths are
@@ -27,14 +28,27 @@ from plumbline.llm.common import materialize
 
 MIN_LENGTH, MIN_COUNT = 16, 5
 TRAIN_ROWS, TREES, DEPTH = 20_000, 20, 6
-#: Names that credentials are assigned to, and words of ordinary identifiers.
-CREDENTIAL = r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|credential|auth(?:orization)?|bearer|private[_-]?key)\b"
-IDENTIFIER = r"(?i)\b(?:commit|sha(?:1|256)?|md5|checksum|digest|hash|revision|uuid|guid|id|version|build|example|sample|placeholder)\b"
+#: A named value is a candidate from so many characters on.
+NAMED_LENGTH = 8
+#: Names that credentials are assigned to, and words of ordinary identifiers. `_` and `-` are borders.
+NAMES = r"(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|credential|auth(?:orization)?|bearer|private[_-]?key)"
+CREDENTIAL = rf"(?i)(?<![A-Za-z0-9]){NAMES}(?![A-Za-z0-9])"
+IDENTIFIER = r"(?i)(?<![A-Za-z0-9])(?:commit|sha(?:1|256)?|md5|checksum|digest|hash|revision|uuid|guid|id|version|build|example|sample|placeholder)(?![A-Za-z0-9])"
 ALPHABET = r"[A-Za-z0-9+/_=\-]"
-#: A candidate: a whole run of the alphabet. The look-behind and the possessive count make a scan linear.
-CANDIDATE = rf"(?<!{ALPHABET}){ALPHABET}{{{MIN_LENGTH},}}+"
-#: The end of the text before a candidate: up to two words, and up to eight marks that touch the candidate.
-CONTEXT = r"((?:[^\s]{1,40}\s+){0,2}[^\sA-Za-z0-9+/_=\-]{0,8})$"
+#: A credential's name with what may follow it before the sign of an assignment.
+_NAMED = rf"(?<![A-Za-z0-9])(?i:{NAMES})(?![A-Za-z0-9])[A-Za-z0-9_.\-]{{0,24}}[\\'\"`\]]{{0,4}}\s{{0,3}}"
+#: A candidate: a whole run of the alphabet, long enough or else assigned to a credential's name: name=value in the run, or
+#: name and sign before it. The look-behinds are bounded and the counts possessive, so a scan is linear.
+CANDIDATE = (
+    rf"(?<!{ALPHABET})(?:{ALPHABET}{{{MIN_LENGTH},}}+"
+    rf"|(?=[A-Za-z0-9+/_\-]{{3,}}+=)(?=[A-Za-z0-9+/_\-]{{0,9}}?(?<![A-Za-z0-9])(?i:{NAMES})(?![A-Za-z0-9])[A-Za-z0-9+/_\-]{{0,9}}={{1,2}}[A-Za-z0-9+/_\-]{ALPHABET}{{{NAMED_LENGTH - 1}}}){ALPHABET}++"
+    rf"|(?=={{1,2}}[A-Za-z0-9+/_\-]{ALPHABET}{{{NAMED_LENGTH - 1}}})(?<={_NAMED}){ALPHABET}++"
+    rf"|(?={ALPHABET}{{{NAMED_LENGTH}}})(?<=[=:][\s>\\'\"`]{{0,6}})(?<={_NAMED}[=:]{{1,2}}>?\s{{0,3}}[\\'\"`]{{0,3}}){ALPHABET}++)"
+)
+#: A run that holds a name, the sign and a value.
+ASSIGNMENT = r"^([^=]*)(=+)([^=].*)$"
+#: The end of the text before a candidate: up to two words, and what touches the candidate: an assigned name, marks.
+CONTEXT = r"((?:[^\s]{1,40}\s+){0,2}(?:[^\sA-Za-z0-9]{0,8}[A-Za-z0-9+/_.\-]{1,40}(?=[^\sA-Za-z0-9]*[=:]))?[^\sA-Za-z0-9]{0,8})$"
 #: Characters before a candidate that can hold its context.
 CONTEXT_LENGTH = 120
 
@@ -53,11 +67,25 @@ def findings(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("row").orderBy("at")
     start = F.sum(F.col("n") + F.length("candidate")).over(w) - F.length("candidate") + 1
     near = F.concat(F.when(F.col("n") < CONTEXT_LENGTH, F.lag("candidate", 1, "").over(w)).otherwise(F.lit("")), "tail")
-    found = found.select("doc_id", "candidate", near.alias("near"), start.alias("start"))
-    found = found.withColumn("context", F.regexp_extract(F.expr(f"right(near, {CONTEXT_LENGTH})"), CONTEXT, 1))
+    found = found.select("doc_id", F.col("candidate").alias("run"), near.alias("near"), start.alias("start"))
+    found = found.withColumns({name: F.regexp_extract("run", ASSIGNMENT, k) for k, name in ((1, "name"), (2, "sign"), (3, "value"))})
+    found = found.withColumn("context", _context(F.col("near"))).withColumn("with_name", _context(F.concat("near", "name", "sign")))
+    # a name is no candidate itself, unless it is long and no credential's name; a short value needs such a name
+    named = F.when(F.length("name") >= MIN_LENGTH, F.col("name").rlike(CREDENTIAL)).otherwise(F.col("with_name").rlike(CREDENTIAL))
+    split = (F.length("value") >= MIN_LENGTH) & (F.length("name") < MIN_LENGTH) | (F.length("value") >= NAMED_LENGTH) & named
+    found = found.select(
+        "doc_id",
+        F.when(split, F.col("with_name")).otherwise(F.col("context")).alias("context"),
+        F.when(split, F.col("value")).otherwise(F.col("run")).alias("candidate"),
+        F.when(split, F.col("start") + F.length("name") + F.length("sign")).otherwise(F.col("start")).alias("start"),
+    )
     return found.groupBy("doc_id", "context", "candidate").agg(F.count(F.lit(1)).alias("times"), F.min("start").alias("start"))
 
 
+def _context(near: Column) -> Column:
+    return F.regexp_extract(F.right(near, F.lit(CONTEXT_LENGTH)), CONTEXT, 1)
+
+
 def _tail(piece: Column) -> Column:
     return F.struct(F.right(piece, F.lit(CONTEXT_LENGTH)).alias("tail"), F.length(piece).cast("long").alias("n"))
 
@@ -91,7 +119,7 @@ def features(pairs: DataFrame, words: DataFrame) -> DataFrame:
         _number(F.col("context").rlike(r"(?:/|://|www\.|\.)[^\s]*$") | c.rlike("/[^/]*/")).alias("in_path"),
         _number(F.col("context").rlike(CREDENTIAL)).alias("names_credential"),
         _number(F.col("context").rlike(IDENTIFIER)).alias("names_other"),
-        _number(F.col("context").rlike(r"[=:]\s*['\"]?$")).alias("assigned"),
+        _number(F.col("context").rlike(r"[=:]>?\s*[\\'\"`]{0,3}$")).alias("assigned"),
         _number(F.col("context").rlike(r"['\"`]$")).alias("quoted"),
     )
 
