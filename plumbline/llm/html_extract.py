@@ -1,7 +1,8 @@
 """Main text of web pages: markup gives the blocks, a host's suffix intervals tell boilerplate from unique runs.
 
 A page is read once into blocks with the part of the page that they stand in: inside an article container, in an element
-that never holds the article (menus, footers, forms, scripts, ...), or in the open. Where a page marks its article, the
+that never holds the article (menus, footers, forms, scripts, ...), or in the open. An article inside a form or an element
+that only its class name sets aside, or with such a name itself, counts where the page has no other. Where a page marks its article, the
 container's blocks are the text. Where it does not, everything in the open is a candidate, and what repeats across the
 host's pages is removed from it: the token streams of all that stands outside articles are concatenated per host, and all
 suffixes that share their first SPAN tokens form one interval of the host's suffix array. An interval met by PAGES pages
@@ -45,19 +46,41 @@ AROUND_NAMES = frozenset(
     "navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies share sharing social related recommended newsletter subscribe "
     "subscription signup login search pagination pager toolbar".split()
 )
+#: Of these, names that are ordinary words too: they count alone or beside words of layout, not in "related-work".
+AMBIGUOUS = frozenset("notice consent search share sharing social related recommended comment comments reply replies promotion subscription login signup banner".split())
+LAYOUT = frozenset(
+    "a area article articles bar block bottom box btn button buttons center column container content count entry fixed footer form global group header holder icon icons id in inner item items "
+    "left link links list main media more news outer page pages panel post posts primary right row secondary section site sticky story stories the title toggle top widget widgets wrap wrapper".split()
+)
+NEGATIONS = frozenset("has have no non not with without hide hidden".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s]+))|([^\s=/]+)""")
 _NAME = re.compile(r"[a-z0-9]+")
 
-IN_MAIN, IN_OPEN, IN_AROUND = "main", "open", "around"
+#: IN_NAMED is around by class name or form only, where an article may open again as IN_NESTED; that counts on pages without another.
+IN_MAIN, IN_OPEN, IN_AROUND, IN_NAMED, IN_NESTED = "main", "open", "around", "named", "nested"
+
+
+def _names_around(names: str) -> bool:
+    """Whether a class or id names what never holds the article."""
+    for name in names.lower().split():
+        parts = _NAME.findall(name)
+        for k, part in enumerate(parts):
+            if part not in AROUND_NAMES or NEGATIONS.intersection(parts[:k]):
+                continue
+            if part not in AMBIGUOUS or all(x in AROUND_NAMES or x in LAYOUT or x.isdigit() for x in parts):
+                return True
+    return False
 
 
 def _place(tag: str, attributes: str, in_main: bool) -> str | None:
     """The part of the page that an element opens, if it opens one; '' for what is never text."""
     if tag in SILENT:
         return ""
+    if tag in ("form", "fieldset"):
+        return IN_NAMED
     if tag in AROUND or (tag == "header" and not in_main):
         return IN_AROUND
     if not attributes.strip():
@@ -65,15 +88,15 @@ def _place(tag: str, attributes: str, in_main: bool) -> str | None:
     found = {}
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
         found[(name or bare).lower()] = a or b or c
-    names = _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
     role = found.get("role", "").lower()
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return ""
-    if tag not in ("html", "body") and (role in AROUND_ROLES or any(n in AROUND_NAMES for n in names)):
+    if tag not in ("html", "body") and role in AROUND_ROLES:
         return IN_AROUND
+    named = tag not in ("html", "body") and _names_around(f"{found.get('class', '')} {found.get('id', '')}")
     if tag in MAIN or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
-        return IN_MAIN
-    return None
+        return IN_NESTED if named else IN_MAIN
+    return IN_NAMED if named else None
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -122,8 +145,10 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if tag in ("p", "li", "option") and stack and stack[-1][0] == tag:
             stack.pop()
             part = stack[-1][1] if stack else IN_OPEN
-        opened = _place(tag, m[3] or m[6] or "", part == IN_MAIN)
+        opened = _place(tag, m[3] or m[6] or "", part in (IN_MAIN, IN_NESTED))
         inside = part if part in ("", IN_AROUND) or opened is None else opened
+        if inside == IN_MAIN and part in (IN_NAMED, IN_NESTED):
+            inside = IN_NESTED
         if opened == "":
             inside = ""
         if inside != part:
@@ -139,8 +164,9 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for page in pdf["html"]:
             found = blocks(page or "")
-            main = [t for p, t in found if p == IN_MAIN]
-            around = [t for p, t in found if p != IN_MAIN]
+            holder = IN_MAIN if any(p == IN_MAIN for p, _ in found) else IN_NESTED
+            main = [t for p, t in found if p == holder]
+            around = [t for p, t in found if p != holder]
             opens = [] if main else [t for p, t in found if p == IN_OPEN]
             rows.append(("\n".join(main) if main else None, opens, around))
         yield pd.DataFrame({"uid": pdf["uid"], "page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "main": [r[0] for r in rows], "opens": [r[1] for r in rows], "around": [r[2] for r in rows]})
