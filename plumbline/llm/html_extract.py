@@ -6,13 +6,17 @@ that only its class name sets aside, or with such a name itself, counts where th
 container's blocks are the text. Where it does not, everything in the open is a candidate, and what repeats across the
 host's pages is removed from it: the token streams of all that stands outside articles are concatenated per host, and all
 suffixes that share their first SPAN tokens form one interval of the host's suffix array. An interval met by PAGES pages
-or more is boilerplate; tokens that such intervals cover go, the unique runs between them stay.
+or more, and by SHARE of the host's pages, is boilerplate; tokens that such intervals cover go, the unique runs between them
+stay. Pages with the same own blocks (mirrors) count as one. A short block between blocks that stay is not removed, and a page
+that would lose all of its text keeps it. A host of fewer than PAGES different pages, or no host, has no interval: what
+repeats cannot be told there.
 
-The suffix array is never built in one task: an interval is a group of the suffixes' first SPAN tokens (by a 64-bit hash),
-so intervals form by partial aggregation over (host, hash), and a host with a third of all pages is no hot group.
+The suffix array is never built in one task: an interval is a group of the suffixes' first SPAN tokens, so intervals form by
+aggregation over (host, tokens), and a host with a third of all pages is no hot group. Only suffixes whose words are each
+frequent on the host are grouped; words are counted first, in buckets, which can only add suffixes.
 
 Defined cases: null html is empty and gives an empty text; a page without blocks gives an empty text; rows that repeat
-are extracted alike and count once for an interval; a null url has the empty host; an empty table gives an empty result;
+are extracted alike and count once for an interval; a null url has no host; an empty table gives an empty result;
 other columns are ignored. Character references are decoded, white space in a block becomes one blank, blocks are joined
 by a line feed; nothing else is dropped or capped.
 """
@@ -21,15 +25,22 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import bounded_broadcast, materialize
 
-SPAN, PAGES = 8, 3
+#: An interval is boilerplate from PAGES different pages of a host on, if they are SHARE of the host's different pages.
+SPAN, PAGES, SHARE = 8, 3, 0.5
+#: Words are counted by this many buckets of their checksum: an interval is met often only if each of its words' buckets is.
+BUCKETS = 4096
+#: Hosts whose lists of frequent buckets are broadcast.
+BROADCAST_HOSTS = 1000
 
 # Elements and class names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,47 +175,98 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for page in pdf["html"]:
             found = blocks(page or "")
-            holder = IN_MAIN if any(p == IN_MAIN for p, _ in found) else IN_NESTED
-            main = [t for p, t in found if p == holder]
-            around = [t for p, t in found if p != holder]
-            opens = [] if main else [t for p, t in found if p == IN_OPEN]
-            rows.append(("\n".join(main) if main else None, opens, around))
-        yield pd.DataFrame({"uid": pdf["uid"], "page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "main": [r[0] for r in rows], "opens": [r[1] for r in rows], "around": [r[2] for r in rows]})
+            holder = next((p for p in (IN_MAIN, IN_NESTED) if any(p == q for q, _ in found)), IN_OPEN)
+            rows.append(([t for p, t in found if p == holder], [t for p, t in found if p != holder], holder != IN_OPEN))
+        yield pdf[["uid", "page_id", "url", "host"]].assign(own=[r[0] for r in rows], around=[r[1] for r in rows], contained=[r[2] for r in rows])
 
 
-def _keys(df: DataFrame, column: str) -> DataFrame:
-    """One row per suffix start: uid, host, at (block << 32 | place in the block), head. Heads end with their block; a block
-    shorter than SPAN is one head."""
-    each = df.select("uid", "host", F.posexplode(column).alias("block", "text")).withColumn("t", F.split("text", " "))
-    heads = each.select("uid", "host", "t", "block", F.explode(F.sequence(F.lit(0), F.greatest(F.size("t") - SPAN, F.lit(0)))).alias("place"))
-    at = F.shiftleft(F.col("block").cast("long"), 32) + F.col("place")
-    return heads.select("uid", "host", at.alias("at"), F.xxhash64(F.slice("t", F.col("place") + 1, F.lit(SPAN))).alias("head"))
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+
+
+def _bucket_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, bucket, n): pages that have a word of the bucket, added up as far as a task can."""
+    held: dict[str, np.ndarray] = {}
+
+    def flush() -> Iterator[pd.DataFrame]:
+        for host, counts in held.items():
+            at = np.flatnonzero(counts)
+            yield pd.DataFrame({"host": host, "bucket": at.astype(np.int32), "n": counts[at]})
+        held.clear()
+
+    for pdf in frames:
+        for host, own, around in zip(pdf["host"], pdf["own"], pdf["around"], strict=True):
+            words = {w for block in (*own, *around) for w in block.split(" ")}
+            held.setdefault(host, np.zeros(BUCKETS, np.int64))[list({_bucket(w) for w in words})] += 1
+        if len(held) > 1000:
+            yield from flush()
+    yield from flush()
+
+
+def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per suffix start that may be met often: at is (block << 32 | place in the block), -1 outside the page's own
+    blocks. Heads end with their block; a block shorter than SPAN is one head."""
+    for pdf in frames:
+        sets: dict[str, frozenset[int]] = {}
+        out: list[tuple[int, str, int, int, str]] = []
+        for uid, host, body, own, around, buckets in zip(*(pdf[c] for c in ("uid", "host", "body", "own", "around", "buckets")), strict=True):
+            often = sets.get(host) or sets.setdefault(host, frozenset(buckets))
+            for b, block in enumerate((*own, *around)):
+                words, run = block.split(" "), 0
+                for k, word in enumerate(words):
+                    run = run + 1 if _bucket(word) in often else 0
+                    if run >= SPAN or (run == len(words) == k + 1):
+                        place = max(k + 1 - SPAN, 0)
+                        out.append((uid, host, body, b << 32 | place if b < len(own) else -1, " ".join(words[place : k + 1])))
+        yield pd.DataFrame(out, columns=["uid", "host", "body", "at", "head"])
+
+
+def _left(own: list[str], starts: set[int]) -> str:
+    """The text without covered tokens. A covered block shorter than SPAN stays between blocks that stay, and where nothing
+    would be left all stays."""
+    covered = {(s >> 32, (s & 0xFFFFFFFF) + k) for s in starts for k in range(SPAN)}
+    words = [block.split(" ") for block in own]
+    left = [" ".join(w for k, w in enumerate(ws) if (b, k) not in covered) for b, ws in enumerate(words)]
+    stay = [b for b, text in enumerate(left) if text]
+    if not stay:
+        return "\n".join(own)
+    return "\n".join(own[b] if len(words[b]) < SPAN and stay[0] < b < stay[-1] else left[b] for b in range(len(own)) if left[b] or len(words[b]) < SPAN and stay[0] < b < stay[-1])
 
 
 def _assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        texts = []
-        for opens, starts in zip(pdf["opens"], pdf["starts"], strict=True):
-            covered = {(s >> 32, (s & 0xFFFFFFFF) + k) for s in (starts if starts is not None else ()) for k in range(SPAN)}
-            kept = []
-            for b, block in enumerate(opens):
-                left = [w for k, w in enumerate(block.split(" ")) if (b, k) not in covered]
-                if left:
-                    kept.append(" ".join(left))
-            texts.append("\n".join(kept))
+        texts = [_left(list(own), set(() if starts is None else starts)) for own, starts in zip(pdf["own"], pdf["starts"], strict=True)]
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
 
 
+def _host() -> Column:
+    """The url's host in lower case, also without a scheme; null where it has none."""
+    with_scheme = F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    bare = F.regexp_extract("url", r"^\s*([^\s/?#:@.]+(?:\.[^\s/?#:@.]+)+)(?::[0-9]+)?(?:[/?#]|$)", 1)
+    return F.lower(F.coalesce(F.nullif(with_scheme, F.lit("")), F.nullif(bare, F.lit(""))))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every row of pages (page_id, url, html)."""
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("uid"), F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    parsed = rows.mapInPandas(_parse, "uid long, page_id long, url string, host string, main string, opens array<string>, around array<string>")
+    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("uid"), F.col("page_id").cast("long").alias("page_id"), "url", _host().alias("host"), "html")
+    parsed = rows.mapInPandas(_parse, "uid long, page_id long, url string, host string, own array<string>, around array<string>, contained boolean")
     parsed = materialize(parsed, "html-blocks")
 
-    heads = _keys(parsed, "around").groupBy("host", "head", "uid").agg(F.lit(1).alias("one"))
-    often = heads.groupBy("host", "head").agg(F.count("one").alias("pages")).where(F.col("pages") >= PAGES)
-    bare = parsed.where("main is null")
-    starts = _keys(bare, "opens").join(often, ["host", "head"]).groupBy("uid").agg(F.collect_set("at").alias("starts"))
-    done = bare.join(starts, "uid", "left").select("page_id", "url", "opens", "starts").mapInPandas(_assemble, "page_id long, url string, text string")
-    return parsed.where("main is not null").select("page_id", "url", F.col("main").alias("text")).unionByName(done)
+    with_body = parsed.where("host is not null").withColumn("body", F.xxhash64("own"))
+    bodies = with_body.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies")).where(F.col("bodies") >= PAGES)
+    needs = materialize(bodies.select("host", F.greatest(F.lit(PAGES), F.ceil(F.col("bodies") * SHARE)).alias("need")), "html-hosts")
+    needs = bounded_broadcast(needs, needs.count())
+    bare = F.when(F.col("contained"), F.array().cast("array<string>"))
+    counted_pages = with_body.select("uid", "host", "body", bare.otherwise(F.col("own")).alias("own"), "around")
+    counted = counted_pages.select("host", "own", "around")
+    counted = counted.mapInPandas(_bucket_counts, "host string, bucket int, n long").groupBy("host", "bucket").agg(F.sum("n").alias("n"))
+    often = counted.join(needs, "host").where("n >= need").groupBy("host").agg(F.collect_list("bucket").alias("buckets"))
+    often = materialize(often, "html-buckets")
+    often = F.broadcast(often) if often.count() <= BROADCAST_HOSTS else often
+    heads = counted_pages.join(often, "host").select("uid", "host", "body", "own", "around", "buckets")
+    heads = materialize(heads.mapInPandas(_heads, "uid long, host string, body long, at long, head string"), "html-heads")
+    met = heads.select("host", "head", "body").distinct().groupBy("host", "head").agg(F.count(F.lit(1)).alias("bodies"))
+    met = materialize(met.join(needs, "host").where("bodies >= need").select("host", "head"), "html-intervals")
+    starts = heads.where("at >= 0").join(bounded_broadcast(met, met.count()), ["host", "head"]).groupBy("uid").agg(F.collect_set("at").alias("starts"))
+    done = parsed.where("not contained").join(starts, "uid", "left").select("page_id", "url", "own", "starts").mapInPandas(_assemble, "page_id long, url string, text string")
+    return parsed.where("contained").select("page_id", "url", F.array_join("own", "\n").alias("text")).unionByName(done)

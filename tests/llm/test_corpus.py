@@ -306,3 +306,21 @@ def test_html_class_names_do_not_hide_articles(spark):
     pages.append("<article>The text.</article><div class='related'><article>Teaser</article></div><aside><article>a</article></aside>")
     got = _extract(spark, [(i, f"http://h{i}/", page) for i, page in enumerate(pages)])
     assert got == {i: "The text." for i in range(len(pages))}
+
+
+def test_html_repeats_are_removed_only_as_boilerplate(spark):
+    def words(k, n=12):
+        return " ".join(f"w{k}x{j}" for j in range(n))
+
+    note = "<p>One very long notice that stands on every single page of the host.</p>"
+    pages = [(i, "http://short/", f"{note}<p>{words(i)}</p><h2>Introduction</h2><p>{words(100 + i)}</p><p>Imprint</p>") for i in range(4)]
+    pages += [(10 + i, f"http://mirror/{i}", f"<p>{words(7)}</p><p>{words(8)}</p>") for i in range(3)]
+    pages += [(20 + i, "http://few/", f"<p>{words(9 if i < 3 else 200 + i)}</p><p>{words(300 + i)}</p>") for i in range(10)]
+    pages += [(40 + i, None if i < 3 else "page", f"{note}<p>{words(i)}</p>") for i in range(6)]
+    pages += [(50 + i, f"bare.example.org/{i}", f"{note}<p>{words(i)}</p>") for i in range(3)]
+    got = _extract(spark, pages)
+    assert all(got[i] == f"{words(i)}\nIntroduction\n{words(100 + i)}" for i in range(4))
+    assert all(got[10 + i] == f"{words(7)}\n{words(8)}" for i in range(3))
+    assert all(got[20 + i] == f"{words(9 if i < 3 else 200 + i)}\n{words(300 + i)}" for i in range(10))
+    assert all(got[40 + i] == f"{note[3:-4]}\n{words(i)}" for i in range(6))
+    assert all(got[50 + i] == words(i) for i in range(3))
