@@ -3,8 +3,8 @@
 A page is read once into blocks with the part of the page that they stand in: inside an article container, in an element
 that never holds the article (menus, footers, forms, scripts, ...), or in the open. An article inside a form or an element
 that only its class name sets aside, or with such a name itself, counts where the page has no other. Where a page marks its article, the
-container's blocks are the text. Where it does not, everything in the open is a candidate, and what repeats across the
-host's pages is removed from it: the token streams of all that stands outside articles are concatenated per host, and all
+container's blocks are its own; where it does not, all blocks in the open are. From a page's own blocks that goes which
+repeats across the host's pages: the token streams of all blocks, own or not, are concatenated per host, and all
 suffixes that share their first SPAN tokens form one interval of the host's suffix array. An interval met by PAGES pages
 or more, and by SHARE of the host's pages, is boilerplate; tokens that such intervals cover go, the unique runs between them
 stay. Pages with the same own blocks (mirrors) count as one. A short block between blocks that stay is not removed, and a page
@@ -176,8 +176,8 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pdf["html"]:
             found = blocks(page or "")
             holder = next((p for p in (IN_MAIN, IN_NESTED) if any(p == q for q, _ in found)), IN_OPEN)
-            rows.append(([t for p, t in found if p == holder], [t for p, t in found if p != holder], holder != IN_OPEN))
-        yield pdf[["uid", "page_id", "url", "host"]].assign(own=[r[0] for r in rows], around=[r[1] for r in rows], contained=[r[2] for r in rows])
+            rows.append(([t for p, t in found if p == holder], [t for p, t in found if p != holder]))
+        yield pdf[["uid", "page_id", "url", "host"]].assign(own=[r[0] for r in rows], around=[r[1] for r in rows])
 
 
 def _bucket(word: str) -> int:
@@ -249,24 +249,21 @@ def _host() -> Column:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every row of pages (page_id, url, html)."""
     rows = pages.select(F.xxhash64("page_id", "url", "html").alias("uid"), F.col("page_id").cast("long").alias("page_id"), "url", _host().alias("host"), "html")
-    parsed = rows.mapInPandas(_parse, "uid long, page_id long, url string, host string, own array<string>, around array<string>, contained boolean")
+    parsed = rows.mapInPandas(_parse, "uid long, page_id long, url string, host string, own array<string>, around array<string>")
     parsed = materialize(parsed, "html-blocks")
 
     with_body = parsed.where("host is not null").withColumn("body", F.xxhash64("own"))
     bodies = with_body.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies")).where(F.col("bodies") >= PAGES)
     needs = materialize(bodies.select("host", F.greatest(F.lit(PAGES), F.ceil(F.col("bodies") * SHARE)).alias("need")), "html-hosts")
     needs = bounded_broadcast(needs, needs.count())
-    bare = F.when(F.col("contained"), F.array().cast("array<string>"))
-    counted_pages = with_body.select("uid", "host", "body", bare.otherwise(F.col("own")).alias("own"), "around")
-    counted = counted_pages.select("host", "own", "around")
+    counted = with_body.select("host", "own", "around")
     counted = counted.mapInPandas(_bucket_counts, "host string, bucket int, n long").groupBy("host", "bucket").agg(F.sum("n").alias("n"))
     often = counted.join(needs, "host").where("n >= need").groupBy("host").agg(F.collect_list("bucket").alias("buckets"))
     often = materialize(often, "html-buckets")
     often = F.broadcast(often) if often.count() <= BROADCAST_HOSTS else often
-    heads = counted_pages.join(often, "host").select("uid", "host", "body", "own", "around", "buckets")
+    heads = with_body.join(often, "host").select("uid", "host", "body", "own", "around", "buckets")
     heads = materialize(heads.mapInPandas(_heads, "uid long, host string, body long, at long, head string"), "html-heads")
     met = heads.select("host", "head", "body").distinct().groupBy("host", "head").agg(F.count(F.lit(1)).alias("bodies"))
     met = materialize(met.join(needs, "host").where("bodies >= need").select("host", "head"), "html-intervals")
     starts = heads.where("at >= 0").join(bounded_broadcast(met, met.count()), ["host", "head"]).groupBy("uid").agg(F.collect_set("at").alias("starts"))
-    done = parsed.where("not contained").join(starts, "uid", "left").select("page_id", "url", "own", "starts").mapInPandas(_assemble, "page_id long, url string, text string")
-    return parsed.where("contained").select("page_id", "url", F.array_join("own", "\n").alias("text")).unionByName(done)
+    return parsed.join(starts, "uid", "left").select("page_id", "url", "own", "starts").mapInPandas(_assemble, "page_id long, url string, text string")

@@ -324,3 +324,12 @@ def test_html_repeats_are_removed_only_as_boilerplate(spark):
     assert all(got[20 + i] == f"{words(9 if i < 3 else 200 + i)}\n{words(300 + i)}" for i in range(10))
     assert all(got[40 + i] == f"{note[3:-4]}\n{words(i)}" for i in range(6))
     assert all(got[50 + i] == words(i) for i in range(3))
+
+
+def test_html_repeats_inside_containers_go(spark):
+    share = "Share this article with all of your friends on every network there is"
+    pages = [(i, "http://h/", f"<article><p>{share}</p><p>{' '.join(f'w{i}x{j}' for j in range(12))}</p><p>Tags</p><p>End {i} of it.</p></article><p>{share}</p>") for i in range(4)]
+    pages += [(10, "http://other/", f"<article><p>{share}</p><p>Text.</p></article>")]
+    got = _extract(spark, pages)
+    assert all(got[i] == f"{' '.join(f'w{i}x{j}' for j in range(12))}\nTags\nEnd {i} of it." for i in range(4))
+    assert got[10] == f"{share}\nText."
