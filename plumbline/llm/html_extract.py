@@ -39,7 +39,7 @@ from plumbline.llm.common import bounded_broadcast, materialize
 SPAN, PAGES, SHARE = 8, 3, 0.5
 #: Words are counted by this many buckets of their checksum: an interval is met often only if each of its words' buckets is.
 BUCKETS = 4096
-#: Hosts whose lists of frequent buckets are broadcast.
+#: Hosts whose lists of frequent buckets and heads are broadcast.
 BROADCAST_HOSTS = 1000
 
 # Elements and class names by role.
@@ -177,7 +177,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = blocks(page or "")
             holder = next((p for p in (IN_MAIN, IN_NESTED) if any(p == q for q, _ in found)), IN_OPEN)
             rows.append(([t for p, t in found if p == holder], [t for p, t in found if p != holder]))
-        yield pdf[["uid", "page_id", "url", "host"]].assign(own=[r[0] for r in rows], around=[r[1] for r in rows])
+        yield pdf[["page_id", "url", "host"]].assign(own=[r[0] for r in rows], around=[r[1] for r in rows])
 
 
 def _bucket(word: str) -> int:
@@ -204,38 +204,49 @@ def _bucket_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per suffix start that may be met often: at is (block << 32 | place in the block), -1 outside the page's own
-    blocks. Heads end with their block; a block shorter than SPAN is one head."""
+    """One row per page and different head that may be met often. Heads end with their block; a block shorter than SPAN is
+    one head."""
     for pdf in frames:
         sets: dict[str, frozenset[int]] = {}
-        out: list[tuple[int, str, int, int, str]] = []
-        for uid, host, body, own, around, buckets in zip(*(pdf[c] for c in ("uid", "host", "body", "own", "around", "buckets")), strict=True):
+        out: list[tuple[str, int, str]] = []
+        for host, body, own, around, buckets in zip(*(pdf[c] for c in ("host", "body", "own", "around", "buckets")), strict=True):
             often = sets.get(host) or sets.setdefault(host, frozenset(buckets))
-            for b, block in enumerate((*own, *around)):
+            found = set()
+            for block in (*own, *around):
                 words, run = block.split(" "), 0
                 for k, word in enumerate(words):
                     run = run + 1 if _bucket(word) in often else 0
                     if run >= SPAN or (run == len(words) == k + 1):
-                        place = max(k + 1 - SPAN, 0)
-                        out.append((uid, host, body, b << 32 | place if b < len(own) else -1, " ".join(words[place : k + 1])))
-        yield pd.DataFrame(out, columns=["uid", "host", "body", "at", "head"])
+                        found.add(" ".join(words[max(k + 1 - SPAN, 0) : k + 1]))
+            out.extend((host, body, head) for head in found)
+        yield pd.DataFrame(out, columns=["host", "body", "head"])
 
 
-def _left(own: list[str], starts: set[int]) -> str:
-    """The text without covered tokens. A covered block shorter than SPAN stays between blocks that stay, and where nothing
-    would be left all stays."""
-    covered = {(s >> 32, (s & 0xFFFFFFFF) + k) for s in starts for k in range(SPAN)}
+def _left(own: list[str], heads: frozenset[str]) -> str:
+    """The text without tokens that heads cover. A covered block shorter than SPAN stays between blocks that stay, and where
+    nothing would be left all stays."""
     words = [block.split(" ") for block in own]
-    left = [" ".join(w for k, w in enumerate(ws) if (b, k) not in covered) for b, ws in enumerate(words)]
+    left = []
+    for ws in words:
+        starts = [k for k in range(max(len(ws) - SPAN, 0) + 1) if " ".join(ws[k : k + SPAN]) in heads]
+        covered = {k + n for k in starts for n in range(SPAN)}
+        left.append(" ".join(w for k, w in enumerate(ws) if k not in covered))
     stay = [b for b, text in enumerate(left) if text]
     if not stay:
         return "\n".join(own)
-    return "\n".join(own[b] if len(words[b]) < SPAN and stay[0] < b < stay[-1] else left[b] for b in range(len(own)) if left[b] or len(words[b]) < SPAN and stay[0] < b < stay[-1])
+    inner = [len(ws) < SPAN and stay[0] < b < stay[-1] for b, ws in enumerate(words)]
+    return "\n".join(own[b] if inner[b] else left[b] for b in range(len(own)) if left[b] or inner[b])
 
 
 def _assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        texts = [_left(list(own), set(() if starts is None else starts)) for own, starts in zip(pdf["own"], pdf["starts"], strict=True)]
+        sets: dict[str, frozenset[str]] = {}
+        texts = []
+        for host, own, heads in zip(pdf["host"], pdf["own"], pdf["heads"], strict=True):
+            if heads is None:
+                texts.append("\n".join(own))
+            else:
+                texts.append(_left(list(own), sets.get(host) or sets.setdefault(host, frozenset(heads))))
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
 
 
@@ -246,10 +257,15 @@ def _host() -> Column:
     return F.lower(F.coalesce(F.nullif(with_scheme, F.lit("")), F.nullif(bare, F.lit(""))))
 
 
+def _few(by_host: DataFrame) -> DataFrame:
+    """Lists by host, each no longer than a few pages: broadcast when counted and few."""
+    return F.broadcast(by_host) if by_host.count() <= BROADCAST_HOSTS else by_host
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every row of pages (page_id, url, html)."""
-    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("uid"), F.col("page_id").cast("long").alias("page_id"), "url", _host().alias("host"), "html")
-    parsed = rows.mapInPandas(_parse, "uid long, page_id long, url string, host string, own array<string>, around array<string>")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _host().alias("host"), "html")
+    parsed = rows.mapInPandas(_parse, "page_id long, url string, host string, own array<string>, around array<string>")
     parsed = materialize(parsed, "html-blocks")
 
     with_body = parsed.where("host is not null").withColumn("body", F.xxhash64("own"))
@@ -260,10 +276,9 @@ def extract(pages: DataFrame) -> DataFrame:
     counted = counted.mapInPandas(_bucket_counts, "host string, bucket int, n long").groupBy("host", "bucket").agg(F.sum("n").alias("n"))
     often = counted.join(needs, "host").where("n >= need").groupBy("host").agg(F.collect_list("bucket").alias("buckets"))
     often = materialize(often, "html-buckets")
-    often = F.broadcast(often) if often.count() <= BROADCAST_HOSTS else often
-    heads = with_body.join(often, "host").select("uid", "host", "body", "own", "around", "buckets")
-    heads = materialize(heads.mapInPandas(_heads, "uid long, host string, body long, at long, head string"), "html-heads")
-    met = heads.select("host", "head", "body").distinct().groupBy("host", "head").agg(F.count(F.lit(1)).alias("bodies"))
-    met = materialize(met.join(needs, "host").where("bodies >= need").select("host", "head"), "html-intervals")
-    starts = heads.where("at >= 0").join(bounded_broadcast(met, met.count()), ["host", "head"]).groupBy("uid").agg(F.collect_set("at").alias("starts"))
-    return parsed.join(starts, "uid", "left").select("page_id", "url", "own", "starts").mapInPandas(_assemble, "page_id long, url string, text string")
+    heads = with_body.join(_few(often), "host").select("host", "body", "own", "around", "buckets")
+    heads = heads.mapInPandas(_heads, "host string, body long, head string").distinct()
+    met = heads.groupBy("host", "head").agg(F.count(F.lit(1)).alias("bodies")).join(needs, "host").where("bodies >= need")
+    met = materialize(met.groupBy("host").agg(F.collect_list("head").alias("heads")), "html-intervals")
+    done = parsed.join(_few(met), "host", "left").select("page_id", "url", "host", "own", "heads")
+    return done.mapInPandas(_assemble, "page_id long, url string, text string")
