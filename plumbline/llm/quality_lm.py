@@ -32,7 +32,7 @@ from plumbline.llm.common import bounded_broadcast, materialize
 
 ORDER = 5
 SHARD_ROWS = 1_000_000
-#: Labelled documents that are learned from, about; they are chosen by a digest of doc_id.
+#: Labelled documents that are learned from, about; they are chosen by language and a digest of doc_id. Limits come from all.
 TRUSTED_DOCS = 50_000
 QUANTILE, MARGIN = 0.002, 0.1
 START = 0  # byte before a text's first
@@ -215,6 +215,20 @@ def _shards(grams: DataFrame, contexts: DataFrame) -> Iterator[tuple[Shard, np.n
         yield shard, np.isin(np.arange(256), group)
 
 
+def _sample(good: DataFrame, size: int) -> DataFrame:
+    """(learned) of about `size` rows of good (doc_id, lang), by a digest: all of the languages that have few, as many of each
+    other."""
+    counts = [(r["lang"], r["n"]) for r in good.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    rest, shares = float(size), []
+    for k, (lang, n) in enumerate(sorted(counts, key=lambda x: x[1])):
+        each = rest / (len(counts) - k)
+        shares.append((lang, min(1.0, each / n)))
+        rest -= min(n, each)
+    shares = good.sparkSession.createDataFrame(shares, "of_lang string, share double")
+    picked = good.join(bounded_broadcast(shares, len(counts)), F.col("lang").eqNullSafe(F.col("of_lang")))
+    return picked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40) < F.col("share")).select(F.col("doc_id").alias("learned")).distinct()
+
+
 def classify(docs: DataFrame, trusted: DataFrame, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
     """doc_id, lang, n_bytes, mean_logp, perplexity, limit, kept for every row of docs (doc_id, text, lang).
 
@@ -222,10 +236,10 @@ def classify(docs: DataFrame, trusted: DataFrame, trusted_docs: int = TRUSTED_DO
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("row"))
     ids = trusted.select(F.col("doc_id").cast("long").alias("good")).distinct()
-    share = trusted_docs / max(ids.count(), 1)
-    ids = materialize(ids.where(F.pmod(F.xxhash64("good"), F.lit(1 << 40)) / float(1 << 40) < share), "kn-trusted")
+    ids = materialize(ids, "kn-trusted")
     n_ids = ids.count()
-    good = rows.join(bounded_broadcast(ids, n_ids), F.col("doc_id") == F.col("good"), "left_semi")
+    sample = materialize(_sample(rows.select("doc_id", "lang").join(bounded_broadcast(ids, n_ids), F.col("doc_id") == F.col("good"), "left_semi"), trusted_docs), "kn-sample")
+    good = rows.join(bounded_broadcast(sample, sample.count()), F.col("doc_id") == F.col("learned"), "left_semi")
     counts = good.select("text").mapInArrow(_count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
     grams, contexts = kneser_ney(materialize(counts, "kn-counts"))
 

@@ -333,3 +333,17 @@ def test_html_repeats_inside_containers_go(spark):
     got = _extract(spark, pages)
     assert all(got[i] == f"{' '.join(f'w{i}x{j}' for j in range(12))}\nTags\nEnd {i} of it." for i in range(4))
     assert got[10] == f"{share}\nText."
+
+
+def test_quality_limits_cover_all_trusted(spark):
+    rng = random.Random(8)
+    vocab = {"en": ["alpha", "beta", "gamma", "delta"], "xx": ["uno", "dos", "tres"], None: ["null", "void"]}
+    langs = ["en"] * 200 + ["xx"] * 8 + [None] * 3
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(vocab[x], k=rng.randint(5, 60))), x) for i, x in enumerate(langs)], "doc_id long, text string, lang string")
+    got = quality_lm.classify(docs, docs.select("doc_id"), trusted_docs=30).collect()
+    assert len(got) == len(langs) and all(r.kept for r in got)
+    for lang in vocab:
+        mine = [r for r in got if r.lang == lang]
+        assert {round(r.limit, 9) for r in mine} == {round(min(r.mean_logp for r in mine) - quality_lm.MARGIN, 9)}
+    picked = {r.learned for r in quality_lm._sample(docs.select("doc_id", "lang"), 30).collect()}
+    assert set(range(200, 211)) <= picked and len(picked) < 60
