@@ -32,6 +32,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize made, once whatever was made of them has been written."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/plumbline/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the counted rows are within BROADCAST_ROWS; else leave the join to a shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

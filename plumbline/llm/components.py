@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import materialize, release
 
 
 def _place(c: str, turn: int) -> Column:
@@ -33,13 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
         steps.append(to)
         left = edges.join(to, "a").select(F.col("to").alias("a2"), "b")
         left = left.join(to.withColumnRenamed("a", "b"), "b").select(F.col("a2").alias("a"), F.col("to").alias("b"))
-        edges = materialize(left.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "components-edges")
+        contracted, done = left.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), edges
+        edges = materialize(contracted, "components-edges")
+        release(done)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = steps[0].select(F.col("a").alias("node"), F.col("to").alias("root"))
     for to in steps[1:]:
         labels = labels.join(to.select(F.col("a").alias("root"), F.col("to").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     labels = materialize(labels, "components-roots")
+    release(edges, *steps)
     smallest = labels.groupBy("root").agg(F.min("node").alias("component"))
     return labels.join(smallest, "root").select("node", "component")
 
