@@ -1,55 +1,95 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-A document's ids are cut into pieces of the capacity, the shorter piece first. Sizes are whole numbers up to the
-capacity, so documents and gaps, range-sorted by size, fall into runs of equals, and the rounds work on runs: the longest
-documents not yet placed meet the successor run - the smallest gaps that hold them; where they compete for a gap the
-document's rank within its run decides; the gaps shrink and are sorted in again; and so on down to the shortest. Gaps
-that stay successors take several documents of a size at once, as document-by-document best fit would. The histogram of
-sizes is all that a round needs (at most `capacity` numbers, whatever the input), and the rounds yield intervals:
-ranks lo..hi of a size go to sequences base, base + 1, ... at a given offset. One join on (size, rank) then places every
-piece. Ranks within a size are counted over hashed buckets, so a size that a third of all documents have is spread out.
+A document's ids are cut into pieces of the capacity, the shorter piece first. Pieces longer than half of the capacity open
+a sequence each. Then, round by round:
+1. Pieces not yet placed and gaps are range-sorted together by size, pieces before gaps of the same size. A gap stands as
+   often as the largest piece that fits it does fit.
+2. Successor sweeps, one in each range at the same time, match pieces with gaps as brackets: going up, a gap takes the
+   largest piece not taken that is no larger. What a range leaves over - gaps without pieces, then pieces without gaps -
+   keeps its depth; shifted by the ranges before, equal depths meet in one more sweep across the ranges.
+3. Several pieces that took places of one gap stand in it by the rank of the place. The gap shrinks by their lengths.
+When no gap holds the shortest piece left, as many of the longest pieces open sequences as all that is left must fill.
+
+All of it is sorting, joins and sums by Spark; the driver sees how many pieces and gaps there are of each size (at most
+`capacity` numbers) and one depth for each range. Ties in size are broken by a hash, so that a length which a third of all
+pieces have is many ranges, and a depth holds two rows of a range at most.
 
 Defined cases: null text is empty, a document always has at least its end id; rows that repeat a document are packed once
-each; an empty table gives an empty result; other columns are ignored.
+each; an empty table gives an empty result; other columns of the pieces are carried along, whatever their names, but for
+`sequence_id` and `offset`, which are replaced.
 """
 
 from __future__ import annotations
 
-import base64
+import functools
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, shuffle_partitions
+from plumbline.llm.common import materialize, release, shuffle_partitions
 
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-PLACED = "length long, lo long, hi long, per long, base long, used long"
+#: Rows of a range, about; a task sweeps a range at once.
+RANGE_ROWS = 500_000
+#: Chunks of text whose ids a worker keeps, and the longest that it keeps.
+CHUNKS, CHUNK_LENGTH = 500_000, 64
+#: The vocabulary's splitting never joins what is on both sides of a blank before other than white space.
+_CHUNK = re.compile(r" (?=\S)")
 
 
-def tokenize(docs: DataFrame, ranks_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row a piece; ids are little-endian unsigned 32-bit integers. ranks_file holds the vocabulary as merge ranks."""
+class _Ids(dict):
+    """Ids of chunks of text, kept as bytes."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        import tiktoken
+    def __init__(self, file: str, before: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.before = Tokenizer.from_file(file), before
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(self.before + chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) <= CHUNK_LENGTH:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+@functools.lru_cache(maxsize=2)
+def _vocabulary(file: str) -> tuple[_Ids, _Ids]:
+    """Ids of a text's first chunk and of the others, which have a blank before them."""
+    return _Ids(file, ""), _Ids(file, " ")
+
+
+def token_ids(text: str, file: str) -> bytes:
+    """The ids that the tokenizer gives the whole text, little-endian unsigned 32-bit."""
+    first, others = _vocabulary(file)
+    chunks = _CHUNK.split(text)
+    return first[chunks[0]] + b"".join(map(others.__getitem__, chunks[1:]))
 
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """One row a piece; ids are little-endian unsigned 32-bit integers. vocabulary: a file of the tokenizers library."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             held = 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.array([*encoding.encode_ordinary(text.as_py() or ""), end_id], "<u4")
-                edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = token_ids(text.as_py() or "", vocabulary) + end
+                n = len(ids) // 4
+                edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    for column, value in zip(out, (doc_id.as_py(), k, a, b - a, ids[a:b].tobytes()), strict=True):
+                    for column, value in zip(out, (doc_id, k, a, b - a, ids[4 * a : 4 * b]), strict=True):
                         column.append(value)
-                held += len(ids)
+                held += n
                 if held > 1 << 20:
                     yield _batch(out)
                     out, held = ([], [], [], [], []), 0
@@ -63,61 +103,123 @@ def _batch(columns: tuple[list, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
 
-def best_fit_rounds(sizes: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Intervals (length, lo, hi, per, base, used): the documents of this length ranked lo..hi-1 go, `per` to a sequence,
-    to sequences base, base + 1, ..., after `used` tokens."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    opened, placed = 0, []
-    for length in sorted(sizes, reverse=True):
-        rank, left = 0, sizes[length]
-        while left:
-            gap = next((g for g in range(length, capacity) if gaps.get(g)), capacity)
-            per = gap // length
-            if gap == capacity:
-                base, count = opened, -(-left // per)
-                opened += count
-            else:
-                base, count = gaps[gap].pop()
-            full = min(count, left // per)
-            took = full * per if full else left
-            touched = full or 1
-            placed.append((length, rank, rank + took, per if full else left, base, capacity - gap))
-            gaps.setdefault(gap - (per if full else left) * length, []).append((base, touched))
-            if count > touched:
-                gaps.setdefault(gap, []).append((base + touched, count - touched))
-            rank, left = rank + took, left - took
-            if gap == capacity and gaps.get(capacity):
-                # a whole sequence is left only when the last documents do not fill one: hand it to them at once
-                base, count = gaps[capacity].pop()
-                placed.append((length, rank, rank + left, left, base, 0))
-                gaps.setdefault(capacity - left * length, []).append((base, 1))
-                rank, left = rank + left, 0
-    return placed
-
-
-def rank_in_size(pieces: DataFrame, buckets: int, order: list[Column]) -> DataFrame:
-    """Adds rank, 0.. within each length: counted per hashed bucket, then shifted by the buckets before it."""
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
-    local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1
-    return rows.withColumn("local", local).join(counts.withColumn("before", before).drop("n"), ["length", "bucket"]).withColumn("rank", F.col("local") + F.col("before")).drop("local", "before", "bucket")
-
-
-def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset. `order` names columns that tell rows apart; rows equal in all are alike."""
+SWEPT = "id long, size int, gap boolean, place int, part int, depth long, seq long, seq_size int, seq_place int"
+_SWEPT = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("gap", pa.bool_()), ("place", pa.int32()), ("part", pa.int32()), ("depth", pa.int64()), ("seq", pa.int64()), ("seq_size", pa.int32()), ("seq_place", pa.int32())])
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted range (id, size, gap, place): its pieces that were matched, with their gap; the rows left over, with
+    their depth; and one row without id that has the range's whole depth."""
+    part, held = TaskContext.get().partitionId(), list(batches)
+    table = pa.Table.from_batches(held) if held else None
+    if not table or not table.num_rows:
+        return
+    ids, size, gap, place = (table.column(i).to_numpy() for i in range(4))
+    gap = gap.astype(bool)
+    steps = np.where(gap, -1, 1)
+    after = np.cumsum(steps)
+    depth = after + gap  # of the bracket: the level that it opens or closes
+    order = np.argsort(depth, kind="stable")
+    pair = np.flatnonzero((depth[order][1:] == depth[order][:-1]) & ~gap[order][:-1] & gap[order][1:])
+    piece, taken = order[pair], order[pair + 1]
+    alone = np.ones(len(ids), bool)
+    alone[piece] = alone[taken] = False
+    rows = np.flatnonzero(alone)
+    yield _swept(ids[piece], size[piece], gap[piece], place[piece], part, depth[piece], ids[taken], size[taken], place[taken])
+    yield _swept(ids[rows], size[rows], gap[rows], place[rows], part, depth[rows], None, None, None)
+    yield _swept(None, None, None, None, part, after[-1:], None, None, None, 1)
+
+
+def _swept(ids, size, gap, place, part: int, depth, seq, seq_size, seq_place, n: int | None = None) -> pa.RecordBatch:
+    n = len(ids) if n is None else n
+    values = (ids, size, gap, place, np.full(n, part), depth, seq, seq_size, seq_place)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, k.type) if v is None else pa.array(v).cast(k.type) for v, k in zip(values, _SWEPT, strict=True)], schema=_SWEPT)
+
+
+def _matches(pieces: DataFrame, gaps: DataFrame, lengths: list[int], top: int) -> DataFrame:
+    """(id, length, seq, place) for the pieces (id, length) that gaps (seq, gap) take in one round; lengths: those
+    of the pieces, ascending; top: the largest gap."""
     spark = pieces.sparkSession
-    pieces = materialize(pieces, "pack-pieces")
-    # at most `capacity` rows come to the driver: the histogram of piece lengths
-    sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if any(not 0 < size <= capacity for size in sizes):
+    # at most `capacity` rows: how often the largest piece that fits a gap does fit
+    times = [(g, g // lengths[k - 1]) for g in range(1, top + 1) if (k := bisect_right(lengths, g))]
+    times = spark.createDataFrame(times, "gap int, times int")
+    slots = gaps.join(F.broadcast(times), "gap").select(F.col("seq").alias("id"), F.col("gap").alias("size"), F.explode(F.sequence(F.lit(1), "times")).alias("place"))
+    rows = slots.select("id", "size", F.lit(True).alias("gap"), "place").unionByName(pieces.select("id", F.col("length").alias("size"), F.lit(False).alias("gap"), F.lit(0).alias("place")))
+    order = [F.col("size"), F.col("gap"), F.col("place"), F.xxhash64("id")]
+    ranges = max(shuffle_partitions(spark), -(-(pieces.count() + gaps.count()) // RANGE_ROWS))
+    swept = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT)
+    swept = materialize(swept, "pack-swept")
+
+    before, total = [], 0
+    for part, depth in sorted((r["part"], r["depth"]) for r in swept.where("id is null").select("part", "depth").collect()):  # a row a range
+        before.append((part, total))
+        total += depth
+    before = spark.createDataFrame(before, "part int, before long")
+    over = swept.where("id is not null and seq is null").join(F.broadcast(before), "part").withColumn("depth", F.col("depth") + F.col("before"))
+    # of one range and depth, a gap left over stands before a piece left over
+    level = Window.partitionBy("depth").orderBy("part", F.desc("gap"))
+    after = F.lead(F.struct("id", "gap", "place")).over(level).alias("next")
+    across = over.select("id", "size", "gap", after).where("not gap and next.gap").select("id", F.col("size").alias("length"), F.col("next.id").alias("seq"), F.col("next.place").alias("place"))
+    inside = swept.where("seq is not null").select("id", F.col("size").alias("length"), "seq", F.col("seq_place").alias("place"))
+    out = materialize(inside.unionByName(across), "pack-matches")
+    release(swept)
+    return out
+
+
+def _sizes(rows: DataFrame, column: str) -> dict[int, int]:
+    """How many rows have each size: at most `capacity` numbers."""
+    return {r[column]: r["n"] for r in rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _longest(pieces: DataFrame, sizes: dict[int, int], n: int) -> DataFrame:
+    """n of the pieces, longest first; ties by a hash, ranked in buckets of it."""
+    for length in sorted(sizes, reverse=True):
+        if sizes[length] >= n:
+            break
+        n -= sizes[length]
+    tied = pieces.where(F.col("length") == length).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(max(64, sizes[length] // 10_000))))
+    counts = tied.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))  # a row a bucket
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+    tied = tied.withColumn("rank", rank).join(counts, "bucket").where(F.col("rank") + F.col("before") <= n).select("id", "length")
+    return pieces.where(F.col("length") > length).unionByName(tied)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces (length, ...) with sequence_id and offset."""
+    carried = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = materialize(pieces.select(F.struct(*carried).alias("piece"), F.col("length").cast("int").alias("length"), F.monotonically_increasing_id().alias("id")), "pack-pieces")
+    left = pieces.select("id", "length")
+    sizes = _sizes(left, "length")
+    if any(size is None or not 0 < size <= capacity for size in sizes):
         raise ValueError(f"piece lengths must be within 1 and {capacity}")
-    placed = spark.createDataFrame(best_fit_rounds(sizes, capacity), PLACED)
-    buckets = max(64, 4 * shuffle_partitions(spark), sum(sizes.values()) // 100_000)
-    ranked = rank_in_size(pieces, buckets, [F.col(c) for c in order])
-    # intervals: some per size, from the bounded histogram alone
-    out = ranked.join(F.broadcast(placed), "length").where("rank >= lo and rank < hi")
-    step = F.col("rank") - F.col("lo")
-    sequence = F.col("base") + F.floor(step / F.col("per"))
-    offset = F.col("used") + F.pmod(step, F.col("per")) * F.col("length")
-    return out.select(*pieces.columns, sequence.alias("sequence_id"), offset.alias("offset"))
+
+    def opened(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Placements of pieces that open a sequence of their own, and the gaps behind them."""
+        here = materialize(rows.select("id", F.col("id").alias("seq"), F.lit(0).alias("offset"), "length"), "pack-placed")
+        return here.drop("length"), here.where(F.col("length") < capacity).select("seq", (F.lit(capacity) - F.col("length")).alias("gap"))
+
+    first, gaps = opened(left.where(F.col("length") > capacity // 2))
+    placed, left = [first], left.where(F.col("length") <= capacity // 2)
+    sizes = {k: n for k, n in sizes.items() if k <= capacity // 2}
+    superseded: list[DataFrame] = []  # tables of the round before; the first views stand on tables that stay
+    while sizes:
+        gap_sizes = _sizes(gaps, "gap")
+        if max(gap_sizes, default=0) < min(sizes):
+            fill = -(-sum(k * n for k, n in sizes.items()) // capacity)
+            taken, more = opened(_longest(left, sizes, fill))
+            matches, gaps = [], materialize(more, "pack-gaps")
+        else:
+            matches = [_matches(left, gaps, sorted(sizes), max(gap_sizes))]
+            upto = F.sum("length").over(Window.partitionBy("seq").orderBy("place", "id"))
+            taken = matches[0].withColumn("upto", upto).join(gaps, "seq").select("id", "seq", (capacity - F.col("gap") + F.col("upto") - F.col("length")).cast("int").alias("offset"))
+            taken = materialize(taken, "pack-placed")
+            filled = matches[0].groupBy("seq").agg(F.sum("length").alias("filled"))
+            gap = F.col("gap") - F.coalesce("filled", F.lit(0))
+            gaps = materialize(gaps.join(filled, "seq", "left").select("seq", gap.cast("int").alias("gap")).where("gap > 0"), "pack-gaps")
+        placed.append(taken)
+        left = materialize(left.join(taken, "id", "left_anti"), "pack-left")
+        release(*matches, *superseded)
+        superseded, sizes = [gaps, left], _sizes(left, "length")
+    places = functools.reduce(DataFrame.unionByName, placed)
+    return pieces.join(places, "id").select("piece.*", F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
