@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[ \t-\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table is broadcast only when it has been counted and has at most this many (narrow) rows.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,5 +61,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart by doc_id (long) and text; rows that repeat are alike."""
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")), text.isNull())
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

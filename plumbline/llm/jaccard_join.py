@@ -20,7 +20,7 @@ The frequent shingles' rows are spread by a salt before they are sorted; all els
 
 Defined cases: null text or text without words has no shingles and is alone; fewer than five words are one shingle; rows
 with the same set are one class, whatever their doc_id; rows that repeat a doc_id with another text are rows of their own,
-each in its text's component; an empty table gives an empty result; other columns are ignored. Shingles are told apart by
+each in its text's component; a null doc_id comes after all others; an empty table gives an empty result; other columns are ignored. Shingles are told apart by
 a 64-bit hash, sets by their size and 128 bits.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shingles
-from plumbline.llm.common import bounded_broadcast, materialize, release
+from plumbline.llm.common import bounded_broadcast, materialize, release, row_hash
 from plumbline.llm.components import extended
 
 SIMILARITY = 75  # percent
@@ -54,8 +54,8 @@ LEAST_BITS, MOST_BITS = 64, 1 << 16
 VERIFY_ROWS = 64
 
 U64 = np.uint64
-_DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bits", pa.binary()), ("part", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
-DESCRIBED = "doc_id long, n long, sig binary, bits binary, part int, block int, counts binary"
+_DESCRIBED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bits", pa.binary()), ("part", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
+DESCRIBED = "doc_id long, row long, n long, sig binary, bits binary, part int, block int, counts binary"
 
 
 def _slot(values: np.ndarray) -> np.ndarray:
@@ -92,13 +92,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits += _bit_maps(n, values)
         if batch.num_rows:
             none = [None] * batch.num_rows
-            columns = [batch.column(0), np.concatenate(sizes), sigs, bits, none, none, none]
+            columns = [batch.column(0), batch.column(2), np.concatenate(sizes), sigs, bits, none, none, none]
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) if not isinstance(c, pa.Array) else c for c, k in zip(columns, _DESCRIBED, strict=True)], schema=_DESCRIBED)
     part, each = TaskContext.get().partitionId(), (1 << SLOT_BITS) // BLOCKS
     if slots.any():
         counts = [slots[b * each : (b + 1) * each].tobytes() for b in range(BLOCKS)]
         none = [None] * BLOCKS
-        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip([none, none, none, none, [part] * BLOCKS, range(BLOCKS), counts], _DESCRIBED, strict=True)], schema=_DESCRIBED)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip([none, none, none, none, none, [part] * BLOCKS, range(BLOCKS), counts], _DESCRIBED, strict=True)], schema=_DESCRIBED)
 
 
 def _add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -374,22 +374,26 @@ def _regions(docs: DataFrame, classes: DataFrame, levels: np.ndarray, frequent:
 def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(sig[:, 0])], ["n", "sig", "rep", "bits", "key"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(4), pa.array(sig[:, 0])], ["n", "sig", "rep", "bits", "row", "key"])
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, row_hash, is_first for every row of docs (doc_id, text); is_first: of the
+    component's rows the one with the smallest doc_id, true for every row alike in doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialize(docs.mapInArrow(_describe, DESCRIBED), "jaccard-sets")
+    described = materialize(docs.withColumn("row", row_hash(F.col("doc_id"), F.col("text"))).mapInArrow(_describe, DESCRIBED), "jaccard-sets")
     levels, frequent = _slot_levels(described)
-    sets = described.where("block is null").select("doc_id", "n", "sig")
-    classes = described.where("block is null and n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
-    classes = classes.select("n", "sig", "rep", "bits").mapInArrow(_key, "n long, sig binary, rep long, bits binary, key long")
+    sets = described.where("block is null").select("doc_id", "row", "n", "sig")
+    classes = described.where("block is null and n > 0").groupBy("n", "sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.first("bits").alias("bits"))
+    classes = classes.select("n", "sig", "first.doc_id", "bits", "first.row").mapInArrow(_key, "n long, sig binary, rep long, bits binary, row long, key long")
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     cells = _join_regions(_regions(docs, classes, levels, frequent), docs, classes)
-    rows = classes.select("n", "sig", "rep", "node").join(cells, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = rows.groupBy("component").agg(F.min("rep").alias("component_id"))
-    joined = materialize(rows.join(smallest, "component").select("n", "sig", "component_id"), "jaccard-components")
+    rows = classes.select("n", "sig", F.struct(F.col("rep").isNull(), "rep", "row").alias("first"), "node").join(cells, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = rows.groupBy("component").agg(F.min("first").alias("first"))
+    joined = materialize(rows.drop("first").join(smallest, "component").select("n", "sig", "first"), "jaccard-components")
     release(classes, cells)
     out = sets.join(joined, ["n", "sig"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = F.col("first").isNull()
+    first = F.when(alone, True).otherwise(F.col("first.rep").eqNullSafe(F.col("doc_id")) & (F.col("first.row") == F.col("row")))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.rep"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("row").alias("row_hash"), first.alias("is_first"))

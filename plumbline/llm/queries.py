@@ -11,21 +11,20 @@ from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, lan
 from plumbline.llm.common import documents, materialize
 
 #: Place of the vocabulary used by op1; None: the installed public tokenizers.
-RANKS_FILE: str | None = None
+VOCABULARY_FILE: str | None = None
 
 
-def ranks_file() -> str:
-    if RANKS_FILE:
-        return RANKS_FILE
+def vocabulary() -> str:
+    if VOCABULARY_FILE:
+        return VOCABULARY_FILE
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize(documents(spark, sf_dir), ranks_file())
-    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces, ["doc_id", "piece", "ids_crc32"])
+    pieces = packing.tokenize(documents(spark, sf_dir), vocabulary())
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +48,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+    return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,19 +118,24 @@ FROM d LEFT JOIN cls USING (doc_id) LEFT JOIN c ON c.x = cls.rep
 """
 
 OP5_SQL = rf"""
-WITH base AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH base AS (SELECT doc_id, source, size, length(bin(greatest(size, 1))) AS weight FROM (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents)),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM base GROUP BY source),
 lv AS (SELECT *, 3 * source_size AS cap, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
   FROM src WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 one AS (SELECT arg_min(level, cap / weight) AS level FROM lv WHERE level * weight <= cap),
 tg AS (SELECT source, source_size, coalesce(least((SELECT level FROM one) * weight, cap::DOUBLE), 0) AS target FROM lv),
-n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM tg),
-u AS (SELECT base.*, n.source_size, n.target, n.whole, n.target - n.whole * n.source_size AS need,
+cl AS (SELECT base.source, base.weight, sum(size)::BIGINT AS words, any_value(target) AS target, any_value(source_size) AS source_size FROM base JOIN tg ON base.source IS NOT DISTINCT FROM tg.source GROUP BY 1, 2),
+fc AS (SELECT *, (target - 3::DOUBLE * coalesce(sum(words) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / nullif(sum(words * weight) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS factor FROM cl),
+gd AS (SELECT source, arg_max(factor, weight) AS factor FROM fc WHERE factor * weight <= 3 GROUP BY source),
+cp AS (SELECT fc.*, CASE WHEN target > 0 THEN least(coalesce(gd.factor * weight, 3), 3) ELSE 0 END AS copies FROM fc LEFT JOIN gd ON fc.source IS NOT DISTINCT FROM gd.source),
+ex AS (SELECT source, weight, source_size, target, floor(copies) AS whole, copies - floor(copies) AS p, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS need FROM cp),
+u AS (SELECT base.*, ex.source_size, ex.target, ex.whole, ex.need, ex.p,
     (('0x' || substr(md5('mix:' || coalesce(base.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS x
-  FROM base JOIN n ON base.source IS NOT DISTINCT FROM n.source),
-q AS (SELECT *, x / (1 - x) / ((1 + x / (1 - x))) AS rank FROM u),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM q)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN need > 0 AND upto - size / 2 <= need THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
+  FROM base JOIN ex ON base.source IS NOT DISTINCT FROM ex.source AND base.weight = ex.weight),
+o AS (SELECT *, CASE WHEN p > 0 THEN x / (1 - x) * (1 - p) / p END AS q FROM u),
+c AS (SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q / (1 + q) NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM o)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN need > 0 AND p > 0 AND upto - size / 2 <= need THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
 """
 
 OP7_SQL = """
