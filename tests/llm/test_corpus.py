@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import brown_lm, exact_dedup, fuse_filter, html_extract, jaccard_join, language_id, mixing, packing, quality_lm, quality_rules, secret_scan, shingles
 from plumbline.llm.components import extended
-from plumbline.llm.queries import ranks_file
+from plumbline.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -136,35 +136,39 @@ def test_mixing(docs, empty):
     for rs in by.values():
         assert sum(r.size for r in rs) == rs[0].source_size
         assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r.size for r in rs)
+    for k in (1, 3, 7):  # copies follow the inclusion weight where the cap and the draw leave room
+        heavy = mixing.mix(docs, inclusion=F.when(F.col("doc_id") % 2 == 0, 8).otherwise(k)).where("size > 0").groupBy((F.col("doc_id") % 2 == 0).alias("even")).agg((F.sum("taken") / F.sum("size")).alias("share")).collect()
+        share = {r.even: r.share for r in heavy}
+        assert share[True] > share[False]
     assert sum(rs[0].target for rs in by.values()) == pytest.approx(sum(r.size for r in got))
     assert mixing.mix(empty).count() == 0
 
 
-def test_best_fit_rounds():
-    rng = random.Random(8)
-    for _ in range(60):
-        cap = rng.choice([5, 37, 1024])
-        sizes = Counter(rng.randint(1, cap) for _ in range(rng.randint(0, 200)))
-        seen, bins = set(), {}
-        for length, lo, hi, per, base, used in packing.best_fit_rounds(sizes, cap):
-            for r in range(lo, hi):
-                seen.add((length, r))
-                bins.setdefault(base + (r - lo) // per, []).append((used + (r - lo) % per * length, length))
-        assert len(seen) == sum(sizes.values())
-        for b in bins.values():
-            end = 0
-            for at, length in sorted(b):
-                assert at == end
-                end += length
-            assert end <= cap
-        gaps = []
-        for length in sorted(sizes.elements(), reverse=True):
-            fits = [i for i, g in enumerate(gaps) if g >= length]
-            if fits:
-                gaps[min(fits, key=gaps.__getitem__)] -= length
-            else:
-                gaps.append(cap - length)
-        assert len(gaps) == len(bins)
+def _first_fits(sizes, cap):
+    """Sequences that document-by-document best fit, longest first, opens."""
+    gaps = []
+    for length in sorted(sizes, reverse=True):
+        fits = [i for i, g in enumerate(gaps) if g >= length]
+        if fits:
+            gaps[min(fits, key=gaps.__getitem__)] -= length
+        else:
+            gaps.append(cap - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("cap", [5, 37, 1024])
+def test_packing_rounds(spark, cap):
+    rng = random.Random(cap)
+    sizes = [rng.randint(1, cap) for _ in range(250)] + [max(1, cap // 3)] * 120 + [1] * 40
+    rows = spark.createDataFrame([(i, n, "own", 7) for i, n in enumerate(sizes)], "k long, length long, id string, offset int")
+    got = packing.pack(rows, cap).collect()
+    assert sorted((r.k, r.length, r.id) for r in got) == [(i, n, "own") for i, n in enumerate(sizes)]
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        assert [a for a, _ in sorted(b)] == list(np.cumsum([0, *[n for _, n in sorted(b)]])[:-1]) and sum(n for _, n in b) <= cap
+    assert len(bins) <= 1.03 * _first_fits(sizes, cap) + 1
 
 
 def test_packing(docs, rows, empty):
@@ -172,8 +176,7 @@ def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    out = packing.pack(packing.tokenize(docs, ranks_file()).withColumn("crc", F.crc32("ids")), ["doc_id", "piece", "crc"]).collect()
+    out = packing.pack(packing.tokenize(docs, vocabulary()).withColumn("crc", F.crc32("ids"))).collect()
     found, bins = {}, {}
     for r in out:
         found.setdefault(r.doc_id, []).append(r)
@@ -186,7 +189,18 @@ def test_packing(docs, rows, empty):
         assert all(p.length == 1024 for p in pieces[1:]) and all(p.crc == zlib.crc32(bytes(p.ids)) for p in pieces)
     for b in bins.values():
         assert sum(n for _, n in b) <= 1024 and [a for a, _ in sorted(b)] == list(np.cumsum([0, *[n for _, n in sorted(b)]])[:-1])
-    assert packing.pack(packing.tokenize(empty, ranks_file()).drop("ids"), ["doc_id", "piece"]).count() == 0
+    assert packing.pack(packing.tokenize(empty, vocabulary()).drop("ids")).count() == 0
+
+
+def test_token_ids_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    parts = ["a", " ", "  ", "\n", "\t ", " \u00a0", "\u2028", "\x1c", "\x85", "<|endoftext|>", "it's", "é", "12", "...", "中文", "x" * 70, "don't ", " \r\n", "😀", "<|endof"]
+    texts = ["a <|endoftext|> b", "", " ", "  a", "a  ", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000))]
+    for text in texts:
+        assert packing.token_ids(text, vocabulary()) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
 def test_language(spark, empty):
