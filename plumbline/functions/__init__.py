@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column and window functions that Spark lacks."""

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import cut
+
 CASH = "CASH"
 
 
@@ -21,9 +23,16 @@ class Book:
     trades: DataFrame
 
 
+def overlapping(targets: DataFrame) -> DataFrame:
+    """(strategy_id, exec_idx) for which more than one decision is outstanding: a ticker has two targets."""
+    return targets.groupBy("strategy_id", "exec_idx", "ticker").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("strategy_id", "exec_idx").distinct()
+
+
 def run(targets: DataFrame, panel: DataFrame, rf: DataFrame, first_idx: int, last_idx: int, bps: float) -> Book:
     """nav (strategy_id, idx, nav, turnover, cost), weights (strategy_id, idx, ticker, weight), trades per execution."""
     targets = targets.where(F.col("exec_idx").isNotNull() & (F.col("exec_idx") <= last_idx))
+    if not overlapping(targets).isEmpty():
+        raise ValueError("a strategy has two decisions for one execution day")
     start = targets.select("strategy_id").distinct().select("strategy_id", F.lit(first_idx - 1).alias("exec_idx"), F.lit(CASH).alias("ticker"), F.lit(1.0).alias("weight"))
     targets = start.unionByName(targets.select(*start.columns))
     segments = targets.select("strategy_id", "exec_idx").distinct()
@@ -39,12 +48,12 @@ def run(targets: DataFrame, panel: DataFrame, rf: DataFrame, first_idx: int, las
     total = F.sum("value").over(Window.partitionBy("strategy_id", "idx"))
     held = held.select("strategy_id", "exec_idx", "next_idx", "idx", "ticker", "value", total.alias("total"), (F.col("value") / total).alias("drifted"))
 
-    held = held.persist()  # read by trades, NAV and weights
+    held = cut(held, "held")  # read by trades, NAV and weights
     before = held.where("idx = next_idx").select("strategy_id", F.col("next_idx").alias("exec_idx"), "ticker", "drifted")
     trades = before.join(targets.where(F.col("exec_idx") >= first_idx), ["strategy_id", "exec_idx", "ticker"], "full_outer")
     trades = trades.select("strategy_id", "exec_idx", "ticker", F.coalesce("drifted", F.lit(0.0)).alias("drifted_weight"), F.coalesce("weight", F.lit(0.0)).alias("target_weight"))
     trades = trades.withColumn("delta_weight", F.col("target_weight") - F.col("drifted_weight"))
-    trades = trades.persist()
+    trades = cut(trades, "trades")
     turnover = trades.where(F.col("ticker") != CASH).groupBy("strategy_id", "exec_idx").agg(F.sum(F.abs("delta_weight")).alias("turnover"))
 
     daily = held.select("strategy_id", "exec_idx", "next_idx", "idx", "total").distinct()
@@ -55,7 +64,7 @@ def run(targets: DataFrame, panel: DataFrame, rf: DataFrame, first_idx: int, las
     carried = carried.select("strategy_id", "exec_idx", F.coalesce(F.product("factor").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)).alias("carried"))
     nav = daily.join(carried, ["strategy_id", "exec_idx"])
     pre = F.col("carried") * F.col("gross")
-    nav = nav.select("strategy_id", "idx", (pre * F.col("kept")).alias("nav"), "turnover", (pre * (1 - F.col("kept"))).alias("cost"))
+    nav = cut(nav.select("strategy_id", "idx", (pre * F.col("kept")).alias("nav"), "turnover", (pre * (1 - F.col("kept"))).alias("cost")), "nav")
 
     drifting = held.where("next_idx is null or idx < next_idx").select("strategy_id", "idx", "ticker", F.col("drifted").alias("weight"))
     fresh = targets.where(F.col("exec_idx") >= first_idx).select("strategy_id", F.col("exec_idx").alias("idx"), "ticker", "weight")

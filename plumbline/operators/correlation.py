@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def pairs(resid: DataFrame) -> DataFrame:
     """(idx, n, k, ticker_i, ticker_j, x, y) over the days on which every ticker has a residual; k counts them from 1."""
-    tickers = resid.select("ticker").distinct().count()
-    days = resid.groupBy("idx").agg(F.count("e").alias("c")).where(F.col("c") == tickers).select("idx")
+    tickers = resid.agg(F.count_distinct("ticker").alias("tickers"))
+    days = resid.groupBy("idx").agg(F.count("e").alias("c")).join(F.broadcast(tickers)).where("c = tickers").select("idx")
     days = days.withColumn("k", F.row_number().over(Window.orderBy("idx"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     rows = resid.join(days, "idx")
     other = rows.select("idx", F.col("ticker").alias("ticker_j"), F.col("e").alias("y"))
@@ -57,3 +59,105 @@ def portfolio_vol(cov: DataFrame, weights: DataFrame) -> DataFrame:
     i = weights.select(F.col("ticker").alias("ticker_i"), F.col("weight").alias("wi"))
     j = weights.select(F.col("ticker").alias("ticker_j"), F.col("weight").alias("wj"))
     return cov.join(i, "ticker_i").join(j, "ticker_j").agg(F.sqrt(F.greatest(F.sum(F.col("wi") * F.col("cov") * F.col("wj")), F.lit(0.0))).alias("sigma_p"))
+
+
+def sample_corr(p: DataFrame) -> DataFrame:
+    return p.groupBy("ticker_i", "ticker_j").agg(F.corr("x", "y").alias("corr"))
+
+
+def fresh(resid: DataFrame, decisions: DataFrame) -> DataFrame:
+    """resid rows of the tickers decided on; an error where a ticker has no residual on its decision day (idx, ticker)."""
+    here = decisions.join(resid.select("idx", "ticker", "e"), ["idx", "ticker"], "left")
+    stale = F.when(F.col("e").isNull(), F.raise_error(F.concat(F.lit("stale residuals: "), "ticker"))).otherwise(F.col("e"))
+    return here.withColumn("e", stale)
+
+
+def projected(m: np.ndarray) -> np.ndarray:
+    """The nearest correlation of a kind: symmetric, negative eigenvalues set to 0, unit diagonal."""
+    m = (m + m.T) / 2
+    values, vectors = np.linalg.eigh(m)
+    fixed = (vectors * np.maximum(values, 0)) @ vectors.T
+    d = np.sqrt(np.diag(fixed))
+    if not np.all(np.isfinite(d)) or d.min() <= 1e-12:
+        raise ValueError("a variance collapsed to zero")
+    out = fixed / np.outer(d, d)
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def project(corr: DataFrame, by: str) -> DataFrame:
+    """(by, ticker_i, ticker_j, corr): each group's matrix made a correlation matrix; one small matrix per group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot(index="ticker_i", columns="ticker_j", values="corr")
+        out = pd.DataFrame(projected(m.to_numpy()), index=m.index, columns=m.columns)
+        return out.rename_axis(columns="ticker_j").stack().rename("corr").reset_index().assign(**{by: pdf[by].iloc[0]})[[by, "ticker_i", "ticker_j", "corr"]]
+
+    return corr.groupBy(by).applyInPandas(run, f"{by} {corr.schema[by].dataType.simpleString()}, ticker_i string, ticker_j string, corr double")
+
+
+#: Where the search for (a, b) starts, and the bound of their sum.
+START, BOUND = (0.02, 0.95), 0.999
+
+
+def dcc_path(e: np.ndarray, a: float, b: float, mean: np.ndarray) -> np.ndarray:
+    """All Q: the mean first, then pulled by each day's residuals. The pull decays by b, so steps are taken in bulk."""
+    n, k = e.shape
+    push = a * np.einsum("ti,tj->tij", e[:-1], e[:-1]).reshape(n - 1, k * k) + ((1 - a - b) * mean).ravel()
+    out = np.empty((n, k * k))
+    out[0] = mean.ravel()
+    for t in range(1, n):
+        out[t] = push[t - 1] + b * out[t - 1]
+    return out.reshape(n, k, k)
+
+
+def dcc_loss(e: np.ndarray, a: float, b: float, mean: np.ndarray) -> float:
+    """Correlation part of the negative quasi likelihood: sum of log |R| + e' R^-1 e."""
+    if a < 0 or b < 0 or a + b >= BOUND:
+        return 1e12
+    q = dcc_path(e, a, b, mean)
+    d = np.sqrt(np.einsum("tii->ti", q))
+    r = q / (d[:, :, None] * d[:, None, :])
+    sign, logs = np.linalg.slogdet(r)
+    if np.any(sign <= 0) or not np.all(np.isfinite(logs)):
+        return 1e12
+    return float(logs.sum() + np.einsum("ti,ti->", e, np.linalg.solve(r, e[:, :, None])[:, :, 0]))
+
+
+def estimate_dcc(e: np.ndarray, fixed: tuple[float, float], shrink: float) -> tuple[float, float, bool]:
+    """(a, b, fell_back) by simplex search; the fixed pair where nothing can be estimated."""
+    from plumbline.operators.volatility import minimise
+
+    if len(e) < 2:
+        return *fixed, True
+    c = np.corrcoef(e, rowvar=False)
+    if not np.all(np.isfinite(c)):
+        raise ValueError("residuals without variance")
+    mean = (1 - shrink) * np.atleast_2d(c) + shrink * np.eye(e.shape[1])
+    free = lambda x: (BOUND / (1 + np.exp(-x[0])) / (1 + np.exp(-x[1])), BOUND / (1 + np.exp(-x[0])) * (1 - 1 / (1 + np.exp(-x[1]))))
+    total, share = sum(START) / BOUND, START[0] / sum(START)
+    x0 = np.array([np.log(total / (1 - total)), np.log(share / (1 - share))])
+    a, b = free(minimise(lambda x: dcc_loss(e, *free(x), mean), x0, 200, 1e-9))
+    if not (np.isfinite(a) and np.isfinite(b) and a + b < 1):
+        return *fixed, True
+    return float(a), float(b), False
+
+
+def dcc_params(resid: DataFrame, by: str, fixed: tuple[float, float], shrink: float) -> DataFrame:
+    """(by, a, b, fell_back) for each group's residuals (by, idx, ticker, e); days on which a ticker has none are left out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = pdf.pivot(index="idx", columns="ticker", values="e").dropna().sort_index().to_numpy()
+        a, b, fell = estimate_dcc(e, fixed, shrink)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "a": [a], "b": [b], "fell_back": [fell]})
+
+    return resid.groupBy(by).applyInPandas(run, f"{by} {resid.schema[by].dataType.simpleString()}, a double, b double, fell_back boolean")
+
+
+def cadence(selections: DataFrame, every: int) -> DataFrame:
+    """(epoch_idx, number, estimated, of_idx): parameters are estimated at every n-th selection (epoch_idx) and carried on
+    to those that follow; of_idx is the selection that they come from."""
+    w = Window.orderBy("epoch_idx")  # a row a selection
+    out = selections.select("epoch_idx", F.row_number().over(w).alias("number")).withColumn("estimated", (F.col("number") - 1) % every == 0)
+    of = F.last(F.when(F.col("estimated"), F.col("epoch_idx")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("of_idx", of)

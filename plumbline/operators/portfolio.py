@@ -25,17 +25,18 @@ def route_to_cash(df: DataFrame, by: list[str]) -> DataFrame:
     return passed.unionByName(cash.select(*by, F.lit("CASH").alias("ticker"), "weight"))
 
 
-def target_exposure(sigma_p: Column, sigma_star: float, e_min: float) -> Column:
-    return F.least(F.greatest(F.lit(sigma_star) / sigma_p, F.lit(e_min)), F.lit(1.0))
+def target_exposure(sigma_p: Column, sigma_star: Column, e_min: float) -> Column:
+    return F.least(F.greatest(sigma_star / sigma_p, F.lit(e_min)), F.lit(1.0))
 
 
-def banded(df: DataFrame, by: list[str], order: str, exposure: str, band: float, mode: str) -> DataFrame:
+def banded(df: DataFrame, by: list[str], order: str, exposure: str, band: Column, mode: Column) -> DataFrame:
     """(by, order, exposure, applied, blocked): the first of an epoch is taken; later ones only when they leave the band
-    around the one applied last. A fold over the epoch's few values."""
+    around the one applied last. A fold over the epoch's few values. band and mode (absolute, log) are constants or columns
+    of `by`."""
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(exposure).alias("e")))).alias("xs"))
 
     def step(state: Column, x: Column) -> Column:
-        gap = F.abs(F.ln(x["e"]) - F.ln(state["cur"])) if mode == "log" else F.abs(x["e"] - state["cur"])
+        gap = F.when(mode == "log", F.abs(F.ln(x["e"]) - F.ln(state["cur"]))).otherwise(F.abs(x["e"] - state["cur"]))
         take = state["cur"].isNull() | (gap > band)
         cur = F.when(take, x["e"]).otherwise(state["cur"])
         return F.struct(cur.alias("cur"), F.concat(state["out"], F.array(F.struct(x["t"].alias("t"), x["e"].alias("e"), cur.alias("applied"), (~take).alias("blocked")))).alias("out"))

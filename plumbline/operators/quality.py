@@ -76,3 +76,23 @@ def clustered(report: DataFrame, window: int, max_hits: int) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("pos").rangeBetween(0, window - 1)
     hits = report.where("verdict != 'validation_outlier'").withColumn("hits", F.count(F.lit(1)).over(w))
     return hits.groupBy("ticker").agg(F.max("hits").alias("most")).where(F.col("most") >= max_hits)
+
+
+def total_return(bars: DataFrame, dividends: DataFrame, tol_bps: float) -> DataFrame:
+    """(ticker, date, adj_ret, expected) of ex-dates on which the adjusted return is not the return of the close plus the
+    dividend over the close before. bars (ticker, date, close, adj_close) of one ticker; of more it is an error."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    one = F.count_distinct("ticker")
+    paid = dividends.groupBy("ticker", F.col("event_date").alias("date")).agg(F.sum("dividend").alias("dividend"))
+    rows = bars.withColumn("before", F.lag("close").over(w)).withColumn("adj_ret", F.try_divide("adj_close", F.lag("adj_close").over(w)) - 1)
+    rows = rows.join(paid, ["ticker", "date"]).where("dividend != 0 and adj_ret is not null")
+    tickers = bars.agg(F.when(one > 1, F.raise_error(F.lit("total_return is a check of one ticker"))).otherwise(one).alias("tickers"))
+    expected = F.col("close") / F.col("before") - 1 + F.col("dividend") / F.col("before")
+    rows = rows.withColumn("expected", expected).join(F.broadcast(tickers)).where("tickers = 1")
+    return rows.where(F.abs(F.col("adj_ret") - F.col("expected")) > tol_bps / 1e4).select("ticker", "date", "adj_ret", "expected")
+
+
+def out_of_order(rows: DataFrame, arrival: str) -> DataFrame:
+    """(ticker, date, arrival) of rows (ticker, date, arrival) that come after one with the same or a later date."""
+    before = F.max("date").over(Window.partitionBy("ticker").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", before).where("date <= before").select("ticker", "date", arrival)

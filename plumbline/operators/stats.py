@@ -1,83 +1,115 @@
-"""Resampling and multiple-testing statistics. Repetitions are rows that Spark spreads; each draws from its own seed."""
+"""Resampling and multiple-testing statistics. Repetitions are rows that Spark spreads; their random numbers come from
+digests of (seed, kind, repetition, place), so reruns agree and no state is carried."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators import metrics
+
 DAYS = 252
+METRICS = ("sharpe", "calmar", "max_drawdown")
+
+
+def uniform(seed: int, kind: str, *parts: str) -> Column:
+    """A number in (0, 1) from 52 bits of a digest."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{kind}"), *(F.col(p).cast("string") for p in parts))), 1, 13), 16, 10)
+    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def _places(spark: SparkSession, n: int, reps: int) -> DataFrame:
+    return spark.range(reps).select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"))
+
 
+def bootstrap_days(spark: SparkSession, n: int, reps: int, mean_block: float, seed: int) -> DataFrame:
+    """(rep, t, at): stationary bootstrap of n days, blocks of geometric length, wrapped around."""
+    fresh = (F.col("t") == 0) | (uniform(seed, "f", "rep", "t") < 1 / mean_block)
+    rows = _places(spark, n, reps).withColumn("from", F.when(fresh, F.col("t"))).withColumn("start", F.when(fresh, F.floor(uniform(seed, "s", "rep", "t") * n).cast("int")))
+    w = Window.partitionBy("rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.pmod(F.last("start", True).over(w) + F.col("t") - F.last("from", True).over(w), F.lit(n))
+    return rows.select("rep", "t", at.alias("at"))
 
-def bootstrap_indices(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
-    """Stationary bootstrap: blocks of geometric length, wrapped around; built from block starts, not day by day."""
-    fresh = rng.random(n) < 1 / mean_block
-    fresh[0] = True
-    block = np.cumsum(fresh) - 1
-    starts = rng.integers(0, n, block[-1] + 1)
-    offset = np.arange(n) - np.flatnonzero(fresh)[block]
-    return (starts[block] + offset) % n
 
+def swapped_days(spark: SparkSession, n: int, reps: int, mean_block: float, seed: int) -> DataFrame:
+    """(rep, t, swap): blocks of geometric length, each swapped or not by a fair draw."""
+    w = Window.partitionBy("rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _places(spark, n, reps).withColumn("block", F.sum((uniform(seed, "p", "rep", "t") < 1 / mean_block).cast("int")).over(w))
+    return rows.select("rep", "t", (uniform(seed, "w", "rep", "block") < 0.5).alias("swap"))
 
-def _sharpe(r: np.ndarray) -> float:
-    sd = r.std(ddof=1) if len(r) > 1 else 0.0
-    return float(r.mean() / sd * DAYS**0.5) if sd > 1e-12 else float("nan")
 
+def numbered(returns: DataFrame) -> DataFrame:
+    """returns (strategy_id, idx, ret, excess) of the days that every strategy has, numbered t = 0, 1, ..."""
+    strategies = returns.agg(F.count_distinct("strategy_id").alias("k"))
+    days = returns.groupBy("idx").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(strategies)).where("c = k")
+    days = days.select("idx", (F.row_number().over(Window.orderBy("idx")) - 1).alias("t"))  # trading days
+    return returns.join(days, "idx").select("strategy_id", "t", "ret", "excess")
 
-def bootstrap_difference(returns: DataFrame, left: str, right: str, reps: int, mean_block: float, seed: int) -> DataFrame:
-    """(rep, diff): Sharpe of `left` less Sharpe of `right` on the same resampled days. returns (strategy_id, idx, excess)."""
-    pair = returns.where(F.col("strategy_id").isin(left, right)).groupBy("idx").agg(
-        F.max(F.when(F.col("strategy_id") == left, F.col("excess"))).alias("a"), F.max(F.when(F.col("strategy_id") == right, F.col("excess"))).alias("b")
-    )
-    series = pair.where("a is not null and b is not null").agg(F.array_sort(F.collect_list(F.struct("idx", "a", "b"))).alias("s"))
-    work = returns.sparkSession.range(reps).join(F.broadcast(series))  # one row of trading days, whatever the repetitions
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for rep, s in zip(pdf["id"], pdf["s"], strict=True):
-                a, b = np.array([x["a"] for x in s]), np.array([x["b"] for x in s])
-                at = bootstrap_indices(len(a), mean_block, np.random.default_rng([seed, int(rep)]))
-                out.append(_sharpe(a[at]) - _sharpe(b[at]))
-            yield pd.DataFrame({"rep": pdf["id"], "diff": out})
+def sample_metrics(sample: DataFrame, by: list[str]) -> DataFrame:
+    """METRICS of each series (by, t, ret, excess); the net asset value starts at 1 before the first day."""
+    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sample.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(w)))
+    rows = rows.withColumn("fall", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(w)) - 1)
+    cagr = F.pow(F.max_by("nav", "t"), F.lit(float(DAYS)) / F.count(F.lit(1))) - 1
+    fall = F.min("fall")
+    return rows.groupBy(*by).agg(metrics.sharpe(F.col("excess")).alias("sharpe"), F.when(fall < 0, cagr / F.abs(fall)).alias("calmar"), fall.alias("max_drawdown"))
 
-    return work.mapInPandas(run, "rep long, diff double")
 
+def long_metrics(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, value)."""
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))
+    return df.select(*by, F.inline(pairs))
 
-def permutation(returns: DataFrame, left: str, right: str, reps: int, mean_block: float, seed: int) -> DataFrame:
-    """(rep, diff): Sharpe difference after swapping the two series in random blocks."""
-    pair = returns.where(F.col("strategy_id").isin(left, right)).groupBy("idx").agg(
-        F.max(F.when(F.col("strategy_id") == left, F.col("excess"))).alias("a"), F.max(F.when(F.col("strategy_id") == right, F.col("excess"))).alias("b")
-    )
-    series = pair.where("a is not null and b is not null").agg(F.array_sort(F.collect_list(F.struct("idx", "a", "b"))).alias("s"))
-    work = returns.sparkSession.range(reps).join(F.broadcast(series))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for rep, s in zip(pdf["id"], pdf["s"], strict=True):
-                a, b = np.array([x["a"] for x in s]), np.array([x["b"] for x in s])
-                rng = np.random.default_rng([seed, 1, int(rep)])
-                block = np.cumsum(rng.random(len(a)) < 1 / mean_block)
-                swap = (rng.random(block[-1] + 1) < 0.5)[block]
-                out.append(_sharpe(np.where(swap, b, a)) - _sharpe(np.where(swap, a, b)))
-            yield pd.DataFrame({"rep": pdf["id"], "diff": out})
+def bootstrap(returns: DataFrame, reps: int, mean_block: float, seed: int) -> DataFrame:
+    """(rep, strategy_id, metric, value) of all strategies on the same resampled days. returns: (strategy_id, t, ret, excess)."""
+    n = returns.agg(F.max("t")).first()[0] + 1
+    days = bootstrap_days(returns.sparkSession, n, reps, mean_block, seed)
+    sample = days.join(F.broadcast(returns.withColumnRenamed("t", "at")), "at").drop("at")  # trading days of a few strategies
+    return long_metrics(sample_metrics(sample, ["rep", "strategy_id"]), ["rep", "strategy_id"])
 
-    return work.mapInPandas(run, "rep long, diff double")
 
+def pair_differences(values: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, left, right, diff) for pairs (left, right) of strategies from values (by, strategy_id, metric, value)."""
+    a = values.select(*by, "metric", F.col("strategy_id").alias("left"), F.col("value").alias("x"))
+    b = values.select(*by, "metric", F.col("strategy_id").alias("right"), F.col("value").alias("y"))
+    return F.broadcast(pairs).join(a, "left").join(b, [*by, "metric", "right"]).select(*by, "metric", "left", "right", (F.col("x") - F.col("y")).alias("diff"))
 
-def percentile_interval(df: DataFrame, value: str, alpha: float) -> DataFrame:
-    x = F.when(~F.isnan(value), F.col(value))
-    ends = F.percentile(x, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    out = df.agg(F.avg(x).alias("mean"), ends.alias("ends"), F.count(x).alias("n"))
-    lo, hi = F.col("ends")[0], F.col("ends")[1]
-    return out.select("mean", lo.alias("lo"), hi.alias("hi"), ((lo > 0) | (hi < 0)).alias("excludes_zero"), "n")
+
+def permutation(returns: DataFrame, pairs: DataFrame, reps: int, mean_block: float, seed: int) -> DataFrame:
+    """(rep, metric, left, right, diff): differences after swapping the two series of each pair in random blocks."""
+    n = returns.agg(F.max("t")).first()[0] + 1
+    days = swapped_days(returns.sparkSession, n, reps, mean_block, seed)
+    a = returns.select("t", F.col("strategy_id").alias("left"), F.struct("ret", "excess").alias("a"))
+    b = returns.select("t", F.col("strategy_id").alias("right"), F.struct("ret", "excess").alias("b"))
+    both = F.broadcast(pairs.join(a, "left").join(b, ["t", "right"]))  # trading days of a few pairs
+    rows = days.join(both, "t")
+    sides = F.array(F.struct(F.lit("l").alias("side"), F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("v")), F.struct(F.lit("r").alias("side"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("v")))
+    rows = rows.select("rep", "t", "left", "right", F.inline(sides)).select("rep", "t", "left", "right", "side", "v.ret", "v.excess")
+    by = ["rep", "left", "right", "side"]
+    values = long_metrics(sample_metrics(rows, by), by)
+    l, r = (F.max(F.when(F.col("side") == s, F.col("value"))) for s in "lr")
+    return values.groupBy("rep", "metric", "left", "right").agg((l - r).alias("diff"))
+
+
+def interval(value: str, alpha: float) -> list[Column]:
+    """Aggregates lo, hi, excludes_zero of the finite values: percentiles with linear interpolation."""
+    x = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))
+    lo, hi = F.percentile(x, F.lit(alpha / 2)), F.percentile(x, F.lit(1 - alpha / 2))
+    return [lo.alias("lo"), hi.alias("hi"), ((lo > 0) | (hi < 0)).alias("excludes_zero")]
+
+
+def p_values(draws: DataFrame, observed: DataFrame) -> DataFrame:
+    """(metric, left, right, p_value): two-sided, the observed difference counted as one draw."""
+    rows = draws.join(F.broadcast(observed.withColumnRenamed("diff", "point")), ["metric", "left", "right"])
+    beyond = F.count(F.when(F.abs("diff") >= F.abs("point") - 1e-12, 1))
+    return rows.groupBy("metric", "left", "right").agg(((beyond + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -101,17 +133,16 @@ def moments(returns: DataFrame) -> DataFrame:
 
 
 def overfitting(returns: DataFrame, blocks: int) -> DataFrame:
-    """(combo, best, omega, logit) for every choice of half the blocks as the training sample, from sums per block only."""
-    n = returns.select("idx").distinct().count()
-    size = n // blocks
-    first = returns.agg(F.min("idx")).first()[0]
-    rows = returns.withColumn("block", F.floor((F.col("idx") - first) / size).cast("int")).where(F.col("block") < blocks)
+    """(combo, best, omega, logit) for every choice of half the blocks as the training sample, from sums per block only.
+    combo has a bit for each block of the training sample."""
+    ends = returns.agg(F.count_distinct("idx").alias("days"), F.min("idx").alias("first"))
+    rows = returns.join(F.broadcast(ends)).withColumn("block", F.floor((F.col("idx") - F.col("first")) / F.floor(F.col("days") / blocks)).cast("int")).where(F.col("block") < blocks)
     sums = rows.groupBy("strategy_id", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
-    chosen = returns.sparkSession.createDataFrame([(i, list(c)) for i, c in enumerate(combinations(range(blocks), blocks // 2))], "combo int, blocks array<int>")
-    split = F.broadcast(sums).join(chosen).groupBy("combo", "strategy_id")  # the sums have blocks rows a strategy
+    chosen = returns.sparkSession.range(1 << blocks).select(F.col("id").alias("combo")).where(F.bit_count("combo") == blocks // 2)
+    split = chosen.join(F.broadcast(sums)).groupBy("combo", "strategy_id")  # the sums have blocks rows a strategy
 
     def ratio(inside: bool) -> Column:
-        here = F.array_contains("blocks", F.col("block")) == F.lit(inside)
+        here = F.expr("shiftright(combo, block) & 1") == F.lit(int(inside))
         n, s, q = (F.sum(F.when(here, F.col(c))) for c in ("n", "s", "q"))
         return F.try_divide(s / n, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
 
@@ -139,3 +170,47 @@ def autocorrelation(series: DataFrame, by: str, value: str, lags: int) -> DataFr
     x = x.select(by, "idx", "x", *(F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)))
     sums = x.groupBy(by).agg(*(F.coalesce(F.sum(F.col("x") * F.col(f"l{k}")), F.lit(0.0)).alias(f"l{k}") for k in range(1, lags + 1)), F.sum(F.col("x") * F.col("x")).alias("q"))
     return sums.select(by, F.posexplode(F.array(*(F.col(f"l{k}") / F.col("q") for k in range(1, lags + 1)))).alias("pos", "acf")).select(by, (F.col("pos") + 1).alias("lag"), "acf")
+
+
+#: Coefficients of a rational approximation of the normal quantile, relative error below 1.2e-9.
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+_TAIL = 0.02425
+
+
+def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    q = p - 0.5
+    low, high = F.sqrt(-2 * F.ln(p)), F.sqrt(-2 * F.ln(1 - p))
+    middle = q * _poly(_A, q * q) / _poly(_B, q * q)
+    return F.when(p < _TAIL, _poly(_C, low) / _poly(_D, low)).when(p > 1 - _TAIL, -_poly(_C, high) / _poly(_D, high)).otherwise(middle)
+
+
+def quantile_pairs(series: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, k, theory, value): ordered values against normal quantiles at (k - 1/2) / n."""
+    rows = series.where(F.col(value).isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(value, "idx")))
+    p = (F.col("k") - 0.5) / F.count(F.lit(1)).over(Window.partitionBy(by))
+    return rows.select(by, "k", normal_quantile(p).alias("theory"), value)
+
+
+def dominates(front: DataFrame, other: DataFrame, x: str, y: str) -> DataFrame:
+    """(dominates): whether each point of other is met by one of front that is no worse on both. Curves of a few points."""
+    a = front.select(F.col(x).alias("ax"), F.col(y).alias("ay"))
+    beaten = other.join(a, (F.col("ax") <= F.col(x) + 1e-12) & (F.col("ay") <= F.col(y) + 1e-12), "left_anti")
+    return beaten.agg((F.count(F.lit(1)) == 0).alias("dominates"))
+
+
+def nearest_pair(a: DataFrame, b: DataFrame, by: str, x: str) -> DataFrame:
+    """(by, a, b, gap): the pair of structs of the two sides whose x lie nearest; ties by the order of a, then b."""
+    left, right = a.select(by, F.struct(*a.columns).alias("a")), b.select(by, F.struct(*b.columns).alias("b"))
+    rows = left.join(right, by).withColumn("gap", F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")))
+    first = F.row_number().over(Window.partitionBy(by).orderBy("gap", "a", "b"))
+    return rows.withColumn("first", first).where("first = 1").drop("first")

@@ -10,9 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import decay
+
 DAYS = 252
 
 
@@ -26,21 +28,19 @@ def ewma(panel: DataFrame, lam: float) -> DataFrame:
     """variance after each return, over the whole past: lam^n h0 + (1 - lam) sum lam^(n-1-i) r_i^2, h0 the sample variance."""
     rows = panel.where("r is not null").withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
     past = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    weighted = F.sum(F.col("r") * F.col("r") * F.pow(F.lit(lam), -F.col("k"))).over(past)
-    seed = F.var_samp("r").over(past)
-    decay = F.pow(F.lit(lam), F.col("k"))
-    return rows.withColumn("seed", seed).withColumn("variance", decay * seed + (1 - lam) * decay * weighted).withColumn("vol", F.sqrt("variance") * DAYS**0.5)
+    rows = decay.with_decayed_sum(rows.withColumn("seed", F.var_samp("r").over(past)), lam, F.col("r") * F.col("r"), ["ticker"], "k", "squares")
+    variance = F.pow(F.lit(lam), F.col("k")) * F.col("seed") + (1 - lam) * F.col("squares")
+    return rows.withColumn("variance", variance).withColumn("vol", F.sqrt("variance") * DAYS**0.5).drop("squares")
 
 
 def ewma_residuals(panel: DataFrame, lam: float) -> DataFrame:
     """Returns over the deviation expected before them, seeded by the sample variance of the ticker's whole series."""
-    w = Window.partitionBy("ticker").orderBy("date")
-    rows = panel.where("r is not null").withColumn("k", F.row_number().over(w))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    weighted = F.coalesce(F.sum(F.col("r") * F.col("r") * F.pow(F.lit(lam), -F.col("k"))).over(before), F.lit(0.0))
+    rows = panel.where("r is not null").withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
+    rows = decay.with_decayed_sum(rows, lam, F.col("r") * F.col("r"), ["ticker"], "k", "squares")
+    before = (F.col("squares") - F.col("r") * F.col("r")) / lam
     seed = F.var_samp("r").over(Window.partitionBy("ticker"))
-    decay = F.pow(F.lit(lam), F.col("k") - 1)
-    return rows.withColumn("variance", decay * seed + (1 - lam) * decay * weighted).withColumn("e", F.col("r") / F.sqrt("variance"))
+    variance = F.pow(F.lit(lam), F.col("k") - 1) * seed + (1 - lam) * F.greatest(before, F.lit(0.0))
+    return rows.withColumn("variance", variance).withColumn("e", F.col("r") / F.sqrt("variance")).drop("squares")
 
 
 def variance_path(scaled: np.ndarray, omega: float, alpha: float, beta: float, gamma: float, start: float) -> np.ndarray:
@@ -126,33 +126,77 @@ def mean_forecast(next_variance: float, omega: float, persistence: float, horizo
     return level + (next_variance - level) * (1 - persistence**horizon) / ((1 - persistence) * horizon)
 
 
-GARCH = "ticker string, idx int, mu double, omega double, alpha double, beta double, gamma double, nu double, vol double, fell_back boolean, reason string"
+PARAMS = ("mu", "omega", "alpha", "beta", "gamma", "nu")
+REFITS = "ticker string, idx int, mu double, omega double, alpha double, beta double, gamma double, nu double, fell_back boolean, reason string"
 
 
-def garch_vol(panel: DataFrame, decisions: DataFrame, horizon: int, lam: float, asymmetric: bool = False, window: int = 1000) -> DataFrame:
-    """Annualised forecast volatility at each decision (ticker, idx); a degenerate fit falls back to EWMA."""
+def in_windows(panel: DataFrame, decisions: DataFrame, window: int) -> DataFrame:
+    """(ticker, at, idx, r): the last `window` returns up to each decision (ticker, idx)."""
     pairs = decisions.select("ticker", F.col("idx").cast("int").alias("at"))
-    rows = pairs.join(panel.where("r is not null").select("ticker", "idx", "r"), "ticker").where((F.col("idx") <= F.col("at")) & (F.col("idx") > F.col("at") - window))
+    rows = pairs.join(panel.where("r is not null").select("ticker", "idx", "r"), "ticker")
+    return rows.where((F.col("idx") <= F.col("at")) & (F.col("idx") > F.col("at") - window))
+
+
+def refit(panel: DataFrame, decisions: DataFrame, horizon: int, asymmetric: bool = False, window: int = 1000) -> DataFrame:
+    """Parameters estimated at each decision (ticker, idx); fell_back with a reason where the fit is degenerate."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values("idx")["r"].to_numpy()
-        out = dict.fromkeys(("mu", "omega", "alpha", "beta", "gamma", "nu"), None)
+        out = dict.fromkeys(PARAMS, None)
         try:
-            p = fit_garch(r, asymmetric)
-            persistence = p["alpha"] + p["beta"] + p["gamma"] / 2
-            variance = mean_forecast(p["next_variance"], p["omega"], persistence, horizon) / 100**2
-            if not (math.isfinite(variance) and variance > 0 and persistence < 1):
+            p = fit_garch(pdf.sort_values("idx")["r"].to_numpy(), asymmetric)
+            variance = mean_forecast(p["next_variance"], p["omega"], persistence(p), horizon)
+            if not (math.isfinite(variance) and variance > 0 and persistence(p) < 1):
                 raise ValueError("degenerate fit")
-            out |= {k: p[k] for k in out}
+            out |= {k: p[k] for k in PARAMS}
             fell, reason = False, None
         except ValueError as e:
-            h = r.var(ddof=1) if len(r) > 1 else float("nan")
-            for x in r:
-                h = lam * h + (1 - lam) * x * x
-            variance, fell, reason = h, True, str(e)
-        return pd.DataFrame([{"ticker": pdf["ticker"].iloc[0], "idx": int(pdf["at"].iloc[0]), **out, "vol": math.sqrt(variance * DAYS), "fell_back": fell, "reason": reason}])
-
-    return rows.groupBy("ticker", "at").applyInPandas(fit, GARCH)
+            fell, reason = True, str(e)
+        return pd.DataFrame([{"ticker": pdf["ticker"].iloc[0], "idx": int(pdf["at"].iloc[0]), **out, "fell_back": fell, "reason": reason}])
+
+    return in_windows(panel, decisions, window).groupBy("ticker", "at").applyInPandas(fit, REFITS)
+
+
+def persistence(p: dict[str, float]) -> float:
+    return p["alpha"] + p["beta"] + p["gamma"] / 2
+
+
+def filtered(panel: DataFrame, params: DataFrame, decisions: DataFrame, window: int = 1000) -> DataFrame:
+    """(ticker, idx, k, e, h, next_h) of every return in the window of each decision (ticker, idx, of_idx), under the
+    parameters of params at of_idx: h is expected before the return, next_h after it, in squared percent.
+
+    With the parameters given the recursion is linear: h decays by beta, and what a return adds is known. So it is a
+    decayed sum. It starts at the weighted mean square of the first 75 returns, the first weighing most.
+    """
+    asked = decisions.join(params.select("ticker", F.col("idx").alias("of_idx"), *PARAMS), ["ticker", "of_idx"]).where("omega is not null")
+    rows = in_windows(panel, asked, window).join(asked.select("ticker", F.col("idx").alias("at"), *PARAMS), ["ticker", "at"])
+    one = Window.partitionBy("ticker", "at")
+    rows = rows.withColumn("k", F.row_number().over(one.orderBy("idx"))).withColumn("x", F.col("r") * 100).withColumn("e", F.col("x") - F.col("mu"))
+    early = F.when(F.col("k") <= 75, F.pow(F.lit(0.94), F.col("k") - 1))
+    centred = F.col("x") - F.avg("x").over(one)
+    rows = rows.withColumn("start", F.sum(early * centred * centred).over(one) / F.sum(early).over(one))
+    added = F.col("omega") + (F.col("alpha") + F.when(F.col("e") < 0, F.col("gamma")).otherwise(0.0)) * F.col("e") * F.col("e")
+    rows = decay.with_decayed_sum(rows.withColumn("added", added), F.col("beta"), F.col("added"), ["ticker", "at"], "k", "upto")
+    rows = rows.withColumn("next_h", F.pow(F.col("beta"), F.col("k")) * F.col("start") + F.col("upto"))
+    h = F.coalesce(F.lag("next_h").over(one.orderBy("idx")), F.col("start"))
+    return rows.select("ticker", F.col("at").alias("idx"), F.col("idx").alias("day"), "k", "e", h.alias("h"), "next_h", "omega", "alpha", "beta", "gamma")
+
+
+def forecast(next_h: str, horizon: int) -> Column:
+    """Annualised volatility of the mean variance path over the horizon, from the filter's last state."""
+    p = F.col("alpha") + F.col("beta") + F.col("gamma") / 2
+    level = F.col("omega") / (1 - p)
+    flat = F.col(next_h) + F.col("omega") * (horizon - 1) / 2
+    mean = F.when(F.abs(1 - p) < 1e-12, flat).otherwise(level + (F.col(next_h) - level) * (1 - F.pow(p, F.lit(horizon))) / ((1 - p) * horizon))
+    return F.sqrt(mean / 100**2) * DAYS**0.5
+
+
+def filter_vol(panel: DataFrame, params: DataFrame, decisions: DataFrame, horizon: int, lam: float, window: int = 1000) -> DataFrame:
+    """(ticker, idx, vol, fell_back) at each decision (ticker, idx, of_idx): parameters estimated at of_idx, the recursion
+    run on to idx; where the estimate fell back, the exponentially weighted volatility."""
+    last = filtered(panel, params, decisions, window).groupBy("ticker", "idx").agg(*(F.max_by(c, "day").alias(c) for c in ("next_h", "omega", "alpha", "beta", "gamma")))
+    plain = ewma(panel, lam).select("ticker", "idx", F.col("vol").alias("plain"))
+    rows = decisions.select("ticker", "idx").distinct().join(last.select("ticker", "idx", forecast("next_h", horizon).alias("vol")), ["ticker", "idx"], "left").join(plain, ["ticker", "idx"])
+    return rows.select("ticker", "idx", F.coalesce("vol", "plain").alias("vol"), F.col("vol").isNull().alias("fell_back"))
 
 
 def qlike(realized: str, forecast: str):

@@ -218,7 +218,7 @@ _BASE = ["resid", "sel"]
 def _last_pairs(s: Study) -> DataFrame:
     sel = s.selection
     last = sel.agg(F.max("idx").alias("idx"))
-    return correlation.pairs(s.resid.join(sel.join(last, "idx").select("ticker"), "ticker").persist())
+    return correlation.pairs(s.resid.join(sel.join(last, "idx").select("ticker"), "ticker"))
 
 
 @query("q_bar", sql(f"SELECT ticker_i, ticker_j, {s6('q')} FROM qb", _BASE, f"{_FIVE},{_PAIRS},{_QBAR}"))
@@ -254,12 +254,6 @@ def _(spark, d):
     return s.exposures(s._risky().withColumnRenamed("decision_idx", "epoch_idx")).select("epoch_idx", "idx", r6("sigma_p"), r6("exposure"), r6("applied"), "blocked")
 
 
-@query("exposure_band_log")
-def _(spark, d):
-    s = Study(spark, d, signals.Config(band_mode="log"))
-    return s.exposures(s._risky().withColumnRenamed("decision_idx", "epoch_idx")).select("epoch_idx", "idx", r6("exposure"), r6("applied"), "blocked")
-
-
 SQL_STRATEGIES = ["bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full"]
 
 
@@ -314,16 +308,18 @@ def _(spark, d):
     return metrics.with_drawdown(Study(spark, d).book(*_FOUR).nav).select("strategy_id", "idx", r6("drawdown"), r6("raw"))
 
 
-@query("subperiod_metrics", book_sql(f"""SELECT strategy_id, period, n_days, {', '.join(s6(k) for k in _KEYS[:6])} FROM (SELECT strategy_id, period, {METRICS} FROM
-  (SELECT d.strategy_id, d.idx, d.nav, d.turnover, d.cost, rf, period, d.nav / max(d.nav) OVER (w ROWS UNBOUNDED PRECEDING) - 1 AS drawdown, d.nav / lag(d.nav) OVER w - 1 AS raw FROM nav d JOIN rf USING (idx) JOIN (VALUES ('a', 1995, 1998), ('b', 1999, 9999)) v(period, lo, hi) ON year(rf.date) BETWEEN lo AND hi WINDOW w AS (PARTITION BY d.strategy_id, period ORDER BY d.idx)) GROUP BY 1, 2)""", _FOUR))
+_SPANS = "(VALUES ('a', 1995, 1998), ('b', 1999, 9999)) v(period, lo, hi) ON year(rf.date) BETWEEN lo AND hi"
+
+
+@query("subperiod_metrics", book_sql(f"""SELECT strategy_id, period, n_days, {', '.join(s6(k) for k in (*_KEYS[:6], 'average_exposure'))} FROM (SELECT strategy_id, period, {METRICS} FROM
+  (SELECT d.strategy_id, d.idx, d.nav, d.turnover, d.cost, rf, period, d.nav / max(d.nav) OVER (w ROWS UNBOUNDED PRECEDING) - 1 AS drawdown, d.nav / lag(d.nav) OVER w - 1 AS raw FROM nav d JOIN rf USING (idx) JOIN {_SPANS} WINDOW w AS (PARTITION BY d.strategy_id, period ORDER BY d.idx)) GROUP BY 1, 2)
+  LEFT JOIN (SELECT strategy_id, period, avg(e) AS average_exposure FROM (SELECT strategy_id, idx, sum(weight) AS e FROM wts WHERE ticker <> 'CASH' GROUP BY 1, 2) JOIN rf USING (idx) JOIN {_SPANS} GROUP BY 1, 2) USING (strategy_id, period)""", _FOUR))
 def _(spark, d):
     s = Study(spark, d)
     b = s.book(*_FOUR)
-    years = F.year("date")
-    span = s.rf.select("idx", F.when(years <= 1998, "a").otherwise("b").alias("period"))
-    nav = b.nav.join(span, "idx").withColumn("of", F.col("strategy_id")).withColumn("strategy_id", F.concat_ws("/", "of", "period"))
-    out = metrics.bundle(nav, s.rf, b.weights, ["strategy_id", "of", "period"])
-    return out.select(F.col("of").alias("strategy_id"), "period", "n_days", *(r6(k) for k in _KEYS[:6]))
+    span = s.rf.select("idx", F.when(F.year("date") <= 1998, "a").otherwise("b").alias("period"))
+    out = metrics.bundle(b.nav.join(span, "idx"), s.rf, b.weights.join(span, "idx"), ["strategy_id", "period"])
+    return out.select("strategy_id", "period", "n_days", *(r6(k) for k in (*_KEYS[:6], "average_exposure")))
 
 
 @query("strategy_moments", book_sql(f"SELECT strategy_id, n, {s6('m / sd', 'sr')}, {s6('m3 / pow(m2, 1.5)', 'skew')}, {s6('m4 / (m2 * m2)', 'kurt')} FROM (SELECT strategy_id, count(raw) AS n, any_value(mu) AS m, stddev_samp(raw) AS sd, avg(pow(raw - mu, 2)) AS m2, avg(pow(raw - mu, 3)) AS m3, avg(pow(raw - mu, 4)) AS m4 FROM (SELECT *, avg(raw) OVER (PARTITION BY strategy_id) AS mu FROM dd WHERE raw IS NOT NULL) GROUP BY 1)", _FOUR))
@@ -334,7 +330,7 @@ def _(spark, d):
 
 def _returns(s: Study, names: list[str]) -> DataFrame:
     nav = metrics.with_drawdown(s.book(*names).nav).where("raw is not null")
-    return nav.join(s.rf.select("idx", "rf"), "idx").select("strategy_id", "idx", F.col("raw").alias("ret"), (F.col("raw") - F.col("rf")).alias("excess")).persist()
+    return nav.join(s.rf.select("idx", "rf"), "idx").select("strategy_id", "idx", F.col("raw").alias("ret"), (F.col("raw") - F.col("rf")).alias("excess"))
 
 
 @query("psr_dsr")
@@ -346,24 +342,18 @@ def _(spark, d):
     return m.select("strategy_id", stats.psr(*args, F.lit(0.0)).alias("psr"), stats.psr(*args, F.col("benchmark")).alias("dsr"))
 
 
-@query("pbo")
-def _(spark, d):
-    return stats.overfitting(_returns(Study(spark, d), _FOUR), 8)
+PBO_BLOCKS = 16
+_PBO = f"""bl AS (SELECT strategy_id, CAST(floor((idx - f) / floor(n / {PBO_BLOCKS})) AS INT) AS block, raw FROM dd, (SELECT min(idx) AS f, count(DISTINCT idx) AS n FROM dd WHERE raw IS NOT NULL) WHERE raw IS NOT NULL),
+bs AS (SELECT strategy_id, block, count(*) AS n, sum(raw) AS s, sum(raw * raw) AS q FROM bl WHERE block < {PBO_BLOCKS} GROUP BY 1, 2),
+cm AS (SELECT m FROM (SELECT unnest(range(0, {1 << PBO_BLOCKS})) AS m) WHERE bit_count(m) = {PBO_BLOCKS // 2}),
+io AS (SELECT m, strategy_id, (m >> block) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM cm CROSS JOIN bs GROUP BY 1, 2, 3),
+pf AS (SELECT m, strategy_id, max(CASE WHEN inside = 1 THEN v END) AS train, max(CASE WHEN inside = 0 THEN v END) AS test FROM (SELECT *, s / n / sqrt(greatest((q - s * s / n) / (n - 1), 0)) AS v FROM io) GROUP BY 1, 2),
+pk AS (SELECT *, rank() OVER (PARTITION BY m ORDER BY test) AS rk, count(*) OVER (PARTITION BY m) AS k, row_number() OVER (PARTITION BY m ORDER BY train DESC, strategy_id) AS pick FROM pf)"""
 
 
-@query("bootstrap_ci")
+@query("pbo", book_sql(f"SELECT * FROM (WITH {_PBO} SELECT m AS combo, strategy_id AS best, {s6('rk / (k + 1)', 'omega')}, {s6('ln(rk / (k + 1) / (1 - rk / (k + 1)))', 'logit')} FROM pk WHERE pick = 1)", _FOUR))
 def _(spark, d):
-    reps = stats.bootstrap_difference(_returns(Study(spark, d), _FOUR), "mom_ivol", "bh_market", 1000, 21, 42)
-    return stats.percentile_interval(reps, "diff", 0.05)
-
-
-@query("permutation_test")
-def _(spark, d):
-    r = _returns(Study(spark, d), _FOUR)
-    point = r.groupBy("strategy_id").agg(metrics.sharpe(F.col("excess")).alias("s")).agg((F.max(F.when(F.col("strategy_id") == "mom_ivol", F.col("s"))) - F.max(F.when(F.col("strategy_id") == "bh_market", F.col("s")))).alias("point"))
-    reps = stats.permutation(r, "mom_ivol", "bh_market", 1000, 21, 42)
-    beyond = F.count(F.when(F.abs("diff") >= F.abs("point") - 1e-12, 1))
-    return reps.join(F.broadcast(point)).groupBy("point").agg(((beyond + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    return stats.overfitting(_returns(Study(spark, d), _FOUR), PBO_BLOCKS).select("combo", "best", r6("omega"), r6("logit"))
 
 
 @query("pareto_front", book_sql(f"SELECT strategy_id, {s6('turnover')}, {s6('ann_vol')} FROM (SELECT a.* FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.strategy_id <> a.strategy_id AND b.turnover <= a.turnover AND b.ann_vol <= a.ann_vol AND (b.turnover < a.turnover OR b.ann_vol < a.ann_vol)))".replace("FROM (SELECT a.*", "FROM (WITH m AS (SELECT strategy_id, sum(turnover) * 252 / count(*) AS turnover, stddev_samp(raw) * sqrt(252) AS ann_vol FROM dd GROUP BY 1) SELECT a.*"), _FOUR))
@@ -380,7 +370,7 @@ def _(spark, d):
 
 @query("holdings_heatmap", book_sql(f"SELECT idx, ticker, {s6('coalesce(weight, 0)', 'weight')} FROM (SELECT DISTINCT idx FROM wts) CROSS JOIN (SELECT DISTINCT ticker FROM wts) LEFT JOIN wts USING (idx, ticker)", ["mom_only"]))
 def _(spark, d):
-    w = Study(spark, d).book("mom_only").weights.persist()
+    w = Study(spark, d).book("mom_only").weights
     grid = w.select("idx").distinct().crossJoin(w.select("ticker").distinct())
     return grid.join(w, ["idx", "ticker"], "left").select("idx", "ticker", r6(F.coalesce("weight", F.lit(0.0)), "weight"))
 
@@ -402,7 +392,13 @@ def _(spark, d):
 def _(spark, d):
     s = Study(spark, d)
     last = s.panel.where(F.col("idx") == s.last_idx).select("ticker", "idx")
-    return volatility.garch_vol(s.panel, last, C.horizon, C.lam)
+    return volatility.refit(s.panel, last, C.horizon)
+
+
+@query("gjr_volatility")
+def _(spark, d):
+    s = Study(spark, d)
+    return s.gjr_vol(s._selected().select(F.col("decision_idx").alias("epoch_idx"), "ticker")).select("ticker", "idx", r6("vol"))
 
 
 @query("erc_weights")

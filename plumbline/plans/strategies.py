@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import decay
 from plumbline.operators import backtest, portfolio, signals, volatility
 from plumbline.operators.signals import Config
 from plumbline.sources import market
+from plumbline.sources.tables import cut
 
 NAMES = ("bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_erc", "full_gjr")
 COLUMNS = ["strategy_id", "decision_idx", "exec_idx", "ticker", "weight"]
 
 
 class Study:
-    """One panel and its derived tables; a lazy plan, nothing is run here."""
+    """One panel and its derived tables. Tables that several plans read are written once, so that no plan nests another's."""
 
     def __init__(self, spark: SparkSession, d: str, cfg: Config | None = None) -> None:
         self.spark, self.cfg = spark, cfg or Config()
-        self.panel = market.panel(spark, d).persist()
-        self.rf = market.cash_rate(self.panel, market.rates(spark, d)).persist()
+        self.panel = cut(market.panel(spark, d), "panel")
+        self.rf = cut(market.cash_rate(self.panel, market.rates(spark, d)), "rf", 1)
         self.warmup = max(self.cfg.lookback + 1, self.cfg.min_history)
         self.last_idx = self.panel.agg(F.max("idx")).first()[0]
-        self.clock = signals.clock(self.panel, self.cfg, self.warmup).persist()
+        self.clock = cut(signals.clock(self.rf, self.cfg, self.warmup), "clock", 1)
         self._made: dict[str, DataFrame] = {}
 
-    def once(self, name: str, make) -> DataFrame:
-        """A table that several plans read, kept in memory or on disk by Spark."""
+    def once(self, name: str, make: Callable[[], DataFrame], partitions: int | None = None) -> DataFrame:
+        """A table that several plans read."""
         if name not in self._made:
-            self._made[name] = make().persist()
+            self._made[name] = cut(make(), name, partitions)
         return self._made[name]
 
     @property
@@ -84,22 +89,21 @@ class Study:
     def covariances(self, decisions: DataFrame, vol: DataFrame | None = None) -> DataFrame:
         """(idx, ticker_i, ticker_j, corr, cov) at each decision (idx, ticker): EWMA correlation of the residuals up to it.
 
-        The decay makes each sum a difference of running sums: S(t) = lam S(t-1) + ..., so one pass over days serves all
-        decisions of a pair, instead of one pass per decision.
+        The decay makes each sum a running sum: S(t) = lam S(t-1) + ..., so one pass over days serves all decisions of a
+        pair, instead of one pass per decision.
         """
         lam = self.cfg.lam
         at = decisions.select("idx", "ticker").distinct()
         two = at.select("idx", F.col("ticker").alias("ticker_i")).join(at.select("idx", F.col("ticker").alias("ticker_j")), "idx")
+        two = cut(two, "pairs")
         e = self.resid
         pairs = two.select("ticker_i", "ticker_j").distinct()
         xy = pairs.join(e.select(F.col("ticker").alias("ticker_i"), "idx", F.col("e").alias("x")), "ticker_i").join(e.select(F.col("ticker").alias("ticker_j"), "idx", F.col("e").alias("y")), ["ticker_j", "idx"])
         w = Window.partitionBy("ticker_i", "ticker_j").orderBy("idx")
-        xy = xy.withColumn("k", F.row_number().over(w))
-        past, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-        term = F.col("x") * F.col("y") * F.pow(F.lit(lam), -F.col("k"))
-        decay = F.pow(F.lit(lam), F.col("k") - 1)
-        s = decay * F.covar_samp("x", "y").over(past) + (1 - lam) * decay * F.coalesce(F.sum(term).over(before), F.lit(0.0))
-        s = two.join(xy.withColumn("s", s).select("ticker_i", "ticker_j", "idx", "s"), ["ticker_i", "ticker_j", "idx"])
+        seed = F.covar_samp("x", "y").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        xy = decay.with_decayed_sum(xy.withColumn("k", F.row_number().over(w)).withColumn("seed", seed), lam, F.col("x") * F.col("y"), ["ticker_i", "ticker_j"], "k", "upto")
+        s = F.pow(F.lit(lam), F.col("k") - 1) * F.col("seed") + (1 - lam) * (F.col("upto") - F.col("x") * F.col("y")) / lam
+        s = cut(two.join(xy.withColumn("s", s).select("ticker_i", "ticker_j", "idx", "s"), ["ticker_i", "ticker_j", "idx"]), "sums")
         d = s.where("ticker_i = ticker_j").select("idx", F.col("ticker_i").alias("t"), F.col("s").alias("d"))
         s = s.join(d.withColumnsRenamed({"t": "ticker_i", "d": "di"}), ["idx", "ticker_i"]).join(d.withColumnsRenamed({"t": "ticker_j", "d": "dj"}), ["idx", "ticker_j"])
         corr = F.when(F.col("ticker_i") == F.col("ticker_j"), 1.0).otherwise(F.col("s") / F.sqrt(F.col("di") * F.col("dj")))
@@ -107,17 +111,33 @@ class Study:
         s = s.join(v.select("idx", F.col("ticker").alias("ticker_i"), F.col("vol").alias("vi")), ["idx", "ticker_i"]).join(v.select("idx", F.col("ticker").alias("ticker_j"), F.col("vol").alias("vj")), ["idx", "ticker_j"])
         return s.select("idx", "ticker_i", "ticker_j", corr.alias("corr"), (F.col("vi") * corr * F.col("vj")).alias("cov"))
 
-    def exposures(self, risky: DataFrame, vol: DataFrame | None = None) -> DataFrame:
-        """(epoch_idx, idx, exec_idx, sigma_p, exposure, applied, blocked) from weights of each epoch (epoch_idx, ticker, weight)."""
-        rows = self.epochs().join(risky.select("epoch_idx", "ticker", "weight"), "epoch_idx")
+    def sigmas(self, risky: DataFrame, vol: DataFrame | None = None) -> DataFrame:
+        """(epoch_idx, idx, exec_idx, sigma_p) at every decision, from weights of each epoch (epoch_idx, ticker, weight)."""
+        rows = cut(self.epochs().join(risky.select("epoch_idx", "ticker", "weight"), "epoch_idx"), "risky")
         cov = self.covariances(rows, vol)
         wi = rows.select("epoch_idx", "idx", "exec_idx", F.col("ticker").alias("ticker_i"), F.col("weight").alias("wi"))
         wj = rows.select("idx", F.col("ticker").alias("ticker_j"), F.col("weight").alias("wj"))
         s = cov.join(wi, ["idx", "ticker_i"]).join(wj, ["idx", "ticker_j"])
         s = s.groupBy("epoch_idx", "idx", "exec_idx").agg(F.sqrt(F.greatest(F.sum(F.col("wi") * F.col("cov") * F.col("wj")), F.lit(0.0))).alias("sigma_p"))
-        s = s.withColumn("exposure", portfolio.target_exposure(F.col("sigma_p"), self.cfg.sigma_star, self.cfg.e_min))
-        fold = portfolio.banded(s, ["epoch_idx"], "idx", "exposure", self.cfg.band, self.cfg.band_mode)
-        return s.join(fold.select("epoch_idx", "idx", "applied", "blocked"), ["epoch_idx", "idx"])
+        return cut(s, "sigma")
+
+    def exposures(self, risky: DataFrame, vol: DataFrame | None = None) -> DataFrame:
+        """(epoch_idx, idx, exec_idx, sigma_p, exposure, applied, blocked) from weights of each epoch."""
+        return self._banded(self.sigmas(risky, vol))
+
+    def _banded(self, s: DataFrame) -> DataFrame:
+        s = s.withColumn("exposure", portfolio.target_exposure(F.col("sigma_p"), F.lit(self.cfg.sigma_star), self.cfg.e_min))
+        fold = portfolio.banded(s, ["epoch_idx"], "idx", "exposure", F.lit(self.cfg.band), F.lit(self.cfg.band_mode))
+        return cut(s.join(fold.select("epoch_idx", "idx", "applied", "blocked"), ["epoch_idx", "idx"]), "exposures")
+
+    def grid(self, sigma: DataFrame, cells: DataFrame) -> DataFrame:
+        """(cell, epoch_idx, idx, exec_idx, exposure, applied, blocked): the exposures of sigma (epoch_idx, idx, exec_idx,
+        sigma_p) under the settings of every cell (cell, sigma_star, band, band_mode); cells are few rows."""
+        s = sigma.crossJoin(F.broadcast(cells))
+        s = s.withColumn("exposure", portfolio.target_exposure(F.col("sigma_p"), F.col("sigma_star"), self.cfg.e_min))
+        by = ["cell", "epoch_idx", "band", "band_mode"]
+        fold = portfolio.banded(s, by, "idx", "exposure", F.col("band"), F.col("band_mode"))
+        return cut(s.join(fold.select("cell", "epoch_idx", "idx", "applied", "blocked"), ["cell", "epoch_idx", "idx"]), "grid")
 
     def _scaled(self, routed: DataFrame, exposures: DataFrame) -> DataFrame:
         """Targets of the decisions that the band lets through: risky weights times exposure, the rest in cash."""
@@ -143,18 +163,22 @@ class Study:
         risky = chosen.select("epoch_idx", "ticker", "passes").join(weights, ["epoch_idx", "ticker"])
         return self._scaled(portfolio.route_to_cash(risky, ["epoch_idx"]), self.exposures(risky))
 
+    def gjr_vol(self, chosen: DataFrame) -> DataFrame:
+        """(ticker, idx, vol): parameters are estimated on selection days; on the days in between the filter runs on."""
+        days = self.once("gjr_days", lambda: self.epochs().join(chosen, "epoch_idx").select("ticker", "idx", F.col("epoch_idx").alias("of_idx")).distinct())
+        fits = self.once("gjr_fits", lambda: volatility.refit(self.panel, days.where("idx = of_idx").repartition("ticker", "idx"), self.cfg.horizon, True))
+        return self.once("gjr", lambda: volatility.filter_vol(self.panel, fits, days, self.cfg.horizon, self.cfg.lam).select("ticker", "idx", "vol"))
+
     def _full_gjr(self) -> DataFrame:
         chosen = self._selected().withColumnRenamed("decision_idx", "epoch_idx")
-        asked = self.epochs().join(chosen.select("epoch_idx", "ticker"), "epoch_idx").select("ticker", "idx").distinct()
-        vol = self.once("gjr", lambda: volatility.garch_vol(self.panel, asked, self.cfg.horizon, self.cfg.lam, True).select("ticker", "idx", "vol"))
+        vol = self.gjr_vol(chosen.select("epoch_idx", "ticker"))
         priced = chosen.join(vol.withColumnRenamed("idx", "epoch_idx"), ["epoch_idx", "ticker"])
         risky = portfolio.inverse_vol(priced, "vol", ["epoch_idx"])
         return self._scaled(portfolio.route_to_cash(risky, ["epoch_idx"]), self.exposures(risky, vol))
 
     def book(self, *names: str) -> backtest.Book:
-        targets = None
-        for name in names:
-            t = self.targets(name)
-            targets = t if targets is None else targets.unionByName(t)
-        targets = self.once("targets:" + ",".join(names), lambda: targets)
+        targets = reduce(DataFrame.unionByName, map(self.targets, names))
+        return self.book_of(self.once("targets-" + "-".join(names), lambda: targets))
+
+    def book_of(self, targets: DataFrame) -> backtest.Book:
         return backtest.run(targets, self.panel, self.rf, self.warmup, self.last_idx, self.cfg.bps)

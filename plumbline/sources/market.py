@@ -54,3 +54,11 @@ def cash_rate(panel: DataFrame, r: DataFrame) -> DataFrame:
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     return with_returns(dense(bars(spark, d)))
+
+
+def last_close(b: DataFrame, at: str) -> DataFrame:
+    """(ticker, date, close) of every ticker's last bar up to a day; an error for a ticker that has none yet."""
+    here = F.col("date") <= F.lit(at).cast("date")
+    out = b.groupBy("ticker").agg(F.max(F.when(here, F.col("date"))).alias("date"), F.max_by(F.when(here, F.col("close")), F.when(here, F.col("date"))).alias("close"))
+    none = F.raise_error(F.concat(F.lit("no price yet: "), "ticker"))
+    return out.withColumn("close", F.when(F.col("date").isNull(), none).otherwise(F.col("close")))

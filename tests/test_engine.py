@@ -64,7 +64,7 @@ def test_top_k_ties_and_routing(spark):
 
 def test_band_blocks_on_equality(spark):
     rows = spark.createDataFrame([(0, 0, 0.5), (0, 2, 0.625), (0, 4, 0.75), (0, 6, 0.76), (1, 8, 0.2)], "epoch int, idx int, e double")
-    got = {r.idx: (r.applied, r.blocked) for r in portfolio.banded(rows, ["epoch"], "idx", "e", 0.125, "absolute").collect()}
+    got = {r.idx: (r.applied, r.blocked) for r in portfolio.banded(rows, ["epoch"], "idx", "e", F.lit(0.125), F.lit("absolute")).collect()}
     assert got == {0: (0.5, False), 2: (0.5, True), 4: (0.75, False), 6: (0.75, True), 8: (0.2, False)}
 
 
@@ -132,7 +132,8 @@ def test_overfitting_equals_brute_force(spark):
     r = {s: rng.normal(0.001 * i, 0.02, 48) for i, s in enumerate("abcde")}
     df = spark.createDataFrame([(s, i, float(x)) for s, v in r.items() for i, x in enumerate(v)], "strategy_id string, idx int, ret double")
     got = {x.combo: (x.best, x.omega) for x in stats.overfitting(df, 6).collect()}
-    for k, c in enumerate(combinations(range(6), 3)):
+    for c in combinations(range(6), 3):
+        k = sum(1 << i for i in c)
         inside = np.isin(np.arange(48) // 8, c)
         f = lambda v: v.mean() / v.std(ddof=1)
         best = max(r, key=lambda s: f(r[s][inside]))
@@ -141,13 +142,56 @@ def test_overfitting_equals_brute_force(spark):
 
 
 def test_bootstrap_blocks_and_interval(spark):
-    at = stats.bootstrap_indices(5000, 20, np.random.default_rng(1))
-    runs = 1 + np.count_nonzero((np.diff(at) % 5000) != 1)
-    assert 150 < runs < 350 and at.min() >= 0 and at.max() < 5000
-    out = stats.percentile_interval(spark.createDataFrame([(float(i),) for i in range(1, 102)], "x double"), "x", 0.1).first()
+    rows = stats.bootstrap_days(spark, 400, 10, 20, 7).collect()
+    assert len(rows) == 4000 and {(r.rep, r.t) for r in rows} == {(i, t) for i in range(10) for t in range(400)}
+    at = {(r.rep, r.t): r.at for r in rows}
+    breaks = sum((at[i, t] - at[i, t - 1]) % 400 != 1 for i in range(10) for t in range(1, 400))
+    assert 130 < breaks < 270 and all(0 <= x < 400 for x in at.values())
+    assert sorted(at.items()) == sorted(((r.rep, r.t), r.at) for r in stats.bootstrap_days(spark, 400, 10, 20, 7).collect())
+    lo, hi, zero = stats.interval("x", 0.1)
+    out = spark.createDataFrame([*((float(i),) for i in range(1, 102)), (float("nan"),), (float("inf"),)], "x double").agg(lo, hi, zero).first()
     assert (out.lo, out.hi, out.excludes_zero) == (6.0, 96.0, True)
 
 
+def _returns(spark, n=60):
+    rng = np.random.default_rng(3)
+    r = {s: rng.normal(0.001 * i, 0.01, n) for i, s in enumerate("ab")}
+    return r, spark.createDataFrame([(s, i, float(x), float(x) - 1e-4) for s, v in r.items() for i, x in enumerate(v)], "strategy_id string, t int, ret double, excess double")
+
+
+def _numbers(r):
+    e = r - 1e-4
+    nav = np.append(1.0, np.cumprod(1 + r))
+    fall = (nav / np.maximum.accumulate(nav) - 1).min()
+    return {"sharpe": e.mean() / e.std(ddof=1) * 252**0.5, "max_drawdown": fall, "calmar": (nav[-1] ** (252 / len(r)) - 1) / abs(fall)}
+
+
+def test_bootstrap_and_permutation_equal_numpy(spark):
+    r, df = _returns(spark)
+    days = {}
+    for x in stats.bootstrap_days(spark, 60, 5, 10, 42).collect():
+        days.setdefault(x.rep, {})[x.t] = x.at
+    got = {(x.rep, x.strategy_id, x.metric): x.value for x in stats.bootstrap(df, 5, 10, 42).collect()}
+    for rep, at in days.items():
+        order = [at[t] for t in range(60)]
+        for s, v in r.items():
+            for metric, value in _numbers(v[order]).items():
+                assert got[rep, s, metric] == pytest.approx(value)
+    swaps = {}
+    for x in stats.swapped_days(spark, 60, 5, 10, 42).collect():
+        swaps.setdefault(x.rep, {})[x.t] = x.swap
+    pairs = spark.createDataFrame([("b", "a")], "left string, right string")
+    drawn = {(x.rep, x.metric): x.diff for x in stats.permutation(df, pairs, 5, 10, 42).collect()}
+    for rep, mask in swaps.items():
+        m = np.array([mask[t] for t in range(60)])
+        left, right = _numbers(np.where(m, r["a"], r["b"])), _numbers(np.where(m, r["b"], r["a"]))
+        for metric in left:
+            assert drawn[rep, metric] == pytest.approx(left[metric] - right[metric])
+    observed = stats.pair_differences(stats.long_metrics(stats.sample_metrics(df, ["strategy_id"]), ["strategy_id"]), pairs, [])
+    p = {x.metric: x.p_value for x in stats.p_values(stats.permutation(df, pairs, 5, 10, 42), observed).collect()}
+    assert set(p) == set(stats.METRICS) and all(1 / 6 <= v <= 1 for v in p.values())
+
+
 def test_pareto_front(spark):
     pts = spark.createDataFrame([("a", 1.0, 3.0), ("b", 2.0, 2.0), ("c", 2.5, 2.5), ("d", 3.0, 1.0)], "strategy_id string, x double, y double")
     assert sorted(r.strategy_id for r in stats.pareto_front(pts, "x", "y").collect()) == ["a", "b", "d"]
