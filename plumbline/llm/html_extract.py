@@ -11,8 +11,11 @@ stay. Pages with the same own blocks (mirrors) count as one. A short block betwe
 that would lose all of its text keeps it. A host of fewer than PAGES different pages, or no host, has no interval: what
 repeats cannot be told there.
 
-The suffix array is never built in one task: an interval is a group of the suffixes' first SPAN tokens, so intervals form by
-aggregation over (host, tokens), and a host with a third of all pages is no hot group. Only suffixes whose words are each
+The suffix array is never built in one task. What its maximal repeats of SPAN tokens or more cover is what its intervals of
+depth SPAN cover: each run of SPAN tokens in such a repeat stands on as many pages at least, and each run on that many pages
+is part of a repeat (the tests compare with a suffix array built in one piece). An interval of depth SPAN is a group of the
+suffixes' first SPAN tokens, so intervals form by aggregation over (host, tokens), and a host with a third of all pages is
+no hot group. Only suffixes whose words are each
 frequent on the host are grouped; words are counted first, in buckets, which can only add suffixes.
 
 Defined cases: null html is empty and gives an empty text; a page without blocks gives an empty text; rows that repeat
@@ -66,7 +69,8 @@ LAYOUT = frozenset(
 NEGATIONS = frozenset("has have no non not with without hide hidden".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_QUOTES_OR_END = re.compile("[>\"']")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s]+))|([^\s=/]+)""")
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -110,11 +114,53 @@ def _place(tag: str, attributes: str, in_main: bool) -> str | None:
     return IN_NAMED if named else None
 
 
+class _Markup:
+    """Where the markup of a page begins and ends, found in one pass. A tag ends at the first `>` outside quotes; on a page
+    whose quotes do not close, tags end at the first `>` from there on. A `<` that opens nothing is text."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, tag, closes, attributes) of the first markup from `at` on; comments have no tag."""
+        page, n = self.page, len(self.page)
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, n if end < 0 else end + 3, "", False, ""
+            if at > self.last:
+                return None
+            after = page[at + 1 : at + 2]
+            if after in ("!", "?"):
+                return at, page.find(">", at) + 1, "", False, ""
+            closes = after == "/"
+            begin = at + 1 + closes
+            if page[begin : begin + 1].isascii() and page[begin : begin + 1].isalpha():
+                name_end = _NAME_END.search(page, begin).start()
+                end = self._end(name_end)
+                return at, end + 1, page[begin:name_end].lower(), closes, page[name_end:end]
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int:
+        start = at
+        while self.quoted:
+            at = _QUOTES_OR_END.search(self.page, at)
+            at = -1 if at is None else at.start()
+            if at >= 0 and self.page[at] == ">":
+                return at
+            at = self.page.find(self.page[at], at + 1) + 1 if at >= 0 else 0
+            self.quoted = at > 0
+        return self.page.find(">", start)
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(part, text) of every block in page order."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # open elements with the part of the page inside them
+    opened_tags: dict[str, int] = {}
     part, held, at = IN_OPEN, [], 0
+    markup = _Markup(page)
 
     def close() -> None:
         if held:
@@ -123,40 +169,40 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 out.append((part, text))
             held.clear()
 
+    def pop(k: int) -> None:
+        """Closes the elements from number k on."""
+        nonlocal part
+        inside = stack[k - 1][1] if k else IN_OPEN
+        if inside != part:
+            close()
+        for tag, _ in stack[k:]:
+            opened_tags[tag] -= 1
+        del stack[k:]
+        part = inside
+
     n = len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else n
-        if stop > at and part:
-            held.append(page[at:stop])
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        found = markup.next(at)
+        start, end, tag, closes, attributes = found or (n, n, "", False, "")
+        if start > at and part:
+            held.append(page[at:start])
+        at = end
         if not tag:
             continue
-        ends = m[1] or m[4]
         if tag in BREAKS or tag in SILENT or tag in AROUND:
             close()
-        if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    inside = stack[k - 1][1] if k else IN_OPEN
-                    if inside != part:
-                        close()
-                    del stack[k:]
-                    part = inside
-                    break
+        if closes:
+            if opened_tags.get(tag):
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = end.start() if end else n
+            end_tag = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            at = end_tag.start() if end_tag else n
         if tag in ("p", "li", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
-            part = stack[-1][1] if stack else IN_OPEN
-        opened = _place(tag, m[3] or m[6] or "", part in (IN_MAIN, IN_NESTED))
+            pop(len(stack) - 1)
+        opened = _place(tag, attributes, part in (IN_MAIN, IN_NESTED))
         inside = part if part in ("", IN_AROUND) or opened is None else opened
         if inside == IN_MAIN and part in (IN_NAMED, IN_NESTED):
             inside = IN_NESTED
@@ -165,6 +211,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if inside != part:
             close()
         stack.append((tag, inside))
+        opened_tags[tag] = opened_tags.get(tag, 0) + 1
         part = inside
     close()
     return out

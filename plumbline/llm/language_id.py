@@ -38,8 +38,9 @@ _CLASS[97:123] = np.arange(97, 123)
 _CLASS[65:91] = np.arange(97, 123)
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(byte classes, row of each) of about SLICE bytes, a blank before every row; long rows come in overlapping parts."""
+def _slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(byte classes, row of each, how many of them the slice before had) of about SLICE bytes, a blank before every row; long
+    rows come in parts that repeat three bytes, so that each subword ends in the new bytes of one part."""
     data, offs = shingles.string_bytes(column)
     row, n = 0, len(offs) - 1
     while row < n:
@@ -50,18 +51,18 @@ def _slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for at in range(0, max(len(text), 1), shingles.SLICE):
                 part = _CLASS[text[max(at - 3, 0) : at + shingles.SLICE]]
                 part = np.concatenate([np.zeros(1 if at == 0 else 0, np.uint32), part, np.zeros(1 if at + shingles.SLICE >= len(text) else 0, np.uint32)])
-                yield part, np.full(len(part), row)
+                yield part, np.full(len(part), row), min(at, 3)
         else:
             rows = np.repeat(np.arange(last - row), lengths + 1)
             out = np.zeros(len(text) + last - row + 1, np.uint32)
             out[np.arange(len(text)) + np.repeat(np.arange(last - row), lengths) + 1] = _CLASS[text]
-            yield out, np.append(rows, last - row - 1) + row
+            yield out, np.append(rows, last - row - 1) + row, 0
         row = last
 
 
 def subwords(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, rows) of all subwords, slice by slice."""
-    for c, rows in _slices(column):
+    for c, rows, old in _slices(column):
         m = len(c)
         found, owners = [], []
         for width in (2, 3, 4):
@@ -70,6 +71,7 @@ def subwords(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             k = m - width + 1
             value = np.full(k, width * 0x51ED27, np.uint32)
             good = rows[:k] == rows[width - 1 :]
+            good[: max(0, old - width + 1)] = False
             for j in range(width):
                 value = value * np.uint32(0x01000193) ^ c[j : j + k]
                 if 0 < j < width - 1:

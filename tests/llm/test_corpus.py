@@ -361,3 +361,67 @@ def test_quality_limits_cover_all_trusted(spark):
         assert {round(r.limit, 9) for r in mine} == {round(min(r.mean_logp for r in mine) - quality_lm.MARGIN, 9)}
     picked = {r.learned for r in quality_lm._sample(docs.select("doc_id", "lang"), 30).collect()}
     assert set(range(200, 211)) <= picked and len(picked) < 60
+
+
+def _repeats_cover(pages, span, need):
+    """Tokens covered by maximal repeats that `need` pages share, by a suffix array with its longest common prefixes."""
+    stream = [(w, p, b, k) for p, blocks in enumerate(pages) for b, block in enumerate(blocks) for k, w in enumerate([*block, None])]
+    tail = [tuple(w for w, *_ in stream[i:]) for i in range(len(stream))]
+    tail = [t[: t.index(None)] for t in tail]  # a suffix ends with its block
+    order = sorted((i for i in range(len(stream)) if tail[i]), key=tail.__getitem__)
+    lcp = [0, *(next((k for k, (a, b) in enumerate(zip(tail[x], tail[y], strict=False)) if a != b), min(len(tail[x]), len(tail[y]))) for x, y in zip(order, order[1:], strict=False)), 0]
+    covered = set()
+    for depth in sorted({d for d in lcp if d >= span}):
+        start = 0
+        for j in range(1, len(order) + 1):
+            if lcp[j] < depth:
+                run = order[start:j]
+                if len({stream[i][1] for i in run}) >= need:
+                    covered |= {(stream[i][1], stream[i][2], stream[i][3] + k) for i in run if len(tail[i]) >= depth for k in range(depth)}
+                start = j
+    return covered
+
+
+def test_html_intervals_cover_what_a_suffix_array_does():
+    rng = random.Random(5)
+    for _ in range(20):
+        phrases = [[f"t{rng.randrange(40)}" for _ in range(rng.randint(8, 25))] for _ in range(4)]
+        pages = []
+        for p in range(5):
+            pages.append([[*(f"u{p}x{rng.randrange(9)}" for _ in range(rng.randint(0, 6))), *rng.choice(phrases)[rng.randint(0, 3) :], *(f"v{p}y{rng.randrange(9)}" for _ in range(rng.randint(3, 9)))] for _ in range(3)])
+        heads = Counter()
+        for blocks in pages:
+            heads.update({" ".join(b[k : k + 8]) for b in blocks for k in range(len(b) - 7)})
+        met = frozenset(h for h, n in heads.items() if n >= 3)
+        covered = _repeats_cover(pages, 8, 3)
+        for p, blocks in enumerate(pages):
+            left = [" ".join(w for k, w in enumerate(b) if (p, i, k) not in covered) for i, b in enumerate(blocks)]
+            assert html_extract._left([" ".join(b) for b in blocks], met) == "\n".join(x for x in left if x)
+
+
+def test_html_is_read_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    bad = ["<a ", "<a '>' ", "<div>", "<", "<!", "<!--", "</p", "<a b=\"", "<p><b>", "<script>", "&amp", "<a ' \" >"]
+    for unit in bad:
+        html_extract.blocks(unit * 100_000)
+        html_extract.blocks(unit * 50_000 + "</p>" * 50_000 + '"')
+    assert time.perf_counter() - began < 60
+    assert html_extract.blocks("<p>a < b and 3 <4</p>x") == [("open", "a < b and 3 <4"), ("open", "x")]
+    assert html_extract.blocks("<p title='a>b'>one</p><!-- <p>no</p> --><p>two") == [("open", "one"), ("open", "two")]
+
+
+def test_language_score_does_not_depend_on_slices(spark):
+    text = "some words of a text that is long " * 9000
+    whole = Counter()
+    for found, _ in language_id.subwords(pa.array([text])):
+        whole.update(found.tolist())
+    size, shingles.SLICE = shingles.SLICE, 1 << 24
+    try:
+        one = Counter()
+        for found, _ in language_id.subwords(pa.array([text])):
+            one.update(found.tolist())
+    finally:
+        shingles.SLICE = size
+    assert whole == one
