@@ -5,9 +5,11 @@ P(word | previous) = P(class | class of previous) * P(word | class). Every word
    in that list. Word counts over all blocks come from one aggregation of the blocks' lists.
 2. The CLASSES - 1 most frequent words seed the classes; any other word goes where it is found beside most, relative to
    the seed's frequency; words beside no seed share the last class.
-3. Exchange rounds: each block counts, for its words, the classes to their left and right; a word's counts from all
-   blocks meet, and it moves to the class under which its neighbours are likeliest given the class bigrams of the round.
-   All words move at once against the same bigrams.
+3. Exchange rounds, ROUNDS at most: each block counts, for its words, the classes to their left and right; a word's counts
+   from all blocks meet, and it moves to the class under which its neighbours are likeliest given the class bigrams of the
+   round. Half of the words may move in a round, the other half in the next, as words that move at once may undo each
+   other's gain. The next bigrams give the likelihood of the classes moved to: if it did not rise, the classes before are
+   taken back and the rounds end.
 4. With the final classes, every text becomes a sequence of classes; the bigrams of the training texts are counted, and
    every text is scored.
 
@@ -32,11 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shingles
-from plumbline.llm.common import materialize
+from plumbline.llm.common import materialize, release
 
 CLASSES = 64
 BLOCK_BYTES = 16_000_000
-ROUNDS = 1
+#: Exchange rounds at most; they end when the likelihood no longer rises.
+ROUNDS = 3
 #: States: classes, then the end, then unknown words.
 END, UNKNOWN = CLASSES, CLASSES + 1
 SIDE = CLASSES + 1
@@ -64,7 +67,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], schema=_BLOCK)
 
     for batch in batches:
-        doc_id, learn = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        doc_id, learn = batch.column(0).fill_null(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+        learn = learn + 2 * batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)  # train: 1, no doc_id: 2
         for first, rows, h, owner in shingles.word_hashes(batch.column(1)):
             ids.append(doc_id[first : first + rows])
             train.append(learn[first : first + rows])
@@ -78,10 +82,10 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _open(row: dict) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     kinds = {"doc_id": "<i8", "lengths": "<i4", "train": np.uint8, "tokens": np.uint8, "words": "<u8"}
     ids, lengths, train, tokens, words = (np.frombuffer(row[c], k) for c, k in kinds.items())
-    return ids, lengths, train.astype(bool), np.ascontiguousarray(tokens.reshape(4, -1).T).view("<i4").ravel(), words
+    return pa.array(ids, mask=train & 2 > 0), lengths, train & 1 > 0, np.ascontiguousarray(tokens.reshape(4, -1).T).view("<i4").ravel(), words
 
 
 def _with_ends(values: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
@@ -219,6 +223,21 @@ def _seed_weights(frequency: np.ndarray) -> np.ndarray:
     return out
 
 
+def likelihood(bigrams: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, less what the words alone give (the same for all classes): Brown's criterion."""
+    n, rows, columns = bigrams[bigrams > 0], bigrams.sum(axis=1), bigrams.sum(axis=0)
+    each = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return each(n) - each(rows) - each(columns)
+
+
+def _exchanged(table: DataFrame, moved: DataFrame, turn: int) -> DataFrame:
+    """The table with the classes of half of its words moved."""
+    half = F.pmod(F.xxhash64("word"), F.lit(2)) == turn % 2
+    to = moved.select("word", F.col("class").alias("to"))
+    joined = table.join(to, "word", "left")
+    return materialize(joined.select("word", "c", F.when(half, F.coalesce("to", "class")).otherwise(F.col("class")).alias("class")), "brown-classes")
+
+
 def _lexicon(lists: DataFrame, table: DataFrame) -> DataFrame:
     """(block, place, class, c) for the known words of every block."""
     return lists.select("block", "place", "word").join(table, "word").select("block", "place", F.col("class").cast("int").alias("class"), "c")
@@ -249,7 +268,7 @@ def _sequences(n_tokens: int, n_kinds: int, n_ends: int, totals: np.ndarray, kin
             line = classes[tokens]
             at = np.append(0, np.cumsum(lengths)).astype(np.int32)
             lines = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(line))])
-            columns = [pa.array(x) for x in (doc_id, train, lengths.astype(np.int64) + 1, known, base, emitted)]
+            columns = [doc_id, *(pa.array(x) for x in (train, lengths.astype(np.int64) + 1, known, base, emitted))]
             out.append(pa.RecordBatch.from_arrays([*columns, lines], schema=fields))
         return pa.Table.from_batches(out, schema=fields)
 
@@ -318,14 +337,32 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     top.sort(key=lambda r: r["word"] % (1 << 64))
     seeds = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     neighbours = blocks.mapInArrow(_seed_sides(seeds), "word long, sides binary, a int, b int, n long")
-    classes = _moved(neighbours, _seed_weights(np.array([r["c"] for r in top], float)))
-    for _ in range(ROUNDS):
-        table = _classed(counts, classes)
+    table = _classed(counts, _moved(neighbours, _seed_weights(np.array([r["c"] for r in top], float))))
+    best, before = -np.inf, None
+    for turn in range(ROUNDS):
         joined = blocks.groupBy("block").cogroup(_lexicon(lists, table).groupBy("block"))
         neighbours = materialize(joined.applyInArrow(_class_sides, "word long, sides binary, a int, b int, n long"), "brown-neighbours")
-        classes = _moved(neighbours, _exchange_weights(_bigrams(neighbours)))
-    table = _classed(counts, classes)
+        bigrams = _bigrams(neighbours)
+        if (reached := likelihood(bigrams)) <= best:
+            release(neighbours, table)
+            table, before = before, None
+            break
+        superseded = [neighbours] if before is None else [neighbours, before]
+        best, before = reached, table
+        table = _exchanged(table, _moved(neighbours, _exchange_weights(bigrams)), turn)
+        release(*superseded)
+
+    made, bigrams, totals, kinds = _classify(blocks, lists, table, n_tokens, n_types, n_ends)
+    if before is not None and likelihood(bigrams) <= best:  # the last moves were not good
+        release(made)
+        made, bigrams, totals, kinds = _classify(blocks, lists, before, n_tokens, n_types, n_ends)
+    release(*(t for t in (table, before, blocks, counts) if t is not None))
+    scored = made.mapInArrow(_score(_log_steps(bigrams, totals, kinds)), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumn("train_tokens", F.lit(n_tokens).cast("long"))
+
 
+def _classify(blocks: DataFrame, lists: DataFrame, table: DataFrame, n_tokens: int, n_types: int, n_ends: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Every text's class sequence, the training texts' class bigrams, and the classes' token and word counts."""
     totals, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in table.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).collect():  # CLASSES rows
         totals[r["class"]], kinds[r["class"]] = r["c"], r["k"]
@@ -333,5 +370,4 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     made = joined.applyInArrow(_sequences(n_tokens, n_types, n_ends, totals, kinds), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, emission double, classes binary")
     made = materialize(made, "brown-sequences")
     bigrams = _bigrams(made.where("train").select("classes").mapInArrow(_count_bigrams, "a int, b int, n long"))
-    scored = made.mapInArrow(_score(_log_steps(bigrams, totals, kinds)), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(n_tokens).cast("long"))
+    return made, bigrams, totals, kinds

@@ -313,12 +313,32 @@ def _worth() -> Column:
     return apart & _near_sizes("n", "p_n") & _reachable("n", "pos", "p_n", "p_pos") & ~outside
 
 
+def _at_home(active: DataFrame, distances: _Distances) -> DataFrame:
+    """active with cells: every document has met the first pivot of its largest region. Groups of near copies share many
+    regions, and their largest one connects most of them before the others are looked at."""
+    sized = materialize(active.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node")).alias("p")), "jaccard-homes")
+    home = active.select("region", "node").join(sized.select("region", "size"), "region").groupBy("node").agg(F.max(F.struct("size", "region")).alias("home"))
+    rows = home.select("node", "home.region").join(active, ["node", "region"]).join(sized.select("region", *(F.col("p")[c].alias(f"p_{c}") for c in ("node", "n", "pos"))), "region")
+    distances.look_at(rows.where((F.col("node") != F.col("p_node")) & _near_sizes("n", "p_n") & _reachable("n", "pos", "p_n", "p_pos")).select(*_pair("node", "p_node")))
+    with_cells = active.drop("cell").join(distances.cells, "node", "left")
+    with_cells = with_cells.select("region", "node", "n", "pos", F.coalesce("component", "node").alias("cell"), "ds")
+    out = materialize(_open_regions(materialize(with_cells, "jaccard-left")), "jaccard-active")
+    release(active, sized)
+    return out
+
+
+def _open_regions(rows: DataFrame) -> DataFrame:
+    """Rows of regions that hold more than one cell."""
+    more = rows.groupBy("region").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo != hi").select("region")
+    return rows.join(more, "region", "left_semi")
+
+
 def _join_regions(regions: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of all classes that have links, from the regions' rows (region, node, n, pos)."""
     distances = _Distances(docs, classes)
     carried = ("node", "n", "pos", "cell", "ds")
     active = regions.select("region", "node", "n", "pos", F.col("node").alias("cell"), F.array().cast("array<struct<lo:double,hi:double>>").alias("ds"))
-    active = materialize(active, "jaccard-active")
+    active = _at_home(materialize(active, "jaccard-active"), distances)
     pivots_each = 1
     while True:
         largest = active.groupBy("region").count().agg(F.max("count")).first()[0] or 0
@@ -338,9 +358,8 @@ def _join_regions(regions: DataFrame, docs: DataFrame, classes: DataFrame) -> Da
         left = left.join(lead_d, ["region", "node"], "left").join(distances.cells, "node", "left")
         left = left.select("region", "node", "n", "pos", F.coalesce("component", "node").alias("cell"), F.concat("ds", F.array("lead_d")).alias("ds"))
         left = materialize(left, "jaccard-left")
-        open_ = left.groupBy("region").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo != hi").select("region")
         superseded = (active, pivots, met, left)
-        active = materialize(left.join(open_, "region", "left_semi"), "jaccard-active")
+        active = materialize(_open_regions(left), "jaccard-active")
         release(*superseded)
         pivots_each *= GROWTH
     other = active.select("region", *(F.col(c).alias(f"p_{c}") for c in carried))

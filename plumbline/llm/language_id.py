@@ -39,8 +39,8 @@ _CLASS[65:91] = np.arange(97, 123)
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(byte classes, row of each, how many of them the slice before had) of about SLICE bytes, a blank before every row; long
-    rows come in parts that repeat three bytes, so that each subword ends in the new bytes of one part."""
+    """(byte classes, row of each, how many of them the slice before had) of about SLICE bytes, a blank before and after every row;
+    long rows come in parts that repeat three bytes, so that each subword ends in the new bytes of one part."""
     data, offs = shingles.string_bytes(column)
     row, n = 0, len(offs) - 1
     while row < n:
@@ -53,10 +53,10 @@ def _slices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
                 part = np.concatenate([np.zeros(1 if at == 0 else 0, np.uint32), part, np.zeros(1 if at + shingles.SLICE >= len(text) else 0, np.uint32)])
                 yield part, np.full(len(part), row), min(at, 3)
         else:
-            rows = np.repeat(np.arange(last - row), lengths + 1)
-            out = np.zeros(len(text) + last - row + 1, np.uint32)
-            out[np.arange(len(text)) + np.repeat(np.arange(last - row), lengths) + 1] = _CLASS[text]
-            yield out, np.append(rows, last - row - 1) + row, 0
+            rows = np.repeat(np.arange(last - row), lengths + 2)
+            out = np.zeros(len(rows), np.uint32)
+            out[np.arange(len(text)) + 2 * np.repeat(np.arange(last - row), lengths) + 1] = _CLASS[text]
+            yield out, rows + row, 0
         row = last
 
 

@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import materialize, row_hash
 
 MIN_LENGTH, MIN_COUNT = 16, 5
 TRAIN_ROWS, TREES, DEPTH = 20_000, 20, 6
@@ -60,10 +60,10 @@ def findings(docs: DataFrame) -> DataFrame:
 
     The candidates are the separators of a split, so piece i is the text between candidates i - 1 and i.
     """
-    found = docs.where(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
+    found = docs.where(F.col("text").rlike(CANDIDATE)).withColumn("row", row_hash(F.col("doc_id"), F.col("text")))
     parts = F.arrays_zip(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("candidate"), F.transform(F.split("text", CANDIDATE), _tail).alias("before"))
     found = found.select("doc_id", "row", F.posexplode(parts).alias("at", "part")).where("part.candidate is not null")
-    found = found.select("doc_id", "row", "at", "part.candidate", "part.before.tail", "part.before.n")
+    found = found.select("doc_id", "row", "at", "part.candidate", "part.before.tail", "part.before.n").repartition("row").dropDuplicates(["row", "at"])
     w = Window.partitionBy("row").orderBy("at")
     start = F.sum(F.col("n") + F.length("candidate")).over(w) - F.length("candidate") + 1
     near = F.concat(F.when(F.col("n") < CONTEXT_LENGTH, F.lag("candidate", 1, "").over(w)).otherwise(F.lit("")), "tail")

@@ -229,6 +229,25 @@ def test_brown_scores(docs, rows, empty):
     assert brown_lm.score_texts(empty, train).count() == 0
 
 
+def test_brown_likelihood_is_mutual_information_and_never_falls(spark, monkeypatch):
+    rng = random.Random(9)
+    nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(w for _ in range(rng.randint(10, 40)) for w in (rng.choice(nouns), rng.choice(verbs)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    reached = []
+    own = brown_lm.likelihood
+    monkeypatch.setattr(brown_lm, "likelihood", lambda b: reached.append(own(b)) or reached[-1])
+    total = brown_lm.score_texts(df, F.lit(True)).agg(F.sum("score"), F.sum("base_score")).first()
+    assert len(reached) >= 2 and total[0] > total[1]
+    if reached[1] <= reached[0]:  # the moves were taken back
+        monkeypatch.setattr(brown_lm, "ROUNDS", 0)
+        assert brown_lm.score_texts(df, F.lit(True)).agg(F.sum("score")).first()[0] == pytest.approx(total[0])
+    b = np.array([[3.0, 1.0], [0.0, 4.0]])
+    n = b.sum()
+    mi = sum(b[i, j] / n * np.log(b[i, j] * n / b.sum(1)[i] / b.sum(0)[j]) for i in range(2) for j in range(2) if b[i, j])
+    assert own(b) == pytest.approx(n * mi - n * np.log(n))
+
+
 def test_brown_steps_are_a_distribution():
     rng = np.random.default_rng(5)
     bigrams = rng.integers(0, 50, (brown_lm.SIDE, brown_lm.SIDE)).astype(float)
