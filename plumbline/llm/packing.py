@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -38,24 +39,45 @@ CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: Rows of a range, about; a task sweeps a range at once.
 RANGE_ROWS = 500_000
-#: Chunks of text whose ids a worker keeps, and the longest that it keeps.
-CHUNKS, CHUNK_LENGTH = 500_000, 64
+#: Chunks of text in a generation of those whose ids a worker keeps, and the longest that it keeps.
+CHUNKS, CHUNK_LENGTH = 300_000, 64
 #: The vocabulary's splitting never joins what is on both sides of a blank before other than white space.
 _CHUNK = re.compile(r" (?=\S)")
+#: Marks that are a token of their own after a word.
+_MARKS = frozenset(",.;:!?")
+#: Byte-level vocabularies write a byte that does not print as the next sign from U+0100 on.
+_SILENT = [*range(33), *range(127, 161), 173]
+_SIGNS = {byte: 256 + k for k, byte in enumerate(_SILENT)}
+
+
+def _is_word(chunk: str) -> bool:
+    """Whether all of it are letters of European scripts: one word for the vocabulary's splitting."""
+    return chunk.isalpha() and len(chunk) <= CHUNK_LENGTH and max(chunk) < "\u0530"
 
 
 class _Ids(dict):
-    """Ids of chunks of text, kept as bytes."""
+    """Ids of chunks of text, kept as bytes, in two generations: when the young one is full it becomes the old one, and what
+    is asked for again comes back, so that rare chunks go and frequent ones stay."""
 
     def __init__(self, file: str, before: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.before = Tokenizer.from_file(file), before
+        self.mark = before.translate(_SIGNS)  # the vocabulary's sign for a blank
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.before + chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(chunk)
+        if ids is None:
+            if chunk[-1:] in _MARKS and _is_word(chunk[:-1]):  # the vocabulary's splitting parts a word from a mark after it
+                ids = self[chunk[:-1]] + array("I", [self.tokenizer.token_to_id(chunk[-1])]).tobytes()
+            elif _is_word(chunk):
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(self.mark + chunk.encode().decode("latin-1").translate(_SIGNS))]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(self.before + chunk, add_special_tokens=False).ids).tobytes()
         if len(chunk) <= CHUNK_LENGTH:
             if len(self) >= CHUNKS:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids

@@ -199,6 +199,7 @@ def test_token_ids_are_the_tokenizers():
     t, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
     parts = ["a", " ", "  ", "\n", "\t ", " \u00a0", "\u2028", "\x1c", "\x85", "<|endoftext|>", "it's", "é", "12", "...", "中文", "x" * 70, "don't ", " \r\n", "😀", "<|endof"]
     texts = ["a <|endoftext|> b", "", " ", "  a", "a  ", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000))]
+    texts += [" ".join(rng.choices(["word", "word,", "Word.", "w", "don't", "x1", "a?", "zz!!", "qqqqq;", "déjà", "Über,", "слово.", "ñandú", "ǅ", "中文,"], k=30)) for _ in range(200)]
     for text in texts:
         assert packing.token_ids(text, vocabulary()) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
