@@ -4,9 +4,10 @@ A candidate is a run of at least MIN_LENGTH characters of a credential's alphabe
 may be a candidate themselves, and the name that touches it (name="value"). A run name=value gives the value, its name goes
 to the context. What is assigned to a credential's name is a candidate from NAMED_LENGTH characters on.
 The forest (Spark ML, trained on labelled findings) looks at the candidate's length, its character transitions, the part of
-it that the corpus' own words cover, whether it stands in a path or address, and the words beside it. Without labels at
-hand, weak_label gives them to the clear cases: an assignment to a credential's name is true, plain words and paths are
-false, the rest is left to the forest. It is fitted on at most about TRAIN_ROWS labelled findings.
+it that the corpus' own words cover, whether it stands in a path or address, and the words beside it. Without
+findings labelled by people, it is trained on labelled_findings: TRAIN_ROWS findings made up by Spark, half of them secrets
+of common forms where they are usually written, half of them what is often taken for one (checksums, ids, paths, slugs, long
+words, numbers). A finding's label is the kind it was made as, not a rule over the features.
 
 The dictionary holds every word that at least MIN_COUNT places of the corpus have, counted over all texts. A frequent
 candidate is judged once: findings are grouped by candidate and context before features are made.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize, row_hash
@@ -124,31 +125,70 @@ def features(pairs: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def weak_label() -> Column:
-    """1 for an assignment to a credential's name, 0 for plain words and paths, null where neither is clear."""
-    named = (F.col("names_credential") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0)
-    plain = ((F.col("digits") == 0) & (F.col("case_switches") == 0)) | ((F.col("in_path") == 1) & (F.col("names_credential") == 0))
-    return F.when(named, 1.0).when(plain, 0.0)
+#: Where secrets and other findings of labelled_findings stand. {n}: a credential's name.
+_SECRET_PLACES = ('{n} = "', "{n}: ", '{n}="', "{n}=", 'set {n} "', '"{n}": "', "export {n}=", "your {n} is ", "{n} => '", "use ", "here: ")
+_OTHER_PLACES = ("commit ", "the word ", "sha256: ", "id = ", "checksum=", "see https://host.example/", "in /usr/lib/", "version ", "and then ", "", "| ", 'uuid: "', "number ", "no token but ", "file ")
+_CREDENTIALS = ("token", "api_key", "API_KEY", "secret", "password", "access_key", "AWS_SECRET_ACCESS_KEY", "github_token", "auth", "client-secret", "private_key", "passwd")
+_STEMS = ("on", "re", "the", "tion", "ment", "ing", "er", "keit", "heit", "ver", "aus", "que", "able", "ound", "pre", "sch", "ado", "ent", "lich", "ess")
+
+
+def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: str = "findings") -> DataFrame:
+    """(candidate, context, label): findings made up from digests of their numbers, so that reruns agree."""
+    base = spark.range(rows).select("id", (F.col("id") % 2).cast("double").alias("label"))
+
+    def draw(kind: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(f"{seed}:{kind}"), "id"), F.lit(n)).cast("int")
+
+    def digest(kind: str) -> Column:
+        return F.sha2(F.concat(F.lit(f"{seed}:{kind}:"), F.col("id").cast("string")), 512)
+
+    def pick(kind: str, values: tuple[str, ...]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), draw(kind, len(values)) + 1)
+
+    hexes = digest("hex")
+    mixed = F.regexp_replace(F.base64(F.unhex(digest("mixed"))), r"[+/=\s]", "")
+    upper = F.upper(F.regexp_replace(F.base64(F.unhex(digest("upper"))), r"[^A-Za-z0-9]", ""))
+    words = F.array_join(F.transform(F.sequence(F.lit(0), draw("n", 5) + 3), lambda k: F.element_at(F.array(*map(F.lit, _STEMS)), F.pmod(F.xxhash64(F.lit(seed), "id", k), F.lit(len(_STEMS))).cast("int") + 1)), "")
+    slug, path = F.regexp_replace(words, "(?<=.{4})(?=.{3})", "-"), F.regexp_replace(words, "(?<=[aeiou])(?=.{2})", "/")
+    digits = F.regexp_replace(F.concat(hexes, hexes), "[^0-9]", "")
+    uuid = F.regexp_replace(F.substring(hexes, 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    size = draw("size", 33) + 16
+    secrets = [mixed.substr(F.lit(1), size), hexes.substr(F.lit(1), size), F.concat(F.lit("AKIA"), upper.substr(1, 16)), F.concat(F.lit("ghp_"), mixed.substr(1, 36)), F.concat(F.lit("sk-"), mixed.substr(1, 40)), mixed.substr(F.lit(1), draw("short", 9) + 8), mixed.substr(F.lit(1), size)]
+    others = [words, slug, path, digits.substr(F.lit(1), draw("digits", 13) + 12), uuid, hexes.substr(1, 40), F.initcap(words), words, F.concat(words, F.lit("_"), F.col("id").cast("string")), hexes.substr(1, 32)]
+
+    def choose(kind: str, values: list[Column]) -> Column:
+        return F.element_at(F.array(*values), draw(kind, len(values)) + 1)
+
+    named = F.regexp_replace(pick("where", _SECRET_PLACES), r"\{n\}", F.concat(F.lit(""), pick("name", _CREDENTIALS)))
+    before = F.concat(pick("before", ("some words ", "", "and ", "the text. ", "of a ")), F.when(F.col("label") == 1, named).otherwise(pick("other", _OTHER_PLACES)))
+    out = base.select(F.when(F.col("label") == 1, choose("secret", secrets)).otherwise(choose("plain", others)).alias("candidate"), _context(before).alias("context"), "label")
+    return out.where(F.length("candidate") >= NAMED_LENGTH)
 
 
 def scan(docs: DataFrame, label: Column | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, start, candidate, context, times, probability, is_secret for every finding in docs (doc_id, text).
 
-    label may use the columns candidate, context and FEATURES: 1, 0 or null (not labelled); weak_label() by default.
+    label: from the columns candidate, context and FEATURES, 1, 0 or null (not labelled), where the corpus' own findings are
+    labelled; else the forest is trained on labelled_findings.
     """
     docs = docs.select("doc_id", "text")
     found = materialize(findings(docs), "secret-findings")
     pairs = found.groupBy("candidate", "context").agg(F.sum("times").alias("seen"))
-    pairs = features(pairs, dictionary(docs)).withColumn("label", weak_label() if label is None else label.cast("double"))
-    pairs = materialize(pairs, "secret-features")
-    n = {r["label"]: r["n"] for r in pairs.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = materialize(dictionary(docs), "secret-dictionary")
+    pairs = materialize(features(pairs, words), "secret-features")
+    if label is None:
+        labelled = features(labelled_findings(docs.sparkSession, train_rows), words)
+    else:
+        labelled = pairs.withColumn("label", label.cast("double")).where("label is not null")
+    labelled = materialize(labelled.select("candidate", "context", "label", *FEATURES), "secret-labelled")
+    n = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         judged = pairs.withColumn("probability", F.lit(float(next(iter(n), 1.0))))
     else:
         pick = F.pmod(F.xxhash64("candidate", "context"), F.lit(1 << 40)) / float(1 << 40)
         share = F.when(F.col("label") == 1, min(1.0, train_rows / 2 / n[1.0])).otherwise(min(1.0, train_rows / 2 / n[0.0]))
         vector = VectorAssembler(inputCols=FEATURES, outputCol="vector")
-        sample = vector.transform(pairs.where("label is not null").where(pick < share))
+        sample = vector.transform(labelled.where(pick < share))
         forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=11).fit(sample.select("vector", "label"))
         judged = forest.transform(vector.transform(pairs)).withColumn("probability", vector_to_array("probability")[1])
     judged = judged.select("candidate", "context", "probability")
