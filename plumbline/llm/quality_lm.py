@@ -156,6 +156,8 @@ def _score(shard: Shard, mine: np.ndarray):
             n = batch.num_rows
             sums, lengths = np.zeros(n), np.zeros(n, np.int64)
             for grams, rows in _grams(batch.column(1), ORDER):
+                if not len(rows):  # empty texts alone
+                    continue
                 low, wide = int(rows.min()), int(rows.max() - rows.min()) + 1
                 if everything:
                     part, owner = grams, rows - low

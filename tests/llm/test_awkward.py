@@ -96,3 +96,11 @@ def test_pages(spark):
     assert {r.text for r in got if r.page_id == 1} == {"One."} and next(r.text for r in got if r.page_id == 3) == LONG.strip()
     assert {r.text for r in got if r.page_id in (2, None)} == {""}
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_empty_texts_alone_have_no_perplexity(spark):
+    docs = spark.createDataFrame([(i, "", "en") for i in range(6)] + [(9, "words to learn from " * 9, "en")], "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: r for r in quality_lm.classify(docs, docs.where("doc_id = 9").select("doc_id")).collect()}
+    assert len(got) == 7 and got[9].kept and all(got[i].perplexity is None and not got[i].kept for i in range(6))
+    alone = docs.where("doc_id < 6")
+    assert quality_lm.classify(alone, docs.limit(0).select("doc_id")).where("not kept").count() == 6
