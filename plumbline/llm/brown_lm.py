@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shingles
-from plumbline.llm.common import materialize, release
+from plumbline.llm.common import drop_finished, materialize, release
 
 CLASSES = 64
 BLOCK_BYTES = 16_000_000
@@ -343,6 +343,8 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
         joined = blocks.groupBy("block").cogroup(_lexicon(lists, table).groupBy("block"))
         neighbours = materialize(joined.applyInArrow(_class_sides, "word long, sides binary, a int, b int, n long"), "brown-neighbours")
         bigrams = _bigrams(neighbours)
+        del joined
+        drop_finished(docs.sparkSession)
         if (reached := likelihood(bigrams)) <= best:
             release(neighbours, table)
             table, before = before, None
@@ -351,6 +353,7 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
         best, before = reached, table
         table = _exchanged(table, _moved(neighbours, _exchange_weights(bigrams)), turn)
         release(*superseded)
+        del neighbours, superseded
 
     made, bigrams, totals, kinds = _classify(blocks, lists, table, n_tokens, n_types, n_ends)
     if before is not None and likelihood(bigrams) <= best:  # the last moves were not good

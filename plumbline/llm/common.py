@@ -34,8 +34,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables that materialize made, once whatever was made of them has been written. Shuffle files of finished plans
-    go when the driver's JVM collects its garbage: ask for it, as a driver with a large heap may not do so for long."""
+    """Delete tables that materialize made, once whatever was made of them has been written."""
     for table in tables:
         spark = table.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
@@ -43,8 +42,14 @@ def release(*tables: DataFrame) -> None:
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        drop_finished(tables[0].sparkSession)
+
+
+def drop_finished(spark: SparkSession) -> None:
+    """Shuffle files of finished plans go when the driver's JVM collects its garbage: ask for it, as a driver with a large
+    heap may not do so for long."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
