@@ -7,6 +7,7 @@ thing without a closed form; it runs per (ticker, decision day) in numpy on at m
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -44,11 +45,8 @@ def ewma_residuals(panel: DataFrame, lam: float) -> DataFrame:
 
 
 def variance_path(scaled: np.ndarray, omega: float, alpha: float, beta: float, gamma: float, start: float) -> np.ndarray:
-    out = np.empty(len(scaled) + 1)
-    out[0] = start
-    for i, x in enumerate(scaled):
-        out[i + 1] = omega + (alpha + gamma * (x < 0)) * x * x + beta * out[i]
-    return out
+    added = omega + (alpha + gamma * (scaled < 0)) * scaled * scaled
+    return np.array(list(accumulate(added.tolist(), lambda h, x: x + beta * h, initial=start)))
 
 
 def _likelihood(q: np.ndarray, x: np.ndarray, start: float, asymmetric: bool) -> float:
