@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality_lm, quality_rules, secret_scan
+from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, language_id, lexical_search, mixing, packing, personal_data, quality_lm, quality_rules, secret_scan, source_audit
 from plumbline.llm.common import documents, materialize
 
 #: Place of the vocabulary used by op1; None: the installed public tokenizers.
@@ -82,6 +82,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return personal_data.digest(docs, personal_data.find(docs))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2_SQL = rf"""
@@ -144,11 +157,41 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+tg AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL), tl AS (SELECT lang, sum(n) AS total FROM n GROUP BY ALL), nl AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (coalesce(tg.total, 0) + v.v)::HUGEINT) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN tg ON tg.lang = g.lang AND tg.source = g.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+q AS (SELECT nl.lang, nl.term, (1 + (1000000000::HUGEINT * (nl.n + 1)) // (tl.total + v.v)::HUGEINT) AS q FROM nl JOIN tl USING (lang) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+k AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 200
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0), c AS (SELECT count(*)::BIGINT AS docs, sum(n)::HUGEINT AS terms FROM s),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+m AS (SELECT r, doc_id, (25 + (75::HUGEINT * n * docs) // terms)::BIGINT AS m FROM s, c),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, c),
+x AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM i JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_source_mixing, op6_quality_classifier, op7_exact_dedup, op8_secret_scan, op9_html_extraction, op10_lm_scoring)
+    found = (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_source_mixing, op6_quality_classifier, op7_exact_dedup, op8_secret_scan, op9_html_extraction, op10_lm_scoring, op11_source_divergence, op12_lexical_search, op13_personal_data)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_source_mixing": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_source_mixing": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op11_source_divergence": OP11_SQL, "op12_lexical_search": OP12_SQL}

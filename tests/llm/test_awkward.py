@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality_lm, quality_rules, secret_scan
+from plumbline.llm import brown_lm, exact_dedup, html_extract, jaccard_join, language_id, lexical_search, mixing, packing, personal_data, quality_lm, quality_rules, secret_scan, source_audit
 from plumbline.llm.queries import vocabulary
 
 LONG = "a word and another one " * 20_000
@@ -59,8 +59,9 @@ def _same(rows):
         lambda d: quality_lm.classify(d, d.select("doc_id").where("doc_id in (1, 5, 7)")),
         lambda d: exact_dedup.exact_dedup(d, exact_dedup.arrival_batch(F.col("doc_id"))),
         lambda d: brown_lm.score_texts(d, F.col("doc_id") % 2 == 1),
+        lambda d: personal_data.digest(d, personal_data.find(d)),
     ],
-    ids=["rules", "language", "jaccard", "mixing", "classifier", "dedup", "brown"],
+    ids=["rules", "language", "jaccard", "mixing", "classifier", "dedup", "brown", "personal"],
 )
 def test_one_row_a_document(run, docs, empty):
     out = run(docs)
@@ -88,6 +89,19 @@ def test_secrets_of_rows_that_repeat_count_once(docs, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_audit_and_search(spark, docs, empty):
+    out = source_audit.audit(docs, 1).collect()
+    pairs = {(r.lang, r.source, r["item"]) for r in out if r.part == "pair"}
+    assert pairs == {("en", "s", "t"), ("en", "t", "s"), ("de", "", "t"), ("de", "t", ""), ("", "", "s"), ("", "s", "")}
+    assert {r["item"] for r in out if r.part == "term" and r.lang == ""} == set()  # the one source with terms is as its language
+    assert source_audit.audit(empty).count() == 0
+    items = spark.createDataFrame([(1, "plain words, null id"), (2, None), (None, "XXX"), (3, LONG)], "item_id long, text string").withColumns({c: F.lit("own") for c in ("item", "term", "m", "score", "rank")})
+    found = lexical_search.search(docs, items).collect()
+    assert [r.doc_id for r in sorted((r for r in found if r.item_id == 1), key=lambda r: r.rank)][:2] == [None, 7]  # ties by doc_id, null first
+    assert {r.item_id for r in found} == {1, 3} and next(r.doc_id for r in found if r.item_id == 3 and r.rank == 1) == 5
+    assert lexical_search.search(empty, items).count() == 0 and lexical_search.search(docs, items.limit(0)).count() == 0
+
+
 def test_pages(spark):
     pages = [(1, "http://h/1", "<article><p>One.</p></article>"), (1, "http://h/1", "<article><p>One.</p></article>"), (2, None, None), (None, "http://h/2", ""), (3, "http://h/3", "<p>" + LONG), (4, "", "\u0000<p>\u0000")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("host", "own", "around", "heads", "body", "text", "bucket")})
