@@ -61,6 +61,37 @@ def portfolio_vol(cov: DataFrame, weights: DataFrame) -> DataFrame:
     return cov.join(i, "ticker_i").join(j, "ticker_j").agg(F.sqrt(F.greatest(F.sum(F.col("wi") * F.col("cov") * F.col("wj")), F.lit(0.0))).alias("sigma_p"))
 
 
+def shared_days(resid: DataFrame, decisions: DataFrame) -> DataFrame:
+    """resid (idx, ticker, day, e) on the days that all tickers of a decision (idx, ticker) share, k counting these n days."""
+    asked = decisions.select("idx", "ticker").distinct().groupBy("idx").agg(F.count(F.lit(1)).alias("tickers"))
+    days = resid.groupBy("idx", "day").agg(F.count("e").alias("c")).join(asked, "idx").where("c = tickers")
+    one = Window.partitionBy("idx")
+    days = days.select("idx", "day", F.row_number().over(one.orderBy("day")).alias("k"), F.count(F.lit(1)).over(one).alias("n"))
+    return resid.join(days, ["idx", "day"])
+
+
+def corr_at(resid: DataFrame, decisions: DataFrame, lam: float, dcc: tuple[float, float] | None = None, shrink: float = 0.1) -> DataFrame:
+    """(idx, ticker_i, ticker_j, corr) at each decision: exponentially weighted, or under the correlation recursion with (a, b)
+    as given; the decision day's own residuals are not used."""
+    rows = shared_days(resid, decisions)
+    x = rows.select("idx", "day", "k", "n", F.col("ticker").alias("ticker_i"), F.col("e").alias("x"))
+    y = rows.select("idx", "day", F.col("ticker").alias("ticker_j"), F.col("e").alias("y"))
+    xy, power, m = x.join(y, ["idx", "day"]), F.col("n") - 1 - F.col("k"), F.max("n") - 1
+    product = F.when(power >= 0, F.col("x") * F.col("y"))
+    if dcc is None:
+        s = F.pow(F.lit(lam), m) * F.covar_samp("x", "y") + F.coalesce(F.sum((1 - lam) * F.pow(F.lit(lam), power) * product), F.lit(0.0))
+    else:
+        a, b = dcc
+        fade, same = F.pow(F.lit(b), m), F.max((F.col("ticker_i") == F.col("ticker_j")).cast("double"))
+        pull = fade + (1 - a - b) * (1 - fade) / (1 - b)
+        s = pull * ((1 - shrink) * F.corr("x", "y") + shrink * same) + F.coalesce(F.sum(a * F.pow(F.lit(b), power) * product), F.lit(0.0))
+    s = xy.groupBy("idx", "ticker_i", "ticker_j").agg(s.alias("s"))
+    own = Window.partitionBy("idx", "ticker_i"), Window.partitionBy("idx", "ticker_j")
+    di, dj = (F.max(F.when(F.col("ticker_i") == F.col("ticker_j"), F.col("s"))).over(w) for w in own)
+    corr = F.when(F.col("ticker_i") == F.col("ticker_j"), 1.0).otherwise(F.col("s") / F.sqrt(di * dj))
+    return s.select("idx", "ticker_i", "ticker_j", corr.alias("corr"))
+
+
 def sample_corr(p: DataFrame) -> DataFrame:
     return p.groupBy("ticker_i", "ticker_j").agg(F.corr("x", "y").alias("corr"))
 
@@ -114,13 +145,13 @@ def dcc_path(e: np.ndarray, a: float, b: float, mean: np.ndarray) -> np.ndarray:
 def dcc_loss(e: np.ndarray, a: float, b: float, mean: np.ndarray) -> float:
     """Correlation part of the negative quasi likelihood: sum of log |R| + e' R^-1 e."""
     if a < 0 or b < 0 or a + b >= BOUND:
-        return 1e12
+        return float("inf")
     q = dcc_path(e, a, b, mean)
     d = np.sqrt(np.einsum("tii->ti", q))
     r = q / (d[:, :, None] * d[:, None, :])
     sign, logs = np.linalg.slogdet(r)
     if np.any(sign <= 0) or not np.all(np.isfinite(logs)):
-        return 1e12
+        return float("inf")
     return float(logs.sum() + np.einsum("ti,ti->", e, np.linalg.solve(r, e[:, :, None])[:, :, 0]))
 
 

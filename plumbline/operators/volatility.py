@@ -52,7 +52,7 @@ def variance_path(scaled: np.ndarray, omega: float, alpha: float, beta: float, g
 def _likelihood(q: np.ndarray, x: np.ndarray, start: float, asymmetric: bool) -> float:
     mu, omega, alpha, beta, gamma, nu = _natural(q, asymmetric)
     e = x - mu
-    h = variance_path(e, omega, alpha, beta, gamma, start)[:-1]
+    h = variance_path(e, omega, alpha, beta, gamma, omega + (alpha + beta + gamma / 2) * start)[:-1]
     if not np.all(np.isfinite(h)) or h.min() <= 0:
         return 1e10
     const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
@@ -112,7 +112,7 @@ def fit_garch(returns: np.ndarray, asymmetric: bool = False, min_obs: int = 100)
     q0 = np.array([x.mean(), math.log(max(var * 0.05, 1e-8)), 3.0, 2.5, math.log(6.0)] + ([0.0] if asymmetric else []))
     q = minimise(lambda q: _likelihood(q, x, start, asymmetric), q0)
     mu, omega, alpha, beta, gamma, nu = _natural(q, asymmetric)
-    h = variance_path(x - mu, omega, alpha, beta, gamma, start)
+    h = variance_path(x - mu, omega, alpha, beta, gamma, omega + (alpha + beta + gamma / 2) * start)
     return {"mu": mu, "omega": omega, "alpha": alpha, "beta": beta, "gamma": gamma, "nu": nu, "next_variance": h[-1], "loglik": -_likelihood(q, x, start, asymmetric)}
 
 
@@ -129,10 +129,32 @@ REFITS = "ticker string, idx int, mu double, omega double, alpha double, beta do
 
 
 def in_windows(panel: DataFrame, decisions: DataFrame, window: int) -> DataFrame:
-    """(ticker, at, idx, r): the last `window` returns up to each decision (ticker, idx)."""
-    pairs = decisions.select("ticker", F.col("idx").cast("int").alias("at"))
-    rows = pairs.join(panel.where("r is not null").select("ticker", "idx", "r"), "ticker")
-    return rows.where((F.col("idx") <= F.col("at")) & (F.col("idx") > F.col("at") - window))
+    """(ticker, at, idx, r): the last `window` returns up to each decision (ticker, idx). Days go in blocks of `window`; a
+    window touches two of them, so the join meets at most twice the rows that it returns."""
+    at = decisions.select("ticker", F.col("idx").cast("int").alias("at")).distinct()
+    at = at.withColumn("block", F.explode(F.array(F.floor(F.col("at") / window), F.floor(F.col("at") / window) - 1)))
+    returns = panel.where("r is not null").select("ticker", F.floor(F.col("idx") / window).alias("block"), "idx", "r")
+    return at.join(returns, ["ticker", "block"]).where((F.col("idx") <= F.col("at")) & (F.col("idx") > F.col("at") - window)).select("ticker", "at", "idx", "r")
+
+
+def residuals_at(panel: DataFrame, decisions: DataFrame, lam: float, window: int = 1000) -> DataFrame:
+    """(idx, ticker, day, e): the residuals of the window that ends at each decision (ticker, idx), over the deviation expected
+    before each return. The recursion is seeded by the sample variance of the window, so nothing after idx is used."""
+    one = Window.partitionBy("ticker", "at")
+    rows = in_windows(panel, decisions, window).withColumn("k", F.row_number().over(one.orderBy("idx"))).withColumn("seed", F.var_samp("r").over(one))
+    rows = decay.with_decayed_sum(rows, lam, F.col("r") * F.col("r"), ["ticker", "at"], "k", "squares")
+    before = F.greatest((F.col("squares") - F.col("r") * F.col("r")) / lam, F.lit(0.0))
+    variance = F.pow(F.lit(lam), F.col("k") - 1) * F.col("seed") + (1 - lam) * before
+    return rows.select(F.col("at").alias("idx"), "ticker", F.col("idx").alias("day"), (F.col("r") / F.sqrt(variance)).alias("e"))
+
+
+def targeted(panel: DataFrame, decisions: DataFrame, alpha: float, beta: float, window: int = 1000) -> DataFrame:
+    """Parameters at each decision (ticker, idx) by variance targeting: alpha and beta are given, the mean and the level come
+    from the window's moments. A window without variance falls back."""
+    rows = in_windows(panel, decisions, window).groupBy("ticker", F.col("at").alias("idx")).agg((100 * F.avg("r")).alias("mu"), (10_000 * F.var_pop("r")).alias("level"))
+    given = {"alpha": alpha, "beta": beta, "gamma": 0.0, "nu": 8.0}
+    omega = F.when(F.col("level") > 0, F.col("level") * (1 - alpha - beta))
+    return rows.select("ticker", "idx", "mu", omega.alias("omega"), *(F.lit(v).alias(k) for k, v in given.items()), (~F.coalesce(F.col("level") > 0, F.lit(False))).alias("fell_back"))
 
 
 def refit(panel: DataFrame, decisions: DataFrame, horizon: int, asymmetric: bool = False, window: int = 1000) -> DataFrame:
@@ -163,7 +185,7 @@ def filtered(panel: DataFrame, params: DataFrame, decisions: DataFrame, window:
     parameters of params at of_idx: h is expected before the return, next_h after it, in squared percent.
 
     With the parameters given the recursion is linear: h decays by beta, and what a return adds is known. So it is a
-    decayed sum. It starts at the weighted mean square of the first 75 returns, the first weighing most.
+    decayed sum. It starts one step after the weighted mean square of the first 75 returns, the first weighing most.
     """
     asked = decisions.join(params.select("ticker", F.col("idx").alias("of_idx"), *PARAMS), ["ticker", "of_idx"]).where("omega is not null")
     rows = in_windows(panel, asked, window).join(asked.select("ticker", F.col("idx").alias("at"), *PARAMS), ["ticker", "at"])
@@ -171,7 +193,8 @@ def filtered(panel: DataFrame, params: DataFrame, decisions: DataFrame, window:
     rows = rows.withColumn("k", F.row_number().over(one.orderBy("idx"))).withColumn("x", F.col("r") * 100).withColumn("e", F.col("x") - F.col("mu"))
     early = F.when(F.col("k") <= 75, F.pow(F.lit(0.94), F.col("k") - 1))
     centred = F.col("x") - F.avg("x").over(one)
-    rows = rows.withColumn("start", F.sum(early * centred * centred).over(one) / F.sum(early).over(one))
+    back = F.sum(early * centred * centred).over(one) / F.sum(early).over(one)
+    rows = rows.withColumn("start", F.col("omega") + (F.col("alpha") + F.col("beta") + F.col("gamma") / 2) * back)
     added = F.col("omega") + (F.col("alpha") + F.when(F.col("e") < 0, F.col("gamma")).otherwise(0.0)) * F.col("e") * F.col("e")
     rows = decay.with_decayed_sum(rows.withColumn("added", added), F.col("beta"), F.col("added"), ["ticker", "at"], "k", "upto")
     rows = rows.withColumn("next_h", F.pow(F.col("beta"), F.col("k")) * F.col("start") + F.col("upto"))
@@ -191,7 +214,12 @@ def forecast(next_h: str, horizon: int) -> Column:
 def filter_vol(panel: DataFrame, params: DataFrame, decisions: DataFrame, horizon: int, lam: float, window: int = 1000) -> DataFrame:
     """(ticker, idx, vol, fell_back) at each decision (ticker, idx, of_idx): parameters estimated at of_idx, the recursion
     run on to idx; where the estimate fell back, the exponentially weighted volatility."""
-    last = filtered(panel, params, decisions, window).groupBy("ticker", "idx").agg(*(F.max_by(c, "day").alias(c) for c in ("next_h", "omega", "alpha", "beta", "gamma")))
+    return forecast_vol(panel, filtered(panel, params, decisions, window), decisions, horizon, lam)
+
+
+def forecast_vol(panel: DataFrame, states: DataFrame, decisions: DataFrame, horizon: int, lam: float) -> DataFrame:
+    """filter_vol from the filter's rows."""
+    last = states.groupBy("ticker", "idx").agg(*(F.max_by(c, "day").alias(c) for c in ("next_h", "omega", "alpha", "beta", "gamma")))
     plain = ewma(panel, lam).select("ticker", "idx", F.col("vol").alias("plain"))
     rows = decisions.select("ticker", "idx").distinct().join(last.select("ticker", "idx", forecast("next_h", horizon).alias("vol")), ["ticker", "idx"], "left").join(plain, ["ticker", "idx"])
     return rows.select("ticker", "idx", F.coalesce("vol", "plain").alias("vol"), F.col("vol").isNull().alias("fell_back"))

@@ -18,21 +18,43 @@ def _scaled(name: str, routed: str, expo: str) -> str:
   UNION ALL SELECT '{name}', e.idx, e.exec_idx, 'CASH', 1 - coalesce(sum(r.weight * e.applied), 0) FROM {expo} e LEFT JOIN {routed} r ON r.epoch_idx = e.epoch_idx AND r.ticker <> 'CASH' WHERE NOT e.blocked GROUP BY e.idx, e.exec_idx"""
 
 
-def _sigma(weights: str) -> str:
+def _sigma(weights: str, vol: str = "vol") -> str:
     """Portfolio volatility at every decision, by explicit weighted sums over each decision's own past."""
     return f"""SELECT d.epoch_idx, d.idx, d.exec_idx, sqrt(greatest(sum(a.weight * va.vol * (CASE WHEN a.ticker = b.ticker THEN 1.0 ELSE c.s / sqrt(ca.s * cb.s) END) * vb.vol * b.weight), 0)) AS sigma_p
   FROM epochs d JOIN {weights} a ON a.epoch_idx = d.epoch_idx JOIN {weights} b ON b.epoch_idx = d.epoch_idx
-  JOIN vol va ON va.ticker = a.ticker AND va.idx = d.idx JOIN vol vb ON vb.ticker = b.ticker AND vb.idx = d.idx
+  JOIN {vol} va ON va.ticker = a.ticker AND va.idx = d.idx JOIN {vol} vb ON vb.ticker = b.ticker AND vb.idx = d.idx
   JOIN s_{weights} c ON c.idx = d.idx AND c.ticker_i = a.ticker AND c.ticker_j = b.ticker
   JOIN s_{weights} ca ON ca.idx = d.idx AND ca.ticker_i = a.ticker AND ca.ticker_j = a.ticker JOIN s_{weights} cb ON cb.idx = d.idx AND cb.ticker_i = b.ticker AND cb.ticker_j = b.ticker
   GROUP BY 1, 2, 3"""
 
 
-def _sums(weights: str) -> str:
-    """EWMA correlation sums of two residual series up to a day, the day's own product left out."""
-    return f"""SELECT t.idx, t.ticker_i, t.ticker_j, pow({C.lam}, max(x.k) - 1) * covar_samp(x.e, y.e) + coalesce(sum(CASE WHEN x.idx < t.idx THEN (1 - {C.lam}) * pow({C.lam}, t.k - 1 - x.k) * x.e * y.e END), 0) AS s
-  FROM (SELECT DISTINCT d.idx, a.ticker AS ticker_i, b.ticker AS ticker_j, q.k FROM epochs d JOIN {weights} a USING (epoch_idx) JOIN {weights} b USING (epoch_idx) JOIN resid q ON q.ticker = a.ticker AND q.idx = d.idx) t
-  JOIN resid x ON x.ticker = t.ticker_i AND x.idx <= t.idx JOIN resid y ON y.ticker = t.ticker_j AND y.idx = x.idx GROUP BY t.idx, t.ticker_i, t.ticker_j"""
+def _window(weights: str) -> str:
+    """The last 1000 returns of each ticker up to each decision."""
+    return f"""SELECT t.idx AS dt, t.epoch_idx, t.ticker, a.idx, a.r, row_number() OVER (PARTITION BY t.idx, t.ticker ORDER BY a.idx) AS k
+  FROM (SELECT DISTINCT d.idx, d.epoch_idx, a.ticker FROM epochs d JOIN {weights} a USING (epoch_idx)) t JOIN ret a ON a.ticker = t.ticker AND a.idx <= t.idx AND a.idx > t.idx - 1000"""
+
+
+def _resid(weights: str) -> str:
+    """Residuals known at a decision, seeded by the variance of its own window."""
+    return f"""SELECT a.dt, a.ticker, a.idx, a.r / sqrt(pow({C.lam}, a.k - 1) * h.h + (1 - {C.lam}) * coalesce(sum(pow({C.lam}, a.k - 1 - b.k) * b.r * b.r), 0)) AS e
+  FROM w_{weights} a JOIN (SELECT dt, ticker, var_samp(r) AS h FROM w_{weights} GROUP BY 1, 2) h ON h.dt = a.dt AND h.ticker = a.ticker LEFT JOIN w_{weights} b ON b.dt = a.dt AND b.ticker = a.ticker AND b.k < a.k GROUP BY a.dt, a.ticker, a.idx, a.k, a.r, h.h"""
+
+
+def _shared(weights: str) -> str:
+    """Residuals on the days that all tickers of a decision share."""
+    return f"""SELECT e.*, q.k, q.n FROM r_{weights} e JOIN (SELECT dt, idx, row_number() OVER (PARTITION BY dt ORDER BY idx) AS k, count(*) OVER (PARTITION BY dt) AS n FROM (SELECT dt, idx, count(*) AS c FROM r_{weights} GROUP BY 1, 2)
+  JOIN (SELECT dt, count(DISTINCT ticker) AS m FROM w_{weights} GROUP BY 1) USING (dt) WHERE c = m) q ON q.dt = e.dt AND q.idx = e.idx"""
+
+
+def _sums(weights: str, start: str, step: str) -> str:
+    """Correlation sums of two residual series at a decision, the day's own product left out."""
+    return f"""SELECT x.dt AS idx, x.ticker AS ticker_i, y.ticker AS ticker_j, {start} + coalesce(sum(CASE WHEN x.k < x.n THEN {step} * x.e * y.e END), 0) AS s
+  FROM x_{weights} x JOIN x_{weights} y ON y.dt = x.dt AND y.idx = x.idx GROUP BY x.dt, x.ticker, y.ticker, x.n"""
+
+
+_EWMA_SUMS = f"pow({C.lam}, x.n - 1) * covar_samp(x.e, y.e)", f"(1 - {C.lam}) * pow({C.lam}, x.n - 1 - x.k)"
+A, B = 0.01, 0.96
+_DCC_SUMS = f"(pow({B}, x.n - 1) + (1 - {A} - {B}) * (1 - pow({B}, x.n - 1)) / (1 - {B})) * (0.9 * corr(x.e, y.e) + CASE WHEN x.ticker = y.ticker THEN 0.1 ELSE 0 END)", f"{A} * pow({B}, x.n - 1 - x.k)"
 
 
 def _fold(sigma: str) -> str:
@@ -79,8 +101,29 @@ CTES: dict[str, tuple[list[str], str]] = {
     "routed": (["ivol"], """SELECT epoch_idx, exec_idx, ticker, weight FROM ivol WHERE passes
   UNION ALL SELECT epoch_idx, exec_idx, 'CASH', coalesce(sum(CASE WHEN NOT passes THEN weight END), 0) FROM ivol GROUP BY 1, 2"""),
     "one": (["clock"], f"SELECT idx AS epoch_idx, '{C.market}' AS ticker, 1.0 AS weight FROM clock WHERE is_selection"),
-    "s_ivol": (["ivol", "epochs", "resid"], _sums("ivol")),
-    "s_one": (["one", "epochs", "resid"], _sums("one")),
+    **{f"w_{w}": ([w, "epochs", "ret"], _window(w)) for w in ("ivol", "one")},
+    **{f"r_{w}": ([f"w_{w}"], _resid(w)) for w in ("ivol", "one")},
+    **{f"x_{w}": ([f"r_{w}", f"w_{w}"], _shared(w)) for w in ("ivol", "one", "gvol")},
+    **{f"s_{w}": ([f"x_{w}"], _sums(w, *_EWMA_SUMS)) for w in ("ivol", "one")},
+    # GARCH by variance targeting at each selection, filtered on by its epoch's parameters
+    "pick": (["sel"], "SELECT idx AS epoch_idx, exec_idx, ticker, passes FROM sel"),
+    "w_gvol": (["pick", "epochs", "ret"], _window("pick")),
+    "g_par": (["w_gvol"], "SELECT epoch_idx, ticker, 100 * avg(r) AS mu, 1e4 * var_pop(r) * (1 - 0.05 - 0.9) AS omega FROM w_gvol WHERE dt = epoch_idx GROUP BY 1, 2"),
+    "g_row": (["w_gvol", "g_par"], "SELECT w.dt, w.ticker, w.idx, w.k, 100 * r AS x, 100 * r - mu AS e, omega FROM w_gvol w JOIN g_par p ON p.epoch_idx = w.epoch_idx AND p.ticker = w.ticker"),
+    "g_one": (["g_row"], "SELECT dt, ticker, any_value(omega) + 0.95 * sum(pow(0.94, k - 1) * pow(x - m, 2)) / sum(pow(0.94, k - 1)) AS h FROM (SELECT *, avg(x) OVER (PARTITION BY dt, ticker) AS m FROM g_row) WHERE k <= 75 GROUP BY 1, 2"),
+    "g_fil": (["g_one", "g_row"], """SELECT g.dt, g.ticker, g.idx, g.k, g.e, g.omega, o.h, g.omega + 0.05 * g.e * g.e + 0.9 * o.h AS next_h FROM g_row g JOIN g_one o ON o.dt = g.dt AND o.ticker = g.ticker WHERE g.k = 1
+  UNION ALL SELECT g.dt, g.ticker, g.idx, g.k, g.e, g.omega, f.next_h, g.omega + 0.05 * g.e * g.e + 0.9 * f.next_h FROM g_fil f JOIN g_row g ON g.dt = f.dt AND g.ticker = f.ticker AND g.k = f.k + 1"""),
+    "g_vol": (["g_fil"], f"SELECT dt AS idx, ticker, sqrt((omega / 0.05 + (next_h - omega / 0.05) * (1 - pow(0.95, {C.horizon})) / (0.05 * {C.horizon})) / 1e4) * sqrt(252) AS vol FROM (SELECT dt, ticker, any_value(omega) AS omega, arg_max(next_h, k) AS next_h FROM g_fil GROUP BY 1, 2)"),
+    "r_gvol": (["g_fil"], "SELECT dt, ticker, idx, e / sqrt(h) AS e FROM g_fil"),
+    "s_gvol": (["x_gvol"], _sums("gvol", *_DCC_SUMS)),
+    "gvol": (["pick", "g_vol"], "SELECT s.epoch_idx, s.exec_idx, s.ticker, passes, (1 / v.vol) / sum(1 / v.vol) OVER (PARTITION BY s.epoch_idx) AS weight FROM pick s JOIN g_vol v ON v.ticker = s.ticker AND v.idx = s.epoch_idx"),
+    "g_routed": (["gvol"], """SELECT epoch_idx, exec_idx, ticker, weight FROM gvol WHERE passes
+  UNION ALL SELECT epoch_idx, exec_idx, 'CASH', coalesce(sum(CASE WHEN NOT passes THEN weight END), 0) FROM gvol GROUP BY 1, 2"""),
+    "sig_gvol": (["s_gvol", "gvol", "g_vol", "epochs"], _sigma("gvol", "g_vol")),
+    "n_sig_gvol": (["sig_gvol"], _numbered("sig_gvol")),
+    "f_sig_gvol": (["n_sig_gvol"], _band("sig_gvol")),
+    "e_gvol": (["f_sig_gvol"], _fold("sig_gvol")),
+    "t_full_garch_dcc": (["g_routed", "e_gvol"], _scaled("full_garch_dcc", "g_routed", "e_gvol")),
     "sig_ivol": (["s_ivol", "vol"], _sigma("ivol")),
     "sig_one": (["s_one", "vol"], _sigma("one")),
     "n_sig_ivol": (["sig_ivol"], _numbered("sig_ivol")),

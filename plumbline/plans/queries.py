@@ -254,7 +254,7 @@ def _(spark, d):
     return s.exposures(s._risky().withColumnRenamed("decision_idx", "epoch_idx")).select("epoch_idx", "idx", r6("sigma_p"), r6("exposure"), r6("applied"), "blocked")
 
 
-SQL_STRATEGIES = ["bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full"]
+SQL_STRATEGIES = ["bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_garch_dcc"]
 
 
 def _book_queries(name: str, text: bool) -> None:
@@ -272,7 +272,7 @@ def _book_queries(name: str, text: bool) -> None:
 
 for _name in SQL_STRATEGIES:
     _book_queries(_name, True)
-for _name in ("full_erc", "full_gjr"):
+for _name in ("full_erc", "full_gjr", "full_garch"):
     _book_queries(_name, False)
 
 _FOUR = ["bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol"]
@@ -398,7 +398,7 @@ def _(spark, d):
 @query("gjr_volatility")
 def _(spark, d):
     s = Study(spark, d)
-    return s.gjr_vol(s._selected().select(F.col("decision_idx").alias("epoch_idx"), "ticker")).select("ticker", "idx", r6("vol"))
+    return s.filtered("gjr", s.fits(True))[0].select("ticker", "idx", r6("vol"))
 
 
 @query("erc_weights")

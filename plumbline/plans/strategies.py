@@ -8,22 +8,25 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import decay
-from plumbline.operators import backtest, portfolio, signals, volatility
+from plumbline.operators import backtest, correlation, portfolio, signals, volatility
 from plumbline.operators.signals import Config
 from plumbline.sources import market
 from plumbline.sources.tables import cut
 
-NAMES = ("bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_erc", "full_gjr")
+NAMES = ("bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_erc", "full_gjr", "full_garch", "full_garch_dcc")
+#: Alpha and beta under variance targeting, and (a, b) of the fixed correlation recursion.
+TARGETED, DCC = (0.05, 0.9), (0.01, 0.96)
 COLUMNS = ["strategy_id", "decision_idx", "exec_idx", "ticker", "weight"]
 
 
 class Study:
     """One panel and its derived tables. Tables that several plans read are written once, so that no plan nests another's."""
 
-    def __init__(self, spark: SparkSession, d: str, cfg: Config | None = None) -> None:
+    def __init__(self, spark: SparkSession, d: str, cfg: Config | None = None, until: int | None = None) -> None:
+        """until: the last day (idx) that this study may see."""
         self.spark, self.cfg = spark, cfg or Config()
-        self.panel = cut(market.panel(spark, d), "panel")
+        panel = market.panel(spark, d)
+        self.panel = cut(panel if until is None else panel.where(F.col("idx") <= until), "panel")
         self.rf = cut(market.cash_rate(self.panel, market.rates(spark, d)), "rf", 1)
         self.warmup = max(self.cfg.lookback + 1, self.cfg.min_history)
         self.last_idx = self.panel.agg(F.max("idx")).first()[0]
@@ -86,44 +89,32 @@ class Study:
     def _mom_ivol(self) -> DataFrame:
         return portfolio.route_to_cash(self._risky(), ["decision_idx", "exec_idx"])
 
-    def covariances(self, decisions: DataFrame, vol: DataFrame | None = None) -> DataFrame:
-        """(idx, ticker_i, ticker_j, corr, cov) at each decision (idx, ticker): EWMA correlation of the residuals up to it.
-
-        The decay makes each sum a running sum: S(t) = lam S(t-1) + ..., so one pass over days serves all decisions of a
-        pair, instead of one pass per decision.
-        """
-        lam = self.cfg.lam
-        at = decisions.select("idx", "ticker").distinct()
-        two = at.select("idx", F.col("ticker").alias("ticker_i")).join(at.select("idx", F.col("ticker").alias("ticker_j")), "idx")
-        two = cut(two, "pairs")
-        e = self.resid
-        pairs = two.select("ticker_i", "ticker_j").distinct()
-        xy = pairs.join(e.select(F.col("ticker").alias("ticker_i"), "idx", F.col("e").alias("x")), "ticker_i").join(e.select(F.col("ticker").alias("ticker_j"), "idx", F.col("e").alias("y")), ["ticker_j", "idx"])
-        w = Window.partitionBy("ticker_i", "ticker_j").orderBy("idx")
-        seed = F.covar_samp("x", "y").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        xy = decay.with_decayed_sum(xy.withColumn("k", F.row_number().over(w)).withColumn("seed", seed), lam, F.col("x") * F.col("y"), ["ticker_i", "ticker_j"], "k", "upto")
-        s = F.pow(F.lit(lam), F.col("k") - 1) * F.col("seed") + (1 - lam) * (F.col("upto") - F.col("x") * F.col("y")) / lam
-        s = cut(two.join(xy.withColumn("s", s).select("ticker_i", "ticker_j", "idx", "s"), ["ticker_i", "ticker_j", "idx"]), "sums")
-        d = s.where("ticker_i = ticker_j").select("idx", F.col("ticker_i").alias("t"), F.col("s").alias("d"))
-        s = s.join(d.withColumnsRenamed({"t": "ticker_i", "d": "di"}), ["idx", "ticker_i"]).join(d.withColumnsRenamed({"t": "ticker_j", "d": "dj"}), ["idx", "ticker_j"])
-        corr = F.when(F.col("ticker_i") == F.col("ticker_j"), 1.0).otherwise(F.col("s") / F.sqrt(F.col("di") * F.col("dj")))
+    def residuals(self, decisions: DataFrame) -> DataFrame:
+        """(idx, ticker, day, e): EWMA residuals known at each decision (idx, ticker)."""
+        return cut(volatility.residuals_at(self.panel, decisions, self.cfg.lam), "residuals")
+
+    def covariances(self, decisions: DataFrame, vol: DataFrame | None = None, resid: DataFrame | None = None, dcc: tuple[float, float] | None = None) -> DataFrame:
+        """(idx, ticker_i, ticker_j, corr, cov) at each decision (idx, ticker), from the residuals known then, on the days that
+        all tickers of the decision share. resid: (idx, ticker, day, e), else EWMA residuals; dcc: (a, b), else EWMA."""
+        at = cut(decisions.select("idx", "ticker").distinct(), "asked")
+        s = correlation.corr_at(self.residuals(at) if resid is None else resid.join(at, ["idx", "ticker"], "left_semi"), at, self.cfg.lam, dcc)
         v = (self.vol if vol is None else vol).select("idx", "ticker", "vol")
         s = s.join(v.select("idx", F.col("ticker").alias("ticker_i"), F.col("vol").alias("vi")), ["idx", "ticker_i"]).join(v.select("idx", F.col("ticker").alias("ticker_j"), F.col("vol").alias("vj")), ["idx", "ticker_j"])
-        return s.select("idx", "ticker_i", "ticker_j", corr.alias("corr"), (F.col("vi") * corr * F.col("vj")).alias("cov"))
+        return s.select("idx", "ticker_i", "ticker_j", "corr", (F.col("vi") * F.col("corr") * F.col("vj")).alias("cov"))
 
-    def sigmas(self, risky: DataFrame, vol: DataFrame | None = None) -> DataFrame:
+    def sigmas(self, risky: DataFrame, vol: DataFrame | None = None, resid: DataFrame | None = None, dcc: tuple[float, float] | None = None) -> DataFrame:
         """(epoch_idx, idx, exec_idx, sigma_p) at every decision, from weights of each epoch (epoch_idx, ticker, weight)."""
         rows = cut(self.epochs().join(risky.select("epoch_idx", "ticker", "weight"), "epoch_idx"), "risky")
-        cov = self.covariances(rows, vol)
+        cov = self.covariances(rows, vol, resid, dcc)
         wi = rows.select("epoch_idx", "idx", "exec_idx", F.col("ticker").alias("ticker_i"), F.col("weight").alias("wi"))
         wj = rows.select("idx", F.col("ticker").alias("ticker_j"), F.col("weight").alias("wj"))
         s = cov.join(wi, ["idx", "ticker_i"]).join(wj, ["idx", "ticker_j"])
         s = s.groupBy("epoch_idx", "idx", "exec_idx").agg(F.sqrt(F.greatest(F.sum(F.col("wi") * F.col("cov") * F.col("wj")), F.lit(0.0))).alias("sigma_p"))
         return cut(s, "sigma")
 
-    def exposures(self, risky: DataFrame, vol: DataFrame | None = None) -> DataFrame:
+    def exposures(self, risky: DataFrame, vol: DataFrame | None = None, resid: DataFrame | None = None, dcc: tuple[float, float] | None = None) -> DataFrame:
         """(epoch_idx, idx, exec_idx, sigma_p, exposure, applied, blocked) from weights of each epoch."""
-        return self._banded(self.sigmas(risky, vol))
+        return self._banded(self.sigmas(risky, vol, resid, dcc))
 
     def _banded(self, s: DataFrame) -> DataFrame:
         s = s.withColumn("exposure", portfolio.target_exposure(F.col("sigma_p"), F.lit(self.cfg.sigma_star), self.cfg.e_min))
@@ -163,18 +154,45 @@ class Study:
         risky = chosen.select("epoch_idx", "ticker", "passes").join(weights, ["epoch_idx", "ticker"])
         return self._scaled(portfolio.route_to_cash(risky, ["epoch_idx"]), self.exposures(risky))
 
-    def gjr_vol(self, chosen: DataFrame) -> DataFrame:
-        """(ticker, idx, vol): parameters are estimated on selection days; on the days in between the filter runs on."""
-        days = self.once("gjr_days", lambda: self.epochs().join(chosen, "epoch_idx").select("ticker", "idx", F.col("epoch_idx").alias("of_idx")).distinct())
-        fits = self.once("gjr_fits", lambda: volatility.refit(self.panel, days.where("idx = of_idx").repartition("ticker", "idx"), self.cfg.horizon, True))
-        return self.once("gjr", lambda: volatility.filter_vol(self.panel, fits, days, self.cfg.horizon, self.cfg.lam).select("ticker", "idx", "vol"))
-
-    def _full_gjr(self) -> DataFrame:
+    def refit_days(self) -> DataFrame:
+        """(ticker, idx, of_idx): the selected tickers on every decision day, parameters being those of the selection day."""
+        chosen = self._selected().select(F.col("decision_idx").alias("epoch_idx"), "ticker")
+        return self.once("refit_days", lambda: self.epochs().join(chosen, "epoch_idx").select("ticker", "idx", F.col("epoch_idx").alias("of_idx")).distinct())
+
+    def fits(self, asymmetric: bool = False) -> DataFrame:
+        """Parameters by maximum likelihood at every selection."""
+        days = self.refit_days().where("idx = of_idx").repartition("ticker", "idx")
+        return self.once(f"fits-{asymmetric}", lambda: volatility.refit(self.panel, days, self.cfg.horizon, asymmetric))
+
+    def filtered(self, name: str, params: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(vol, resid) at every decision day: params are re-estimated on selection days only, between them the filter runs on
+        with those of the epoch. Where no parameters could be estimated, both are exponentially weighted."""
+        days = self.refit_days()
+        states = self.once(f"states-{name}", lambda: volatility.filtered(self.panel, params, days))
+        vol = self.once(f"vol-{name}", lambda: volatility.forecast_vol(self.panel, states, days, self.cfg.horizon, self.cfg.lam))
+        resid = states.select("idx", "ticker", "day", (F.col("e") / F.sqrt("h")).alias("e"))
+        plain = vol.where("fell_back").select("idx", "ticker")
+        resid = self.once(f"resid-{name}", lambda: resid.unionByName(volatility.residuals_at(self.panel, plain, self.cfg.lam)))
+        return vol.select("ticker", "idx", "vol"), resid
+
+    def _refitted(self, name: str, params: DataFrame, dcc: tuple[float, float] | None = None) -> DataFrame:
+        vol, resid = self.filtered(name, params)
         chosen = self._selected().withColumnRenamed("decision_idx", "epoch_idx")
-        vol = self.gjr_vol(chosen.select("epoch_idx", "ticker"))
         priced = chosen.join(vol.withColumnRenamed("idx", "epoch_idx"), ["epoch_idx", "ticker"])
         risky = portfolio.inverse_vol(priced, "vol", ["epoch_idx"])
-        return self._scaled(portfolio.route_to_cash(risky, ["epoch_idx"]), self.exposures(risky, vol))
+        return self._scaled(portfolio.route_to_cash(risky, ["epoch_idx"]), self.exposures(risky, vol, resid, dcc))
+
+    def _full_gjr(self) -> DataFrame:
+        return self._refitted("gjr", self.fits(True))
+
+    def _full_garch(self) -> DataFrame:
+        return self._refitted("garch", self.fits())
+
+    def _full_garch_dcc(self) -> DataFrame:
+        """GARCH by variance targeting at each selection, correlations by the recursion with fixed (a, b)."""
+        days = self.refit_days().where("idx = of_idx")
+        params = self.once("targeted", lambda: volatility.targeted(self.panel, days, *TARGETED))
+        return self._refitted("targeted", params, DCC)
 
     def book(self, *names: str) -> backtest.Book:
         targets = reduce(DataFrame.unionByName, map(self.targets, names))
@@ -182,3 +200,20 @@ class Study:
 
     def book_of(self, targets: DataFrame) -> backtest.Book:
         return backtest.run(targets, self.panel, self.rf, self.warmup, self.last_idx, self.cfg.bps)
+
+
+def look_ahead(spark: SparkSession, d: str, names: tuple[str, ...], until: int | None = None) -> DataFrame:
+    """(strategy_id, compared, differing): targets up to a day of a study that has all prices against those of a study that
+    ends on that day; targets that only one of them has differ. until: the day, else half way from the warm-up to the end."""
+    whole = Study(spark, d)
+    until = whole.warmup + (whole.last_idx - whole.warmup) // 2 if until is None else until
+    ends = Study(spark, d, until=until)
+    key = ["strategy_id", "decision_idx", "ticker"]
+
+    def targets(s: Study) -> DataFrame:
+        made = reduce(DataFrame.unionByName, map(s.targets, names))
+        return cut(made.where(F.col("decision_idx") <= until).select(*key, "weight"), "targets-until")
+
+    both = targets(whole).join(targets(ends).withColumnRenamed("weight", "again"), key, "full")
+    same = F.coalesce(F.abs(F.col("weight") - F.col("again")) <= 1e-9, F.lit(False))
+    return both.groupBy("strategy_id").agg(F.count("weight").alias("compared"), F.count_if(~same).alias("differing"))

@@ -11,7 +11,7 @@ from plumbline.operators import backtest, correlation, metrics, signals, stats,
 from plumbline.plans import oracle, readers
 from plumbline.plans.oracle import C, METRICS, book_sql, sql
 from plumbline.plans.queries import _BASE, _EWC, _FIVE, _FOUR, _KEYS, _PAIRS, _UNIT, _last_pairs, _returns, query, r6, s6
-from plumbline.plans.strategies import Study
+from plumbline.plans.strategies import Study, look_ahead
 from plumbline.sources import market
 from plumbline.sources.tables import cut, new_path
 
@@ -21,7 +21,7 @@ from plumbline.sources.tables import cut, new_path
 MU, OMEGA, ALPHA, BETA, GAMMA = 0.0, 0.05, 0.05, 0.85, 0.06
 
 _GARCH = f"""gk AS (SELECT ticker, idx, k, r * 100 - {MU} AS e, r * 100 AS x FROM ret),
-g0 AS (SELECT ticker, sum(pow(0.94, k - 1) * pow(x - m, 2)) / sum(pow(0.94, k - 1)) AS h FROM (SELECT *, avg(x) OVER (PARTITION BY ticker) AS m FROM gk) WHERE k <= 75 GROUP BY 1),
+g0 AS (SELECT ticker, {OMEGA} + {ALPHA + BETA + GAMMA / 2} * sum(pow(0.94, k - 1) * pow(x - m, 2)) / sum(pow(0.94, k - 1)) AS h FROM (SELECT *, avg(x) OVER (PARTITION BY ticker) AS m FROM gk) WHERE k <= 75 GROUP BY 1),
 gf AS (SELECT g.ticker, g.idx, g.k, g.e, g0.h, {OMEGA} + ({ALPHA} + CASE WHEN g.e < 0 THEN {GAMMA} ELSE 0 END) * g.e * g.e + {BETA} * g0.h AS next_h FROM gk g JOIN g0 USING (ticker) WHERE k = 1
   UNION ALL SELECT g.ticker, g.idx, g.k, g.e, f.next_h, {OMEGA} + ({ALPHA} + CASE WHEN g.e < 0 THEN {GAMMA} ELSE 0 END) * g.e * g.e + {BETA} * f.next_h FROM gf f JOIN gk g ON g.ticker = f.ticker AND g.k = f.k + 1)"""
 
@@ -78,10 +78,11 @@ def _(spark, d):
     return correlation.portfolio_vol(cov, cov.select(F.col("ticker_i").alias("ticker"), F.lit(0.2).alias("weight")).distinct()).select(r6("sigma_p"))
 
 
-@query("residual_panel", sql(f"SELECT s.idx, s.ticker, {s6('e')} FROM sel s JOIN resid r ON r.ticker = s.ticker AND r.idx = s.idx", ["sel", "resid"]))
+@query("residual_panel", sql(f"SELECT s.idx, s.ticker, {s6('e')} FROM sel s JOIN r_ivol r ON r.ticker = s.ticker AND r.dt = s.idx AND r.idx = s.idx", ["sel", "r_ivol"]))
 def _(spark, d):
     s = Study(spark, d)
-    return correlation.fresh(s.resid, s.selection.select("idx", "ticker")).select("idx", "ticker", r6("e"))
+    now = s.residuals(s.selection.select("idx", "ticker")).where("day = idx")
+    return correlation.fresh(now, s.selection.select("idx", "ticker")).select("idx", "ticker", r6("e"))
 
 
 @query("corr_projection")
@@ -92,6 +93,16 @@ def _(spark, d):
     return correlation.project(c.select(F.lit(0).alias("day"), "ticker_i", "ticker_j", moved.alias("corr")), "day").select("ticker_i", "ticker_j", r6("corr"))
 
 
+_SEEN = ("bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_garch_dcc")
+_UNTIL = f"{oracle.WARM} + (SELECT max(idx) - {oracle.WARM} FROM days) // 2"
+
+
+@query("no_look_ahead", sql("SELECT strategy_id, count(*) AS compared, 0::BIGINT AS differing FROM (" + " UNION ALL ".join(f"SELECT strategy_id, decision_idx FROM t_{n}" for n in _SEEN) + f") WHERE decision_idx <= {_UNTIL} GROUP BY 1", ["days", *(f"t_{n}" for n in _SEEN)]))
+def _(spark, d):
+    """Targets up to a day do not change when the days after it are cut off."""
+    return look_ahead(spark, d, _SEEN)
+
+
 @query("dcc_cadence", sql("SELECT epoch_idx, number, (number - 1) % 3 = 0 AS estimated, max(CASE WHEN (number - 1) % 3 = 0 THEN epoch_idx END) OVER (ORDER BY epoch_idx ROWS UNBOUNDED PRECEDING) AS of_idx FROM (SELECT idx AS epoch_idx, row_number() OVER (ORDER BY idx) AS number FROM clock WHERE is_selection)", ["clock"]))
 def _(spark, d):
     return correlation.cadence(Study(spark, d).clock.where("is_selection").select(F.col("idx").alias("epoch_idx")), 3)
@@ -103,7 +114,7 @@ def _(spark, d):
     s = Study(spark, d)
     days = correlation.cadence(s.clock.where("is_selection").select(F.col("idx").alias("epoch_idx")), 3).where("estimated").select("epoch_idx")
     chosen = s.selection.select(F.col("idx").alias("epoch_idx"), "ticker").join(F.broadcast(days), "epoch_idx")
-    rows = chosen.join(s.resid, "ticker").where("idx <= epoch_idx").select("epoch_idx", "idx", "ticker", "e")
+    rows = s.residuals(chosen.select(F.col("epoch_idx").alias("idx"), "ticker")).select(F.col("idx").alias("epoch_idx"), F.col("day").alias("idx"), "ticker", "e")
     return correlation.dcc_params(rows.repartition("epoch_idx"), "epoch_idx", (0.01, 0.96), 0.1).select("epoch_idx", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), "fell_back")
 
 
@@ -132,6 +143,7 @@ oracle.CTES |= {
     "t_cells": (["f_grid"], f"""SELECT cell AS strategy_id, idx AS decision_idx, exec_idx, '{C.market}' AS ticker, applied AS weight FROM f_grid WHERE NOT blocked
   UNION ALL SELECT cell, idx, exec_idx, 'CASH', 1 - applied FROM f_grid WHERE NOT blocked"""),
 }
+_METRICS_RAW = f"SELECT strategy_id, n_days, {', '.join(_KEYS)} FROM (SELECT strategy_id, {METRICS} FROM dd JOIN rf USING (idx) GROUP BY 1) LEFT JOIN ex USING (strategy_id)"
 _METRICS_SQL = f"SELECT strategy_id, n_days, {', '.join(s6(k) for k in _KEYS)} FROM (SELECT strategy_id, {METRICS} FROM dd JOIN rf USING (idx) GROUP BY 1) LEFT JOIN ex USING (strategy_id)"
 
 
@@ -161,7 +173,7 @@ def _(spark, d):
     return out.select("metric", *(r6(F.col(f"`{c}`"), c) for c in _SHOWN))
 
 
-@query("cell_sharpe_variance", book_sql(f"SELECT {s6('var_samp(sharpe)', 'variance')}, count(sharpe) AS cells FROM ({_METRICS_SQL})", ["cells"]))
+@query("cell_sharpe_variance", book_sql(f"SELECT {s6('var_samp(sharpe)', 'variance')}, count(sharpe) AS cells FROM ({_METRICS_RAW})", ["cells"]))
 def _(spark, d):
     return _cells(spark, d).agg(r6(F.var_samp("sharpe"), "variance"), F.count("sharpe").alias("cells"))
 
@@ -170,7 +182,7 @@ def _frontier(spark: SparkSession, d: str) -> DataFrame:
     return cut(readers.frontier(_cells(spark, d), C.sigma_star), "frontier", 1)
 
 
-_FRONT = f"fr AS (SELECT split_part(strategy_id, ':', 1) AS mode, CAST(split_part(strategy_id, '=', 2) AS DOUBLE) AS band, turnover, abs(ann_vol - {C.sigma_star}) AS tracking_error, sharpe FROM ({_METRICS_SQL}) WHERE strategy_id LIKE '%:risk.exposure_band=%')"
+_FRONT = f"fr AS (SELECT split_part(strategy_id, ':', 1) AS mode, CAST(split_part(strategy_id, '=', 2) AS DOUBLE) AS band, turnover, abs(ann_vol - {C.sigma_star}) AS tracking_error, sharpe FROM ({_METRICS_RAW}) WHERE strategy_id LIKE '%:risk.exposure_band=%')"
 
 
 def _front_sql(body: str) -> str:

@@ -38,7 +38,7 @@ def test_filter_equals_recursion_and_fit_path(spark):
     for t, v in r.items():
         x = v[-120:] * 100
         w = 0.94 ** np.arange(75)
-        start = float((w * (x[:75] - x.mean()) ** 2).sum() / w.sum())
+        start = values[1] + (values[2] + values[3] + values[4] / 2) * float((w * (x[:75] - x.mean()) ** 2).sum() / w.sum())
         path = volatility.variance_path(x - values[0], *values[1:3], values[3], values[4], start)
         mine = got[got.ticker == t]
         assert np.allclose(mine["h"], path[:-1]) and np.allclose(mine["next_h"], path[1:])
