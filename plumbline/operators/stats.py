@@ -3,13 +3,11 @@ digests of (seed, kind, repetition, place), so reruns agree and no state is carr
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.operators import metrics
 
@@ -112,9 +110,19 @@ def p_values(draws: DataFrame, observed: DataFrame) -> DataFrame:
     return rows.groupBy("metric", "left", "right").agg(((beyond + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return x.map(NormalDist().cdf, na_action="ignore")
+#: A rational approximation of the normal distribution function to double precision, its numerator and
+#: denominator, and where a continued fraction takes over.
+CDF_UP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+CDF_DOWN = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+CDF_FAR, ROOT_2PI = 7.07106781186547, 2.506628274631
+
+
+def normal_cdf(x: Column) -> Column:
+    a = F.abs(x)
+    near = F.exp(-a * a / 2) * _poly(CDF_UP, a) / _poly(CDF_DOWN, a)
+    far = F.exp(-a * a / 2) / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / ROOT_2PI
+    below = F.when(a < CDF_FAR, near).otherwise(far)
+    return F.when(x > 0, 1 - below).otherwise(below)
 
 
 def psr(sr: Column, n: Column, skew: Column, kurt: Column, benchmark: Column) -> Column:
@@ -122,14 +130,19 @@ def psr(sr: Column, n: Column, skew: Column, kurt: Column, benchmark: Column) ->
     return normal_cdf((sr - benchmark) * F.sqrt(n - 1) / F.sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr))
 
 
-def expected_max_sharpe(variance: Column, trials: int) -> Column:
+def max_quantile(trials: int) -> float:
+    """The expected maximum of so many standard normal numbers, about."""
     nd, gamma = NormalDist(), 0.5772156649015329
-    return F.sqrt(variance) * ((1 - gamma) * nd.inv_cdf(1 - 1 / trials) + gamma * nd.inv_cdf(1 - 1 / (trials * np.e)))
+    return (1 - gamma) * nd.inv_cdf(1 - 1 / trials) + gamma * nd.inv_cdf(1 - 1 / (trials * math.e))
+
+
+def expected_max_sharpe(variance: Column, trials: int) -> Column:
+    return F.sqrt(variance) * max_quantile(trials)
 
 
-def moments(returns: DataFrame) -> DataFrame:
+def moments(returns: DataFrame, of: str = "ret") -> DataFrame:
     """(strategy_id, n, sr, skew, kurt) of per-period returns: population skewness and kurtosis, not excess."""
-    return returns.groupBy("strategy_id").agg(F.count("ret").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
+    return returns.groupBy("strategy_id").agg(F.count(of).alias("n"), (F.avg(of) / F.stddev_samp(of)).alias("sr"), F.skewness(of).alias("skew"), (F.kurtosis(of) + 3).alias("kurt"))
 
 
 def overfitting(returns: DataFrame, blocks: int) -> DataFrame:

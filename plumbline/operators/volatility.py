@@ -1,7 +1,7 @@
 """Volatility: rolling and exponentially weighted estimates as window sums, GARCH family by maximum likelihood.
 
 EWMA variance is linear in squared returns, so it is a cumulative weighted sum: no recursion. The GARCH fit is the one
-thing without a closed form; it runs per (ticker, decision day) in numpy on at most `window` returns.
+thing without a closed form; it runs for batches of (ticker, decision day) in numpy, on at most `window` returns each.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import decay
+from plumbline.operators import likelihood
 
 DAYS = 252
 
@@ -49,25 +50,6 @@ def variance_path(scaled: np.ndarray, omega: float, alpha: float, beta: float, g
     return np.array(list(accumulate(added.tolist(), lambda h, x: x + beta * h, initial=start)))
 
 
-def _likelihood(q: np.ndarray, x: np.ndarray, start: float, asymmetric: bool) -> float:
-    mu, omega, alpha, beta, gamma, nu = _natural(q, asymmetric)
-    e = x - mu
-    h = variance_path(e, omega, alpha, beta, gamma, omega + (alpha + beta + gamma / 2) * start)[:-1]
-    if not np.all(np.isfinite(h)) or h.min() <= 0:
-        return 1e10
-    const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
-    return float(-(len(x) * const - 0.5 * np.log(h).sum() - (nu + 1) / 2 * np.log1p(e * e / (h * (nu - 2))).sum()))
-
-
-def _natural(q: np.ndarray, asymmetric: bool) -> tuple[float, ...]:
-    """Free numbers to parameters: alpha + beta + gamma / 2 < 1, nu > 2."""
-    total = 0.9999 / (1 + math.exp(-q[2]))
-    share = 1 / (1 + math.exp(-q[3]))
-    pull = total * (1 - share)
-    half = 1 / (1 + math.exp(-q[5])) if asymmetric else 1.0
-    return q[0], math.exp(q[1]), pull * half, total * share, 2 * pull * (1 - half), 2.05 + math.exp(q[4])
-
-
 def minimise(f, x0: np.ndarray, steps: int = 1500, tol: float = 1e-8) -> np.ndarray:
     """Nelder-Mead simplex search."""
     n = len(x0)
@@ -100,20 +82,9 @@ def minimise(f, x0: np.ndarray, steps: int = 1500, tol: float = 1e-8) -> np.ndar
     return pts[int(np.argmin(vals))]
 
 
-def fit_garch(returns: np.ndarray, asymmetric: bool = False, min_obs: int = 100) -> dict[str, float]:
+def fit_garch(returns: np.ndarray, asymmetric: bool = False, min_obs: int = likelihood.MIN_OBS) -> dict[str, float]:
     """GARCH(1,1) (GJR if asymmetric) with Student-t errors, on returns times 100."""
-    x = returns * 100
-    if len(x) < min_obs:
-        raise ValueError(f"{len(x)} returns; at least {min_obs} are needed")
-    tau = min(75, len(x))
-    w = 0.94 ** np.arange(tau)
-    start = float((w * (x[:tau] - x.mean()) ** 2).sum() / w.sum())
-    var = float(x.var())
-    q0 = np.array([x.mean(), math.log(max(var * 0.05, 1e-8)), 3.0, 2.5, math.log(6.0)] + ([0.0] if asymmetric else []))
-    q = minimise(lambda q: _likelihood(q, x, start, asymmetric), q0)
-    mu, omega, alpha, beta, gamma, nu = _natural(q, asymmetric)
-    h = variance_path(x - mu, omega, alpha, beta, gamma, omega + (alpha + beta + gamma / 2) * start)
-    return {"mu": mu, "omega": omega, "alpha": alpha, "beta": beta, "gamma": gamma, "nu": nu, "next_variance": h[-1], "loglik": -_likelihood(q, x, start, asymmetric)}
+    return likelihood.fit_garch_batch([returns], asymmetric, min_obs)[0]
 
 
 def mean_forecast(next_variance: float, omega: float, persistence: float, horizon: int) -> float:
@@ -124,6 +95,8 @@ def mean_forecast(next_variance: float, omega: float, persistence: float, horizo
     return level + (next_variance - level) * (1 - persistence**horizon) / ((1 - persistence) * horizon)
 
 
+#: Series that one task fits together.
+BATCH = 32
 PARAMS = ("mu", "omega", "alpha", "beta", "gamma", "nu")
 REFITS = "ticker string, idx int, mu double, omega double, alpha double, beta double, gamma double, nu double, fell_back boolean, reason string"
 
@@ -157,23 +130,32 @@ def targeted(panel: DataFrame, decisions: DataFrame, alpha: float, beta: float,
     return rows.select("ticker", "idx", "mu", omega.alias("omega"), *(F.lit(v).alias(k) for k, v in given.items()), (~F.coalesce(F.col("level") > 0, F.lit(False))).alias("fell_back"))
 
 
-def refit(panel: DataFrame, decisions: DataFrame, horizon: int, asymmetric: bool = False, window: int = 1000) -> DataFrame:
-    """Parameters estimated at each decision (ticker, idx); fell_back with a reason where the fit is degenerate."""
+def refit(panel: DataFrame, decisions: DataFrame, horizon: int, asymmetric: bool = False, window: int = 1000, record_errors: bool = False) -> DataFrame:
+    """Parameters estimated at each decision (ticker, idx); fell_back with a reason where the fit is degenerate. A window with
+    too few returns is an error, unless errors are recorded as reasons.
+
+    Windows go to the tasks in batches of about BATCH by a hash of the decision; the series of a batch are fitted together.
+    """
+    decisions = decisions.select("ticker", "idx").distinct()
+    batches = max(1, math.ceil(decisions.count() / BATCH))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = dict.fromkeys(PARAMS, None)
-        try:
-            p = fit_garch(pdf.sort_values("idx")["r"].to_numpy(), asymmetric)
-            variance = mean_forecast(p["next_variance"], p["omega"], persistence(p), horizon)
-            if not (math.isfinite(variance) and variance > 0 and persistence(p) < 1):
-                raise ValueError("degenerate fit")
-            out |= {k: p[k] for k in PARAMS}
-            fell, reason = False, None
-        except ValueError as e:
-            fell, reason = True, str(e)
-        return pd.DataFrame([{"ticker": pdf["ticker"].iloc[0], "idx": int(pdf["at"].iloc[0]), **out, "fell_back": fell, "reason": reason}])
-
-    return in_windows(panel, decisions, window).groupBy("ticker", "at").applyInPandas(fit, REFITS)
+        groups = [(key, g.sort_values("idx")["r"].to_numpy()) for key, g in pdf.groupby(["ticker", "at"], sort=True)]
+        enough = [len(r) >= likelihood.MIN_OBS or not record_errors for _, r in groups]
+        fits = iter(likelihood.fit_garch_batch([r for (_, r), ok in zip(groups, enough, strict=True) if ok], asymmetric) if any(enough) else [])
+        out = []
+        for ((ticker, at), r), ok in zip(groups, enough, strict=True):
+            row, reason = dict.fromkeys(PARAMS), f"{len(r)} returns; at least {likelihood.MIN_OBS} are needed"
+            if ok:
+                p = next(fits)
+                variance = mean_forecast(p["next_variance"], p["omega"], persistence(p), horizon)
+                reason = None if math.isfinite(variance) and variance > 0 and persistence(p) < 1 else "degenerate fit"
+                row = row if reason else {k: p[k] for k in PARAMS}
+            out.append({"ticker": ticker, "idx": int(at), **row, "fell_back": reason is not None, "reason": reason})
+        return pd.DataFrame(out, columns=[c.split()[0] for c in REFITS.split(", ")])
+
+    rows = in_windows(panel, decisions, window).withColumn("batch", F.pmod(F.xxhash64("ticker", "at"), F.lit(batches)))
+    return rows.groupBy("batch").applyInPandas(fit, REFITS)
 
 
 def persistence(p: dict[str, float]) -> float:

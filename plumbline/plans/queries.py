@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import correlation, metrics, portfolio, quality, signals, stats, volatility
+from plumbline.operators import backtest, correlation, metrics, portfolio, quality, signals, stats, volatility
 from plumbline.plans import oracle
 from plumbline.plans.oracle import METRICS, book_sql, sql
 from plumbline.plans.strategies import Study
@@ -329,17 +330,41 @@ def _(spark, d):
 
 
 def _returns(s: Study, names: list[str]) -> DataFrame:
-    nav = metrics.with_drawdown(s.book(*names).nav).where("raw is not null")
+    return _returns_of(s.book(*names), s)
+
+
+def _returns_of(book: backtest.Book, s: Study) -> DataFrame:
+    nav = metrics.with_drawdown(book.nav).where("raw is not null")
     return nav.join(s.rf.select("idx", "rf"), "idx").select("strategy_id", "idx", F.col("raw").alias("ret"), (F.col("raw") - F.col("rf")).alias("excess"))
 
 
-@query("psr_dsr")
+def _moments_sql(source: str) -> str:
+    """CTE mo: per-period Sharpe ratio and moments of the returns over cash."""
+    return f"""mo AS (SELECT strategy_id, count(*) AS n, any_value(mu) / stddev_samp(excess) AS sr, avg(pow(excess - mu, 3)) / pow(avg(pow(excess - mu, 2)), 1.5) AS skew, avg(pow(excess - mu, 4)) / pow(avg(pow(excess - mu, 2)), 2) AS kurt
+  FROM (SELECT *, avg(excess) OVER (PARTITION BY strategy_id) AS mu FROM {source}) GROUP BY 1)"""
+
+
+def _horner_sql(coefficients: tuple[float, ...], x: str) -> str:
+    return reduce(lambda a, c: f"({a} * {x} + {c!r})", coefficients[1:], repr(coefficients[0]))
+
+
+def _cdf_sql(x: str) -> str:
+    near = f"exp(-a * a / 2) * {_horner_sql(stats.CDF_UP, 'a')} / {_horner_sql(stats.CDF_DOWN, 'a')}"
+    far = f"exp(-a * a / 2) / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / {stats.ROOT_2PI!r}"
+    return f"(SELECT CASE WHEN y > 0 THEN 1 - t ELSE t END FROM (SELECT y, CASE WHEN a < {stats.CDF_FAR!r} THEN {near} ELSE {far} END AS t FROM (SELECT x AS y, abs(x) AS a FROM (SELECT {x} AS x))))"
+
+
+def _psr_sql(benchmark: str) -> str:
+    return _cdf_sql(f"(sr - {benchmark}) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr)")
+
+
+@query("psr_dsr", book_sql(f"SELECT * FROM (WITH xr AS (SELECT strategy_id, raw - rf AS excess FROM dd JOIN rf USING (idx) WHERE raw IS NOT NULL), {_moments_sql('xr')} SELECT strategy_id, {s6(_psr_sql('0.0'), 'psr')}, {s6(_psr_sql(f'sqrt((SELECT var_samp(sr) FROM mo)) * {stats.max_quantile(len(_FOUR))!r}'), 'dsr')} FROM mo)", _FOUR))
 def _(spark, d):
-    m = stats.moments(_returns(Study(spark, d), _FOUR))
-    spread = F.var_samp("sr").over(Window.partitionBy())
+    m = stats.moments(_returns(Study(spark, d), _FOUR), "excess")
+    spread = F.var_samp("sr").over(Window.partitionBy())  # one row a strategy
     m = m.withColumn("benchmark", stats.expected_max_sharpe(spread, len(_FOUR)))
     args = [F.col(c) for c in ("sr", "n", "skew", "kurt")]
-    return m.select("strategy_id", stats.psr(*args, F.lit(0.0)).alias("psr"), stats.psr(*args, F.col("benchmark")).alias("dsr"))
+    return m.select("strategy_id", r6(stats.psr(*args, F.lit(0.0)), "psr"), r6(stats.psr(*args, F.col("benchmark")), "dsr"))
 
 
 PBO_BLOCKS = 16

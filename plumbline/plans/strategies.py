@@ -160,9 +160,9 @@ class Study:
         return self.once("refit_days", lambda: self.epochs().join(chosen, "epoch_idx").select("ticker", "idx", F.col("epoch_idx").alias("of_idx")).distinct())
 
     def fits(self, asymmetric: bool = False) -> DataFrame:
-        """Parameters by maximum likelihood at every selection."""
-        days = self.refit_days().where("idx = of_idx").repartition("ticker", "idx")
-        return self.once(f"fits-{asymmetric}", lambda: volatility.refit(self.panel, days, self.cfg.horizon, asymmetric))
+        """Parameters by maximum likelihood at every selection; selections before there are enough weekly returns fall back."""
+        days = self.refit_days().where("idx = of_idx")
+        return self.once(f"fits-{asymmetric}", lambda: volatility.refit(self.panel, days, self.cfg.horizon, asymmetric, record_errors=True))
 
     def filtered(self, name: str, params: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(vol, resid) at every decision day: params are re-estimated on selection days only, between them the filter runs on

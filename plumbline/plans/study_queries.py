@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import backtest, correlation, metrics, signals, stats, volatility
 from plumbline.plans import oracle, readers
 from plumbline.plans.oracle import C, METRICS, book_sql, sql
-from plumbline.plans.queries import _BASE, _EWC, _FIVE, _FOUR, _KEYS, _PAIRS, _UNIT, _last_pairs, _returns, query, r6, s6
+from plumbline.plans.queries import _BASE, _EWC, _FIVE, _FOUR, _KEYS, _PAIRS, _UNIT, _last_pairs, _PBO, _moments_sql, _psr_sql, _returns, _returns_of, query, r6, s6
 from plumbline.plans.strategies import Study, look_ahead
 from plumbline.sources import market
 from plumbline.sources.tables import cut, new_path
@@ -55,7 +55,7 @@ def _(spark, d):
     s = Study(spark, d)
     days = s.clock.where("is_selection").where(F.col("idx") + C.horizon <= s.last_idx).orderBy(F.desc("idx")).limit(4).select("idx")
     asked = cut(s.panel.join(F.broadcast(days), "idx").select("ticker", "idx", F.col("idx").alias("of_idx")), "asked")
-    fits = cut(volatility.refit(s.panel, asked.repartition("ticker", "idx"), C.horizon), "fits")
+    fits = cut(volatility.refit(s.panel, asked, C.horizon, record_errors=True), "fits")
     garch = volatility.filter_vol(s.panel, fits, asked, C.horizon, C.lam).select("ticker", "idx", F.lit("garch").alias("spec"), "vol")
     plain = s.vol.join(asked.select("ticker", "idx"), ["ticker", "idx"]).select("ticker", "idx", F.lit("ewma").alias("spec"), "vol")
     ahead = Window.partitionBy("ticker").orderBy("idx").rowsBetween(1, C.horizon)
@@ -148,14 +148,19 @@ _METRICS_SQL = f"SELECT strategy_id, n_days, {', '.join(s6(k) for k in _KEYS)} F
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of the volatility target under every cell: all cells are one book, told apart by strategy_id."""
+    """Metrics of the volatility target under every cell."""
+    b, s = _cell_book(spark, d)
+    return metrics.bundle(b.nav, s.rf, b.weights)
+
+
+def _cell_book(spark: SparkSession, d: str) -> tuple[backtest.Book, Study]:
+    """All cells are one book, told apart by strategy_id."""
     s = Study(spark, d)
     cells = spark.createDataFrame(CELLS, "cell string, sigma_star double, band double, band_mode string")
     one = s._days().select(F.col("decision_idx").alias("epoch_idx"), F.lit(C.market).alias("ticker"), F.lit(1.0).alias("weight"))
     taken = s.grid(s.sigmas(one), cells).where("not blocked").select(F.col("cell").alias("strategy_id"), F.col("idx").alias("decision_idx"), "exec_idx", "applied")
     legs = F.array(F.struct(F.lit(C.market).alias("ticker"), F.col("applied").alias("weight")), F.struct(F.lit(backtest.CASH).alias("ticker"), (1 - F.col("applied")).alias("weight")))
-    b = s.book_of(cut(taken.select("strategy_id", "decision_idx", "exec_idx", F.inline(legs)), "targets-cells"))
-    return metrics.bundle(b.nav, s.rf, b.weights)
+    return s.book_of(cut(taken.select("strategy_id", "decision_idx", "exec_idx", F.inline(legs)), "targets-cells")), s
 
 
 @query("ablation_metrics", book_sql(_METRICS_SQL, ["cells"]))
@@ -292,15 +297,29 @@ def _(spark, d):
     return n.withColumn("aligned", F.col("n") == F.max("n").over(Window.partitionBy()))
 
 
-@query("significance_report")
+SPLITS = 16
+_CELL_RETURNS = f"xr AS (SELECT strategy_id, idx, raw AS ret, raw - rf AS excess FROM dd JOIN rf USING (idx) WHERE raw IS NOT NULL), {_moments_sql('xr')}"
+_TRIAL = f"sqrt((SELECT var_samp(sr) FROM mo)) * {stats.max_quantile(len(CELLS))!r}"
+
+
+@query("significance_report", book_sql(f"""SELECT * FROM (WITH {_CELL_RETURNS}, {_PBO}
+  SELECT 'voltarget_only' AS strategy_id, {len(CELLS)}::BIGINT AS trials, n AS n_days, {s6('sr')}, {s6('skew')}, {s6('kurt')}, {s6(_psr_sql('0.0'), 'psr')}, {s6(_TRIAL, 'expected_max_sr')}, {s6(_psr_sql(_TRIAL), 'dsr')},
+    (SELECT {s6('var_samp(sr)', 'v')} FROM mo) AS sr_variance, (SELECT {s6('avg(CASE WHEN ln(rk / (k + 1) / (1 - rk / (k + 1))) <= 0 THEN 1.0 ELSE 0.0 END)', 'v')} FROM pk WHERE pick = 1) AS pbo FROM mo WHERE strategy_id = 'baseline')""", ["cells"]))
 def _(spark, d):
-    """Per strategy: probabilistic and deflated Sharpe ratio, moments, and the probability of overfitting of the set."""
-    r = cut(_returns(Study(spark, d), _FOUR), "returns")
-    m = stats.moments(r)
-    m = m.withColumn("benchmark", stats.expected_max_sharpe(F.var_samp("sr").over(Window.partitionBy()), len(_FOUR)))
+    """The volatility target's baseline against its grid: every cell is a trial; Sharpe ratios per period, over cash; the
+    probability of overfitting from SPLITS blocks."""
+    b, s = _cell_book(spark, d)
+    r = cut(_returns_of(b, s), "cell-returns")
+    m = stats.moments(r, "excess")
+    spread = m.agg(F.var_samp("sr").alias("sr_variance"))
+    pbo = stats.overfitting(r, SPLITS).agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"))
+    m = m.where("strategy_id = 'baseline'").join(F.broadcast(spread)).join(F.broadcast(pbo))
+    m = m.withColumn("expected_max_sr", stats.expected_max_sharpe(F.col("sr_variance"), len(CELLS)))
     args = [F.col(c) for c in ("sr", "n", "skew", "kurt")]
-    pbo = stats.overfitting(r, 8).agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"))
-    return m.join(F.broadcast(pbo)).select("strategy_id", "n", r6("sr"), r6("skew"), r6("kurt"), r6(stats.psr(*args, F.lit(0.0)), "psr"), r6(stats.psr(*args, F.col("benchmark")), "dsr"), r6("pbo"))
+    return m.select(
+        F.lit("voltarget_only").alias("strategy_id"), F.lit(len(CELLS)).cast("long").alias("trials"), F.col("n").alias("n_days"), r6("sr"), r6("skew"), r6("kurt"),
+        r6(stats.psr(*args, F.lit(0.0)), "psr"), r6("expected_max_sr"), r6(stats.psr(*args, F.col("expected_max_sr")), "dsr"), r6("sr_variance"), r6("pbo"),
+    )
 
 
 _Q = """CASE WHEN p < 0.02425 THEN {c} WHEN p > 0.97575 THEN -({d}) ELSE {m} END"""

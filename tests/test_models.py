@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import decay
-from plumbline.operators import backtest, correlation, portfolio, stats, volatility
+from plumbline.operators import backtest, correlation, likelihood, portfolio, stats, volatility
 
 
 @pytest.mark.parametrize("lam", [0.0, 0.3, 0.94, 0.999])
@@ -49,7 +49,9 @@ def test_refit_then_filter(spark):
     panel = _panel(spark, {"A": rng.normal(0, 0.01, 180), "B": rng.normal(0, 0.01, 60)})
     panel = panel.withColumn("date", F.date_add(F.lit("2020-01-01"), F.col("idx")))
     days = spark.createDataFrame([("A", 150, 150), ("A", 170, 150), ("B", 50, 50), ("B", 55, 50)], "ticker string, idx int, of_idx int")
-    fits = volatility.refit(panel, days.where("idx = of_idx"), 4)
+    with pytest.raises(Exception, match="50 returns; at least 100"):
+        volatility.refit(panel, days.where("idx = of_idx"), 4).collect()
+    fits = volatility.refit(panel, days.where("idx = of_idx"), 4, record_errors=True)
     assert {(r.ticker, r.fell_back, r.reason is None) for r in fits.collect()} == {("A", False, True), ("B", True, False)}
     got = {(r.ticker, r.idx): r for r in volatility.filter_vol(panel, fits, days, 4, 0.94).collect()}
     assert set(got) == {("A", 150), ("A", 170), ("B", 50), ("B", 55)}
@@ -129,3 +131,79 @@ def test_normal_quantile_and_front_helpers(spark):
     b = spark.createDataFrame([("g", 2.0, "r"), ("g", 4.5, "s")], "of string, x double, name string")
     best = stats.nearest_pair(a, b, "of", "x").first()
     assert (best.a.name, best.b.name, best.gap) == ("q", "s", 0.5)
+
+
+def _simulated(rng, n, alpha, beta, gamma, nu):
+    h, out = 1.0, []
+    for _ in range(n):
+        e = np.sqrt(h) * rng.standard_t(nu) * np.sqrt((nu - 2) / nu)
+        out.append(e / 100)
+        h = (1 - alpha - beta - gamma / 2) + (alpha + gamma * (e < 0)) * e * e + beta * h
+    return np.array(out)
+
+
+@pytest.mark.parametrize("asymmetric", [False, True])
+def test_batched_search_finds_the_simplex_optimum(asymmetric):
+    rng = np.random.default_rng(3)
+    series = [_simulated(rng, n, 0.06, 0.88, 0.08 * asymmetric, 6) for n in (180, 400, 700, 401)] + [rng.normal(0, 0.01, 300)]
+    together = likelihood.fit_garch_batch(series, asymmetric)
+    for r, p in zip(series, together, strict=True):
+        assert p == pytest.approx(likelihood.fit_garch_batch([r], asymmetric)[0], rel=1e-3, abs=1e-4)  # a batch is its series
+        x, n = (r * 100)[:, None], np.array([len(r)])
+        w = 0.94 ** np.arange(75)
+        back = np.array([(w * (x[:75, 0] - x.mean()) ** 2).sum() / w.sum()])
+        q0 = np.array([x.mean(), np.log(x.var() * 0.05), 3.0, 2.5, np.log(6.0), 0.0])[: 6 if asymmetric else 5]
+        f = lambda q: float(likelihood.loss(q[None, :], x, n, back)[0][0])  # noqa: B023, E731
+        best = volatility.minimise(f, q0, 4000, 1e-12)
+        assert p["loglik"] >= -f(best) * len(r) - 1e-2
+        g, eps = likelihood.loss(q0[None, :], x, n, back)[1][0], 1e-6
+        assert g == pytest.approx([(f(q0 + eps * u) - f(q0 - eps * u)) / (2 * eps) for u in np.eye(len(q0))], abs=1e-6)
+
+
+def test_batched_search_recovers_parameters():
+    rng = np.random.default_rng(8)
+    fits = likelihood.fit_garch_batch([_simulated(rng, 4000, 0.05, 0.88, 0.08, 7) for _ in range(4)], True)
+    means = {k: np.mean([f[k] for f in fits]) for k in ("alpha", "beta", "gamma", "nu")}
+    assert abs(means["alpha"] - 0.05) < 0.02 and abs(means["beta"] - 0.88) < 0.03 and abs(means["gamma"] - 0.08) < 0.04 and abs(means["nu"] - 7) < 1.5
+
+
+def test_normal_distribution_function(spark):
+    from statistics import NormalDist
+
+    x = [-9.0, -7.2, -3.0, -1.0, -1e-9, 0.0, 0.3, 1.0, 2.5, 7.05, 8.0]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in x], "x double").select(stats.normal_cdf(F.col("x")).alias("p")).collect()]
+    assert got == pytest.approx([NormalDist().cdf(v) for v in x], abs=1e-14)
+
+
+def test_correlations_use_shared_days_and_the_past_only(spark):
+    rng = np.random.default_rng(2)
+    days = {"A": range(1, 60), "B": [i for i in range(1, 60) if i % 7], "C": [i for i in range(1, 60) if i % 5]}
+    rows = [(t, i, float(rng.normal(0, 0.01))) for t, own in days.items() for i in own]
+    panel = spark.createDataFrame(rows, "ticker string, idx int, r double")
+    at = spark.createDataFrame([(41, t) for t in days], "idx int, ticker string")
+    got = {}
+    for cut in (41, 59):
+        resid = volatility.residuals_at(panel.where(F.col("idx") <= cut), at, 0.94)
+        got[cut] = {(r.ticker_i, r.ticker_j): r.corr for r in correlation.corr_at(resid, at, 0.94).collect()}
+    assert got[41] == pytest.approx(got[59]) and len(got[41]) == 9
+    e = {}
+    for t, own in days.items():
+        r = [v for tt, i, v in rows if tt == t and i <= 41]
+        h, out = np.var(r, ddof=1), []
+        for v in r:
+            out.append(v / np.sqrt(h))
+            h = 0.94 * h + 0.06 * v * v
+        e[t] = dict(zip([i for i in own if i <= 41], out, strict=True))
+    shared = sorted(set.intersection(*(set(x) for x in e.values())))
+    m = np.array([[e[t][i] for t in days] for i in shared])
+    s = np.cov(m, rowvar=False)
+    for row in m[:-1]:
+        s = 0.94 * s + 0.06 * np.outer(row, row)
+    want = s / np.sqrt(np.outer(np.diag(s), np.diag(s)))
+    assert [got[41][a, b] for a in days for b in days] == pytest.approx(want.ravel())
+    a, b, c = 0.02, 0.95, 0.9 * np.corrcoef(m, rowvar=False) + 0.1 * np.eye(3)
+    q = c
+    for row in m[:-1]:
+        q = (1 - a - b) * c + a * np.outer(row, row) + b * q
+    dcc = {(r.ticker_i, r.ticker_j): r.corr for r in correlation.corr_at(volatility.residuals_at(panel, at, 0.94), at, 0.94, (a, b)).collect()}
+    assert [dcc[x, y] for x in days for y in days] == pytest.approx((q / np.sqrt(np.outer(np.diag(q), np.diag(q)))).ravel())
