@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +60,29 @@ def erc(cov: np.ndarray, tol: float = 1e-10, sweeps: int = 10_000) -> np.ndarray
     raise ValueError("equal risk contributions did not converge")
 
 
-def erc_weights(cov: DataFrame, by: str) -> DataFrame:
-    """(by, ticker, weight) from long covariances (by, ticker_i, ticker_j, cov); one small matrix per group."""
-    kind = cov.schema[by].dataType.simpleString()
+#: Sweeps over the assets of a matrix; far more than the search takes, as what is left after them is an error.
+SWEEPS = 100
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="ticker_i", columns="ticker_j", values="cov")
-        return pd.DataFrame({by: pdf[by].iloc[0], "ticker": m.index, "weight": erc(m.to_numpy())})
 
-    return cov.groupBy(by).applyInPandas(solve, f"{by} {kind}, ticker string, weight double")
+def erc_weights(cov: DataFrame, by: str, sweeps: int = SWEEPS) -> DataFrame:
+    """(by, ticker, weight) from long covariances (by, ticker_i, ticker_j, cov): the descent of erc as a fold over the assets
+    of each group's matrix, which has as many rows as the group holds assets."""
+    own = F.when(F.col("ticker_i") == F.col("ticker_j"), F.struct(F.col("ticker_i").alias("ticker"), (1 / F.sqrt("cov")).alias("x")))
+    rows = cov.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ticker_i", "ticker_j", "cov"))).alias("m"), F.array_sort(F.collect_list(own)).alias("own"))
+    rows = rows.select(by, F.col("own.ticker").alias("tickers"), F.col("m.cov").alias("m"), F.size("own").alias("k"), F.col("own.x").alias("x"))
+    m, k = F.col("m"), F.col("k")
+
+    def row_sum(x: Column, i: Column) -> Column:
+        return F.aggregate(F.transform(x, lambda v, j: v * F.get(m, i * k + j)), F.lit(0.0), lambda a, v: a + v)
+
+    def step(x: Column, n: Column) -> Column:
+        i = F.pmod(n, k)
+        own = F.get(m, i * k + i)
+        cross = row_sum(x, i) - own * F.get(x, i)
+        return F.transform(x, lambda v, j: F.when(j == i, (-cross + F.sqrt(cross * cross + 4 * own / k)) / (2 * own)).otherwise(v))
+
+    rows = rows.withColumn("x", F.aggregate(F.sequence(F.lit(0), sweeps * k - 1), F.col("x"), step))
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    off = F.array_max(F.transform("x", lambda v, i: F.abs(v * row_sum(F.col("x"), i) - 1 / k)))
+    weights = F.when(off <= 1e-8, F.transform("x", lambda v: v / total)).otherwise(F.raise_error(F.lit("equal risk contributions did not converge")))
+    return rows.select(by, F.inline(F.arrays_zip(F.col("tickers").alias("ticker"), weights.alias("weight"))))

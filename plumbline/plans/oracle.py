@@ -105,6 +105,24 @@ CTES: dict[str, tuple[list[str], str]] = {
     **{f"r_{w}": ([f"w_{w}"], _resid(w)) for w in ("ivol", "one")},
     **{f"x_{w}": ([f"r_{w}", f"w_{w}"], _shared(w)) for w in ("ivol", "one", "gvol")},
     **{f"s_{w}": ([f"x_{w}"], _sums(w, *_EWMA_SUMS)) for w in ("ivol", "one")},
+    # equal risk contributions by cyclical descent, 100 sweeps
+    "e_cov": (["s_ivol", "vol", "epochs"], """SELECT c.idx AS epoch_idx, c.ticker_i, c.ticker_j, a.vol * CASE WHEN c.ticker_i = c.ticker_j THEN 1.0 ELSE c.s / sqrt(x.s * y.s) END * b.vol AS cov
+  FROM s_ivol c JOIN s_ivol x ON x.idx = c.idx AND x.ticker_i = c.ticker_i AND x.ticker_j = c.ticker_i JOIN s_ivol y ON y.idx = c.idx AND y.ticker_i = c.ticker_j AND y.ticker_j = c.ticker_j
+  JOIN vol a ON a.ticker = c.ticker_i AND a.idx = c.idx JOIN vol b ON b.ticker = c.ticker_j AND b.idx = c.idx WHERE c.idx IN (SELECT epoch_idx FROM epochs)"""),
+    "e_mat": (["e_cov"], """SELECT epoch_idx, len(tick) AS k, m, tick, x FROM (SELECT epoch_idx, list(cov ORDER BY ticker_i, ticker_j) AS m FROM e_cov GROUP BY 1)
+  JOIN (SELECT epoch_idx, list(ticker_i ORDER BY ticker_i) AS tick, list(1 / sqrt(cov) ORDER BY ticker_i) AS x FROM e_cov WHERE ticker_i = ticker_j GROUP BY 1) USING (epoch_idx)"""),
+    "e_step": (["e_mat"], """SELECT epoch_idx, 0::BIGINT AS n, k, m, tick, x FROM e_mat UNION ALL
+  SELECT epoch_idx, n + 1, k, m, tick, list_transform(x, lambda v, j: CASE WHEN j = i THEN (-c + sqrt(c * c + 4 * o / k)) / (2 * o) ELSE v END)
+  FROM (SELECT *, list_sum(list_transform(x, lambda v, j: m[(i - 1) * k + j] * v)) - m[(i - 1) * k + i] * x[i] AS c, m[(i - 1) * k + i] AS o FROM (SELECT *, n % k + 1 AS i FROM e_step WHERE n < 100 * k))"""),
+    "ercw": (["e_step", "pick"], "SELECT p.epoch_idx, p.exec_idx, p.ticker, p.passes, w.weight FROM (SELECT epoch_idx, unnest(tick) AS ticker, unnest(x) / list_sum(x) AS weight FROM e_step WHERE n = 100 * k) w JOIN pick p ON p.epoch_idx = w.epoch_idx AND p.ticker = w.ticker"),
+    "e_routed": (["ercw"], """SELECT epoch_idx, exec_idx, ticker, weight FROM ercw WHERE passes
+  UNION ALL SELECT epoch_idx, exec_idx, 'CASH', coalesce(sum(CASE WHEN NOT passes THEN weight END), 0) FROM ercw GROUP BY 1, 2"""),
+    "s_ercw": (["s_ivol"], "SELECT * FROM s_ivol"),
+    "sig_ercw": (["s_ercw", "ercw", "vol", "epochs"], _sigma("ercw")),
+    "n_sig_ercw": (["sig_ercw"], _numbered("sig_ercw")),
+    "f_sig_ercw": (["n_sig_ercw"], _band("sig_ercw")),
+    "e_ercw": (["f_sig_ercw"], _fold("sig_ercw")),
+    "t_full_erc": (["e_routed", "e_ercw"], _scaled("full_erc", "e_routed", "e_ercw")),
     # GARCH by variance targeting at each selection, filtered on by its epoch's parameters
     "pick": (["sel"], "SELECT idx AS epoch_idx, exec_idx, ticker, passes FROM sel"),
     "w_gvol": (["pick", "epochs", "ret"], _window("pick")),

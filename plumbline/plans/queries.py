@@ -255,7 +255,7 @@ def _(spark, d):
     return s.exposures(s._risky().withColumnRenamed("decision_idx", "epoch_idx")).select("epoch_idx", "idx", r6("sigma_p"), r6("exposure"), r6("applied"), "blocked")
 
 
-SQL_STRATEGIES = ["bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_garch_dcc"]
+SQL_STRATEGIES = ["bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_erc", "full_garch_dcc"]
 
 
 def _book_queries(name: str, text: bool) -> None:
@@ -273,7 +273,7 @@ def _book_queries(name: str, text: bool) -> None:
 
 for _name in SQL_STRATEGIES:
     _book_queries(_name, True)
-for _name in ("full_erc", "full_gjr", "full_garch"):
+for _name in ("full_gjr", "full_garch"):
     _book_queries(_name, False)
 
 _FOUR = ["bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol"]
@@ -426,8 +426,9 @@ def _(spark, d):
     return s.filtered("gjr", s.fits(True))[0].select("ticker", "idx", r6("vol"))
 
 
-@query("erc_weights")
+@query("erc_weights", sql(f"SELECT epoch_idx AS idx, ticker, {s6('weight')} FROM ercw", ["ercw"]))
 def _(spark, d):
+    """Equal risk contributions of the assets of every selection."""
     s = Study(spark, d)
-    cov = correlation.covariance(correlation.ewma_corr(_last_pairs(s), C.lam), s.vol.where(F.col("idx") == s.last_idx))
-    return portfolio.erc_weights(cov.withColumn("day", F.lit(0)), "day").select("ticker", "weight")
+    cov = s.covariances(s.selection.select("idx", "ticker"))
+    return portfolio.erc_weights(cov, "idx").select("idx", "ticker", r6("weight"))

@@ -93,7 +93,7 @@ def _(spark, d):
     return correlation.project(c.select(F.lit(0).alias("day"), "ticker_i", "ticker_j", moved.alias("corr")), "day").select("ticker_i", "ticker_j", r6("corr"))
 
 
-_SEEN = ("bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_garch_dcc")
+_SEEN = ("bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_erc", "full_garch_dcc")
 _UNTIL = f"{oracle.WARM} + (SELECT max(idx) - {oracle.WARM} FROM days) // 2"
 
 

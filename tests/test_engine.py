@@ -76,6 +76,21 @@ def test_no_look_ahead(spark):
     assert a == b
 
 
+def test_erc_fold_is_the_descent(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for day, k in ((1, 1), (2, 2), (3, 6)):
+        a = rng.normal(0, 0.1, (k, k + 3))
+        cov = a @ a.T
+        names = [f"T{i}" for i in range(k)]
+        rows += [(day, x, y, float(cov[i, j])) for i, x in enumerate(names) for j, y in enumerate(names)]
+        want |= {(day, t): w for t, w in zip(names, portfolio.erc(cov), strict=True)}
+    df = spark.createDataFrame(rows, "day int, ticker_i string, ticker_j string, cov double")
+    assert {(r.day, r.ticker): r.weight for r in portfolio.erc_weights(df, "day").collect()} == pytest.approx(want, abs=1e-8)
+    with pytest.raises(Exception, match="did not converge"):
+        portfolio.erc_weights(df.where("day = 3"), "day", 1).collect()
+
+
 def test_erc_contributions_are_equal():
     cov = np.array([[0.04, 0.01, 0.0], [0.01, 0.09, 0.02], [0.0, 0.02, 0.16]])
     w = portfolio.erc(cov)
