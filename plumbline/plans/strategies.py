@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import backtest, correlation, portfolio, signals, volatility
@@ -202,9 +202,40 @@ class Study:
         return backtest.run(targets, self.panel, self.rf, self.warmup, self.last_idx, self.cfg.bps)
 
 
-def look_ahead(spark: SparkSession, d: str, names: tuple[str, ...], until: int | None = None) -> DataFrame:
+def cell_reason() -> Column:
+    """Why a cell (sigma_star, band, band_mode) of a parameter grid cannot run; null where it can."""
+    return (
+        F.when(~F.coalesce(F.col("sigma_star") > 0, F.lit(False)), "risk.sigma_star must be positive")
+        .when(~F.coalesce(F.col("band") >= 0, F.lit(False)), "risk.exposure_band must not be negative")
+        .when(~F.coalesce(F.col("band_mode").isin("absolute", "log"), F.lit(False)), F.concat(F.lit("unknown risk.exposure_band_mode: "), F.coalesce("band_mode", F.lit("null"))))
+    )
+
+
+#: Strategies whose exposure depends on a cell's settings, and the weights that they scale.
+SCALED = {"voltarget_only": lambda s: s._days().select(F.col("decision_idx").alias("epoch_idx"), F.lit(s.cfg.market).alias("ticker"), F.lit(1.0).alias("weight")), "full": lambda s: s._risky().withColumnRenamed("decision_idx", "epoch_idx")}
+
+
+def grid_book(s: Study, strategy: str, cells: DataFrame) -> tuple[DataFrame, backtest.Book]:
+    """(cells with their reason, book): every valid cell (cell, sigma_star, band, band_mode) of a strategy, told apart by
+    strategy_id; a cell that cannot run is a row with a reason and does not stop the others. An unknown strategy is an error."""
+    if strategy not in SCALED:
+        raise ValueError(f"unknown strategy for a grid: {strategy!r}; known: {', '.join(SCALED)}")
+    judged = cut(cells.withColumn("reason", cell_reason()), "cells", 1)
+    risky = SCALED[strategy](s)
+    routed = portfolio.route_to_cash(risky, ["epoch_idx"]) if "passes" in risky.columns else risky
+    taken = s.grid(s.sigmas(risky), judged.where("reason is null").drop("reason")).where("not blocked").select("cell", "epoch_idx", F.col("idx").alias("decision_idx"), "exec_idx", "applied")
+    rows = routed.where(F.col("ticker") != backtest.CASH).select("epoch_idx", "ticker", "weight").join(taken, "epoch_idx")
+    rows = rows.select(F.col("cell").alias("strategy_id"), "decision_idx", "exec_idx", "ticker", (F.col("weight") * F.col("applied")).alias("weight"))
+    held = rows.groupBy("strategy_id", "decision_idx").agg(F.sum("weight").alias("held"))
+    days = taken.select(F.col("cell").alias("strategy_id"), "decision_idx", "exec_idx")
+    cash = days.join(held, ["strategy_id", "decision_idx"], "left").select("strategy_id", "decision_idx", "exec_idx", F.lit(backtest.CASH).alias("ticker"), (1 - F.coalesce("held", F.lit(0.0))).alias("weight"))
+    return judged, s.book_of(cut(rows.unionByName(cash), "targets-grid"))
+
+
+def look_ahead(spark: SparkSession, d: str, names: tuple[str, ...], until: int | None = None, tol: float = 1e-9) -> DataFrame:
     """(strategy_id, compared, differing): targets up to a day of a study that has all prices against those of a study that
-    ends on that day; targets that only one of them has differ. until: the day, else half way from the warm-up to the end."""
+    ends on that day; targets that only one of them has differ. until: the day, else half way from the warm-up to the end.
+    tol: for weights; likelihood fits add up in the order of their batch, so weights from them agree to about 1e-6."""
     whole = Study(spark, d)
     until = whole.warmup + (whole.last_idx - whole.warmup) // 2 if until is None else until
     ends = Study(spark, d, until=until)
@@ -215,5 +246,5 @@ def look_ahead(spark: SparkSession, d: str, names: tuple[str, ...], until: int |
         return cut(made.where(F.col("decision_idx") <= until).select(*key, "weight"), "targets-until")
 
     both = targets(whole).join(targets(ends).withColumnRenamed("weight", "again"), key, "full")
-    same = F.coalesce(F.abs(F.col("weight") - F.col("again")) <= 1e-9, F.lit(False))
+    same = F.coalesce(F.abs(F.col("weight") - F.col("again")) <= tol, F.lit(False))
     return both.groupBy("strategy_id").agg(F.count("weight").alias("compared"), F.count_if(~same).alias("differing"))

@@ -11,7 +11,7 @@ from plumbline.operators import backtest, correlation, metrics, signals, stats,
 from plumbline.plans import oracle, readers
 from plumbline.plans.oracle import C, METRICS, book_sql, sql
 from plumbline.plans.queries import _BASE, _EWC, _FIVE, _FOUR, _KEYS, _PAIRS, _UNIT, _last_pairs, _PBO, _moments_sql, _psr_sql, _returns, _returns_of, query, r6, s6
-from plumbline.plans.strategies import Study, look_ahead
+from plumbline.plans.strategies import Study, grid_book, look_ahead
 from plumbline.sources import market
 from plumbline.sources.tables import cut, new_path
 
@@ -153,14 +153,29 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bundle(b.nav, s.rf, b.weights)
 
 
+_CELL = "cell string, sigma_star double, band double, band_mode string"
+
+
 def _cell_book(spark: SparkSession, d: str) -> tuple[backtest.Book, Study]:
     """All cells are one book, told apart by strategy_id."""
     s = Study(spark, d)
-    cells = spark.createDataFrame(CELLS, "cell string, sigma_star double, band double, band_mode string")
-    one = s._days().select(F.col("decision_idx").alias("epoch_idx"), F.lit(C.market).alias("ticker"), F.lit(1.0).alias("weight"))
-    taken = s.grid(s.sigmas(one), cells).where("not blocked").select(F.col("cell").alias("strategy_id"), F.col("idx").alias("decision_idx"), "exec_idx", "applied")
-    legs = F.array(F.struct(F.lit(C.market).alias("ticker"), F.col("applied").alias("weight")), F.struct(F.lit(backtest.CASH).alias("ticker"), (1 - F.col("applied")).alias("weight")))
-    return s.book_of(cut(taken.select("strategy_id", "decision_idx", "exec_idx", F.inline(legs)), "targets-cells")), s
+    return grid_book(s, "voltarget_only", spark.createDataFrame(CELLS, _CELL))[1], s
+
+
+#: Cells that cannot run, beside those that can.
+MIXED = [CELLS[0], ("risk.sigma_star=-0.1", -0.1, 0.1, "absolute"), CELLS[1], ("risk.exposure_band_mode=cubic", 0.1, 0.1, "cubic")]
+_REASON = """CASE WHEN NOT coalesce(sigma_star > 0, FALSE) THEN 'risk.sigma_star must be positive' WHEN NOT coalesce(band >= 0, FALSE) THEN 'risk.exposure_band must not be negative'
+  WHEN NOT coalesce(band_mode IN ('absolute', 'log'), FALSE) THEN 'unknown risk.exposure_band_mode: ' || coalesce(band_mode, 'null') END"""
+
+
+@query("ablation_errors", book_sql(f"""SELECT v.cell, v.reason IS NULL AS ok, v.reason, {s6('m.sharpe', 'sharpe')}, {s6('m.ann_vol', 'ann_vol')} FROM (SELECT cell, {_REASON} AS reason FROM (VALUES {', '.join(f"('{c}', {a}, {b}, '{m}')" for c, a, b, m in MIXED)}) x(cell, sigma_star, band, band_mode)) v
+  LEFT JOIN ({_METRICS_RAW}) m ON m.strategy_id = v.cell AND v.reason IS NULL""", ["cells"]))
+def _(spark, d):
+    """A grid with two cells that cannot run: they are rows with a reason, the others have their metrics."""
+    s = Study(spark, d)
+    judged, b = grid_book(s, "voltarget_only", spark.createDataFrame(MIXED, _CELL))
+    out = judged.join(metrics.bundle(b.nav, s.rf, b.weights).withColumnRenamed("strategy_id", "cell"), "cell", "left")
+    return out.select("cell", F.col("reason").isNull().alias("ok"), "reason", r6("sharpe"), r6("ann_vol"))
 
 
 @query("ablation_metrics", book_sql(_METRICS_SQL, ["cells"]))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.plans import strategies
 from plumbline.operators import backtest, portfolio, quality, signals, stats, volatility
 from plumbline.sources import market
 
@@ -210,3 +211,19 @@ def test_bootstrap_and_permutation_equal_numpy(spark):
 def test_pareto_front(spark):
     pts = spark.createDataFrame([("a", 1.0, 3.0), ("b", 2.0, 2.0), ("c", 2.5, 2.5), ("d", 3.0, 1.0)], "strategy_id string, x double, y double")
     assert sorted(r.strategy_id for r in stats.pareto_front(pts, "x", "y").collect()) == ["a", "b", "d"]
+
+
+def test_cells_that_cannot_run_have_a_reason(spark):
+    rows = [("a", 0.1, 0.1, "log"), ("b", 0.0, 0.1, "log"), ("c", None, 0.1, "log"), ("d", 0.1, -1.0, "log"), ("e", 0.1, 0.0, "cubic"), ("f", 0.1, 0.0, None), ("g", 0.2, 0.0, "absolute")]
+    df = spark.createDataFrame(rows, "cell string, sigma_star double, band double, band_mode string")
+    got = {r.cell: r.reason for r in df.withColumn("reason", strategies.cell_reason()).collect()}
+    assert got["a"] is None and "positive" in got["b"] and "positive" in got["c"] and "negative" in got["d"]
+    assert got["e"].endswith(": cubic") and got["f"].endswith(": null")
+    with pytest.raises(ValueError, match="unknown strategy"):
+        strategies.grid_book(None, "nothing", df)
+
+
+def test_no_strategy_looks_ahead(spark):
+    """The panel cut at several days: no target up to it changes, whatever the volatility model."""
+    out = strategies.look_ahead(spark, "/root/testdata/sf0.001", ("mom_ivol", "voltarget_only", "full", "full_gjr"), 160, 1e-6).collect()
+    assert all(r.compared > 0 and r.differing == 0 for r in out) and len(out) == 4
