@@ -141,13 +141,18 @@ def _patterns() -> Column:
     return F.filter(F.array(F.when(fits, one), F.when(fits & (F.length("w2") > 0), two)), lambda p: p.isNotNull())
 
 
-def _uses(docs: DataFrame, words: DataFrame, n: int) -> DataFrame:
-    """(w2, w1, uses) of every pair of words, and with w2 null of every single one, whose last word is in words (w1)."""
+def _uses(docs: DataFrame, asked: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """(w2, w1, uses): how often the corpus has each word of words (w1; w2 is null), and each pair of words of asked (w2, w1).
+    Other pairs with the same last word are counted together, so that only what is asked for is shuffled."""
     w = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), "")
     pairs = docs.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), w).alias("w2"), w.alias("w1"))).alias("p")).select("p.*")
-    pairs = pairs.where("w1 is not null").join(bounded_broadcast(words, n), "w1", "left_semi").groupBy("w2", "w1").agg(F.count(F.lit(1)).alias("uses"))
+    pairs = pairs.where("w1 is not null").join(bounded_broadcast(words, n), "w1", "left_semi")
+    asked = materialize(asked.where("w2 is not null").select("w2", "w1", F.lit(True).alias("asked")).distinct(), "pii-asked")
+    pairs = pairs.join(bounded_broadcast(asked, asked.count()), ["w2", "w1"], "left")
+    pairs = pairs.groupBy(F.when(F.col("asked"), F.col("w2")).alias("w2"), "w1").agg(F.count(F.lit(1)).alias("uses"))
+    pairs = materialize(pairs, "pii-pairs")
     one = pairs.groupBy("w1").agg(F.sum("uses").alias("uses")).select(F.lit(None).cast("string").alias("w2"), "w1", "uses")
-    return pairs.unionByName(one)
+    return pairs.where("w2 is not null").unionByName(one)
 
 
 def bootstrap(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +169,7 @@ def bootstrap(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> tuple[
     words = materialize(stats.where(~F.col("pattern.marks").eqNullSafe("")).select(F.col("pattern.w1").alias("w1")).distinct(), "pii-words")
     n_words = words.count()
     if n_words:
-        uses = materialize(_uses(docs, words, n_words), "pii-uses")
+        uses = materialize(_uses(docs, stats.select("pattern.*"), words, n_words), "pii-uses")
     else:
         uses = spark.createDataFrame([], "w2 string, w1 string, uses long")
     stats = stats.join(uses, F.col("pattern.w1").eqNullSafe(uses["w1"]) & F.col("pattern.w2").eqNullSafe(uses["w2"]), "left")
