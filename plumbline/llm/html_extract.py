@@ -7,7 +7,8 @@ container's blocks are its own; where it does not, all blocks in the open are. F
 repeats across the host's pages: the token streams of all blocks, own or not, are concatenated per host, and all
 suffixes that share their first SPAN tokens form one interval of the host's suffix array. An interval met by PAGES pages
 or more, and by SHARE of the host's pages, is boilerplate; tokens that such intervals cover go, the unique runs between them
-stay. Pages with the same own blocks (mirrors) count as one. A short block between blocks that stay is not removed, and a page
+stay. Inside a marked article, only runs go that also stand outside marked articles on as many pages, and headings never do.
+Pages with the same own blocks (mirrors) count as one. A short block between blocks that stay is not removed, and a page
 that would lose all of its text keeps it. A host of fewer than PAGES different pages, or no host, has no interval: what
 repeats cannot be told there.
 
@@ -43,7 +44,8 @@ SPAN, PAGES, SHARE = 8, 3, 0.5
 #: Words are counted by this many buckets of their checksum: an interval is met often only if each of its words' buckets is.
 BUCKETS = 4096
 #: Hosts whose lists of frequent buckets and heads are broadcast.
-BROADCAST_HOSTS = 1000
+BROADCAST_ENTRIES = 100_000
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 # Elements and class names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -156,7 +158,12 @@ class _Markup:
 
 def blocks(page: str) -> list[tuple[str, str]]:
     """(part, text) of every block in page order."""
-    out: list[tuple[str, str]] = []
+    return [(part, text) for part, text, _ in titled_blocks(page)]
+
+
+def titled_blocks(page: str) -> list[tuple[str, str, bool]]:
+    """(part, text, whether it is a heading) of every block in page order."""
+    out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, str]] = []  # open elements with the part of the page inside them
     opened_tags: dict[str, int] = {}
     part, held, at = IN_OPEN, [], 0
@@ -166,7 +173,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((part, text))
+                out.append((part, text, any(opened_tags.get(h) for h in HEADINGS)))
             held.clear()
 
     def pop(k: int) -> None:
@@ -221,10 +228,10 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         rows = []
         for page in pdf["html"]:
-            found = blocks(page or "")
-            holder = next((p for p in (IN_MAIN, IN_NESTED) if any(p == q for q, _ in found)), IN_OPEN)
-            rows.append(([t for p, t in found if p == holder], [t for p, t in found if p != holder]))
-        yield pdf[["page_id", "url", "host"]].assign(own=[r[0] for r in rows], around=[r[1] for r in rows])
+            found = titled_blocks(page or "")
+            holder = next((p for p in (IN_MAIN, IN_NESTED) if any(p == q for q, *_ in found)), IN_OPEN)
+            rows.append(([t for p, t, _ in found if p == holder], [t for p, t, _ in found if p != holder], [h for p, _, h in found if p == holder], holder != IN_OPEN))
+        yield pdf[["page_id", "url", "host"]].assign(**{name: [r[k] for r in rows] for k, name in enumerate(("own", "around", "titled", "marked"))})
 
 
 def _bucket(word: str) -> int:
@@ -251,30 +258,34 @@ def _bucket_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per page and different head that may be met often. Heads end with their block; a block shorter than SPAN is
-    one head."""
+    """One row per page and different head that may be met often, and whether it stands outside a marked article. Heads end
+    with their block; a block shorter than SPAN is one head."""
     for pdf in frames:
         sets: dict[str, frozenset[int]] = {}
-        out: list[tuple[str, int, str]] = []
-        for host, body, own, around, buckets in zip(*(pdf[c] for c in ("host", "body", "own", "around", "buckets")), strict=True):
+        out: list[tuple[str, int, str, bool]] = []
+        for host, body, own, around, marked, buckets in zip(*(pdf[c] for c in ("host", "body", "own", "around", "marked", "buckets")), strict=True):
             often = sets.get(host) or sets.setdefault(host, frozenset(buckets))
-            found = set()
-            for block in (*own, *around):
+            found: dict[str, bool] = {}
+            for place, block in enumerate((*own, *around)):
                 words, run = block.split(" "), 0
                 for k, word in enumerate(words):
                     run = run + 1 if _bucket(word) in often else 0
                     if run >= SPAN or (run == len(words) == k + 1):
-                        found.add(" ".join(words[max(k + 1 - SPAN, 0) : k + 1]))
-            out.extend((host, body, head) for head in found)
-        yield pd.DataFrame(out, columns=["host", "body", "head"])
+                        head = " ".join(words[max(k + 1 - SPAN, 0) : k + 1])
+                        found[head] = found.get(head, False) or not marked or place >= len(own)
+            out.extend((host, body, head, outside) for head, outside in found.items())
+        yield pd.DataFrame(out, columns=["host", "body", "head", "outside"])
 
 
-def _left(own: list[str], heads: frozenset[str]) -> str:
-    """The text without tokens that heads cover. A covered block shorter than SPAN stays between blocks that stay, and where
-    nothing would be left all stays."""
+def _left(own: list[str], heads: frozenset[str], whole: list[bool] | None = None) -> str:
+    """The text without tokens that heads cover. Blocks that are to stay whole do, a covered block shorter than SPAN stays
+    between blocks that stay, and where nothing would be left all stays."""
     words = [block.split(" ") for block in own]
     left = []
-    for ws in words:
+    for b, ws in enumerate(words):
+        if whole is not None and whole[b]:
+            left.append(own[b])
+            continue
         starts = [k for k in range(max(len(ws) - SPAN, 0) + 1) if " ".join(ws[k : k + SPAN]) in heads]
         covered = {k + n for k in starts for n in range(SPAN)}
         left.append(" ".join(w for k, w in enumerate(ws) if k not in covered))
@@ -287,13 +298,15 @@ def _left(own: list[str], heads: frozenset[str]) -> str:
 
 def _assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        sets: dict[str, frozenset[str]] = {}
+        sets: dict[tuple[str, bool], frozenset[str]] = {}
         texts = []
-        for host, own, heads in zip(pdf["host"], pdf["own"], pdf["heads"], strict=True):
+        for host, own, titled, marked, heads in zip(*(pdf[c] for c in ("host", "own", "titled", "marked", "heads")), strict=True):
             if heads is None:
                 texts.append("\n".join(own))
-            else:
-                texts.append(_left(list(own), sets.get(host) or sets.setdefault(host, frozenset(heads))))
+                continue
+            if (host, marked) not in sets:
+                sets[host, marked] = frozenset(h["head"] for h in heads if h["outside"] or not marked)
+            texts.append(_left(list(own), sets[host, marked], list(titled) if marked else None))
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
 
 
@@ -304,15 +317,16 @@ def _host() -> Column:
     return F.lower(F.coalesce(F.nullif(with_scheme, F.lit("")), F.nullif(bare, F.lit(""))))
 
 
-def _few(by_host: DataFrame) -> DataFrame:
-    """Lists by host, each no longer than a few pages: broadcast when counted and few."""
-    return F.broadcast(by_host) if by_host.count() <= BROADCAST_HOSTS else by_host
+def _few(by_host: DataFrame, lists: str) -> DataFrame:
+    """Lists by host: broadcast when all their entries, counted, are few."""
+    entries = by_host.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()[0]
+    return F.broadcast(by_host) if entries <= BROADCAST_ENTRIES else by_host
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every row of pages (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _host().alias("host"), "html")
-    parsed = rows.mapInPandas(_parse, "page_id long, url string, host string, own array<string>, around array<string>")
+    parsed = rows.mapInPandas(_parse, "page_id long, url string, host string, own array<string>, around array<string>, titled array<boolean>, marked boolean")
     parsed = materialize(parsed, "html-blocks")
 
     with_body = parsed.where("host is not null").withColumn("body", F.xxhash64("own"))
@@ -323,9 +337,11 @@ def extract(pages: DataFrame) -> DataFrame:
     counted = counted.mapInPandas(_bucket_counts, "host string, bucket int, n long").groupBy("host", "bucket").agg(F.sum("n").alias("n"))
     often = counted.join(needs, "host").where("n >= need").groupBy("host").agg(F.collect_list("bucket").alias("buckets"))
     often = materialize(often, "html-buckets")
-    heads = with_body.join(_few(often), "host").select("host", "body", "own", "around", "buckets")
-    heads = heads.mapInPandas(_heads, "host string, body long, head string").distinct()
-    met = heads.groupBy("host", "head").agg(F.count(F.lit(1)).alias("bodies")).join(needs, "host").where("bodies >= need")
+    heads = with_body.join(_few(often, "buckets"), "host").select("host", "body", "own", "around", "marked", "buckets")
+    heads = heads.mapInPandas(_heads, "host string, body long, head string, outside boolean")
+    heads = heads.groupBy("host", "body", "head").agg(F.max("outside").alias("outside"))
+    met = heads.groupBy("host", "head").agg(F.count(F.lit(1)).alias("bodies"), F.count_if("outside").alias("outside")).join(needs, "host").where("bodies >= need")
+    met = met.select("host", F.struct("head", (F.col("outside") >= F.col("need")).alias("outside")).alias("head"))
     met = materialize(met.groupBy("host").agg(F.collect_list("head").alias("heads")), "html-intervals")
-    done = parsed.join(_few(met), "host", "left").select("page_id", "url", "host", "own", "heads")
+    done = parsed.join(_few(met, "heads"), "host", "left").select("page_id", "url", "host", "own", "titled", "marked", "heads")
     return done.mapInPandas(_assemble, "page_id long, url string, text string")

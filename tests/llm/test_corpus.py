@@ -458,3 +458,19 @@ def test_language_score_does_not_depend_on_slices(spark):
     finally:
         shingles.SLICE = size
     assert whole == one
+
+
+def test_marked_articles_lose_only_what_also_stands_outside_them(spark):
+    """Repeated headings and article runs stay; a notice that the host also shows outside its articles goes."""
+    notice = "please share this page with all of your friends and do subscribe today"
+    title, motto = "Weekly report on the state of all our rivers", "as every week we thank the many people who wrote to us"
+    pages = [
+        (i, f"http://h.example/{i}", f"<nav>Home</nav><article><h1>{title}</h1><p>{title} number {i} begins, {motto}.</p><p>{notice}</p><p>Item {i} is told here at some length.</p></article><footer><p>{notice}</p><p>{title}</p></footer>")
+        for i in range(6)
+    ]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {}
+    for i in range(6):
+        first = f"{title} number {i} begins, {motto}.".removeprefix(f"{title} ")  # the footer has the title's words, too
+        want[i] = "\n".join([title, first, f"Item {i} is told here at some length."])
+    assert got == want
