@@ -14,8 +14,8 @@ counted. So nothing is ever grouped by document.
 
 Between groups (language, source), p = 1 + floor(1e9 (count + 1) / (N + V)), f(p, q) = floor((p - q)^2 / q), in integers.
 A pair of sources sums f over all kept terms, those that neither has included, without listing them: what a source has where
-the other has nothing is a histogram of its counts, terms that both have come with the distinct patterns of counts over
-the sources, each with the number of its terms.
+the other has nothing is a histogram of its counts, and terms that both have are summed, pair by pair, in the task that has
+the term's row of sources (one entry a source, as the result has one row for every two).
 
 Defined cases: null text, language and source are ''; every row is a document, also one that repeats; a group without terms
 takes part; a language without kept terms has value 0 for its pairs; equal values are ranked by item; an empty table gives an
@@ -25,6 +25,7 @@ lost task runs again.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded_broadcast, materialize, release
+from plumbline.llm.common import bounded_broadcast, drop_finished, materialize, release
 
 MIN_DOCS, TOP_TERMS, SCALE = 3, 200, 1_000_000_000
+SLICE, PARTS = 24 << 20, 4
 
 #: Every byte that no term has becomes a blank, but for the line feed, which ends a chunk; A-Z become a-z.
 _TERM_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 or b == 10 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -44,8 +46,9 @@ _COUNTS = "n long, docs long, lo long, hi long"
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of each document, summed over the documents of a group in the batch."""
-    for batch in batches:
+    """Chunks of each document, summed over the documents of a group in the batch. Null stands for one occurrence, for one
+    document, and for hi where it is lo."""
+    for batch in (part for whole in batches for part in _slices(whole)):
         text, ids = batch["text"], batch["id"].to_numpy(zero_copy_only=False)
         lists = pc.ascii_split_whitespace(text)
         chunks, row = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
@@ -54,19 +57,44 @@ def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(row):
             continue
         of_row, names = _groups(batch)
-        n_chunks = len(coded.dictionary)
-        by_row, n = np.unique(row.astype(np.int64) * n_chunks + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        row, chunk = by_row // n_chunks, by_row % n_chunks
-        order = np.argsort(of_row[row] * n_chunks + chunk, kind="stable")  # rows of a group and chunk stay in order
-        row, n, key = row[order], n[order], (of_row[row] * n_chunks + chunk)[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        last = np.append(at[1:], len(key)) - 1
-        lang, source = ([names[g][k] for g in key[at] // n_chunks] for k in (0, 1))
-        lo, hi = ids[row[at]], ids[row[last]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(source, pa.string()), coded.dictionary.take(pa.array(key[at] % n_chunks)), pa.array(np.add.reduceat(n, at).astype(np.int64)), pa.array((last - at + 1).astype(np.int64)), pa.array(np.minimum(lo, hi)), pa.array(np.maximum(lo, hi))],
-            ["lang", "source", "chunk", "n", "docs", "lo", "hi"],
-        )
+        by_text = pc.sort_indices(coded.dictionary)  # rows in order of their text compress well when they are shuffled
+        ordered, n_chunks = coded.dictionary.take(by_text), len(by_text)
+        place = np.empty(n_chunks, np.int64)
+        place[by_text.to_numpy()] = np.arange(n_chunks)
+        place = place[coded.indices.to_numpy(zero_copy_only=False)]
+        row = row.astype(np.int32)
+        size = -(-n_chunks // PARTS)
+        for part in range(PARTS):  # chunks from one end of the order to the other
+            mine = (place >= part * size) & (place < (part + 1) * size)
+            if mine.any():
+                yield _summed(row[mine], place[mine], ordered, of_row, names, ids)
+
+
+def _summed(row: np.ndarray, chunk: np.ndarray, texts: pa.Array, of_row: np.ndarray, names: list[tuple[str, str]], ids: np.ndarray) -> pa.RecordBatch:
+    n_chunks = len(texts)
+    by_row, n = np.unique(row * np.int64(n_chunks) + chunk, return_counts=True)
+    row, chunk = by_row // n_chunks, by_row % n_chunks
+    key = of_row[row] * n_chunks + chunk
+    order = np.argsort(key, kind="stable")  # rows of a group and chunk stay in order
+    row, n, key = row[order], n[order], key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    last = np.append(at[1:], len(key)) - 1
+    of = pa.array(key[at] // n_chunks)
+    lang, source = (pa.array([name[k] for name in names], pa.string()).take(of) for k in (0, 1))
+    first, second = ids[row[at]], ids[row[last]]
+    lo, hi, n, docs = np.minimum(first, second), np.maximum(first, second), np.add.reduceat(n, at), last - at + 1
+    once = [pa.array(x.astype(np.int64), mask=x == usual) for x, usual in ((n, 1), (docs, 1), (hi, lo))]  # most are: null is short
+    return pa.RecordBatch.from_arrays([lang, source, texts.take(pa.array(key[at] % n_chunks)), once[0], once[1], pa.array(lo), once[2]], ["lang", "source", "chunk", "n", "docs", "lo", "hi"])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE bytes of text, so that a task's memory does not depend on the documents' length."""
+    ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def _groups(batch: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[str, str]]]:
@@ -111,10 +139,13 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     if not 1 <= min_docs <= 3:
         raise ValueError("min_docs is 1, 2 or 3")
     rows = docs.select(_text("lang"), _text("source"), _text("text"), F.monotonically_increasing_id().alias("id"))
-    totals = [F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    one = F.lit(1).cast("long")
+    totals = [F.sum(F.coalesce("n", one)).alias("n"), F.sum(F.coalesce("docs", one)).alias("docs"), F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi")]
     chunks = rows.mapInArrow(_count_chunks, f"{_GROUP}, chunk string, {_COUNTS}").repartition("chunk")
     chunks = chunks.groupBy("chunk", "lang", "source").agg(*totals).sortWithinPartitions("chunk")
     pieces = materialize(chunks.mapInArrow(_take_apart, f"{_GROUP}, term string, {_COUNTS}"), "audit-pieces")
+    time.sleep(2)  # the finished plan is let go by then, and with it
+    drop_finished(docs.sparkSession)  # the chunks' shuffle files, before the next ones come
     shown = F.greatest(F.max("docs"), F.when(F.min("lo") < F.max("hi"), 2).otherwise(1))
     cells = materialize(pieces.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), shown.alias("least"), F.sum("docs").alias("most")), "audit-cells")
     terms = cells.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("least").alias("least"), F.sum("most").alias("most"))
@@ -145,6 +176,48 @@ def _times(k: Column, f: Column) -> Column:
     return k.cast("decimal(19,0)") * f.cast("decimal(18,0)")
 
 
+#: Sums of 64-bit numbers are kept as two, split at this bit.
+_LOW = 30
+
+
+def _shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every two sources of a language, over the terms that both have: f(p, q) less what the terms of either add where the
+    other is taken to have none. Rows: (lang, sources, their p for the term, their p for a term they have not)."""
+    for batch in batches:
+        lists = batch["source"]
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(sizes):
+            continue
+        names = pc.list_flatten(lists).dictionary_encode()
+        langs = batch["lang"].dictionary_encode()
+        n = len(names.dictionary)
+        name = names.indices.to_numpy(zero_copy_only=False).astype(np.int64) + n * np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+        p, zero = (pc.list_flatten(batch[c]).to_numpy(zero_copy_only=False) for c in ("p", "zero"))
+        starts = np.cumsum(sizes) - sizes
+        keys, high, low = [], [], []
+        # entries of lists of one size are a matrix; its columns in two orders give all pairs, in parts of bounded size
+        for size in np.unique(sizes):
+            at = starts[sizes == size]
+            for part in np.array_split(at, max(1, len(at) * size * size // 2_000_000)):
+                rows = part[:, None] + np.arange(size)
+                x, y = (rows[:, i].ravel() for i in np.nonzero(~np.eye(size, dtype=bool)))
+                px, qy, p0, q0 = p[x], p[y], zero[x], zero[y]
+                value = (px - qy) ** 2 // qy - (px - q0) ** 2 // q0 - (p0 - qy) ** 2 // qy + (p0 - q0) ** 2 // q0
+                key, of = np.unique(name[x] * (n * len(langs.dictionary)) + name[y], return_inverse=True)
+                sums = np.zeros((2, len(key)), np.int64)
+                np.add.at(sums[0], of, value >> _LOW)
+                np.add.at(sums[1], of, value & ((1 << _LOW) - 1))
+                keys.append(key)
+                high.append(sums[0])
+                low.append(sums[1])
+        key = np.concatenate(keys)
+        x, y = np.divmod(key, n * len(langs.dictionary))
+        yield pa.RecordBatch.from_arrays(
+            [langs.dictionary.take(pa.array(x // n)), names.dictionary.take(pa.array(x % n)), names.dictionary.take(pa.array(y % n)), pa.array(np.concatenate(high)), pa.array(np.concatenate(low))],
+            ["lang", "source_g", "source_h", "high", "low"],
+        )
+
+
 def _named(groups: DataFrame, suffix: str, *columns: str) -> DataFrame:
     return groups.select("lang", *(F.col(c).alias(f"{c}_{suffix}") for c in columns))
 
@@ -161,15 +234,11 @@ def _pairs(counts: DataFrame, steps: DataFrame, groups: DataFrame, n_groups: int
     other = other.select(*key, _times(F.col("k"), _f(F.col("zero_g"), _p(F.col("n"), F.col("total_h"), F.col("v")))).alias("value"))
     all_pairs = g.join(h, "lang").where(apart).join(v, "lang")
     neither = all_pairs.select(*key, _times(F.col("v") - F.col("terms_g") - F.col("terms_h"), F.coalesce(_f(F.col("zero_g"), F.col("zero_h")), F.lit(0))).alias("value"))
-    # terms with the same counts in the same sources are one pattern
-    patterns = counts.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("has")).where(F.size("has") > 1)
-    patterns = patterns.groupBy("lang", "has").agg(F.count(F.lit(1)).alias("k"))
-    both = patterns.withColumn("x", F.explode("has")).withColumn("y", F.explode("has")).where("x.source != y.source")
-    both = both.select("lang", F.col("x.source").alias("source_g"), F.col("x.n").alias("n_g"), F.col("y.source").alias("source_h"), F.col("y.n").alias("n_h"), "k")
-    both = both.join(g, ["lang", "source_g"]).join(h, ["lang", "source_h"]).join(v, "lang")
-    p, q = _p(F.col("n_g"), F.col("total_g"), F.col("v")), _p(F.col("n_h"), F.col("total_h"), F.col("v"))
-    more = _f(p, q) - _f(p, F.col("zero_h")) - _f(F.col("zero_g"), q) + _f(F.col("zero_g"), F.col("zero_h"))
-    both = both.select(*key, _times(F.col("k"), more).alias("value"))
+    both = counts.join(g.withColumnRenamed("source_g", "source"), ["lang", "source"]).join(v, "lang")
+    both = both.groupBy("lang", "term").agg(F.collect_list(F.struct("source", _p(F.col("n"), F.col("total_g"), F.col("v")).alias("p"), F.col("zero_g").alias("zero"))).alias("has"))  # one entry a source
+    both = both.where(F.size("has") > 1).select("lang", "has.source", "has.p", "has.zero")
+    both = both.mapInArrow(_shared_terms, "lang string, source_g string, source_h string, high long, low long")
+    both = both.select(*key, (F.col("high").cast("decimal(19,0)") * F.lit(1 << _LOW).cast("decimal(10,0)") + F.col("low")).alias("value"))
     parts = [x.groupBy(*key).agg(F.sum("value").cast("decimal(38,0)").alias("value")) for x in (one, other, neither, both)]
     summed = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy(*key).agg(F.sum("value").cast("long").alias("value"))
     return summed.select("lang", F.col("source_g").alias("source"), F.col("source_h").alias("item"), "value")
