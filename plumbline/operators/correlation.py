@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import decay
+from plumbline.operators import matrices
+
 
 def pairs(resid: DataFrame) -> DataFrame:
     """(idx, n, k, ticker_i, ticker_j, x, y) over the days on which every ticker has a residual; k counts them from 1."""
@@ -104,7 +107,7 @@ def fresh(resid: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def projected(m: np.ndarray) -> np.ndarray:
-    """The nearest correlation of a kind: symmetric, negative eigenvalues set to 0, unit diagonal."""
+    """What project does to one matrix, in numpy."""
     m = (m + m.T) / 2
     values, vectors = np.linalg.eigh(m)
     fixed = (vectors * np.maximum(values, 0)) @ vectors.T
@@ -116,15 +119,38 @@ def projected(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def pairwise_corr(rows: DataFrame, decisions: DataFrame, window: int, min_days: int) -> DataFrame:
+    """(idx, ticker_i, ticker_j, n_days, corr) at each decision (idx, ticker), from values (ticker, idx, x) of the last `window`
+    days, each pair on the days that both have. Fewer than min_days, or no variance, tell nothing: 0. Pairs differ in their
+    days, so a matrix may be indefinite."""
+    values = rows.select("ticker", F.col("idx").alias("day"), "x")
+    at = decisions.select("idx", "ticker").distinct()
+    # a day counts for the decisions of its own bucket of days and of the next one, so the join stays an equality
+    bucket = lambda c: (F.col(c) / window).cast("long")
+    near = values.select("*", F.explode(F.array(bucket("day"), bucket("day") + 1)).alias("bucket"))
+    mine = at.withColumn("bucket", bucket("idx")).join(near, ["ticker", "bucket"]).where((F.col("day") <= F.col("idx")) & (F.col("day") > F.col("idx") - window))
+    mine = mine.select("idx", "ticker", "day", "x")
+    other = mine.select("idx", "day", F.col("ticker").alias("ticker_j"), F.col("x").alias("y"))
+    both = mine.withColumnRenamed("ticker", "ticker_i").join(other, ["idx", "day"])
+    told = (F.count(F.lit(1)) >= min_days) & (F.var_samp("x") > 0) & (F.var_samp("y") > 0)
+    found = both.groupBy("idx", "ticker_i", "ticker_j").agg(F.count(F.lit(1)).alias("n_days"), F.when(told, F.corr("x", "y")).alias("corr"))
+    places = at.withColumnRenamed("ticker", "ticker_i").join(at.withColumnRenamed("ticker", "ticker_j"), "idx")  # a decision's assets
+    same = F.col("ticker_i") == F.col("ticker_j")
+    corr = F.when(same, 1.0).otherwise(F.coalesce("corr", F.lit(0.0)))
+    return places.join(found, ["idx", "ticker_i", "ticker_j"], "left").select("idx", "ticker_i", "ticker_j", F.coalesce("n_days", F.lit(0)).alias("n_days"), corr.alias("corr"))
+
+
 def project(corr: DataFrame, by: str) -> DataFrame:
-    """(by, ticker_i, ticker_j, corr): each group's matrix made a correlation matrix; one small matrix per group."""
+    """(by, ticker_i, ticker_j, corr): each group's matrix made a correlation matrix: mirrored, negative eigenvalues set to
+    zero, unit diagonal. An error where a place is missing or a variance collapses."""
+    rows = matrices.packed(corr, [by], "corr")
+    return matrices.unpacked(rows, [by], matrices.unit_diagonal(rows["m"], rows["k"]), "corr")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="ticker_i", columns="ticker_j", values="corr")
-        out = pd.DataFrame(projected(m.to_numpy()), index=m.index, columns=m.columns)
-        return out.rename_axis(columns="ticker_j").stack().rename("corr").reset_index().assign(**{by: pdf[by].iloc[0]})[[by, "ticker_i", "ticker_j", "corr"]]
 
-    return corr.groupBy(by).applyInPandas(run, f"{by} {corr.schema[by].dataType.simpleString()}, ticker_i string, ticker_j string, corr double")
+def spectrum(corr: DataFrame, by: str) -> DataFrame:
+    """(by, place, eigenvalue) of each group's matrix, ascending."""
+    rows = matrices.packed(corr, [by], "corr")
+    return rows.select(by, F.posexplode(F.array_sort(matrices.eigen(rows["m"], rows["k"])["values"])).alias("place", "eigenvalue")).withColumn("place", F.col("place") + 1)
 
 
 #: Where the search for (a, b) starts, and the bound of their sum.
@@ -185,6 +211,46 @@ def dcc_params(resid: DataFrame, by: str, fixed: tuple[float, float], shrink: fl
     return resid.groupBy(by).applyInPandas(run, f"{by} {resid.schema[by].dataType.simpleString()}, a double, b double, fell_back boolean")
 
 
+def dcc_profile(resid: DataFrame, decisions: DataFrame, cells: list[tuple[float, float]], shrink: float) -> DataFrame:
+    """(idx, a, b, n_days, loss, place): dcc_loss of every cell (a, b) at every decision (idx, ticker), lowest first, from
+    residuals (idx, ticker, day, e) on the days that all its tickers share. The recursion is a decayed sum per pair, which
+    depends on b alone; a day's matrix is then an array, which gives its loss for every a."""
+    if odd := [c for c in cells if min(c) < 0 or sum(c) >= BOUND]:
+        raise ValueError(f"cells out of range: {odd}")
+    of_b = {b: [x for x, y in cells if y == b] for b in sorted({y for _, y in cells})}
+    rows = shared_days(resid, decisions)
+    x = rows.select("idx", "k", "n", F.col("ticker").alias("ticker_i"), F.col("e").alias("x"))
+    y = rows.select("idx", "k", F.col("ticker").alias("ticker_j"), F.col("e").alias("y"))
+    xy, pair = x.join(y, ["idx", "k"]), ["idx", "ticker_i", "ticker_j"]
+    flat = F.when(F.col("var_x") > 0, F.col("c")).otherwise(F.raise_error(F.lit("residuals without variance")))
+    same = (F.col("ticker_i") == F.col("ticker_j")).cast("double")
+    mean = xy.groupBy(*pair).agg(F.var_samp("x").alias("var_x"), F.corr("x", "y").alias("c")).select(*pair, ((1 - shrink) * flat + shrink * same).alias("mean"))
+    xy = xy.withColumn("b", F.explode(F.array(*map(F.lit, of_b))))
+    sums = decay.with_decayed_sum(xy, F.col("b"), F.col("x") * F.col("y"), [*pair, "b"], "k", "s")
+    before = F.coalesce(F.lag("s").over(Window.partitionBy(*pair, "b").orderBy("k")), F.lit(0.0))
+    sums = sums.withColumn("before", before).join(mean, pair)
+    own = F.when(F.col("ticker_i") == F.col("ticker_j"), F.struct("ticker_i", "x"))
+    cell = F.struct("ticker_i", "ticker_j", "mean", "before")
+    days = sums.groupBy("idx", "b", "k", "n").agg(F.array_sort(F.collect_list(cell)).alias("m"), F.array_sort(F.collect_list(own)).alias("e"))  # a day's matrix
+    of = F.create_map(*(x for b, a in of_b.items() for x in (F.lit(b), F.array(*map(F.lit, a)))))
+    days = days.withColumn("a", F.explode(of[F.col("b")]))
+    fade = F.pow(F.col("b"), F.col("k") - 1)
+    pull = fade + (1 - F.col("a") - F.col("b")) * (1 - fade) / (1 - F.col("b"))
+
+    def unit(q: Column, k: Column) -> Column:
+        of = lambda n: F.get(q, n * k + n)
+        return F.transform(q, lambda v, n: v / F.sqrt(of((n / k).cast("int")) * of(F.pmod(n, k))))
+
+    def loss(z: Column) -> Column:
+        q = F.transform(z["m"], lambda c: z["pull"] * c["mean"] + z["a"] * c["before"])
+        k, e = F.size(z["e"]), F.transform(z["e"], lambda v: v["x"])
+        return matrices.let(q, lambda q: matrices.let(F.struct(unit(q, k).alias("r"), e.alias("e"), k.alias("k")), lambda r: matrices.quasi_loss(r["r"], r["e"], r["k"])))
+
+    one = matrices.let(F.struct("m", "e", "a", pull.alias("pull")), loss)
+    out = days.select("idx", "a", "b", "n", one.alias("loss")).groupBy("idx", "a", "b").agg(F.max("n").alias("n_days"), F.sum("loss").alias("loss"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("idx").orderBy("loss", "a", "b")))
+
+
 def cadence(selections: DataFrame, every: int) -> DataFrame:
     """(epoch_idx, number, estimated, of_idx): parameters are estimated at every n-th selection (epoch_idx) and carried on
     to those that follow; of_idx is the selection that they come from."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import backtest, correlation, metrics, signals, stats, volatility
+from plumbline.operators import backtest, correlation, matrices, metrics, signals, stats, volatility
 from plumbline.plans import oracle, readers
 from plumbline.plans.oracle import C, METRICS, book_sql, sql
 from plumbline.plans.queries import _BASE, _EWC, _FIVE, _FOUR, _KEYS, _PAIRS, _UNIT, _last_pairs, _PBO, _moments_sql, _psr_sql, _returns, _returns_of, query, r6, s6
@@ -85,12 +85,48 @@ def _(spark, d):
     return correlation.fresh(now, s.selection.select("idx", "ticker")).select("idx", "ticker", r6("e"))
 
 
-@query("corr_projection")
+#: Weeks of a matrix with gaps, and the fewest that tell a correlation.
+GAP_WINDOW, GAP_DAYS = 16, 3
+
+_GAPS = f"""act AS (SELECT r.ticker, r.idx, r.r AS x FROM ret r JOIN days USING (idx) JOIN (SELECT ticker, date, volume * count(*) OVER w >= sum(volume) OVER w AS active FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)) v ON v.ticker = r.ticker AND v.date = days.date WHERE active),
+gw AS (SELECT s.idx, s.ticker, a.idx AS day, a.x FROM sel s JOIN act a ON a.ticker = s.ticker AND a.idx <= s.idx AND a.idx > s.idx - {GAP_WINDOW}),
+gp AS (SELECT x.idx, x.ticker AS ticker_i, y.ticker AS ticker_j, count(*) AS n, CASE WHEN count(*) >= {GAP_DAYS} AND var_samp(x.x) > 0 AND var_samp(y.x) > 0 THEN corr(x.x, y.x) END AS c FROM gw x JOIN gw y ON y.idx = x.idx AND y.day = x.day GROUP BY 1, 2, 3),
+gc AS (SELECT a.idx, a.ticker AS ticker_i, b.ticker AS ticker_j, coalesce(n, 0) AS n_days, CASE WHEN a.ticker = b.ticker THEN 1.0 ELSE coalesce(c, 0) END AS corr FROM sel a JOIN sel b ON b.idx = a.idx LEFT JOIN gp ON gp.idx = a.idx AND ticker_i = a.ticker AND ticker_j = b.ticker),
+gm AS (SELECT idx, sqrt(count(*))::BIGINT AS k, list(corr ORDER BY ticker_i, ticker_j) AS a, list(CASE WHEN ticker_i = ticker_j THEN 1.0 ELSE 0.0 END ORDER BY ticker_i, ticker_j) AS v, list(DISTINCT ticker_i ORDER BY ticker_i) AS tick FROM gc GROUP BY 1),
+gq AS (SELECT k, list([p, q] ORDER BY p, q) AS pq FROM (SELECT DISTINCT k FROM gm), range(50) x(p), range(50) y(q) WHERE p < q AND q < k GROUP BY 1),
+js AS (SELECT idx, 0::BIGINT AS n, k, pq, tick, a::DOUBLE[] AS a, v::DOUBLE[] AS v FROM gm JOIN gq USING (k) UNION ALL
+  SELECT idx, n + 1, k, pq, tick, list_transform(b, lambda x, m: CASE WHEN (m - 1) // k = p THEN c * x - s * b[m + (q - p) * k] WHEN (m - 1) // k = q THEN s * b[m - (q - p) * k] + c * x ELSE x END), v
+  FROM (SELECT *, list_transform(a, lambda x, m: CASE WHEN (m - 1) % k = p THEN c * x - s * a[m + q - p] WHEN (m - 1) % k = q THEN s * a[m - q + p] + c * x ELSE x END) AS b, list_transform(w, lambda x, m: CASE WHEN (m - 1) % k = p THEN c * x - s * w[m + q - p] WHEN (m - 1) % k = q THEN s * w[m - q + p] + c * x ELSE x END) AS v
+  FROM (SELECT *, 1 / sqrt(t * t + 1) AS c, t / sqrt(t * t + 1) AS s FROM (SELECT *, CASE WHEN abs(o) < 1e-300 THEN 0.0 ELSE (CASE WHEN h >= 0 THEN 1.0 ELSE -1.0 END) / (abs(h) + sqrt(h * h + 1)) END AS t
+  FROM (SELECT *, (a[q * k + q + 1] - a[p * k + p + 1]) / (2 * o) AS h FROM (SELECT *, a[p * k + q + 1] AS o FROM (SELECT idx, n, k, pq, tick, a, v AS w, pq[n % len(pq) + 1][1] AS p, pq[n % len(pq) + 1][2] AS q FROM js WHERE n < {matrices.SWEEPS} * len(pq)))))))),
+je AS (SELECT * FROM js WHERE n = {matrices.SWEEPS} * len(pq))"""
+
+
+def _gapped(s: Study, d: str) -> DataFrame:
+    """Correlations of each selection's tickers over its last weeks, where weeks that trade less than the ticker's average so
+    far are gaps; pairs share few weeks, so most of the matrices are indefinite."""
+    so_far = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    b = market.bars(s.spark, d).select("ticker", "date", (F.col("volume") * F.count(F.lit(1)).over(so_far) >= F.sum("volume").over(so_far)).alias("active"))
+    rows = s.panel.where("r is not null").join(b.where("active"), ["ticker", "date"]).select("ticker", "idx", F.col("r").alias("x"))
+    return cut(correlation.pairwise_corr(rows, s.selection.select("idx", "ticker"), GAP_WINDOW, GAP_DAYS), "gapped")
+
+
+@query("corr_pairwise", sql(f"SELECT idx, ticker_i, ticker_j, n_days, {s6('corr')} FROM gc", ["sel", "ret", "days", "bars"], _GAPS))
+def _(spark, d):
+    return _gapped(Study(spark, d), d).select("idx", "ticker_i", "ticker_j", "n_days", r6("corr"))
+
+
+@query("corr_spectrum", sql(f"SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY e) AS place, {s6('e', 'eigenvalue')} FROM (SELECT idx, unnest(list_transform(range(k), lambda i: a[i * k + i + 1])) AS e FROM je)", ["sel", "ret", "days", "bars"], _GAPS))
+def _(spark, d):
+    """Eigenvalues of every selection's matrix with gaps."""
+    return correlation.spectrum(_gapped(Study(spark, d), d), "idx").select("idx", "place", r6("eigenvalue"))
+
+
+@query("corr_projection", sql(f"""SELECT idx, tick[i + 1] AS ticker_i, tick[j + 1] AS ticker_j, {s6('CASE WHEN i = j THEN 1.0 ELSE f[i * k + j + 1] / sqrt(f[i * k + i + 1] * f[j * k + j + 1]) END', 'corr')}
+FROM (SELECT *, unnest(range(k * k)) // k AS i, unnest(range(k * k)) % k AS j FROM (SELECT idx, k, tick, list_transform(range(k * k), lambda n: list_sum(list_transform(range(k), lambda c: greatest(a[c * k + c + 1], 0) * v[(n // k) * k + c + 1] * v[(n % k) * k + c + 1]))) AS f FROM je))""", ["sel", "ret", "days", "bars"], _GAPS))
 def _(spark, d):
-    """Sample correlations moved away from zero, which makes the matrix indefinite, and projected back."""
-    c = correlation.sample_corr(_last_pairs(Study(spark, d)))
-    moved = F.when(F.col("ticker_i") == F.col("ticker_j"), 1.0).otherwise(F.when(F.col("corr") < 0, -0.9).otherwise(0.9))
-    return correlation.project(c.select(F.lit(0).alias("day"), "ticker_i", "ticker_j", moved.alias("corr")), "day").select("ticker_i", "ticker_j", r6("corr"))
+    """Every selection's matrix with gaps, made a correlation matrix."""
+    return correlation.project(_gapped(Study(spark, d), d), "idx").select("idx", "ticker_i", "ticker_j", r6("corr"))
 
 
 _SEEN = ("bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only", "full", "full_erc", "full_garch_dcc")
@@ -118,6 +154,32 @@ def _(spark, d):
     return correlation.dcc_params(rows.repartition("epoch_idx"), "epoch_idx", (0.01, 0.96), 0.1).select("epoch_idx", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), "fell_back")
 
 
+#: Cells of the profile of (a, b); sums that reach the bound are left out.
+PROFILE = [(a, b) for a in (0.01, 0.02, 0.04, 0.06) for b in (0.85, 0.9, 0.93, 0.96) if a + b < correlation.BOUND - 1e-9]
+
+_PROFILE = f"""pd AS (SELECT epoch_idx AS dt FROM (SELECT idx AS epoch_idx, row_number() OVER (ORDER BY idx) AS number FROM clock WHERE is_selection) WHERE (number - 1) % 3 = 0),
+pe AS (SELECT dt, k, max(n) AS n, list(e ORDER BY ticker) AS e FROM x_ivol JOIN pd USING (dt) GROUP BY 1, 2),
+pm AS (SELECT dt, list(q ORDER BY ti, tj) AS mean FROM (SELECT x.dt, x.ticker AS ti, y.ticker AS tj, 0.9 * corr(x.e, y.e) + CASE WHEN x.ticker = y.ticker THEN 0.1 ELSE 0 END AS q FROM x_ivol x JOIN x_ivol y ON y.dt = x.dt AND y.idx = x.idx JOIN pd ON pd.dt = x.dt GROUP BY 1, 2, 3) GROUP BY 1),
+pg AS (SELECT * FROM (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in PROFILE)}) v(a, b)),
+pq AS (SELECT dt, a, b, 1::BIGINT AS k, mean AS q FROM pm, pg UNION ALL
+  SELECT p.dt, p.a, p.b, p.k + 1, list_transform(p.q, lambda x, i: p.b * x + (1 - p.a - p.b) * mean[i] + p.a * e.e[(i - 1) // len(e.e) + 1] * e.e[(i - 1) % len(e.e) + 1]) FROM pq p JOIN pe e ON e.dt = p.dt AND e.k = p.k AND p.k < e.n JOIN pm ON pm.dt = p.dt),
+pr AS (SELECT dt, a, b, k, n, e, len(e) AS s, list_transform(q, lambda x, i: x / sqrt(q[((i - 1) // len(e)) * len(e) + (i - 1) // len(e) + 1] * q[((i - 1) % len(e)) * len(e) + (i - 1) % len(e) + 1])) AS r FROM pq JOIN pe USING (dt, k)),
+pl AS (SELECT dt, a, b, k, n, s, 0::BIGINT AS i, r, e, 0.0::DOUBLE AS loss FROM pr UNION ALL
+  SELECT dt, a, b, k, n, s, i + 1, list_transform(r, lambda x, m: CASE WHEN (m - 1) // s > i THEN x - r[((m - 1) // s) * s + i + 1] / r[i * s + i + 1] * r[i * s + (m - 1) % s + 1] ELSE x END),
+  list_transform(e, lambda x, m: CASE WHEN m - 1 > i THEN x - r[(m - 1) * s + i + 1] / r[i * s + i + 1] * e[i + 1] ELSE x END), loss + ln(r[i * s + i + 1]) + e[i + 1] * e[i + 1] / r[i * s + i + 1] FROM pl WHERE i < s),
+pf AS (SELECT dt AS epoch_idx, a, b, max(n) AS n_days, sum(loss) AS loss FROM pl WHERE i = s GROUP BY 1, 2, 3)"""
+
+
+@query("dcc_profile", sql(f"SELECT epoch_idx, a, b, n_days, {s6('loss')}, row_number() OVER (PARTITION BY epoch_idx ORDER BY loss, a, b) AS place FROM pf", ["clock", "x_ivol"], _PROFILE))
+def _(spark, d):
+    """The quasi likelihood over a grid of (a, b) at every third selection."""
+    s = Study(spark, d)
+    days = correlation.cadence(s.clock.where("is_selection").select(F.col("idx").alias("epoch_idx")), 3).where("estimated").select(F.col("epoch_idx").alias("idx"))
+    chosen = cut(s.selection.select("idx", "ticker").join(F.broadcast(days), "idx"), "chosen")
+    out = correlation.dcc_profile(s.residuals(chosen), chosen, PROFILE, 0.1)
+    return out.select(F.col("idx").alias("epoch_idx"), "a", "b", "n_days", r6("loss"), "place")
+
+
 _LOGFOLD = f"""fl AS (SELECT epoch_idx, idx, n, e, e AS applied, FALSE AS blocked FROM n_sig_ivol WHERE n = 1 UNION ALL
   SELECT b.epoch_idx, b.idx, b.n, b.e, CASE WHEN abs(ln(b.e) - ln(f.applied)) > {C.band} THEN b.e ELSE f.applied END, NOT abs(ln(b.e) - ln(f.applied)) > {C.band} FROM fl f JOIN n_sig_ivol b ON b.epoch_idx = f.epoch_idx AND b.n = f.n + 1)"""
 
