@@ -74,10 +74,23 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", vendors.redacted(url).alias("url"))
 
 
+def _exact_sql(x: str) -> str:
+    """A double's bits as text; values are not zero, finite and normal here, or null."""
+    e = f"CAST(floor(log2(abs({x}))) AS INT)"
+    m = f"(abs({x}) * pow(2.0::DOUBLE, 52 - {e}))"
+    shift = f"CASE WHEN {m} >= pow(2.0::DOUBLE, 53) THEN -1 WHEN {m} < pow(2.0::DOUBLE, 52) THEN 1 ELSE 0 END"
+    return f"CASE WHEN {x} IS NULL THEN 'null' WHEN {x} = 0 THEN '0' ELSE (CASE WHEN {x} < 0 THEN '-' ELSE '+' END) || CAST({m} * pow(2.0::DOUBLE, {shift}) AS BIGINT) || 'p' || ({e} - {shift}) END"
+
+
+def _row_sql(kinds: dict[str, str]) -> str:
+    """The digest of a row by its columns."""
+    field = {"d": lambda c: f"'d:' || {c}::VARCHAR", "s": lambda c: f"'s:' || {c}", "f": lambda c: f"'f:' || {_exact_sql(f'CAST({c} AS DOUBLE)')}"}
+    text = " || '|' || ".join(f"'{c}=' || {field[k](c)}" for c, k in sorted(kinds.items()))
+    return f"sha256({text})"
+
+
 def _content_sql(rows: str, kinds: dict[str, str]) -> str:
-    field = {"d": "'d:' || {0}::VARCHAR", "s": "'s:' || {0}", "f": "'f:' || CAST(round({0} * 1e6) AS BIGINT)::VARCHAR"}
-    text = " || '|' || ".join(f"'{c}=' || {field[k].format(c)}" for c, k in sorted(kinds.items()))
-    return f"SELECT count(*) AS n_rows, sha256(count(*)::VARCHAR || '|' || sum(('0x' || substr(sha256({text}), 1, 15))::BIGINT)::VARCHAR) AS content FROM {rows}"
+    return f"SELECT count(*) AS n_rows, sha256(count(*)::VARCHAR || '|' || sum(('0x' || substr({_row_sql(kinds)}, 1, 15))::BIGINT)::VARCHAR) AS content FROM {rows}"
 
 
 _KINDS = {"ticker": "s", "date": "d", "close": "f", "adj_close": "f", "volume": "f"}
@@ -89,6 +102,49 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, (snapshot.content_hash(df).withColumn("part", F.lit(k)) for k, df in tables.items()))
 
 
+def _merkle_sql(name: str, rows: str, kinds: dict[str, str]) -> str:
+    """Common tables of a tree over rows in the order of (date, ticker), level by level."""
+    f = snapshot.FANOUT
+    up = lambda below, level: f"SELECT {level} AS level, node // {f} AS node, sum(n_rows) AS n_rows, min(first_key) AS first_key, max(last_key) AS last_key, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM {below} GROUP BY 2"
+    leaves = f"SELECT row_number() OVER (ORDER BY date, ticker) - 1 AS node, 1 AS n_rows, date::VARCHAR || ' ' || ticker AS first_key, date::VARCHAR || ' ' || ticker AS last_key, {_row_sql(kinds)} AS digest FROM {rows}"
+    return ",\n".join([f"{name}_r AS ({leaves})", f"{name}_0 AS ({up(f'{name}_r', 0)})", f"{name}_1 AS ({up(f'{name}_0', 1)})", f"{name}_2 AS ({up(f'{name}_1', 2)})", f"{name}_3 AS ({up(f'{name}_2', 3)})"])
+
+
+_TREE = "SELECT * FROM m_0 UNION ALL SELECT * FROM m_1 WHERE (SELECT count(*) FROM m_0) > 1 UNION ALL SELECT * FROM m_2 WHERE (SELECT count(*) FROM m_1) > 1 UNION ALL SELECT * FROM m_3 WHERE (SELECT count(*) FROM m_2) > 1"
+
+
+def _tree(df: DataFrame) -> DataFrame:
+    return snapshot.merkle(df.select("ticker", "date", "close", "volume"), ["date", "ticker"])
+
+
+def _spelled() -> list:
+    return [F.concat_ws(" ", F.col(f"{c}.date").cast("string"), F.col(f"{c}.ticker")).alias(c) for c in ("first_key", "last_key")]
+
+
+@query("merkle_tree", sql(f"SELECT level, node, n_rows::BIGINT AS n_rows, first_key, last_key, digest FROM ({_TREE})", ["bars"], _merkle_sql("m", "bars", {"ticker": "s", "date": "d", "close": "f", "volume": "f"})))
+def _(spark, d):
+    """A tree of hashes over the bars in the order of day and ticker; its top is the table's hash."""
+    rows = _tree(market.bars(spark, d))
+    return rows.select("level", "node", "n_rows", *_spelled(), "digest")
+
+
+#: A change of one bit: the last of the significand of the closes of one day.
+_BIT = "CASE WHEN date = (SELECT min(date) FROM bars WHERE date >= DATE '1996-01-01') AND ticker = (SELECT min(ticker) FROM bars) THEN close + pow(2.0::DOUBLE, floor(log2(close)) - 52) ELSE close END"
+
+
+@query("merkle_changes", sql("SELECT a.node, a.n_rows::BIGINT AS old_rows, b.n_rows::BIGINT AS new_rows, b.first_key, b.last_key FROM m_0 a JOIN c_0 b USING (node) WHERE a.digest <> b.digest", ["bars"], f"""{_merkle_sql("m", "bars", {"ticker": "s", "date": "d", "close": "f", "volume": "f"})},
+bit AS (SELECT ticker, date, {_BIT} AS close, volume FROM bars),
+{_merkle_sql("c", "bit", {"ticker": "s", "date": "d", "close": "f", "volume": "f"})}"""))
+def _(spark, d):
+    """The last bit of one price flipped, and the range of rows that holds it found from the tops of two trees."""
+    b = cut(market.bars(spark, d).select("ticker", "date", "close", "volume"), "bars")
+    at = b.where("date >= '1996-01-01'").agg(F.min("date").alias("d")).join(b.agg(F.min("ticker").alias("t")))
+    bit = F.col("close") + F.pow(F.lit(2.0), F.floor(F.log2("close")) - 52)
+    other = b.join(F.broadcast(at)).withColumn("close", F.when((F.col("date") == F.col("d")) & (F.col("ticker") == F.col("t")), bit).otherwise(F.col("close")))
+    found = snapshot.changed(_tree(b), _tree(other))
+    return found.select("node", "old_rows", "new_rows", *_spelled())
+
+
 @query("snapshot_roundtrip", sql("SELECT 'prices' AS part, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM bars UNION ALL SELECT 'rates', count(*), min(date), max(date) FROM rates", ["bars", "rates"]))
 def _(spark, d):
     """Written in canonical order behind the gate, then loaded again with the integrity check."""

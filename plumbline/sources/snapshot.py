@@ -7,11 +7,13 @@ import hashlib
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import quality
+from plumbline.operators.matrices import let
 from plumbline.operators.signals import Config
+from plumbline.sources.tables import cut
 
 
 def canonical(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,12 +21,30 @@ def canonical(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*sorted(df.columns)).orderBy(*keys)
 
 
+def exact(c: Column) -> Column:
+    """A double's value as text, one for each bit pattern: sign, 53-bit significand, exponent of two. No value is rounded;
+    both zeros are one, so are null and NaN."""
+    x = F.abs(c)
+    first = F.floor(F.log2(x)).cast("int")
+
+    def parts(e: Column) -> Column:
+        up = F.lit(52) - e
+        half = (up / 2).cast("int")
+        return F.struct((x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), up - half)).alias("m"), e.alias("e"))
+
+    def even(z: Column) -> Column:  # the logarithm may miss by one beside a power of two
+        shift = F.when(z["m"] >= 2.0**53, -1).when(z["m"] < 2.0**52, 1).otherwise(0)
+        return F.concat(F.when(c < 0, "-").otherwise("+"), (z["m"] * F.pow(F.lit(2.0), shift)).cast("long").cast("string"), F.lit("p"), (z["e"] - shift).cast("string"))
+
+    finite = let(first, lambda e: let(parts(e), even))
+    return F.when(c.isNull() | F.isnan(c), "null").when(x == float("inf"), F.when(c < 0, "-inf").otherwise("+inf")).when(c == 0, "0").otherwise(finite)
+
+
 def _field(name: str, kind: str) -> Column:
-    """A value as text, with a tag of its kind: doubles in millionths without a negative zero, null and NaN alike."""
+    """A value as text, with a tag of its kind."""
     c = F.col(name)
     if kind in ("double", "float"):
-        text = F.when(F.isnan(c), None).otherwise(F.round(c * 1e6).cast("long").cast("string"))
-        return F.concat(F.lit("f:"), F.coalesce(text, F.lit("null")))
+        return F.concat(F.lit("f:"), exact(c.cast("double")))
     tag = {"date": "d:", "timestamp": "d:", "timestamp_ntz": "d:", "boolean": "b:", "string": "s:"}.get(kind, "i:")
     return F.concat(F.lit(tag), F.coalesce(c.cast("string"), F.lit("null")))
 
@@ -42,6 +62,72 @@ def content_hash(df: DataFrame) -> DataFrame:
     return sums.select("n_rows", F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), F.col("total").cast("string")), 256).alias("content"))
 
 
+#: Rows, or nodes, below one node of a tree.
+FANOUT = 64
+
+
+def placed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(at, digest, key): each row's digest and its place, from 0, in the order of its key; rows of one key by digest. Rows
+    are sorted by ranges of keys, and only a count of each range passes the driver."""
+    key = F.struct(*keys)
+    rows = df.select(key.alias("key"), row_digest(df).alias("digest")).repartitionByRange("key", "digest").sortWithinPartitions("key", "digest")
+    rows = cut(rows.select("key", "digest", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")), "merkle-rows")
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("first"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    counts = counts.select("part", "first", before.alias("before"))
+    return rows.join(F.broadcast(counts), "part").select((F.col("before") + F.col("n") - F.col("first")).alias("at"), "digest", "key")
+
+
+def merkle(df: DataFrame, keys: list[str], fanout: int = FANOUT) -> DataFrame:
+    """(level, node, n_rows, first_key, last_key, digest): a tree of hashes over the rows in the order of their keys. Nodes of
+    level 0 are hashes of `fanout` rows each, those above of as many nodes; the last level has one. Values count to the last
+    bit. A table without rows has one node over nothing."""
+    if fanout < 2:
+        raise ValueError("a node has two children at least")
+    level = placed(df, keys).select((F.col("at") / fanout).cast("long").alias("up"), "at", F.lit(1).cast("long").alias("n_rows"), F.col("key").alias("first_key"), F.col("key").alias("last_key"), "digest")
+    made: list[DataFrame] = []
+    while True:
+        below = F.array_sort(F.collect_list(F.struct("at", "digest")))  # `fanout` of them at most
+        nodes = level.groupBy(F.col("up").alias("node")).agg(
+            F.sum("n_rows").alias("n_rows"), F.min_by("first_key", "at").alias("first_key"), F.max_by("last_key", "at").alias("last_key"),
+            F.sha2(F.array_join(F.transform(below, lambda c: c["digest"]), ""), 256).alias("digest"),
+        )
+        nodes = cut(nodes.select(F.lit(len(made)).alias("level"), "node", "n_rows", "first_key", "last_key", "digest"), "merkle-nodes")
+        made.append(nodes)
+        n = nodes.count()
+        if n == 0:
+            nothing = F.sha2(F.lit(""), 256).alias("digest")
+            empty = df.sparkSession.range(1).select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n_rows"), *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in ("first_key", "last_key")), nothing)
+            return empty
+        if n == 1:
+            return reduce(DataFrame.unionByName, made)
+        level = nodes.select((F.col("node") / fanout).cast("long").alias("up"), F.col("node").alias("at"), "n_rows", "first_key", "last_key", "digest")
+
+
+def root(tree: DataFrame) -> DataFrame:
+    """(n_rows, content) of a tree's top."""
+    top = tree.agg(F.max("level").alias("level"))
+    return tree.join(F.broadcast(top), "level").select("n_rows", F.col("digest").alias("content"))
+
+
+def changed(old: DataFrame, new: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """(node, old_rows, new_rows, first_key, last_key): the ranges of level 0 whose hashes differ, found from the top: only
+    children of nodes that differ are compared. A row more or less moves all rows behind it, so the first range is where it
+    happened; trees of different heights are compared at level 0 alone."""
+    heights = [t.agg(F.max("level")).first()[0] for t in (old, new)]
+    differs = None
+    for level in range(heights[0], -1, -1) if heights[0] == heights[1] else [0]:
+        a, b = (t.where(F.col("level") == level).drop("level") for t in (old, new))
+        if differs is not None:
+            a, b = (t.withColumn("up", (F.col("node") / fanout).cast("long")).join(differs, "up", "left_semi").drop("up") for t in (a, b))
+        key = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
+        found = a.alias("a").join(b.alias("b"), F.col("a.node") == F.col("b.node"), "full_outer").where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+        zero = lambda c: F.coalesce(F.col(f"{c}.n_rows"), F.lit(0))
+        found = cut(found.select(key("node"), zero("a").alias("old_rows"), zero("b").alias("new_rows"), key("first_key"), key("last_key")), "merkle-changed")
+        differs = found.select(F.col("node").alias("up"))
+    return found
+
+
 def config_hash(cfg: Config) -> str:
     return hashlib.sha256(json.dumps(dataclasses.asdict(cfg), sort_keys=True).encode()).hexdigest()
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import date
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +117,52 @@ def test_governing_selection_is_the_one_before_the_day(spark):
 def test_absent_artifacts(spark, tmp_path):
     assert readers.load(spark, str(tmp_path), "nav") is None
     assert readers.catalogue(spark, str(tmp_path), ["none"]).count() == 0
+
+
+def test_doubles_are_hashed_bit_for_bit(spark):
+    rng = np.random.default_rng(4)
+    some = np.frombuffer(rng.bytes(8 * 4000), dtype="float64")
+    values = [float(x) for x in some if np.isfinite(x)] + [2.0**e for e in range(-1074, 1024)] + [np.nextafter(2.0**e, 0) for e in range(-1073, 1024)] + [-5e-324, 1.7976931348623157e308]
+    got = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", snapshot.exact(F.col("x")).alias("t")).collect()
+    for r in got:
+        m, e = r.t[1:].split("p")
+        assert 2**52 <= int(m) < 2**53 and Fraction(int(m)) * Fraction(2) ** (int(e) - 52) == abs(Fraction(r.x)) and (r.t[0] == "-") == (r.x < 0)
+    odd = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (None,), (float("inf"),), (float("-inf"),)], "x double")
+    assert [r.t for r in odd.select(snapshot.exact(F.col("x")).alias("t")).collect()] == ["0", "0", "null", "null", "+inf", "-inf"]
+
+
+def _tree_of(rows: list[str], fanout: int) -> list[list[str]]:
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    levels = [rows]
+    while len(levels) == 1 or len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([sha("".join(below[i : i + fanout])) for i in range(0, len(below), fanout)])
+    return levels[1:]
+
+
+def test_tree_of_hashes(spark):
+    df = spark.createDataFrame([(i // 3, f"k{i % 3}", i / 7) for i in range(100)], "day int, ticker string, x double").repartition(5)
+    digest = [r.d for r in df.select("day", "ticker", snapshot.row_digest(df).alias("d")).orderBy("day", "ticker").collect()]
+    got = snapshot.merkle(df, ["day", "ticker"], 4).collect()
+    want = _tree_of(digest, 4)
+    assert {(r.level, r.node): r.digest for r in got} == {(i, j): d for i, level in enumerate(want) for j, d in enumerate(level)}
+    assert {r.level: sum(x.n_rows for x in got if x.level == r.level) for r in got} == {i: 100 for i in range(len(want))}
+    first = next(r for r in got if (r.level, r.node) == (0, 1))
+    assert (tuple(first.first_key), tuple(first.last_key)) == ((1, "k1"), (2, "k1"))
+    assert snapshot.root(snapshot.merkle(df.orderBy("x"), ["day", "ticker"], 4)).first().content == want[-1][0]
+
+
+def test_a_changed_bit_is_found_in_its_range(spark):
+    rows = [(i, 1.0 + i) for i in range(50)]
+    tree = lambda r: snapshot.merkle(spark.createDataFrame(r, "k int, x double"), ["k"], 3)
+    old = tree(rows)
+    bit = [(k, float(np.nextafter(x, 9e9)) if k == 31 else x) for k, x in rows]
+    assert [(r.node, r.first_key.k, r.last_key.k) for r in snapshot.changed(old, tree(bit), 3).collect()] == [(10, 30, 32)]
+    assert snapshot.changed(old, tree(rows[::-1]), 3).count() == 0
+    less = snapshot.changed(old, tree([r for r in rows if r[0] != 20]), 3).collect()
+    assert min(r.node for r in less) == 6 and len(less) == 11
+    nothing = tree([])
+    assert (nothing.count(), snapshot.root(nothing).first().content) == (1, hashlib.sha256(b"").hexdigest())
+    assert snapshot.changed(nothing, old, 3).count() == 17
+    twins = tree([(1, 2.0)] * 10)
+    assert sum(r.n_rows for r in twins.where("level = 0").collect()) == 10
