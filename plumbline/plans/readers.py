@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.backtest import Book
 from plumbline.operators.signals import Config
+from plumbline.sources.snapshot import content_hash
 
 ARTIFACTS = ("nav", "weights", "trades")
+#: Tables that a run may have beside them.
+FURTHER = ("decisions", "comparison", "model_details")
 
 
 def _map(value: Column) -> Column:
@@ -142,12 +146,86 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def write_run(book: Book, folder: str, cfg: Config) -> None:
-    """A run's tables by strategy and its settings; an existing run is an error."""
-    for name in ARTIFACTS:
-        getattr(book, name).write.mode("errorifexists").partitionBy("strategy_id").parquet(f"{folder}/{name}")
+def write_run(book: Book, folder: str, cfg: Config, **more: DataFrame) -> None:
+    """A run's tables by strategy and its settings; an existing run is an error. more: further tables with a strategy_id
+    (FURTHER). The manifest, one line a table with its rows and their hash, is written last: a run without it was torn."""
+    if odd := sorted(set(more) - set(FURTHER)):
+        raise ValueError(f"unknown artefacts: {', '.join(odd)}")
+    spark, tables = book.nav.sparkSession, {name: getattr(book, name) for name in ARTIFACTS} | more
+    lines = []
+    for name, df in tables.items():
+        df.write.mode("errorifexists").partitionBy("strategy_id").parquet(f"{folder}/{name}")
+        written = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        lines.append(content_hash(written).select(F.lit(name).alias("artifact"), "n_rows", "content"))
     settings = json.dumps(dataclasses.asdict(cfg), sort_keys=True)
-    book.nav.sparkSession.createDataFrame([(settings,)], "settings string").coalesce(1).write.text(f"{folder}/config")
+    spark.createDataFrame([(settings,)], "settings string").coalesce(1).write.text(f"{folder}/config")
+    reduce(DataFrame.unionByName, lines).coalesce(1).write.json(f"{folder}/manifest")
+
+
+def _unescaped(c: Column) -> Column:
+    """Percent escapes undone; a plus is a plus."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def _of_path(path: Column, root: str, part: int) -> Column:
+    """A part of a file's path below root, counted from 0."""
+    below = re.sub("^[A-Za-z0-9]+:/*", "/", root.rstrip("/")) + "/"
+    return F.get(F.split(F.substr(path, F.locate(below, path) + len(below)), "/"), part)
+
+
+def found_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """(run, artifact, strategy_id, n_rows) of the tables of every run below root. Counts come from footers, runs and strategies
+    from the files' paths, so no run is named and no column read."""
+    parts, path = [], _unescaped(F.col("_metadata.file_path"))
+    for name in (*ARTIFACTS, *FURTHER):
+        try:
+            files = spark.read.schema("none int").option("recursiveFileLookup", True).parquet(f"{root}/*/{name}")
+        except AnalysisException:  # no run has it
+            continue
+        rows = files.select(_of_path(path, root, 0).alias("run"), _of_path(path, root, 2).alias("strategy_id"))
+        strategy = _unescaped(F.substring_index("strategy_id", "=", -1))
+        parts.append(rows.groupBy("run", "strategy_id").agg(F.count(F.lit(1)).alias("n_rows")).select("run", F.lit(name).alias("artifact"), strategy.alias("strategy_id"), "n_rows"))
+    if not parts:
+        return spark.createDataFrame([], "run string, artifact string, strategy_id string, n_rows long")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    """(run, n_files, bytes, modified, complete, reason, newest) of every run below root. A run is complete when it has its
+    manifest and its tables have the rows named there; newest marks the complete one modified last, of several the last by
+    name. No run gives no row."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    except AnalysisException:
+        files = None
+    kinds = "run string, n_files long, bytes long, modified timestamp, complete boolean, reason string, newest boolean"
+    if files is None:
+        return spark.createDataFrame([], kinds)
+    seen = files.select(_of_path(F.col("path"), root, 0).alias("run"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("at"))
+    out = seen.groupBy("run").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"), F.max("at").alias("modified"))
+    try:
+        lines = spark.read.schema("artifact string, n_rows long, content string").json(f"{root}/*/manifest")
+        told = lines.select(_of_path(_unescaped(F.col("_metadata.file_path")), root, 0).alias("run"), "artifact", F.col("n_rows").alias("told"))
+    except AnalysisException:
+        told = spark.createDataFrame([], "run string, artifact string, told long")
+    have = found_artifacts(spark, root).groupBy("run", "artifact").agg(F.sum("n_rows").alias("have"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    checked = told.join(have, ["run", "artifact"], "full_outer").groupBy("run").agg(
+        F.count("told").alias("lines"), F.array_sort(F.collect_list(F.when(zero("told") != zero("have"), F.col("artifact")))).alias("off")  # a name an artefact
+    )
+    out = out.join(checked, "run", "left")
+    reason = F.when(zero("lines") == 0, "no manifest").when(F.size("off") > 0, F.concat(F.lit("rows differ: "), F.array_join("off", ", ")))
+    out = out.withColumn("reason", reason).withColumn("complete", F.col("reason").isNull())
+    last = F.row_number().over(Window.orderBy(F.desc("complete"), F.desc("modified"), F.desc("run")))  # a row a run
+    return out.withColumn("newest", F.col("complete") & (last == 1)).select("run", "n_files", "bytes", "modified", "complete", "reason", "newest")
+
+
+def newest_run(spark: SparkSession, root: str) -> str:
+    """The folder of the newest complete run below root; an error where there is none."""
+    found = runs(spark, root).where("newest").select("run").first()
+    if found is None:
+        raise ValueError(f"no complete run in {root}")
+    return f"{root}/{found['run']}"
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame | None:

@@ -550,6 +550,26 @@ def _(spark, d):
     return readers.catalogue(spark, root, ["first", "absent"]).select("artifact", "strategy_id", "n_rows")
 
 
+_SHELF = ["bh_market", "mom_ivol"]
+_COUNTS = """ct AS (SELECT 'nav' AS artifact, strategy_id, count(*) AS n_rows FROM nav GROUP BY 2 UNION ALL SELECT 'weights', strategy_id, count(*) FROM wts GROUP BY 2 UNION ALL SELECT 'trades', strategy_id, count(*) FROM trades WHERE ticker <> 'CASH' AND abs(target_weight - drifted_weight) > 1e-12 GROUP BY 2
+  UNION ALL SELECT 'decisions', 'mom_ivol', count(DISTINCT epoch_idx) FROM ivol UNION ALL SELECT 'comparison', strategy_id, 1 FROM dd GROUP BY 2)"""
+
+
+@query("run_catalogue", book_sql("SELECT run, complete, reason, newest, artifact, strategy_id, n_rows * CASE WHEN run = 'grown' AND artifact = 'nav' THEN 2 ELSE 1 END AS n_rows FROM (VALUES ('early', TRUE, NULL, FALSE), ('late', TRUE, NULL, TRUE), ('torn', FALSE, 'no manifest', FALSE), ('grown', FALSE, 'rows differ: nav', FALSE)) v(run, complete, reason, newest) JOIN ct ON run <> 'torn' OR artifact = 'nav'", _SHELF).replace("\nSELECT run,", f",\n{_COUNTS}\nSELECT run,"))
+def _(spark, d):
+    """Runs found below a folder: two whole ones, one without its manifest and one whose table grew after it."""
+    s = Study(spark, d)
+    shelf, book = new_path(spark, "shelf"), s.book(*_SHELF)
+    book = backtest.Book(*(cut(df, name) for df, name in ((book.nav, "nav"), (book.weights, "weights"), (book.trades, "trades"))))
+    more = {"decisions": _decisions(s), "comparison": cut(metrics.bundle(book.nav, s.rf, book.weights), "comparison", 1)}
+    for run in ("early", "late", "grown"):
+        readers.write_run(book, f"{shelf}/{run}", C, **more)
+        if run == "late":
+            book.nav.write.partitionBy("strategy_id").parquet(f"{shelf}/torn/nav")
+    book.nav.write.mode("append").partitionBy("strategy_id").parquet(f"{shelf}/grown/nav")
+    return readers.found_artifacts(spark, shelf).join(readers.runs(spark, shelf), "run").select("run", "complete", "reason", "newest", "artifact", "strategy_id", "n_rows")
+
+
 @query("garch_parameters")
 def _(spark, d):
     """Parameters and persistence of each refit, and how often a ticker fell back."""

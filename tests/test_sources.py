@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import shutil
 from datetime import date
 from fractions import Fraction
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import quality
+from plumbline.operators.backtest import Book
 from plumbline.operators.signals import Config
 from plumbline.plans import readers
 from plumbline.sources import market, snapshot, vendors
@@ -166,3 +168,30 @@ def test_a_changed_bit_is_found_in_its_range(spark):
     assert snapshot.changed(nothing, old, 3).count() == 17
     twins = tree([(1, 2.0)] * 10)
     assert sum(r.n_rows for r in twins.where("level = 0").collect()) == 10
+
+
+def test_runs_are_found_checked_and_ordered(spark, tmp_path):
+    nav = spark.createDataFrame([("a+b c", i, 1.0 + i) for i in range(5)] + [("z", 0, 1.0)], "strategy_id string, idx int, nav double")
+    trades = nav.where("idx = 0").select("strategy_id", "idx")
+    book, root = Book(nav, nav.select("strategy_id", "idx"), trades), f"{tmp_path}/my runs"
+    assert readers.runs(spark, root).count() == 0 and readers.found_artifacts(spark, root).count() == 0
+    with pytest.raises(ValueError, match="no complete run"):
+        readers.newest_run(spark, root)
+    readers.write_run(book, f"{root}/1 first", Config(), comparison=trades)
+    assert readers.newest_run(spark, root) == f"{root}/1 first"
+    readers.write_run(book, f"{root}/0+second", Config())
+    nav.write.partitionBy("strategy_id").parquet(f"{root}/torn/nav")
+    readers.write_run(book, f"{root}/lost", Config())
+    shutil.rmtree(f"{root}/lost/trades")
+    got = {r.run: r for r in readers.runs(spark, root).collect()}
+    assert {k: (r.complete, r.reason, r.newest) for k, r in got.items()} == {
+        "1 first": (True, None, False), "0+second": (True, None, True), "torn": (False, "no manifest", False), "lost": (False, "rows differ: trades", False),
+    }
+    assert got["1 first"].modified <= got["0+second"].modified and all(r.bytes > 0 and r.n_files > 0 for r in got.values())
+    assert readers.newest_run(spark, root) == f"{root}/0+second"
+    rows = {(r.run, r.artifact, r.strategy_id): r.n_rows for r in readers.found_artifacts(spark, root).collect()}
+    assert rows["1 first", "nav", "a+b c"] == 5 and rows["torn", "nav", "z"] == 1 and rows["1 first", "comparison", "z"] == 1 and ("lost", "trades", "z") not in rows
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        readers.write_run(book, f"{root}/1 first", Config())
+    with pytest.raises(ValueError, match="unknown artefacts"):
+        readers.write_run(book, f"{root}/2", Config(), notes=trades)
