@@ -19,6 +19,8 @@ other columns are ignored. `start` is the place of the first occurrence, from 1.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -53,7 +55,7 @@ CONTEXT = r"((?:[^\s]{1,40}\s+){0,2}(?:[^\sA-Za-z0-9]{0,8}[A-Za-z0-9+/_.\-]{1,40
 #: Characters before a candidate that can hold its context.
 CONTEXT_LENGTH = 120
 
-FEATURES = ["length", "digits", "uppers", "switches", "case_switches", "hex", "distinct", "covered", "in_path", "names_credential", "names_other", "assigned", "quoted"]
+FEATURES = ["length", "digits", "uppers", "switches", "case_switches", "familiar", "hex", "distinct", "covered", "in_path", "names_credential", "names_other", "assigned", "quoted"]
 
 
 def findings(docs: DataFrame) -> DataFrame:
@@ -97,12 +99,34 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return words.where(F.length("word") >= 3).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_COUNT).select("word")
 
 
+def transitions(words: DataFrame) -> dict[str, float]:
+    """Log10 probability of a letter after another in the words of the corpus, for pairs of a-z, 26 * 26 at most; pairs that
+    the words lack are smoothed by half a count."""
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr(F.col("word"), i, F.lit(2))))
+    pairs = words.where(F.length("word") > 1).select(pair.alias("pair")).where(F.col("pair").rlike("^[a-z]{2}$"))
+    n = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    total = {a: sum(n.get(a + b, 0) for b in letters) for a in letters}
+    return {a + b: math.log10((n.get(a + b, 0) + 0.5) / (total[a] + 13)) for a in letters for b in letters}
+
+
+def _familiar(c: Column, odds: dict[str, float]) -> Column:
+    """Mean log probability of the letter pairs of a candidate; 0 where it has none."""
+    known = F.create_map(*(F.lit(x) for item in sorted(odds.items()) for x in item))
+    low = F.lower(c)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.element_at(known, F.substr(low, i, F.lit(2))))
+    each = F.filter(each, lambda v: v.isNotNull())
+    return F.coalesce(F.aggregate(each, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(each), F.lit(0)), F.lit(0.0))
+
+
 def _number(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 
 
-def features(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """pairs (candidate, context, ...) with one column of doubles for each of FEATURES."""
+def features(pairs: DataFrame, words: DataFrame, odds: dict[str, float] | None = None) -> DataFrame:
+    """pairs (candidate, context, ...) with one column of doubles for each of FEATURES. odds: transitions of the words, where
+    they are known already."""
+    odds = transitions(words) if odds is None else odds
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     runs = pairs.select("candidate").distinct().withColumn("word", F.explode(F.array_distinct(F.split(F.lower("candidate"), r"[^\p{L}]+"))))
     covered = runs.where(F.length("word") >= 3).join(words, "word").groupBy("candidate").agg(F.sum(F.length("word")).cast("double").alias("covered_letters"))
@@ -114,6 +138,7 @@ def features(pairs: DataFrame, words: DataFrame) -> DataFrame:
         (F.regexp_count(c, F.lit("[A-Z]")) / n).alias("uppers"),
         (F.regexp_count(c, F.lit("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")) / n).alias("switches"),
         (F.regexp_count(c, F.lit("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")) / n).alias("case_switches"),
+        _familiar(c, odds).alias("familiar"),
         _number(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")).alias("hex"),
         (F.size(F.array_distinct(F.split(c, ""))) / n).alias("distinct"),
         F.least(F.lit(1.0), F.coalesce(F.col("covered_letters"), F.lit(0.0)) / n).alias("covered"),
@@ -154,7 +179,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: str = "
     uuid = F.regexp_replace(F.substring(hexes, 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
     size = draw("size", 33) + 16
     secrets = [mixed.substr(F.lit(1), size), hexes.substr(F.lit(1), size), F.concat(F.lit("AKIA"), upper.substr(1, 16)), F.concat(F.lit("ghp_"), mixed.substr(1, 36)), F.concat(F.lit("sk-"), mixed.substr(1, 40)), mixed.substr(F.lit(1), draw("short", 9) + 8), mixed.substr(F.lit(1), size)]
-    others = [words, slug, path, digits.substr(F.lit(1), draw("digits", 13) + 12), uuid, hexes.substr(1, 40), F.initcap(words), words, F.concat(words, F.lit("_"), F.col("id").cast("string")), hexes.substr(1, 32)]
+    others = [words, slug, path, digits.substr(F.lit(1), draw("digits", 13) + 12), uuid, hexes.substr(1, 40), F.initcap(words), words, F.upper(words), F.upper(slug), F.concat(words, F.lit("_"), F.col("id").cast("string")), hexes.substr(1, 32)]
 
     def choose(kind: str, values: list[Column]) -> Column:
         return F.element_at(F.array(*values), draw(kind, len(values)) + 1)
@@ -175,9 +200,10 @@ def scan(docs: DataFrame, label: Column | None = None, train_rows: int = TRAIN_R
     found = materialize(findings(docs), "secret-findings")
     pairs = found.groupBy("candidate", "context").agg(F.sum("times").alias("seen"))
     words = materialize(dictionary(docs), "secret-dictionary")
-    pairs = materialize(features(pairs, words), "secret-features")
+    odds = transitions(words)
+    pairs = materialize(features(pairs, words, odds), "secret-features")
     if label is None:
-        labelled = features(labelled_findings(docs.sparkSession, train_rows), words)
+        labelled = features(labelled_findings(docs.sparkSession, train_rows), words, odds)
     else:
         labelled = pairs.withColumn("label", label.cast("double")).where("label is not null")
     labelled = materialize(labelled.select("candidate", "context", "label", *FEATURES), "secret-labelled")

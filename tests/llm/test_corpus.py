@@ -318,6 +318,28 @@ def test_secret_forest_on_findings_held_out(spark):
     assert plain.where("label = 1").count() > 140 and plain.where("candidate is null or context is null").count() == 0
 
 
+def test_secret_scan_leaves_upper_case_words_alone(spark):
+    rng = random.Random(8)
+    stems = secret_scan._STEMS
+    words = sorted({"".join(rng.choices(stems, k=3)) for _ in range(150)})
+    corpus = [(i, " ".join(rng.choices(words, k=120))) for i in range(60)]
+    shouted = [(1000 + i, f"some words {rng.choice(['', 'THE ', 'see '])}{''.join(rng.choices(stems, k=6)).upper()} and more") for i in range(40)]
+    secret = {2000 + i: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32)) for i in range(40)}
+    docs = [*corpus, *shouted, *((i, f'api_key = "{s}" here') for i, s in secret.items())]
+    out = [r for r in secret_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.is_secret]
+    assert not [r.candidate for r in out if r.doc_id < 2000]
+    assert {r.doc_id for r in out} == set(secret)
+
+
+def test_transitions_of_a_dictionary(spark):
+    words = spark.createDataFrame([("abab",), ("ac",), ("x",), ("\u00e9a",)], "word string")
+    odds = secret_scan.transitions(words)
+    assert len(odds) == 26 * 26 and odds["ab"] == pytest.approx(np.log10(2.5 / 16)) and odds["ac"] == pytest.approx(np.log10(1.5 / 16)) and odds["zz"] == pytest.approx(np.log10(0.5 / 13))
+    rows = spark.createDataFrame([("ABAC", ""), ("0a1", ""), ("b", "")], "candidate string, context string")
+    got = {r.candidate: r.familiar for r in secret_scan.features(rows, words).collect()}
+    assert got["ABAC"] == pytest.approx((odds["ab"] + odds["ba"] + odds["ac"]) / 3) and got["0a1"] == got["b"] == 0.0
+
+
 def test_secret_names_in_all_forms(spark):
     v, short = "wJalr1XUtnFEMI7bPxRfi", "s3cr3tPw1"
     forms = [
