@@ -49,6 +49,14 @@ def numbered(returns: DataFrame) -> DataFrame:
     return returns.join(days, "idx").select("strategy_id", "t", "ret", "excess")
 
 
+def aligned(returns: DataFrame) -> DataFrame:
+    """The same rows; an error where strategies differ in their number of days."""
+    n = returns.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    text = F.concat(F.lit("strategies differ in their number of days: "), F.col("lo").cast("string"), F.lit(" to "), F.col("hi").cast("string"))
+    same = F.when(F.col("lo") < F.col("hi"), F.raise_error(text).cast("boolean")).otherwise(True)
+    return returns.join(F.broadcast(n.select(same.alias("same"))), F.col("same")).drop("same")
+
+
 def sample_metrics(sample: DataFrame, by: list[str]) -> DataFrame:
     """METRICS of each series (by, t, ret, excess); the net asset value starts at 1 before the first day."""
     w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)

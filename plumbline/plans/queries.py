@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import backtest, correlation, metrics, portfolio, quality, signals, stats, volatility
-from plumbline.plans import oracle
+from plumbline.plans import oracle, readers
 from plumbline.plans.oracle import METRICS, book_sql, sql
 from plumbline.plans.strategies import Study
 from plumbline.sources import market
+from plumbline.sources.tables import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -309,16 +310,23 @@ def _(spark, d):
     return metrics.with_drawdown(Study(spark, d).book(*_FOUR).nav).select("strategy_id", "idx", r6("drawdown"), r6("raw"))
 
 
+def _spans(s: Study) -> DataFrame:
+    return s.rf.select("idx", F.when(F.year("date") <= 1998, "a").otherwise("b").alias("period"))
+
+
 _SPANS = "(VALUES ('a', 1995, 1998), ('b', 1999, 9999)) v(period, lo, hi) ON year(rf.date) BETWEEN lo AND hi"
 
 
-@query("subperiod_metrics", book_sql(f"""SELECT strategy_id, period, n_days, {', '.join(s6(k) for k in (*_KEYS[:6], 'average_exposure'))} FROM (SELECT strategy_id, period, {METRICS} FROM
+_SUBPERIODS = f"""(SELECT strategy_id, period, {METRICS} FROM
   (SELECT d.strategy_id, d.idx, d.nav, d.turnover, d.cost, rf, period, d.nav / max(d.nav) OVER (w ROWS UNBOUNDED PRECEDING) - 1 AS drawdown, d.nav / lag(d.nav) OVER w - 1 AS raw FROM nav d JOIN rf USING (idx) JOIN {_SPANS} WINDOW w AS (PARTITION BY d.strategy_id, period ORDER BY d.idx)) GROUP BY 1, 2)
-  LEFT JOIN (SELECT strategy_id, period, avg(e) AS average_exposure FROM (SELECT strategy_id, idx, sum(weight) AS e FROM wts WHERE ticker <> 'CASH' GROUP BY 1, 2) JOIN rf USING (idx) JOIN {_SPANS} GROUP BY 1, 2) USING (strategy_id, period)""", _FOUR))
+  LEFT JOIN (SELECT strategy_id, period, avg(e) AS average_exposure FROM (SELECT strategy_id, idx, sum(weight) AS e FROM wts WHERE ticker <> 'CASH' GROUP BY 1, 2) JOIN rf USING (idx) JOIN {_SPANS} GROUP BY 1, 2) USING (strategy_id, period)"""
+
+
+@query("subperiod_metrics", book_sql(f"SELECT strategy_id, period, n_days, {', '.join(s6(k) for k in (*_KEYS[:6], 'average_exposure'))} FROM {_SUBPERIODS}", _FOUR))
 def _(spark, d):
     s = Study(spark, d)
     b = s.book(*_FOUR)
-    span = s.rf.select("idx", F.when(F.year("date") <= 1998, "a").otherwise("b").alias("period"))
+    span = _spans(s)
     out = metrics.bundle(b.nav.join(span, "idx"), s.rf, b.weights.join(span, "idx"), ["strategy_id", "period"])
     return out.select("strategy_id", "period", "n_days", *(r6(k) for k in (*_KEYS[:6], "average_exposure")))
 
@@ -393,11 +401,10 @@ def _(spark, d):
     return stats.autocorrelation(volatility.ewma_residuals(market.panel(spark, d), C.lam), "ticker", "e", 20).select("ticker", "lag", r6("acf"))
 
 
-@query("holdings_heatmap", book_sql(f"SELECT idx, ticker, {s6('coalesce(weight, 0)', 'weight')} FROM (SELECT DISTINCT idx FROM wts) CROSS JOIN (SELECT DISTINCT ticker FROM wts) LEFT JOIN wts USING (idx, ticker)", ["mom_only"]))
+@query("holdings_heatmap", book_sql(f"SELECT idx, ticker, {s6('coalesce(weight, 0)', 'weight')}, place FROM (SELECT DISTINCT idx FROM wts) CROSS JOIN (SELECT ticker, row_number() OVER (ORDER BY round(sum(weight) / (SELECT count(DISTINCT idx) FROM wts), 9) DESC, ticker) AS place FROM wts GROUP BY 1) LEFT JOIN wts USING (idx, ticker)", ["mom_only"]))
 def _(spark, d):
-    w = Study(spark, d).book("mom_only").weights
-    grid = w.select("idx").distinct().crossJoin(w.select("ticker").distinct())
-    return grid.join(w, ["idx", "ticker"], "left").select("idx", "ticker", r6(F.coalesce("weight", F.lit(0.0)), "weight"))
+    w = cut(Study(spark, d).book("mom_only").weights, "weights")
+    return readers.heatmap(w).select("idx", "ticker", r6("weight"), "place")
 
 
 @query("turnover_cost_series", book_sql(f"SELECT strategy_id, idx, {s6('turnover')}, {s6('sum(cost) OVER (PARTITION BY strategy_id ORDER BY idx ROWS UNBOUNDED PRECEDING)', 'cumulative_cost')} FROM nav", _FOUR))

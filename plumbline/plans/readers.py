@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import metrics
 from plumbline.operators.backtest import Book
 from plumbline.operators.signals import Config
 from plumbline.sources.snapshot import content_hash
@@ -117,11 +118,12 @@ def square(long: DataFrame, rows: str, columns: str, value: str, k: int) -> Data
 
 
 def frontier(cells: DataFrame, sigma_star: float) -> DataFrame:
-    """(mode, band, turnover, tracking_error, sharpe) of the cells labelled <mode>:risk.exposure_band=<band>."""
-    label = F.col("strategy_id")
+    """(strategy, mode, band, turnover, tracking_error, sharpe, strategy_id) of the cells labelled
+    <mode>:risk.exposure_band=<band>; a label may have its strategy and a slash before it, else strategy is null."""
+    label, of = F.substring_index("strategy_id", "/", -1), F.when(F.col("strategy_id").contains("/"), F.substring_index("strategy_id", "/", 1))
     rows = cells.where(label.contains(":risk.exposure_band="))
     band = F.substring_index(label, "=", -1).cast("double")
-    return rows.select(F.substring_index(label, ":", 1).alias("mode"), band.alias("band"), "turnover", F.abs(F.col("ann_vol") - sigma_star).alias("tracking_error"), "sharpe")
+    return rows.select(of.alias("strategy"), F.substring_index(label, ":", 1).alias("mode"), band.alias("band"), "turnover", F.abs(F.col("ann_vol") - sigma_star).alias("tracking_error"), "sharpe", "strategy_id")
 
 
 def price_trades(panel: DataFrame, book: Book, strategy: str, ticker: str) -> DataFrame:
@@ -138,8 +140,34 @@ def page(trades: DataFrame, number: int, size: int = 50) -> DataFrame:
     return trades.orderBy(F.desc("exec_idx"), "ticker").offset((number - 1) * size).limit(size)
 
 
+def heatmap(weights: DataFrame) -> DataFrame:
+    """(idx, ticker, weight, place): every day and ticker of one strategy's weights, 0 where it is not held; places from 1 by
+    mean weight over all days, the largest first, ties by ticker."""
+    days = weights.select("idx").distinct()
+    mean = F.sum("weight") / F.max("n")  # tickers of a menu
+    order = weights.join(F.broadcast(days.agg(F.count(F.lit(1)).alias("n")))).groupBy("ticker").agg(F.round(mean, 9).alias("mean"))
+    order = order.select("ticker", F.row_number().over(Window.orderBy(F.desc("mean"), "ticker")).alias("place"))
+    grid = days.crossJoin(F.broadcast(order))  # trading days by tickers
+    return grid.join(weights.select("idx", "ticker", "weight"), ["idx", "ticker"], "left").select("idx", "ticker", F.coalesce("weight", F.lit(0.0)).alias("weight"), "place")
+
+
+#: What the overview shows of a strategy.
+SHOWN = ("cagr", "ann_vol", "sharpe", "sortino", "max_drawdown", "calmar", "turnover", "average_exposure")
+
+
+def overview(nav: DataFrame, weights: DataFrame, rf: DataFrame, spans: DataFrame, shown: list[str]) -> DataFrame:
+    """(part, strategy_id, period, n_days, SHOWN): metrics of the strategies shown, and of the first one by period; spans
+    (idx, period). A strategy without a net asset value has no row, and neither has a period without days."""
+    of = lambda df: df.where(F.col("strategy_id").isin(shown))
+    whole = metrics.bundle(of(nav), rf, of(weights)).select(F.lit("metrics").alias("part"), "strategy_id", F.lit("all").alias("period"), "n_days", *SHOWN)
+    first = lambda df: df.where(F.col("strategy_id") == shown[0]).join(spans, "idx")
+    parts = metrics.bundle(first(nav), rf, first(weights), ["strategy_id", "period"])
+    return whole.unionByName(parts.select(F.lit("subperiod").alias("part"), "strategy_id", "period", "n_days", *SHOWN))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    """CSV with a header; each file starts with the byte order mark of UTF-8, by which spreadsheets know the encoding."""
+    df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).write.option("header", True).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

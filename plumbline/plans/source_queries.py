@@ -166,10 +166,10 @@ def _(spark, d):
     return b.withColumn("rank", rank).join(before, "date").select((F.col("before") + F.col("rank")).alias("place"), "ticker", "date", "close")
 
 
-def _shifted(b: DataFrame) -> DataFrame:
+def _shifted(b: DataFrame, by: float = 1.01) -> DataFrame:
     """Bars with adjusted prices, those of every second week of 1996 off by a hundredth."""
     adjusted = quality.back_adjusted(b, _dividends(b), _splits(b).limit(0)).select("ticker", "date", "adjusted")
-    wrong = F.when((F.year("date") == 1996) & (F.weekofyear("date") % 2 == 0), 1.01).otherwise(1.0)
+    wrong = F.when((F.year("date") == 1996) & (F.weekofyear("date") % 2 == 0), by).otherwise(1.0)
     return b.join(adjusted, ["ticker", "date"]).withColumn("adj_close", F.col("adjusted") * wrong)
 
 
@@ -214,6 +214,38 @@ def _(spark, d):
     return snapshot.checks(cut(_shifted(b), "shifted"), market.rates(spark, d).select("date"), snapped, "Brand#1", 0.05, 3, 5)
 
 
+def _gated_sql(attempt: str, by: str, calendar: str = "rates") -> str:
+    failed = "string_agg(\"check\", ', ' ORDER BY \"check\") FILTER (hard AND findings > 0)"
+    return f"SELECT '{attempt}' AS attempt, {failed} IS NULL AS written, 'hard checks failed: ' || {failed} AS reason FROM (WITH {_ADJ.replace('1.01', by)},{_GATE.replace('FROM rates', f'FROM {calendar}')} SELECT * FROM res)"
+
+
+@query("snapshot_gate", sql(f"{_gated_sql('shifted', '1.01')} UNION ALL {_gated_sql('given', '1.0')} UNION ALL {_gated_sql('own_days', '1.0', 'bars')}", ["bars", "grid", "rates"], _EVENTS))
+def _(spark, d):
+    """The bars with wrong and with right adjusted prices against the rates' days, and against their own: what a hard check
+    stops is not written."""
+    b, calendar = cut(market.bars(spark, d), "bars"), market.rates(spark, d).select("date")
+    snapped = quality.snapped(_dividends(b), b).select("ticker", F.col("date").alias("event_date"), "dividend")
+    rows = []
+    for attempt, by, days in (("shifted", 1.01, calendar), ("given", 1.0, calendar), ("own_days", 1.0, b.select("date").distinct())):
+        bars, root = cut(_shifted(b, by), attempt), new_path(spark, "gated")
+        try:
+            folder = snapshot.create({"prices": (bars, ["date", "ticker"])}, snapshot.checks(bars, days, snapped, "Brand#1", 0.05, 3, 5), root, "2020-01-01", C)
+            rows.append((attempt, snapshot.load(spark, folder, ["prices"])["prices"].count() == bars.count(), None))
+        except ValueError as error:
+            rows.append((attempt, False, str(error)))
+    return spark.createDataFrame(rows, "attempt string, written boolean, reason string")
+
+
+@query("data_quality", sql(f"""SELECT 'manifest' AS section, 'config' AS key, '{snapshot.config_hash(C)}' AS value UNION ALL SELECT 'manifest', 'prices', content FROM ({_content_sql('(SELECT *, close AS adj_close FROM bars)', _KINDS)})
+  UNION ALL SELECT 'checks', 'extreme_returns', 'soft, ' || (SELECT count(*) FROM (SELECT close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars) WHERE abs(ret) > 0.05) || ' findings' UNION ALL SELECT 'checks', 'repeated_keys', 'hard, 0 findings'
+  UNION ALL SELECT 'tickers', ticker, min(date)::VARCHAR || ' ' || max(date)::VARCHAR || ' ' || count(*) FROM bars GROUP BY 2""", ["bars"]))
+def _(spark, d):
+    """The data-quality page of a snapshot of the bars, behind the checks that need nothing but them."""
+    b = cut(market.bars(spark, d), "bars")
+    seen = snapshot.checks(b, b.select("date"), _dividends(b).limit(0), "Brand#1", 0.05, 3, 5).where("check in ('extreme_returns', 'repeated_keys')")
+    return snapshot.described(spark, snapshot.create({"prices": (b, ["date", "ticker"])}, seen, new_path(spark, "snapshots"), "2020-01-01", C))
+
+
 @query("json_safe", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{}' ELSE '{\"v\":' || (event_id % 100) || '}' END AS body FROM events")
 def _(spark, d):
     odd = F.when(F.col("event_id") % 6 == 0, float("nan")).when(F.col("event_id") % 3 == 0, float("inf")).otherwise((F.col("event_id") % 100).cast("double"))

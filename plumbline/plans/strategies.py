@@ -216,7 +216,13 @@ SCALED = {"voltarget_only": lambda s: s._days().select(F.col("decision_idx").ali
 
 
 def grid_book(s: Study, strategy: str, cells: DataFrame) -> tuple[DataFrame, backtest.Book]:
-    """(cells with their reason, book): every valid cell (cell, sigma_star, band, band_mode) of a strategy, told apart by
+    """(cells with their reason, book) of grid_targets."""
+    judged, targets = grid_targets(s, strategy, cells)
+    return judged, s.book_of(cut(targets, "targets-grid"))
+
+
+def grid_targets(s: Study, strategy: str, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells with their reason, targets): every valid cell (cell, sigma_star, band, band_mode) of a strategy, told apart by
     strategy_id; a cell that cannot run is a row with a reason and does not stop the others. An unknown strategy is an error."""
     if strategy not in SCALED:
         raise ValueError(f"unknown strategy for a grid: {strategy!r}; known: {', '.join(SCALED)}")
@@ -229,7 +235,7 @@ def grid_book(s: Study, strategy: str, cells: DataFrame) -> tuple[DataFrame, bac
     held = rows.groupBy("strategy_id", "decision_idx").agg(F.sum("weight").alias("held"))
     days = taken.select(F.col("cell").alias("strategy_id"), "decision_idx", "exec_idx")
     cash = days.join(held, ["strategy_id", "decision_idx"], "left").select("strategy_id", "decision_idx", "exec_idx", F.lit(backtest.CASH).alias("ticker"), (1 - F.coalesce("held", F.lit(0.0))).alias("weight"))
-    return judged, s.book_of(cut(rows.unionByName(cash), "targets-grid"))
+    return judged, rows.unionByName(cash)
 
 
 def look_ahead(spark: SparkSession, d: str, names: tuple[str, ...], until: int | None = None, tol: float = 1e-9) -> DataFrame:

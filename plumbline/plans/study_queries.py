@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.operators import backtest, correlation, matrices, metrics, signals, stats, volatility
 from plumbline.plans import oracle, readers
 from plumbline.plans.oracle import C, METRICS, book_sql, sql
-from plumbline.plans.queries import _BASE, _EWC, _FIVE, _FOUR, _KEYS, _PAIRS, _UNIT, _last_pairs, _PBO, _moments_sql, _psr_sql, _returns, _returns_of, query, r6, s6
-from plumbline.plans.strategies import Study, grid_book, look_ahead
+from plumbline.plans.queries import _BASE, _EWC, _FIVE, _FOUR, _KEYS, _PAIRS, _SUBPERIODS, _UNIT, _last_pairs, _spans, _PBO, _moments_sql, _psr_sql, _returns, _returns_of, query, r6, s6
+from plumbline.plans.strategies import Study, grid_book, grid_targets, look_ahead
 from plumbline.sources import market
 from plumbline.sources.tables import cut, new_path
 
@@ -314,14 +314,18 @@ def _measured(name: str, source: str, by: str) -> str:
 {name} AS ({long})"""
 
 
-_PAIRS_OF = "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{a}')" for a, b in zip(LADDER, LADDER[1:], strict=False)) + ") v(l, r))"
-_DRAWS = f"""nm AS (SELECT strategy_id, dense_rank() OVER (ORDER BY idx) - 1 AS t, raw AS ret, raw - rf AS excess FROM dd JOIN rf USING (idx) WHERE raw IS NOT NULL),
+
+def _pairs_sql(pairs: list[tuple[str, str]]) -> str:
+    return "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ") v(l, r))"
+
+
+#: Draws for the strategies of a table pairs (l, r).
+_DRAWS = f"""nm AS (SELECT * FROM (SELECT strategy_id, dense_rank() OVER (ORDER BY idx) - 1 AS t, raw AS ret, raw - rf AS excess FROM dd JOIN rf USING (idx) WHERE raw IS NOT NULL) WHERE strategy_id IN (SELECT l FROM pairs UNION ALL SELECT r FROM pairs)),
 pl AS (SELECT rep, t, n FROM (SELECT unnest(range(0, {REPS})) AS rep), (SELECT unnest(range(0, max(t) + 1)) AS t, max(t) + 1 AS n FROM nm)),
 bf AS (SELECT *, CASE WHEN t = 0 OR {_u('f', 'rep', 't')} < 1.0 / {BLOCK} THEN t END AS f, CASE WHEN t = 0 OR {_u('f', 'rep', 't')} < 1.0 / {BLOCK} THEN CAST(floor({_u('s', 'rep', 't')} * n) AS INT) END AS st FROM pl),
 bd AS (SELECT rep, t, (last_value(st IGNORE NULLS) OVER w + t - last_value(f IGNORE NULLS) OVER w) % n AS "at" FROM bf WINDOW w AS (PARTITION BY rep ORDER BY t ROWS UNBOUNDED PRECEDING)),
 sm AS (SELECT bd.rep, bd.t, nm.strategy_id, ret, excess FROM bd JOIN nm ON nm.t = bd."at"),
 {_measured('bm', 'sm', 'rep, strategy_id')}, {_measured('ob', 'nm', 'strategy_id')},
-{_PAIRS_OF},
 od AS (SELECT x.metric, p.l, p.r, x.value - y.value AS point FROM pairs p JOIN ob x ON x.strategy_id = p.l JOIN ob y ON y.strategy_id = p.r AND y.metric = x.metric),
 df AS (SELECT x.rep, x.metric, p.l, p.r, x.value - y.value AS diff FROM pairs p JOIN bm x ON x.strategy_id = p.l JOIN bm y ON y.strategy_id = p.r AND y.metric = x.metric AND y.rep = x.rep),
 sw AS (SELECT rep, t, {_u('w', 'rep', 'block')} < 0.5 AS swap FROM (SELECT rep, t, sum(CASE WHEN {_u('p', 'rep', 't')} < 1.0 / {BLOCK} THEN 1 ELSE 0 END) OVER (PARTITION BY rep ORDER BY t ROWS UNBOUNDED PRECEDING) AS block FROM pl)),
@@ -334,7 +338,7 @@ pv AS (SELECT metric, l, r, (count(CASE WHEN abs(diff) >= abs(point) - 1e-12 THE
 
 
 def _draws_sql(body: str) -> str:
-    return book_sql(f"SELECT * FROM (WITH {_DRAWS} {body})", LADDER)
+    return book_sql(f"SELECT * FROM (WITH {_pairs_sql([(b, a) for a, b in zip(LADDER, LADDER[1:], strict=False)])},\n{_DRAWS} {body})", LADDER)
 
 
 def _ladder(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -368,6 +372,76 @@ def _(spark, d):
     return point.join(ci, ["strategy_id", "metric"]).select("strategy_id", "metric", r6("point"), r6("lo"), r6("hi"))
 
 
+OTHERS = ["bh_market", "ew_menu", "sixty_forty", "mom_only", "mom_ivol", "voltarget_only"]
+
+
+@query("full_vs_others", book_sql(f"""SELECT * FROM (WITH {_pairs_sql([('full', o) for o in OTHERS])},\n{_DRAWS}
+  SELECT r AS vs, metric, {s6('point')}, {s6('lo')}, {s6('hi')}, lo > 0 OR hi < 0 AS excludes_zero FROM od JOIN ci USING (metric, l, r) WHERE metric <> 'max_drawdown')""", ["full", *OTHERS]))
+def _(spark, d):
+    """The full strategy against each other one on the same resampled days; strategies of different lengths are an error."""
+    r = cut(stats.numbered(stats.aligned(_returns(Study(spark, d), ["full", *OTHERS]))), "returns", 1)
+    pairs = spark.createDataFrame([("full", o) for o in OTHERS], "left string, right string")
+    return _differences(r, pairs).where("metric <> 'max_drawdown'").select(F.col("right").alias("vs"), "metric", r6("point"), r6("lo"), r6("hi"), "excludes_zero")
+
+
+def _differences(r: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(metric, left, right, point, lo, hi, excludes_zero): paired differences with their bootstrap intervals."""
+    point = stats.pair_differences(stats.long_metrics(stats.sample_metrics(r, ["strategy_id"]), ["strategy_id"]), pairs, []).withColumnRenamed("diff", "point")
+    ci = stats.pair_differences(stats.bootstrap(r, REPS, BLOCK, SEED), pairs, ["rep"]).groupBy("metric", "left", "right").agg(*stats.interval("diff", ALPHA_CI))
+    return point.join(ci, ["metric", "left", "right"])
+
+
+#: Strategies whose exposure bands are compared, and the cells of both modes.
+BANDED = ("voltarget_only", "full")
+BANDS = [c for c in CELLS if ":risk.exposure_band=" in c[0]]
+
+
+def _banded_fold(name: str, sigma: str) -> dict:
+    """CTEs of the exposures of all cells over the decisions of sigma."""
+    n = f"SELECT *, row_number() OVER (PARTITION BY cell, epoch_idx ORDER BY idx) AS n, least(greatest(sigma_star / sigma_p, {C.e_min}), 1.0) AS e FROM {sigma} CROSS JOIN cells WHERE cell LIKE '%:risk.exposure_band=%'"
+    f = f"""SELECT cell, epoch_idx, idx, exec_idx, n, e, e AS applied, FALSE AS blocked FROM nb_{name} WHERE n = 1
+  UNION ALL SELECT b.cell, b.epoch_idx, b.idx, b.exec_idx, b.n, b.e, CASE WHEN g.gap > b.band THEN b.e ELSE f.applied END, NOT g.gap > b.band
+  FROM fb_{name} f JOIN nb_{name} b ON b.cell = f.cell AND b.epoch_idx = f.epoch_idx AND b.n = f.n + 1, LATERAL (SELECT CASE WHEN b.band_mode = 'log' THEN abs(ln(b.e) - ln(f.applied)) ELSE abs(b.e - f.applied) END AS gap) g"""
+    return {f"nb_{name}": ([sigma, "cells"], n), f"fb_{name}": ([f"nb_{name}"], f)}
+
+
+def _banded_targets(name: str, routed: str) -> str:
+    """Targets of a strategy's cells: risky weights times exposure, the rest in cash."""
+    return f"""SELECT '{name}/' || f.cell AS strategy_id, f.idx AS decision_idx, f.exec_idx, r.ticker, r.weight * f.applied AS weight FROM fb_{name} f JOIN {routed} r ON r.epoch_idx = f.epoch_idx WHERE NOT f.blocked AND r.ticker <> 'CASH'
+  UNION ALL SELECT '{name}/' || f.cell, f.idx, f.exec_idx, 'CASH', 1 - coalesce(sum(r.weight * f.applied), 0) FROM fb_{name} f LEFT JOIN {routed} r ON r.epoch_idx = f.epoch_idx AND r.ticker <> 'CASH' WHERE NOT f.blocked GROUP BY f.cell, f.idx, f.exec_idx"""
+
+
+oracle.CTES |= _banded_fold("voltarget_only", "sig_one") | _banded_fold("full", "sig_ivol")
+oracle.CTES["t_banded"] = (["fb_voltarget_only", "fb_full", "one", "routed"], _banded_targets("voltarget_only", "one") + " UNION ALL " + _banded_targets("full", "routed"))
+_BAND_FRONT = f"""fr AS (SELECT split_part(strategy_id, '/', 1) AS strategy, split_part(split_part(strategy_id, '/', 2), ':', 1) AS mode, CAST(split_part(strategy_id, '=', 2) AS DOUBLE) AS band, turnover, abs(ann_vol - {C.sigma_star}) AS tracking_error, sharpe, strategy_id FROM ({_METRICS_RAW})),
+near AS (SELECT * FROM (SELECT a.strategy, a.band AS absolute_band, l.band AS log_band, abs(a.turnover - l.turnover) AS gap, l.strategy_id AS l, a.strategy_id AS r, row_number() OVER (PARTITION BY a.strategy ORDER BY abs(a.turnover - l.turnover), a.band, l.band) AS place
+  FROM fr a JOIN fr l ON a.strategy = l.strategy AND a.mode = 'absolute' AND l.mode = 'log') WHERE place = 1),
+pairs AS (SELECT l, r FROM near)"""
+
+
+def _banded(s: Study) -> backtest.Book:
+    """The band's cells of every strategy in BANDED as one book, named <strategy>/<cell>."""
+    cells = s.spark.createDataFrame(BANDS, _CELL)
+    parts = [grid_targets(s, name, cells)[1].withColumn("strategy_id", F.concat(F.lit(f"{name}/"), "strategy_id")) for name in BANDED]
+    return s.book_of(cut(reduce(DataFrame.unionByName, parts), "targets-banded"))
+
+
+@query("band_pair_interval", book_sql(f"""SELECT * FROM (WITH {_BAND_FRONT},\n{_DRAWS}
+  SELECT strategy AS strategy_id, absolute_band, log_band, {s6('gap')}, {s6('point')}, {s6('lo')}, {s6('hi')}, lo > 0 OR hi < 0 AS excludes_zero FROM near JOIN od USING (l, r) JOIN ci USING (metric, l, r) WHERE metric = 'sharpe')""", ["banded"]))
+def _(spark, d):
+    """Of each strategy the absolute and the logarithmic band whose turnovers lie nearest, and the interval of the
+    difference of their Sharpe ratios, logarithmic less absolute."""
+    s = Study(spark, d)
+    b = _banded(s)
+    f = cut(readers.frontier(metrics.bundle(b.nav, s.rf, b.weights), C.sigma_star), "banded-frontier", 1).select("strategy", "band", "turnover", "mode", "strategy_id")
+    near = stats.nearest_pair(f.where("mode = 'absolute'"), f.where("mode = 'log'"), "strategy", "turnover")
+    near = cut(near.select("strategy", F.col("a.band").alias("absolute_band"), F.col("b.band").alias("log_band"), "gap", F.col("b.strategy_id").alias("left"), F.col("a.strategy_id").alias("right")), "near", 1)
+    named = near.select(F.explode(F.array("left", "right")).alias("strategy_id"))
+    r = cut(stats.numbered(stats.aligned(_returns_of(b, s).join(F.broadcast(named), "strategy_id", "left_semi"))), "returns", 1)
+    out = _differences(r, near.select("left", "right")).where("metric = 'sharpe'").join(near, ["left", "right"])
+    return out.select(F.col("strategy").alias("strategy_id"), "absolute_band", "log_band", r6("gap"), r6("point"), r6("lo"), r6("hi"), "excludes_zero")
+
+
 @query("return_alignment", book_sql("SELECT strategy_id, count(*) AS n, count(*) = (SELECT max(c) FROM (SELECT count(*) AS c FROM dd WHERE raw IS NOT NULL GROUP BY strategy_id)) AS aligned FROM dd WHERE raw IS NOT NULL GROUP BY 1", _FOUR))
 def _(spark, d):
     n = _returns(Study(spark, d), _FOUR).groupBy("strategy_id").agg(F.count(F.lit(1)).alias("n"))
@@ -579,8 +653,12 @@ def _(spark, d):
     return readers.parameter_track(fits).select("ticker", "idx", *(r6(c) for c in ("omega", "alpha", "beta", "nu", "persistence", "fallback_rate")))
 
 
-@query("overview", book_sql(f"{_METRICS_SQL} WHERE strategy_id <> '' ", _FOUR))
+_SEE = ", ".join(s6(k) for k in readers.SHOWN)
+
+
+@query("overview", book_sql(f"SELECT 'metrics' AS part, strategy_id, 'all' AS period, n_days, {_SEE} FROM ({_METRICS_RAW}) UNION ALL SELECT 'subperiod', strategy_id, period, n_days, {_SEE} FROM {_SUBPERIODS} WHERE strategy_id = '{_FOUR[0]}'", _FOUR))
 def _(spark, d):
+    """The overview page: metrics of all strategies, and the first one's by period."""
     s = Study(spark, d)
     b = s.book(*_FOUR)
-    return metrics.bundle(b.nav, s.rf, b.weights).where("strategy_id <> ''").select("strategy_id", "n_days", *(r6(k) for k in _KEYS))
+    return readers.overview(b.nav, b.weights, s.rf, _spans(s), _FOUR).select("part", "strategy_id", "period", "n_days", *(r6(k) for k in readers.SHOWN))

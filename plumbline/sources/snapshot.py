@@ -193,10 +193,22 @@ def create(tables: dict[str, tuple[DataFrame, list[str]]], results: DataFrame, r
     folder = f"{root}/{snapshot_id(built, combined_hash(hashes))}"
     for name, (df, keys) in tables.items():
         canonical(df, keys).write.mode("errorifexists").parquet(f"{folder}/{name}")
+    results.coalesce(1).write.parquet(f"{folder}/checks")
     spark.createDataFrame(sorted(hashes.items()), "part string, content string").coalesce(1).write.parquet(f"{folder}/manifest")
     return folder
 
 
+def described(spark: SparkSession, folder: str, prices: str = "prices") -> DataFrame:
+    """(section, key, value) of a snapshot: its manifest, the checks it passed, and of each ticker its first and last day and
+    number of rows."""
+    manifest = spark.read.parquet(f"{folder}/manifest").select(F.lit("manifest").alias("section"), F.col("part").alias("key"), F.col("content").alias("value"))
+    verdict = F.concat(F.when(F.col("hard"), "hard").otherwise("soft"), F.lit(", "), F.col("findings").cast("string"), F.lit(" findings"))
+    done = spark.read.parquet(f"{folder}/checks").select(F.lit("checks").alias("section"), F.col("check").alias("key"), verdict.alias("value"))
+    span = F.concat_ws(" ", F.min("date").cast("string"), F.max("date").cast("string"), F.count(F.lit(1)).cast("string"))
+    tickers = spark.read.parquet(f"{folder}/{prices}").groupBy(F.col("ticker").alias("key")).agg(span.alias("value"))
+    return manifest.unionByName(done).unionByName(tickers.select(F.lit("tickers").alias("section"), "key", "value"))
+
+
 def load(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """The tables of a snapshot; an error where one is not what the manifest says."""
     manifest = {r["part"]: r["content"] for r in spark.read.parquet(f"{folder}/manifest").collect()}

@@ -227,3 +227,10 @@ def test_no_strategy_looks_ahead(spark):
     """The panel cut at several days: no target up to it changes, whatever the volatility model."""
     out = strategies.look_ahead(spark, "/root/testdata/sf0.001", ("mom_ivol", "voltarget_only", "full", "full_gjr"), 160, 1e-6).collect()
     assert all(r.compared > 0 and r.differing == 0 for r in out) and len(out) == 4
+
+
+def test_strategies_of_different_lengths_are_an_error(spark):
+    r = spark.createDataFrame([(s, i, 0.01, 0.0) for s, n in (("a", 3), ("b", 3), ("c", 2)) for i in range(n)], "strategy_id string, idx int, ret double, excess double")
+    assert stats.aligned(r.where("strategy_id <> 'c'")).count() == 6 and stats.aligned(r.limit(0)).count() == 0
+    with pytest.raises(Exception, match="differ in their number of days: 2 to 3"):
+        stats.aligned(r).collect()

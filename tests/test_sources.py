@@ -195,3 +195,39 @@ def test_runs_are_found_checked_and_ordered(spark, tmp_path):
         readers.write_run(book, f"{root}/1 first", Config())
     with pytest.raises(ValueError, match="unknown artefacts"):
         readers.write_run(book, f"{root}/2", Config(), notes=trades)
+
+
+def test_csv_starts_with_the_byte_order_mark(spark, tmp_path):
+    rows = [(1, "Zürich", 0.5), (2, 'a, "b"', None)]
+    df = spark.createDataFrame(rows, "idx int, ticker string, weight double").coalesce(1)
+    readers.write_csv(df, f"{tmp_path}/csv")
+    (part,) = tmp_path.glob("csv/part-*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfidx,ticker,weight")
+    assert sorted(map(tuple, readers.read_csv(spark, f"{tmp_path}/csv", "idx int, ticker string, weight double").collect())) == rows
+
+
+def test_heat_map_is_dense_and_ordered_by_mean_weight(spark):
+    w = spark.createDataFrame([(1, "b", 0.6), (1, "a", 0.4), (2, "c", 1.0), (3, "b", 0.4), (3, "a", 0.6)], "idx int, ticker string, weight double")
+    got = readers.heatmap(w).collect()
+    assert {r.ticker: r.place for r in got} == {"a": 1, "b": 2, "c": 3}  # all means are a third: by ticker
+    assert len(got) == 9 and {(r.idx, r.ticker): r.weight for r in got}[2, "a"] == 0.0
+    assert readers.heatmap(w.limit(0)).count() == 0
+
+
+def test_overview_has_all_strategies_and_periods_of_the_first(spark):
+    nav = spark.createDataFrame([(s, i, 1.0 + k * i / 100, 0.0, 0.0) for k, s in enumerate(("x", "y", "z")) for i in range(6)], "strategy_id string, idx int, nav double, turnover double, cost double")
+    weights = nav.select("strategy_id", "idx").withColumn("ticker", F.lit("A")).withColumn("weight", F.lit(1.0))
+    rf = spark.range(6).select(F.col("id").cast("int").alias("idx"), F.lit(0.0).alias("rf"))
+    spans = rf.select("idx", F.when(F.col("idx") < 2, "early").otherwise("late").alias("period"))
+    got = {(r.part, r.strategy_id, r.period): r.n_days for r in readers.overview(nav, weights, rf, spans, ["y", "x", "absent"]).collect()}
+    assert got == {("metrics", "x", "all"): 6, ("metrics", "y", "all"): 6, ("subperiod", "y", "early"): 2, ("subperiod", "y", "late"): 4}
+
+
+def test_snapshot_describes_itself(spark, bars, tmp_path):
+    paid = spark.createDataFrame([], "ticker string, event_date date, dividend double")
+    ok = snapshot.checks(bars, bars.select("date").distinct(), paid, "A", 0.5, 1, 5)
+    folder = snapshot.create({"prices": (bars, ["date", "ticker"])}, ok, str(tmp_path), "2020-01-06", Config())
+    rows = {(r.section, r.key): r.value for r in snapshot.described(spark, folder).collect()}
+    assert rows["manifest", "config"] == snapshot.config_hash(Config()) and rows["checks", "calendar"] == "hard, 0 findings"
+    assert {k for s, k in rows if s == "tickers"} == {r.ticker for r in bars.select("ticker").distinct().collect()}
+    assert sum(int(v.split()[-1]) for (s, _), v in rows.items() if s == "tickers") == len(BARS)
