@@ -152,15 +152,41 @@ def _class_sides(blocks: pa.Table, lexicon: pa.Table) -> pa.Table:
 
 
 def _spread(row: dict, lexicon: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Class (UNKNOWN if none) and count of every word of a block's list."""
+    """Class (UNKNOWN if none) and count (0 where the lexicon has none) of every word of a block's list."""
     n_words = len(row["words"]) // 8
     classes, counts = np.full(n_words, UNKNOWN, np.uint8), np.zeros(n_words, np.int64)
-    place = lexicon.column("place").to_numpy()
-    classes[place] = lexicon.column("class").to_numpy()
-    counts[place] = lexicon.column("c").to_numpy()
+    for packed in lexicon.to_pylist():
+        place = np.cumsum(_whole(packed["places"], "<i4"))
+        classes[place] = np.frombuffer(packed["classes"], np.uint8)
+        if packed["counts"] is not None:
+            counts[place] = _whole(packed["counts"], "<i8")
     return classes, counts
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: the high bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _whole(planes: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, place, class[, c]) sorted by block and place as one row for each run of a block: steps from place to
+    place, classes, counts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, place, kind, *c = (batch.column(i).to_numpy() for i in range(batch.num_columns))
+        edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+        runs = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+        steps = [_planes(np.diff(place[r], prepend=0).astype("<i4")) for r in runs]
+        kinds = [kind[r].astype(np.uint8).tobytes() for r in runs]
+        counts = [_planes(c[0][r].astype("<i8")) if c else None for r in runs]
+        yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), *(pa.array(x, pa.binary()) for x in (steps, kinds, counts))], ["block", "places", "classes", "counts"])
+
+
 def _choose(weights: np.ndarray):
     """Of rows (word, sides) sorted by word: each word with the class of the greatest weighted sum of its neighbours."""
 
@@ -238,9 +264,11 @@ def _exchanged(table: DataFrame, moved: DataFrame, turn: int) -> DataFrame:
     return materialize(joined.select("word", "c", F.when(half, F.coalesce("to", "class")).otherwise(F.col("class")).alias("class")), "brown-classes")
 
 
-def _lexicon(lists: DataFrame, table: DataFrame) -> DataFrame:
-    """(block, place, class, c) for the known words of every block."""
-    return lists.select("block", "place", "word").join(table, "word").select("block", "place", F.col("class").cast("int").alias("class"), "c")
+def _lexicon(lists: DataFrame, table: DataFrame, counts: bool = False) -> DataFrame:
+    """(block, places, classes, counts) of the known words of every block, packed by runs before they are dealt by block:
+    a row a word would take several times the room."""
+    rows = lists.select("block", "place", "word").join(table, "word").select("block", "place", F.col("class").cast("int").alias("class"), *(["c"] if counts else []))
+    return rows.sortWithinPartitions("block", "place").mapInArrow(_pack, "block long, places binary, classes binary, counts binary")
 
 
 def _emissions(totals: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -369,7 +397,7 @@ def _classify(blocks: DataFrame, lists: DataFrame, table: DataFrame, n_tokens: i
     totals, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in table.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).collect():  # CLASSES rows
         totals[r["class"]], kinds[r["class"]] = r["c"], r["k"]
-    joined = blocks.groupBy("block").cogroup(_lexicon(lists, table).groupBy("block"))
+    joined = blocks.groupBy("block").cogroup(_lexicon(lists, table, True).groupBy("block"))
     made = joined.applyInArrow(_sequences(n_tokens, n_types, n_ends, totals, kinds), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, emission double, classes binary")
     made = materialize(made, "brown-sequences")
     bigrams = _bigrams(made.where("train").select("classes").mapInArrow(_count_bigrams, "a int, b int, n long"))

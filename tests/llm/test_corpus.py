@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -496,3 +497,20 @@ def test_marked_articles_lose_only_what_also_stands_outside_them(spark):
         first = f"{title} number {i} begins, {motto}.".removeprefix(f"{title} ")  # the footer has the title's words, too
         want[i] = "\n".join([title, first, f"Item {i} is told here at some length."])
     assert got == want
+
+
+def test_packed_lexicon_is_the_rows(spark):
+    """Runs of a block cut at batch ends, words without a class, large counts, a block without known words."""
+    r = np.random.default_rng(3)
+    rows = [(b, int(p), int(r.integers(0, 200)), int(c)) for b in (0, 7, 1 << 33) for p, c in zip(sorted(r.choice(70_000, 12_000, replace=False)), r.integers(1, 1 << 45, 12_000), strict=True)]
+    words = spark.createDataFrame([(b, p, b * 100_000 + p) for b, p, _, _ in rows] + [(9, 0, -1)], "block long, place int, word long")
+    table = spark.createDataFrame([(b * 100_000 + p, c, k) for b, p, k, c in rows], "word long, c long, class int")
+    for counted in (True, False):
+        packed = brown_lm._lexicon(words, table, counted).toArrow()
+        for b in (0, 7, 1 << 33, 9):
+            mine = packed.filter(pc.equal(packed.column("block"), b))
+            classes, counts = brown_lm._spread({"words": bytes(8 * 70_000)}, mine)
+            want, n = np.full(70_000, brown_lm.UNKNOWN), np.zeros(70_000, np.int64)
+            for _, p, k, c in (x for x in rows if x[0] == b):
+                want[p], n[p] = k, c if counted else 0
+            assert (classes == want).all() and (counts == n).all()
