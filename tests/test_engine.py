@@ -234,3 +234,9 @@ def test_strategies_of_different_lengths_are_an_error(spark):
     assert stats.aligned(r.where("strategy_id <> 'c'")).count() == 6 and stats.aligned(r.limit(0)).count() == 0
     with pytest.raises(Exception, match="differ in their number of days: 2 to 3"):
         stats.aligned(r).collect()
+
+
+def test_front_keeps_equal_points(spark):
+    rows = [("a", 1.0, 0.5), ("b", 1.0, 0.5), ("c", 1.0 + 1e-16, 0.5 + 1e-16), ("d", 1.0, 0.6), ("e", 2.0, 0.5), ("f", 2.0, 0.4), ("g", 2.0 + 4e-16, 0.4)]
+    got = stats.pareto_front(spark.createDataFrame(rows, "k string, x double, y double"), "x", "y")
+    assert {r.k for r in got.collect()} == {"a", "b", "c", "f", "g"}
