@@ -93,6 +93,7 @@ def total_return(bars: DataFrame, dividends: DataFrame, tol_bps: float) -> DataF
 
 
 def out_of_order(rows: DataFrame, arrival: str) -> DataFrame:
-    """(ticker, date, arrival) of rows (ticker, date, arrival) that come after one with the same or a later date."""
-    before = F.max("date").over(Window.partitionBy("ticker").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    """(ticker, date, arrival) of rows (ticker, date, arrival) that come after one with the same or a later date. Rows that
+    arrive together count in the order of their dates."""
+    before = F.max("date").over(Window.partitionBy("ticker").orderBy(arrival, "date").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("before", before).where("date <= before").select("ticker", "date", arrival)

@@ -240,3 +240,10 @@ def test_front_keeps_equal_points(spark):
     rows = [("a", 1.0, 0.5), ("b", 1.0, 0.5), ("c", 1.0 + 1e-16, 0.5 + 1e-16), ("d", 1.0, 0.6), ("e", 2.0, 0.5), ("f", 2.0, 0.4), ("g", 2.0 + 4e-16, 0.4)]
     got = stats.pareto_front(spark.createDataFrame(rows, "k string, x double, y double"), "x", "y")
     assert {r.k for r in got.collect()} == {"a", "b", "c", "f", "g"}
+
+
+def test_rows_that_arrive_together_count_in_order_of_date(spark):
+    rows = [("A", DAY + timedelta(k), n) for k, n in ((5, 1), (9, 2), (7, 2), (8, 2), (9, 3))]
+    for given in (rows, rows[::-1]):
+        got = quality.out_of_order(spark.createDataFrame(given, "ticker string, date date, arrival int"), "arrival")
+        assert [(r.date, r.arrival) for r in got.collect()] == [(DAY + timedelta(9), 3)]
