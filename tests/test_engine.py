@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.plans import strategies
-from plumbline.operators import backtest, portfolio, quality, signals, stats, volatility
+from plumbline.operators import backtest, metrics, portfolio, quality, signals, stats, volatility
 from plumbline.sources import market
 
 DAY = date(2024, 1, 1)
@@ -236,6 +236,12 @@ def test_strategies_of_different_lengths_are_an_error(spark):
         stats.aligned(r).collect()
 
 
+def test_moments_of_a_book_in_cash_are_unknown(spark):
+    rows = spark.createDataFrame([("s", i, 1e-4 + (-1) ** i * 1e-17, 1e-4) for i in range(8)], "strategy_id string, idx int, ret double, rf double")
+    got = stats.moments(rows.withColumn("excess", metrics.over_cash(F.col("ret"), F.col("rf"))), "excess").first()
+    assert got.n == 8 and got.sr is None
+
+
 def test_front_keeps_equal_points(spark):
     rows = [("a", 1.0, 0.5), ("b", 1.0, 0.5), ("c", 1.0 + 1e-16, 0.5 + 1e-16), ("d", 1.0, 0.6), ("e", 2.0, 0.5), ("f", 2.0, 0.4), ("g", 2.0 + 4e-16, 0.4)]
     got = stats.pareto_front(spark.createDataFrame(rows, "k string, x double, y double"), "x", "y")
