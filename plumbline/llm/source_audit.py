@@ -144,8 +144,9 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     chunks = rows.mapInArrow(_count_chunks, f"{_GROUP}, chunk string, {_COUNTS}").repartition("chunk")
     chunks = chunks.groupBy("chunk", "lang", "source").agg(*totals).sortWithinPartitions("chunk")
     pieces = materialize(chunks.mapInArrow(_take_apart, f"{_GROUP}, term string, {_COUNTS}"), "audit-pieces")
-    time.sleep(2)  # the finished plan is let go by then, and with it
-    drop_finished(docs.sparkSession)  # the chunks' shuffle files, before the next ones come
+    for _ in range(3):  # the finished plan is let go within seconds, and with it
+        time.sleep(2)
+        drop_finished(docs.sparkSession)  # the chunks' shuffle files, before the next ones come
     shown = F.greatest(F.max("docs"), F.when(F.min("lo") < F.max("hi"), 2).otherwise(1))
     cells = materialize(pieces.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), shown.alias("least"), F.sum("docs").alias("most")), "audit-cells")
     terms = cells.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("least").alias("least"), F.sum("most").alias("most"))
