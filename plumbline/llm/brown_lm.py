@@ -8,7 +8,7 @@ P(word | previous) = P(class | class of previous) * P(word | class). Every word
 3. Exchange rounds, ROUNDS at most: each block counts, for its words, the classes to their left and right; a word's counts
    from all blocks meet, and it moves to the class under which its neighbours are likeliest given the class bigrams of the
    round. Half of the words may move in a round, the other half in the next, as words that move at once may undo each
-   other's gain. The next bigrams give the likelihood of the classes moved to: if it did not rise, the classes before are
+   other's gain; only the neighbours of that half are written and dealt out. The next bigrams give the likelihood of the classes moved to: if it did not rise, the classes before are
    taken back and the rounds end.
 4. With the final classes, every text becomes a sequence of classes; the bigrams of the training texts are counted, and
    every text is scored.
@@ -119,10 +119,11 @@ def _sides(row: dict, classes: np.ndarray, limit: int = SIDE) -> Iterator[pa.Rec
     if limit < SIDE:
         useful = sides % SIDE < limit
         where, sides = where[useful], sides[useful]
-    keys, n = np.unique(where * (2 * SIDE) + sides, return_counts=True)
-    owner, packed = keys // (2 * SIDE), ((keys % (2 * SIDE)) << 24 | np.minimum(n, (1 << 24) - 1)).astype("<u4")
-    used, start = np.unique(owner, return_index=True)
-    edges = np.append(start, len(packed)) * 4
+    keys = where * (2 * SIDE) + sides
+    keys, n = np.unique(keys.astype(np.uint32) if len(words) * 2 * SIDE < 1 << 32 else keys, return_counts=True)  # half as wide, sorted sooner
+    owner, packed = keys // (2 * SIDE), ((keys % (2 * SIDE)).astype(np.int64) << 24 | np.minimum(n, (1 << 24) - 1)).astype("<u4")
+    start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
+    used, edges = owner[start], np.append(start, len(packed)) * 4
     binary = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(packed)])
     none = pa.nulls(len(used), pa.int32())
     yield pa.RecordBatch.from_arrays([pa.array(words[used].view(np.int64)), binary, none, none, pa.nulls(len(used), pa.int64())], schema=_NEIGHBOURS)
@@ -163,6 +164,15 @@ def _spread(row: dict, lexicon: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return classes, counts
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, row after row, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw[at[0] : at[-1]]), np.diff(at)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Numbers byte by byte, all lowest bytes first: the high bytes of small numbers compress to nothing."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
@@ -202,8 +212,8 @@ def _choose(weights: np.ndarray):
             if not batch.num_rows:
                 continue
             words = batch.column(0).to_numpy()
-            flat = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(1)]
-            entries, sizes = np.concatenate(flat), np.array([len(f) for f in flat])
+            raw, sizes = _bytes(batch.column(1))
+            entries, sizes = raw.view("<u4"), sizes // 4
             fresh = np.append(True, words[1:] != words[:-1])
             run_of, names = np.cumsum(fresh) - 1, words[fresh]
             dense = np.bincount(np.repeat(run_of, sizes) * (2 * SIDE) + (entries >> 24), weights=entries & 0xFFFFFF, minlength=len(names) * 2 * SIDE).reshape(len(names), 2 * SIDE)
@@ -256,12 +266,16 @@ def likelihood(bigrams: np.ndarray) -> float:
     return each(n) - each(rows) - each(columns)
 
 
+def _moving(turn: int) -> Column:
+    """Whether a word is in the half that may move in a turn."""
+    return F.pmod(F.xxhash64("word"), F.lit(2)) == turn % 2
+
+
 def _exchanged(table: DataFrame, moved: DataFrame, turn: int) -> DataFrame:
     """The table with the classes of half of its words moved."""
-    half = F.pmod(F.xxhash64("word"), F.lit(2)) == turn % 2
     to = moved.select("word", F.col("class").alias("to"))
     joined = table.join(to, "word", "left")
-    return materialize(joined.select("word", "c", F.when(half, F.coalesce("to", "class")).otherwise(F.col("class")).alias("class")), "brown-classes")
+    return materialize(joined.select("word", "c", F.when(_moving(turn), F.coalesce("to", "class")).otherwise(F.col("class")).alias("class")), "brown-classes")
 
 
 def _lexicon(lists: DataFrame, table: DataFrame, counts: bool = False) -> DataFrame:
@@ -305,9 +319,7 @@ def _sequences(n_tokens: int, n_kinds: int, n_ends: int, totals: np.ndarray, kin
 
 def _lines(classes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The class sequences of a column of texts, ends added, and each token's text."""
-    raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in classes]
-    lengths = np.array([len(r) for r in raw])
-    flat = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
+    flat, lengths = _bytes(classes)
     return _with_ends(flat, lengths, END).astype(np.int64), np.repeat(np.arange(len(lengths)), lengths + 1)
 
 
@@ -369,7 +381,9 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     best, before = -np.inf, None
     for turn in range(ROUNDS):
         joined = blocks.groupBy("block").cogroup(_lexicon(lists, table).groupBy("block"))
-        neighbours = materialize(joined.applyInArrow(_class_sides, "word long, sides binary, a int, b int, n long"), "brown-neighbours")
+        neighbours = joined.applyInArrow(_class_sides, "word long, sides binary, a int, b int, n long")
+        # what stands beside words that may not move decides nothing: the half that moves, and the bigrams (without a word)
+        neighbours = materialize(neighbours.where(F.col("word").isNull() | _moving(turn)), "brown-neighbours")
         bigrams = _bigrams(neighbours)
         del joined
         drop_finished(docs.sparkSession)

@@ -231,6 +231,28 @@ def test_brown_scores(docs, rows, empty):
     assert brown_lm.score_texts(empty, train).count() == 0
 
 
+def test_brown_deals_out_the_half_that_moves(docs, monkeypatch):
+    dealt, own = [], brown_lm._moved
+
+    def moved(neighbours, weights):
+        words = neighbours.where("word is not null").select("word", F.pmod(F.xxhash64("word"), F.lit(2)).alias("half")).distinct()
+        dealt.append({r.half: r.n for r in words.groupBy("half").agg(F.count("word").alias("n")).collect()})
+        return own(neighbours, weights)
+
+    monkeypatch.setattr(brown_lm, "_moved", moved)
+    brown_lm.score_texts(docs, F.lit(True)).count()
+    assert set(dealt[0]) == {0, 1} and len(dealt) > 1 and all(set(d) == {turn % 2} for turn, d in enumerate(dealt[1:]))
+
+
+def test_brown_bytes_of_a_slice():
+    column = pa.array([b"abcd", b"", b"efgh", b"ijklmnop"], pa.binary())
+    for first in range(4):
+        raw, sizes = brown_lm._bytes(column[first:])
+        assert raw.tobytes() == b"".join(column[first:].to_pylist()) and sizes.tolist() == [len(x) for x in column[first:].to_pylist()]
+    raw, sizes = brown_lm._bytes(column[:0])
+    assert not len(raw) and not len(sizes)
+
+
 def test_brown_likelihood_is_mutual_information_and_never_falls(spark, monkeypatch):
     rng = random.Random(9)
     nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
