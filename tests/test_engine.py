@@ -253,3 +253,10 @@ def test_rows_that_arrive_together_count_in_order_of_date(spark):
     for given in (rows, rows[::-1]):
         got = quality.out_of_order(spark.createDataFrame(given, "ticker string, date date, arrival int"), "arrival")
         assert [(r.date, r.arrival) for r in got.collect()] == [(DAY + timedelta(9), 3)]
+
+
+def test_overfitting_ranks_equal_series_alike_whatever_the_order_of_their_rows(spark):
+    days = [(i, 0.1 + 0.37 * ((i * 7919) % 101) / 101) for i in range(64)]
+    there, back = [("a", i, x) for i, x in days], [("b", i, x) for i, x in reversed(days)]
+    got = stats.overfitting(spark.createDataFrame(there + back, "strategy_id string, idx int, ret double").coalesce(1), 8).collect()
+    assert len(got) == 70 and {(r.best, round(r.omega, 9)) for r in got} == {("a", round(1 / 3, 9))}
